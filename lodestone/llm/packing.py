@@ -11,14 +11,16 @@ repeated rows each get their own slots; an empty table gives an empty result; ex
 
 from __future__ import annotations
 
-import array
 import bisect
 import functools
 import os
+import re
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,30 +38,73 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordIds:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space, so no token crosses a blank: the text is cut at blanks and line
-    feeds and the ids of each distinct stretch are remembered, in a table of bounded size.
+    The vocabulary drops white space and case, so no token crosses a blank: the text is cut at blanks and
+    line feeds, and before a full stop or comma that closes a word, and the ids of each distinct stretch
+    are remembered. The table is bounded: two generations, of which the older one goes.
     """
 
+    #: A closing mark that belongs to a longer run of marks, which must not be cut.
+    RUN = re.compile(r"(?:[^\w\s]|_)[.,][ \n]")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        vocabulary = self.tok.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def _words(self, text: str) -> list[str]:
+        if "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
+            text = text.lower()  # the tokenizer does it too, these two letters apart; here it makes words meet
+        joined = text.replace("\n", " ")
+        if not self.RUN.search(text):
+            joined = joined.replace(". ", " . ").replace(", ", " , ")
+        return joined.split(" ")
+
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        plain, other = [], []
+        for w in words:
+            (plain if w.isalpha() and len(w) <= LONG_WORD else other).append(w)
+        found: dict[str, bytes] = {}
+        groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(group):  # one word, one end
+                raw, start = ids.tobytes(), 0
+                for w, end in zip(group, ends.tolist(), strict=True):
+                    found[w] = raw[4 * start : 4 * end]
+                    start = end
+            else:
+                other += group
+        for w, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            found[w] = np.array(e.ids, "<u4").tobytes()
+        return found
 
     def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
+        words, known = self._words(text), self.known
         try:
-            return b"".join([self.known[w] for w in words])
+            return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        new = [w for w in set(words) if w not in self.known]
-        found = {w: array.array("I", e.ids).tobytes() for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        self.known.update((w, b) for w, b in found.items() if len(w) <= LONG_WORD)
-        return b"".join([self.known[w] if w in self.known else found[w] for w in words])
+        older, new = self.older, []
+        for w in set(words):
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        found = self._encode(new)
+        known.update((w, b) for w, b in found.items() if len(w) <= LONG_WORD)
+        out = b"".join([known[w] if w in known else found[w] for w in words])
+        if len(known) > CACHE_WORDS:
+            self.older, self.known = known, {"": b""}
+        return out
 
 
 #: One table per tokenizer in each Python worker.
