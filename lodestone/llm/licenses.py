@@ -17,7 +17,7 @@ from __future__ import annotations
 import random
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORDS, LEAST, BANDS = 5, 0.8, 28
@@ -86,6 +86,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
         met = keyed.join(F.broadcast(index), "key")  # as large as the templates, a parameter
         share = F.size(F.array_intersect("wanted", _shingles(F.col("part")))) / F.size("wanted")
         found.append(met.select("doc_id", "_row", "license", "at", share.alias("share")).where(F.col("share") >= least))
-    both = reduce(DataFrame.unionByName, found)
+    # Of similar templates that one window holds, the best stands.
+    same = Window.partitionBy("doc_id", "_row", "at")
+    both = reduce(DataFrame.unionByName, found).withColumn("_best", F.max("share").over(same)).where("share = _best")
     best = both.groupBy("doc_id", "_row", "license").agg(F.max("share").alias("containment"), F.min("at").cast("long").alias("word_at"))
     return best.select("doc_id", "license", F.round("containment", 6).alias("containment"), (F.col("word_at") - 1).alias("word_at"))
