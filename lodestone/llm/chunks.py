@@ -25,6 +25,7 @@ from .common import keep, ship
 
 WINDOW = 8
 LEAST, MOST, MASK_BITS = 1024, 16384, 12
+BATCH_BYTES = 4 << 20
 
 #: One random 64-bit number per byte value, from a fixed seed.
 GEAR = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
@@ -65,14 +66,17 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, digests, contents = _chunks(text.as_py())
+            cols, held = ([], [], [], []), 0
+            for at, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True), 1):
+                data, digests, contents = _chunks(text.as_py())
                 for c, v in zip(cols, ([doc_id] * len(digests), range(len(digests)), digests, contents), strict=True):
                     c.extend(v)
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "pos", "digest", "content"])
+                held += len(data)
+                if held > BATCH_BYTES or at == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "pos", "digest", "content"])
+                    cols, held = ([], [], [], []), 0
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, pos int, digest binary, content binary")
 
@@ -95,11 +99,17 @@ def recipe_rows(docs: DataFrame) -> DataFrame:
 
 
 def clashes(chunks: DataFrame) -> DataFrame:
-    """Different chunks that share a digest, with their ordinals: found by comparing the bytes of all distinct chunks."""
+    """Different chunks that share a digest, with their ordinals: found by comparing the bytes of all distinct chunks.
+
+    The bytes move once, to the distinct chunks; digests alone are then counted, and only chunks of a digest
+    with several contents are numbered.
+    """
     distinct = chunks.groupBy("digest", "content").agg(F.count("*").alias("uses"))
-    same = Window.partitionBy("digest")
-    numbered = distinct.withColumn("ordinal", F.row_number().over(same.orderBy("content"))).withColumn("of", F.count("*").over(same))
-    return numbered.where("of > 1").select("digest", "content", "ordinal")
+    several = keep(distinct.groupBy("digest").agg(F.count("*").alias("of")).where("of > 1").select("digest"))
+    if several.isEmpty():
+        return several.select("digest", F.lit(None).cast("binary").alias("content"), F.lit(1).alias("ordinal"))
+    numbered = distinct.join(several, "digest", "left_semi").withColumn("ordinal", F.row_number().over(Window.partitionBy("digest").orderBy("content")))
+    return numbered.select("digest", "content", "ordinal")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FOLDS = 5
+ARROW_ROWS = 1000
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,6 +35,8 @@ def _package_zip() -> str:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per SparkContext, so that Python stages can import it."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; whole texts need smaller batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     if not getattr(sc, "_lodestone_shipped", False):
         sc.addPyFile(_package_zip())
         sc._lodestone_shipped = True
