@@ -2,7 +2,7 @@
 
 A capture is three records: request, response (or revisit) and metadata; request and metadata name the
 response's identifier in WARC-Concurrent-To. Archives are plain WARC/1.1 files in the shared folder,
-written by Spark's own writer. Reading joins the three kinds on the concurrent-to identifier into one
+compressed with gzip, written by Spark's own writer. Reading joins the three kinds on the concurrent-to identifier into one
 nested row per capture.
 
 Defined results: a null html is an empty payload; a null or unusual url is written percent-encoded or
@@ -13,6 +13,7 @@ empty table gives an empty result; extra columns are ignored. Files hold at most
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -63,9 +64,11 @@ def write(pages: DataFrame, least_bytes: int = 0) -> str:
     # Which of the rows revisit: decided on the narrow rows, then joined to the html by page and payload.
     plan = found.select("page_id", "sha1", "sha256").distinct().join(repeated, ["sha1", "sha256"], "left").select("page_id", "sha256", "target")
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("sha256", F.sha2("html", 256))
-    order = Window.partitionBy("page_id", "sha256").orderBy("url")
-    plan = plan.withColumnsRenamed({"page_id": "p", "sha256": "h"})
-    rows = page.withColumn("nth", F.row_number().over(order)).join(plan, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha256") == F.col("h")), "left")
+    # One key for the window and the join, so that the html moves once.
+    key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "sha256")
+    order = Window.partitionBy("key").orderBy("url")
+    plan = plan.select(key.alias("key"), "target")
+    rows = page.withColumn("key", key).withColumn("nth", F.row_number().over(order)).join(plan, "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +91,7 @@ def write(pages: DataFrame, least_bytes: int = 0) -> str:
 
     folder = work_folder(spark)
     text = rows.select("page_id", "url", "html", "sha256", "nth", "target").mapInArrow(run, "value string")
-    text.write.option("lineSep", "\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    text.write.option("lineSep", "\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(folder)
     return folder
 
 
@@ -114,7 +117,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for head, block in parse(content.as_py()):
+                for head, block in parse(gzip.decompress(content.as_py())):
                     kind, digest, payload = head["warc-type"], head.get("warc-payload-digest"), None
                     if kind == "response":
                         payload = block[block.index(b"\r\n\r\n") + 4 :]
