@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import retrieval
 from .graph_view import EDGES_SQL, ENTITIES_SQL, edges, entities, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,8 +156,8 @@ SQL = {
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in FUNCTIONS}
+    return {f.__name__: f for f in (*FUNCTIONS, *retrieval.FUNCTIONS)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | retrieval.SQL

@@ -5,7 +5,7 @@ import pytest
 from lodestone.plans.catalog import oracle_sql, queries
 
 SF = "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem events pages".split()
+TABLES = "region nation customer supplier part orders lineitem events pages documents benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
