@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import keep
+
 WORDS, LEAST, BANDS = 5, 0.8, 28
 
 # Notices of public licenses.
@@ -72,11 +74,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     spark, chosen = docs.sparkSession, templates or TEMPLATES
     known = spark.createDataFrame(sorted(chosen.items()), "license string, notice string")
     known = known.select("license", F.array_distinct(_shingles(_words(F.col("notice")))).alias("wanted")).where("size(wanted) > 0")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), _words(F.col("text").cast("string")).alias("words"))
-    texts = texts.select("doc_id", "_row", "words", F.transform(_shingles(F.col("words")), lambda s: F.xxhash64(s)).alias("hashes")).where("size(hashes) > 0")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), _words(F.col("text").cast("string")).alias("words")).where(F.size("words") >= WORDS)
+    texts = texts.select("doc_id", "_row", "words", F.transform(_shingles(F.col("words")), lambda s: F.xxhash64(s)).alias("hashes"))
     # A band collides only where the window holds the template's smallest shingle: other texts need no windows.
     wanted = sorted({" ".join(w[i : i + WORDS]) for w in (t.lower().split() for t in chosen.values()) for i in range(len(w) - WORDS + 1)})
-    texts = texts.where(F.arrays_overlap("hashes", F.array(*(F.xxhash64(F.lit(x)) for x in wanted))))
+    # Kept once, as every size class reads them.
+    texts = keep(texts.where(F.arrays_overlap("hashes", F.array(*(F.xxhash64(F.lit(x)) for x in wanted)))))
     found = []
     for c in sorted({size_class(max(1, len(set(zip(*(w[i:] for i in range(WORDS)), strict=False))))) for w in (t.lower().split() for t in chosen.values()) if len(w) >= WORDS}):
         windows = texts.select("doc_id", "_row", F.explode(_windows(c)).alias("w"))
