@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by inner product: anisotropic four-bit quantisation and exact reranking.
 
-Vectors are dealt into cells by their nearest centroid. Inside a cell, each vector is coded in subspaces of
-DIMS_PER_CODE dimensions with 16 centres, chosen by a loss that weighs the part of the residual parallel to
-the vector PARALLEL times the rest, as that part is what distorts large inner products. A query sums
-its tables of 16 products over the codes of the cells it probes, and the RERANK best of each block are
-scored exactly on the original vectors in double precision.
-
-Centroids and codebooks are fitted on the SAMPLE vectors with the smallest hash; every vector is indexed.
-Equal vectors are one entry that knows its KEEP smallest ids, so a vector held by a third of all rows
-costs one scan. Cells are cut into blocks of BLOCK vectors and QUERIES queries.
+Each vector is coded in subspaces of DIMS_PER_CODE dimensions with 16 centres, chosen by a loss that weighs
+the part of the residual parallel to the vector PARALLEL times the rest, as that part is what distorts large
+inner products. A query sums its tables of 16 products over the codes of all vectors, and the RERANK best of
+each block of BLOCK vectors are scored exactly on the original vectors in double precision. No vector is left
+out by a coarse index: the embeddings have no clusters, so neighbours lie in any cell. The work grows with
+the square of the table.
+
+Codebooks are fitted on the SAMPLE vectors with the smallest hash; every vector is indexed. Equal vectors are
+one entry that knows its KEEP smallest ids, so a vector held by a third of all rows costs one scan. A task
+takes a share of the vectors and a share of the queries, of bounded size, and goes through them by BLOCK
+vectors and QUERIES queries.
 
 Defined results: vectors that are null, zero, of another length than the most frequent one, or that hold
 null or non-finite components take no part; rows that repeat id and vector count once; an empty table
@@ -26,27 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, ship
+from .common import keep, parts_for, ship
 
 TOP, QUERY_STEP = 20, 20
 DIMS_PER_CODE, CENTRES, PARALLEL = 2, 16, 4.0
-SAMPLE, PER_CELL, PROBES = 10_000, 1_000, 12
+SAMPLE = 10_000
 BLOCK, QUERIES, RERANK = 4_096, 512, 400
+MOST_VECTORS, MOST_QUERIES = 65_536, 16_384  # of a task
 
 
 @dataclass
 class Index:
-    centroids: np.ndarray  # cells x dims
     books: np.ndarray  # subspaces x CENTRES x DIMS_PER_CODE
 
-    def cells(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The n cells of largest inner product with each row, after the half norm of the centroid."""
-        s = x @ self.centroids.T
-        return np.argsort(-s, axis=1, kind="stable")[:, :n]
-
-    def cell(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.centroids.T - 0.5 * (self.centroids**2).sum(1)).argmax(1)
-
     def _split(self, x: np.ndarray) -> np.ndarray:
         pad = -x.shape[1] % DIMS_PER_CODE
         return np.pad(x, ((0, 0), (0, pad))).reshape(len(x), -1, DIMS_PER_CODE)
@@ -84,8 +78,7 @@ def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(x: np.ndarray, cells: int) -> Index:
-    centroids = _kmeans(x, cells, 7)
+def fit(x: np.ndarray) -> Index:
     pad = -x.shape[1] % DIMS_PER_CODE
     parts = np.pad(x, ((0, 0), (0, pad))).reshape(len(x), -1, DIMS_PER_CODE)
     books = np.zeros((parts.shape[1], CENTRES, DIMS_PER_CODE))
@@ -93,7 +86,7 @@ def fit(x: np.ndarray, cells: int) -> Index:
         c = _kmeans(parts[:, s], CENTRES, s)
         books[s, : len(c)] = c
         books[s, len(c) :] = c[0]
-    index = Index(centroids, books)
+    index = Index(books)
     square = np.maximum((x**2).sum(1), 1e-30)
     for _ in range(4):  # centres by descent on the same loss, codes held
         code = index.codes(x)
@@ -138,7 +131,7 @@ def vector_classes(rows: DataFrame, keep_ids: int) -> tuple[DataFrame, DataFrame
     return good.select("vec_id", "class"), keep(distinct.join(ids, "class")), dims
 
 
-def search(rows: DataFrame, top: int = TOP, step: int = QUERY_STEP, probes: int = PROBES) -> DataFrame:
+def search(rows: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` nearest found of each row whose vec_id is divisible by `step`."""
     spark = rows.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
@@ -147,56 +140,49 @@ def search(rows: DataFrame, top: int = TOP, step: int = QUERY_STEP, probes: int
     if not n:
         return spark.createDataFrame([], out)
     sample = classes.select("class", "x").orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("x").collect()
-    index = fit(np.array([np.frombuffer(r["x"], "<f8") for r in sample]), min(len(sample), max(1, min(4096, n // PER_CELL))))
-    shared = spark.sparkContext.broadcast(index)  # at most 4096 centroids and the codebooks
-    probes = max(1, min(probes, len(index.centroids)))
-
-    def dealt(n_probes: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x = _matrix(batch.column("x"), dims)
-                cells = shared.value.cells(x, n_probes) if n_probes else shared.value.cell(x)[:, None]
-                at = pa.array(np.repeat(np.arange(len(x)), cells.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel(), pa.int32()), batch.column("class").take(at), batch.column("x").take(at)], names=["cell", "class", "x"])
-
-        return run
-
-    kind = "cell int, class binary, x binary"
+    index = fit(np.array([np.frombuffer(r["x"], "<f8") for r in sample]))
+    shared = spark.sparkContext.broadcast(index)  # the codebooks
     queries = members.where(F.col("vec_id") % step == 0)
-    asked = keep(classes.join(queries.select("class").distinct(), "class", "left_semi").select("class", "x").mapInArrow(dealt(probes), kind))
-    data = keep(classes.select("class", "x").mapInArrow(dealt(0), kind))
-    # Blocks of each cell: counts of at most 4096 cells.
-    data_n = data.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    ask_n = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    both = F.broadcast(data_n.join(ask_n, "cell"))
-    some = lambda c: F.pmod(F.xxhash64("class", "cell"), F.col(c)).cast("int")
-    all_ = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = data.join(both, "cell").withColumn("block", some("blocks")).withColumn("part", all_("parts"))
-    right = asked.join(both, "cell").withColumn("part", some("parts")).withColumn("block", all_("blocks"))
+    asked = keep(classes.join(queries.select("class").distinct(), "class", "left_semi").select("class", "x"))
+    # Every pair of a vector and a query meets in one (block, part).
+    blocks = parts_for(n, min(MOST_VECTORS, max(BLOCK, n // 16)))
+    n_asked = asked.count()
+    parts = parts_for(n_asked, min(MOST_QUERIES, max(QUERIES, n_asked // 4)))
+    some = lambda k: F.pmod(F.xxhash64("class"), F.lit(k)).cast("int")
+    all_ = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = classes.select("class", "x", some(blocks).alias("block"), all_(parts).alias("part"))
+    right = asked.select("class", "x", some(parts).alias("part"), all_(blocks).alias("block"))
+
+    def best_of(x: np.ndarray, codes: np.ndarray, y: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in x and exact scores of the best of one block for each query."""
+        rough = np.zeros((len(y), len(x)), np.float32)
+        for s in range(codes.shape[1]):
+            rough += tables[:, s][:, codes[:, s]]
+        m = min(RERANK, len(x))
+        near = np.argpartition(-rough, m - 1, axis=1)[:, :m]
+        exact = np.stack([x[near[i]] @ y[i] for i in range(len(y))])
+        first = np.argsort(-exact, axis=1, kind="stable")[:, : top + 8]
+        return np.take_along_axis(near, first, 1), np.take_along_axis(exact, first, 1)
 
     def scan(d: pa.Table, q: pa.Table) -> pa.Table:
         names, kinds = ["query", "class", "score"], [pa.binary(), pa.binary(), pa.float64()]
         if not d.num_rows or not q.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
         x, y = _matrix(d.column("x"), dims), _matrix(q.column("x"), dims)
-        codes, tables = shared.value.codes(x), shared.value.tables(y)
-        rough = np.zeros((len(y), len(x)))
-        for s in range(codes.shape[1]):
-            rough += tables[:, s][:, codes[:, s]]
-        m = min(RERANK, len(x))
-        best = np.argpartition(-rough, m - 1, axis=1)[:, :m]
+        codes = np.concatenate([shared.value.codes(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)])
         at_q, at_d, scores = [], [], []
-        for i in range(len(y)):
-            exact = x[best[i]] @ y[i]
-            top_ = np.argsort(-exact, kind="stable")[: top + 8]
-            at_q += [i] * len(top_)
-            at_d.append(best[i][top_])
-            scores.append(exact[top_])
-        return pa.table([q.column("class").take(pa.array(at_q)), d.column("class").take(pa.array(np.concatenate(at_d))), pa.array(np.concatenate(scores))], names=names).cast(pa.schema(list(zip(names, kinds, strict=True))))
-
-    key = ["cell", "block", "part"]
+        for j in range(0, len(y), QUERIES):
+            some_y = y[j : j + QUERIES]
+            tables = shared.value.tables(some_y).astype(np.float32)
+            found = [(i, *best_of(x[i : i + BLOCK], codes[i : i + BLOCK], some_y, tables)) for i in range(0, len(x), BLOCK)]
+            place, exact = np.hstack([i + p for i, p, _ in found]), np.hstack([e for *_, e in found])
+            first = np.argsort(-exact, axis=1, kind="stable")[:, : top + 8]
+            at_q.append(np.repeat(np.arange(j, j + len(some_y)), first.shape[1]))
+            at_d.append(np.take_along_axis(place, first, 1).ravel())
+            scores.append(np.take_along_axis(exact, first, 1).ravel())
+        return pa.table([q.column("class").take(pa.array(np.concatenate(at_q))), d.column("class").take(pa.array(np.concatenate(at_d))), pa.array(np.concatenate(scores))], names=names).cast(pa.schema(list(zip(names, kinds, strict=True))))
+
+    key = ["block", "part"]
     near = left.select(*key, "class", "x").groupBy(*key).cogroup(right.select(*key, "class", "x").groupBy(*key)).applyInArrow(scan, "query binary, class binary, score double")
     # top + 1 classes hold the top ids, the query's own apart
     order = Window.partitionBy("query").orderBy(F.desc("score"), "first", "class")

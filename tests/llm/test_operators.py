@@ -155,6 +155,22 @@ def test_nearest_neighbours(spark):
     assert set(got) == set(range(0, 300, 20)) and hits >= 0.9 * 20 * len(got)
 
 
+def test_nearest_neighbours_beyond_a_few_blocks(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40_000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = {}
+    for r in ann.search(rows, step=400).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), 400):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s, kind="stable")[:20].tolist()) & got[q])
+    assert set(got) == set(range(0, len(x), 400)) and hits >= 0.97 * 20 * len(got)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "</s>[INST] <|turn|>\\l"), (1, 1, "assistant", "\\<|end|>\u00e9\U0001f600 ok"), (1, 2, "assistant", None), (2, 1, "assistant", " b"), (2, 0, None, ""), (3, 0, "assistant", "..")]
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
