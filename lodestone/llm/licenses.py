@@ -1,13 +1,17 @@
 """License scans: MinHash bands over overlapping windows, then exact shingle containment. DataFrame functions only.
 
-Texts are lower-cased and cut at white space; shingles are five words. Templates fall into size classes by
+Texts are lower-cased and cut into runs of letters and digits; shingles are five words. Templates fall into size classes by
 their number of shingles c/2 < t <= c (c a power of two). Windows of 3c/2 shingles start every c/2, so any
 place of a template lies whole inside a window, and a window that holds 0.8 of it has a Jaccard similarity
 of a quarter at least. With BANDS bands of one row, it collides with probability 1 - 0.75**BANDS > 0.999;
 one-shingle templates meet windows of one shingle, which collide always. Candidates are verified by the
 share of the template's shingles (the words, not their hashes) that the window holds.
 
-The templates are a fixed parameter table, so it may be broadcast. Defined results: null, empty and short
+The templates are a fixed parameter table, so it may be broadcast: one-line notices, and the full texts and
+standard headers in license_texts (LICENSE__kind.txt, without copyright lines). A text needs windows of a
+size class only where it holds so many shingles of the class's templates that one can be whole to 0.8.
+Similar templates (BSD with two and three clauses, headers of the GPL family) share many shingles; of those
+that one place holds, the one with most shingles found stands. Defined results: null, empty and short
 texts (under five words) hold no template; repeated rows give repeated results; an empty table gives an
 empty result; extra columns are ignored.
 """
@@ -15,7 +19,10 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import random
+import re
 from functools import reduce
+from math import ceil
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +42,10 @@ TEMPLATES = {
     "BSD-3-Clause": "Released under the BSD License.",
 }
 
+# Texts and standard headers of common licenses; a license may have several.
+TEXTS = [(p.stem.split("__")[0], p.read_text()) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+SIMILAR = 0.5
+
 _RANDOM = random.Random(6)
 SEEDS = [_RANDOM.getrandbits(63) for _ in range(BANDS)]
 
@@ -66,31 +77,55 @@ def _windows(c: int) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def _wanted(notice: str) -> list[str]:
+    """Different shingles of a template."""
+    w = re.findall(r"[^\W_]+", notice.lower())
+    return list(dict.fromkeys(" ".join(w[i : i + WORDS]) for i in range(len(w) - WORDS + 1)))
+
+
+def _families(wanted: list[list[str]]) -> list[int]:
+    """A number for each template, the same for templates that share SIMILAR of the larger's shingles."""
+    family, sets = list(range(len(wanted))), [set(w) for w in wanted]
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= SIMILAR * max(len(sets[i]), len(sets[j])):
+                family = [family[j] if f == family[i] else f for f in family]
+    return family
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, license, containment (the largest of a window) and word_at (the first such window) of each row that holds a template."""
-    spark, chosen = docs.sparkSession, templates or TEMPLATES
-    known = spark.createDataFrame(sorted(chosen.items()), "license string, notice string")
-    known = known.select("license", F.array_distinct(_shingles(_words(F.col("notice")))).alias("wanted")).where("size(wanted) > 0")
+    spark, chosen = docs.sparkSession, [(k, _wanted(v)) for k, v in (sorted(templates.items()) if templates else [*sorted(TEMPLATES.items()), *TEXTS])]
+    chosen = [(k, w) for k, w in chosen if w]
+    family = _families([w for _, w in chosen])
+    step = {f: max(1, max(size_class(len(w)) for (_, w), g in zip(chosen, family, strict=True) if g == f) // 2) for f in family}
+    rows = [(k, f, step[f], size_class(len(w)), w) for (k, w), f in zip(chosen, family, strict=True)]
+    known = keep(spark.createDataFrame(rows, "license string, family int, step int, c int, wanted array<string>").withColumn("own", F.transform("wanted", lambda s: F.xxhash64(s))))
+    own = {}
+    for r in known.select("c", "own").collect():  # as large as the templates
+        own.setdefault(r["c"], set()).update(r["own"])
+    among = lambda hashes: f"h -> h IN ({', '.join(f'{x}L' if x > -(2**63) else 'long(-9223372036854775808)' for x in sorted(hashes))})"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), _words(F.col("text").cast("string")).alias("words")).where(F.size("words") >= WORDS)
     texts = texts.select("doc_id", "_row", "words", F.transform(_shingles(F.col("words")), lambda s: F.xxhash64(s)).alias("hashes"))
     # A band collides only where the window holds the template's smallest shingle: other texts need no windows.
-    wanted = sorted({" ".join(w[i : i + WORDS]) for w in (t.lower().split() for t in chosen.values()) for i in range(len(w) - WORDS + 1)})
     # Kept once, as every size class reads them.
-    texts = keep(texts.where(F.arrays_overlap("hashes", F.array(*(F.xxhash64(F.lit(x)) for x in wanted)))))
+    texts = keep(texts.where(F.expr(f"exists(hashes, {among(set().union(*own.values()))})")))
     found = []
-    for c in sorted({size_class(max(1, len(set(zip(*(w[i:] for i in range(WORDS)), strict=False))))) for w in (t.lower().split() for t in chosen.values()) if len(w) >= WORDS}):
-        windows = texts.select("doc_id", "_row", F.explode(_windows(c)).alias("w"))
+    for c in sorted(own):
+        fewest = ceil(round(least * min(len(w) for _, _, _, k, w in rows if k == c), 9))
+        able = texts.where(F.size("hashes") >= fewest).where(F.expr(f"size(filter(hashes, {among(own[c])})) >= {fewest}"))
+        windows = able.select("doc_id", "_row", F.explode(_windows(c)).alias("w"))
         keyed = windows.select("doc_id", "_row", F.col("w.at").alias("at"), F.col("w.part").alias("part"), F.explode("w.bands").alias("key"))
-        mine = known.where(F.pow(F.lit(2), F.ceil(F.log2(F.size("wanted")))) == c)
-        index = mine.select("license", "wanted", F.explode(_bands(F.transform("wanted", lambda s: F.xxhash64(s)), c)).alias("key"))
+        index = known.where(F.col("c") == c).select("license", "family", "step", "wanted", F.explode(_bands(F.col("own"), c)).alias("key"))
         met = keyed.join(F.broadcast(index), "key")  # as large as the templates, a parameter
         share = F.size(F.array_intersect("wanted", _shingles(F.col("part")))) / F.size("wanted")
-        found.append(met.select("doc_id", "_row", "license", "at", share.alias("share")).where(F.col("share") >= least))
-    # Of similar templates that one window holds, the best stands.
-    same = Window.partitionBy("doc_id", "_row", "at")
-    both = reduce(DataFrame.unionByName, found).withColumn("_best", F.max("share").over(same)).where("share = _best")
+        found.append(met.select("doc_id", "_row", "license", "family", "step", "at", share.alias("share"), F.size("wanted").alias("size")).where(F.col("share") >= least))
+    # Of similar templates at one place, the one with most shingles found stands: a longer one that is nearly whole before a shorter one inside it.
+    rank = F.struct(F.round(F.col("share") * F.col("size")), "share")
+    same = Window.partitionBy("doc_id", "_row", "family", F.floor((F.col("at") - 1) / F.col("step")))
+    both = reduce(DataFrame.unionByName, found).withColumn("_rank", rank).withColumn("_best", F.max("_rank").over(same)).where("_rank = _best")
     best = both.groupBy("doc_id", "_row", "license").agg(F.max("share").alias("containment"), F.min("at").cast("long").alias("word_at"))
     return best.select("doc_id", "license", F.round("containment", 6).alias("containment"), (F.col("word_at") - 1).alias("word_at"))

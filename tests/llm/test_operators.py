@@ -137,6 +137,39 @@ def test_licenses(spark):
     assert got == {(i, k) for i, k in enumerate(licenses.TEMPLATES)}
 
 
+def test_licenses_of_texts_and_altered_notices(spark):
+    from pathlib import Path
+
+    there = Path(licenses.__file__).parent / "license_texts"
+    body = lambda name: (there / f"{name}.txt").read_text()
+    header = '''/*
+ * Copyright 2019 The Authors. Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ */'''
+    mit = body("MIT__text").split("\n\n")[0].replace("hereby granted", "herewith granted")
+    wanted = {
+        0: (f"{words(40, 1)}\n{header}\n{words(50, 2)}", "Apache-2.0"),
+        1: (f"{words(9, 3)} Released under the MIT License {words(9, 4)}", "MIT"),
+        2: ("MIT License\n\nCopyright (c) 2020 A B\n\n" + mit + "\n\n" + "\n\n".join(body("MIT__text").split("\n\n")[1:]), "MIT"),
+        3: (body("BSD-2-Clause__text").replace("COPYRIGHT HOLDERS", "AUTHOR"), "BSD-2-Clause"),
+        4: (body("BSD-3-Clause__text").replace("the copyright holder nor", "Acme Inc. nor"), "BSD-3-Clause"),
+        5: (words(300, 5) + " " + re.sub(r"(?m)^", "# ", body("GPL-2.0__header")), "GPL-2.0"),
+        6: (body("GPL-3.0__header"), "GPL-3.0"),
+        7: ("// " + body("LGPL-2.1__header").replace("library", "program"), "LGPL-2.1"),
+        8: (body("MPL-2.0__header").replace("http:", "https:"), "MPL-2.0"),
+        9: (body("GPL-3.0__text"), "GPL-3.0"),
+        10: (words(200, 6) + body("Apache-2.0__text").replace("Licensor", "Grantor"), "Apache-2.0"),
+        11: ("Released under the Licensed MIT", None),
+    }
+    rows = [(i, t) for i, (t, _) in wanted.items()]
+    got = [(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted((i, k) for i, (_, k) in wanted.items() if k)
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8))
