@@ -68,8 +68,8 @@ def _keys(spark, sf_dir) -> DataFrame:
 
 
 def known_endpoint_edges(spark, sf_dir):
-    """Edges by predicate, of which both ends are known entities with an even key."""
-    keys = _keys(spark, sf_dir).where("cast(substring_index(key, ':', -1) as bigint) % 2 = 0")
+    """Edges by predicate, of which both ends are known entities."""
+    keys = _keys(spark, sf_dir)
     e = edges(spark, sf_dir)
     e = e.join(keys.withColumnRenamed("key", "subject"), "subject", "left_semi").join(keys.withColumnRenamed("key", "object"), "object", "left_semi")
     return e.groupBy("predicate").agg(F.count("*").alias("n"))
