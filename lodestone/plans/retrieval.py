@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.common import keep
 from .graph_view import EDGES_SQL, ENTITIES_SQL, edges, entities, table
 
 TARGETS = ("nation_1", "order_1", "ring")
@@ -84,14 +85,18 @@ def structural_first_edge(spark, sf_dir):
 
 
 def transitive_depends(spark, sf_dir):
-    """Nodes that region 1 reaches over CONTAINS and CALLS, by depth. The schema has three levels."""
-    e = edges(spark, sf_dir).where("predicate IN ('CONTAINS', 'CALLS')").select("subject", "object")
-    level = e.where("subject = 'region:1'").select(F.col("object").alias("node"), F.lit(1).alias("depth"))
-    out = level
-    for depth in (2, 3):
-        level = level.select(F.col("node").alias("subject")).join(e, "subject").select(F.col("object").alias("node"), F.lit(depth).alias("depth"))
-        out = out.union(level)
-    return out.groupBy("node").agg(F.min("depth").alias("d")).groupBy(F.col("d").alias("depth")).agg(F.count("*").alias("n"))
+    """Nodes that region 1 reaches over CONTAINS, CALLS and DEPENDS_ON, by depth; levels follow until one brings no new node."""
+    e = keep(edges(spark, sf_dir).where("predicate IN ('CONTAINS', 'CALLS', 'DEPENDS_ON')").select("subject", "object"))
+    depth = 1
+    seen = level = keep(e.where("subject = 'region:1'").select(F.col("object").alias("node"), F.lit(depth).alias("depth")).distinct())
+    while not level.isEmpty():
+        depth += 1
+        step = level.select(F.col("node").alias("subject")).join(e, "subject").select(F.col("object").alias("node")).distinct()
+        level = keep(step.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth")))
+        seen = seen.unionByName(level)
+        if depth % 10 == 0:  # one scan again
+            seen = keep(seen)
+    return seen.groupBy("depth").agg(F.count("*").alias("n"))
 
 
 def evidence_fold(spark, sf_dir):

@@ -33,3 +33,19 @@ def test_known_endpoints_of_dangling_edges(spark, graph):
     got = {r.predicate: r.n for r in retrieval.known_endpoint_edges(spark, at).collect()}
     # CONTAINS: region 1 - nation 1, nations 1 and 2 - customers 1 and 2, nation 1 - supplier 1
     assert got == {"CONTAINS": 4, "REFERENCES": 2 + 1 + 1, "CALLS": 2, "DEPENDS_ON": 3, "IMPLEMENTS": 2}
+
+
+def test_transitive_depends_reaches_parts(spark, graph):
+    at = graph(
+        region=[(1,), (2,)], nation=[(1, 1), (2, 1), (3, 2)], customer=[(1, 1), (2, 3)], supplier=[(1, 2)], part=[(1,), (2,), (3,)],
+        orders=[(1, 1), (2, 1), (3, 2)], lineitem=[(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 3, 1)],
+    )
+    # nations 1 and 2; customer 1 and supplier 1; orders 1 and 2; parts 1 and 2
+    assert {r.depth: r.n for r in retrieval.transitive_depends(spark, at).collect()} == {1: 2, 2: 2, 3: 2, 4: 2}
+
+
+def test_transitive_depends_of_a_long_chain_with_a_cycle(spark, monkeypatch):
+    chain = [("region:1", "CONTAINS", "n0")] + [(f"n{i}", "DEPENDS_ON", f"n{i + 1}") for i in range(12)] + [("n12", "CALLS", "n3"), ("n1", "CALLS", "n5"), ("n2", "REFERENCES", "x")]
+    monkeypatch.setattr(retrieval, "edges", lambda *_: spark.createDataFrame(chain, "subject string, predicate string, object string"))
+    # n5 at depth 3 as n1 calls it, with n2; n3 and n6 at 4, n4 and n7 at 5, then n8 to n12
+    assert {r.depth: r.n for r in retrieval.transitive_depends(spark, "").collect()} == {1: 1, 2: 1, 3: 2, 4: 2, 5: 2} | dict.fromkeys(range(6, 11), 1)
