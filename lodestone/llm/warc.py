@@ -123,6 +123,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         payload = block[block.index(b"\r\n\r\n") + 4 :]
                     fields = [tuple(x.split(": ", 1)) for x in block.decode().split("\r\n") if x] if kind == "metadata" else []
                     rows.append((kind, head["warc-record-id"], head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), digest and digest.removeprefix("sha1:"), None if payload is None else len(payload), None if payload is None else f"sha1:{sha1_base32(payload)}" == digest, fields))
+                if not rows:  # Spark writes a file even for an empty table
+                    continue
                 kinds = [pa.string()] * 6 + [pa.int64(), pa.bool_(), pa.map_(pa.string(), pa.string())]
                 names = ["type", "record_id", "concurrent_to", "refers_to", "target_uri", "payload_digest", "payload_bytes", "digest_ok", "fields"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)

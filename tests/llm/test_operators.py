@@ -130,6 +130,10 @@ def test_warc(spark):
     assert got == {1: (n, sha(body), "revisit", 4), 2: (0, sha(""), "revisit", 3), 3: (0, sha(""), "response", None), 4: (n, sha(body), "response", None), 5: (1, sha("z"), "response", None)}
 
 
+def test_warc_of_nothing(spark):
+    assert warc.page_captures(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_licenses(spark):
     lines = list(licenses.TEMPLATES.values())
     rows = [(i, f"{words(i * 3 + 1, i)} {t.upper()}\n{words(30, i + 1)}") for i, t in enumerate(lines)] + [(50, words(200, 1)), (51, None), (52, ""), (53, "a b")]
