@@ -1,13 +1,14 @@
 """The corpus pipeline: language ID, quality, exact dedup, near dedup, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return
-the columns of documents. ORACLE_SQL is None: trained models and token ids are beyond SQL; tests hold each
+the columns of documents. Decisions are joined back by a number for each row, so rows whose doc_id is null or
+repeats are judged by their own text. ORACLE_SQL is None: trained models and token ids are beyond SQL; tests hold each
 stage against a brute-force version.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import langid, quality
@@ -19,35 +20,49 @@ from lodestone.llm.packing import pack_documents
 LEAST_LANGUAGE_SCORE = 0.4
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids, with the columns of docs in their order."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with a number for each row, _row, written once; and their texts, with that number for doc_id."""
+    rows = keep(docs.withColumn("_row", F.monotonically_increasing_id()))
+    return rows, rows.select(F.col("_row").alias("doc_id"), "text")
 
 
-def _one_row_each(docs: DataFrame) -> DataFrame:
-    return docs.dropDuplicates(["doc_id"])
+def _only(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows whose number is a doc_id of found, without the number."""
+    return rows.join(found.select(F.col("doc_id").alias("_row")), "_row", "left_semi").drop("_row")
+
+
+def _one_of_each(rows: DataFrame, group: DataFrame, best: Column) -> DataFrame:
+    """The row with the least `best` of each group; group has the numbers as doc_id, and name."""
+    named = rows.select("_row", best.alias("best")).join(group.select(F.col("doc_id").alias("_row"), "name"), "_row")
+    return _only(rows, named.groupBy("name").agg(F.min_by("_row", F.struct("best", "_row")).alias("doc_id")))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (`und`) or with a score under LEAST_LANGUAGE_SCORE."""
-    found = langid.predict(docs, langid.learn(docs))
-    return _only(docs, found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
+    rows, texts = _numbered(docs)
+    found = langid.predict(texts, langid.learn(docs))
+    return _only(rows, found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents scored under the threshold."""
-    found = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
-    return _only(docs, found.where("predicted = 1"))
+    rows, texts = _numbered(docs)
+    found = quality.score(texts, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return _only(rows, found.where("predicted = 1"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the largest doc_id of equal texts, once."""
-    return _one_row_each(_only(docs, exact_groups(docs).where("kept")))
+    """Keeps the row with the largest doc_id of equal texts, once; a null id is the smallest."""
+    rows, texts = _numbered(docs)
+    largest = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id").cast("decimal(20,0)")).alias("id"))
+    return _one_of_each(rows, exact_groups(texts).withColumnRenamed("keep_id", "name"), largest)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates."""
-    return _only(docs, near_duplicates(docs).where("doc_id = component_id"))
+    """Keeps the row with the smallest doc_id of each group of near duplicates; a null id only where all are null."""
+    rows, texts = _numbered(docs)
+    smallest = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    return _one_of_each(rows, near_duplicates(texts).withColumnRenamed("component_id", "name"), smallest)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
