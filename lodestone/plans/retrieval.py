@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm.common import keep
+from ..storage import keep
 from .graph_view import EDGES_SQL, ENTITIES_SQL, edges, entities, table
 
 TARGETS = ("nation_1", "order_1", "ring")
