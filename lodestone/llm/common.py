@@ -1,20 +1,25 @@
-"""What the operators share: shipping code, shared work folders, input tables and stable folds."""
+"""What the operators share: shipping code, bounded slices of Arrow batches, stable folds and bounded samples."""
 
 from __future__ import annotations
 
 import functools
 import os
 import tempfile
-import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import forget, keep, table, work_folder  # noqa: F401
+
 FOLDS = 5
-ARROW_ROWS = 1000
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 1000
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,7 +30,7 @@ def tokenizer_path(name: str) -> str:
 @functools.cache
 def _package_zip() -> str:
     top = Path(__file__).resolve().parents[1]
-    out = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), "lodestone.zip")
+    out = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), "lodestone.zip")  # read by the driver alone, which sends it
     with zipfile.ZipFile(out, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent).as_posix())
@@ -35,32 +40,32 @@ def _package_zip() -> str:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per SparkContext, so that Python stages can import it."""
     sc = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; whole texts need smaller batches
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     if not getattr(sc, "_lodestone_shipped", False):
         sc.addPyFile(_package_zip())
         sc._lodestone_shipped = True
 
 
-def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lodestone-work-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write df once to the shared folder and read it back: it cuts lineage and survives lost executors."""
-    path = work_folder(df.sparkSession)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of bounded size, whatever the session's batch size; a longer text is a slice of its own."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(size[at - 1]) if at else 0
+            end = int(np.searchsorted(size, before + most_bytes, "right"))
+            end = min(max(end, at + 1), at + most_rows, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of a string column, null as empty, and where each text starts, with the end."""
+    column = pc.fill_null(column, "").cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    starts = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]]
+    return data, starts - starts[0]
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -74,3 +79,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def parts_for(rows: int, per_part: int) -> int:
     return max(1, -(-rows // per_part))
+
+
+def smallest(rows: DataFrame, by: list[str], pick: Column, most: int, tie: list[str]) -> DataFrame:
+    """Of each group, the `most` rows with the smallest `pick`, a 64-bit hash read as unsigned; ties by `tie`.
+
+    Only rows under a threshold are sorted: it lets four times `most` rows of a group pass on average, so no
+    task sorts a whole group. Where too few pass, the group is sorted whole.
+    """
+    rows = rows.withColumn("_pick", F.shiftrightunsigned(pick, 1))
+    unit = F.col("_pick").cast("double") / F.lit(float(2**63))
+    share = F.least(F.lit(1.0), F.lit(4.0 * most) / F.col("_n"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    passed = rows.join(sizes, by).where(unit < share).groupBy(*by).agg(F.count("*").alias("_passed"))
+    enough = F.coalesce("_passed", F.lit(0)) >= F.least("_n", F.lit(most))
+    limits = sizes.join(passed, by, "left").select(*by, F.when(enough, share).otherwise(2.0).alias("_share"))
+    order = Window.partitionBy(*by).orderBy("_pick", *tie)
+    near = rows.join(limits, by).where(unit < F.col("_share"))
+    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r", "_share", "_pick")
