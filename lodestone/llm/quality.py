@@ -6,7 +6,8 @@ the document's label in training. The forward-backward marginals of the lines, w
 aggregate to one number, and a logistic fit on learning rows turns it into the score.
 
 The field is fitted on a bounded sample: at most SAMPLE labelled documents per class, the smallest by a
-hash of the id, of at most TRAIN_LINES lines. Scoring reads every line of every text.
+hash of the id, of fewer than TRAIN_LINES lines; of rows that share an id, one text. Scoring reads every line
+of every text, in blocks of bounded size.
 
 Defined results: null and empty texts have one empty line; without learning rows every score is 0.5;
 repeated rows get equal scores; a label row that is repeated or disputed counts by its largest value;
@@ -16,18 +17,19 @@ an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, ship
+from .common import held_out, ship, slices, smallest
 
 SAMPLE, TRAIN_LINES, THRESHOLD = 1500, 400, 0.3
-SLICES = 64
+CELLS = 1 << 15
 STEPS, RATE, RIDGE = 150, 0.1, 1e-3
 BASE = 12
 
@@ -68,10 +70,34 @@ def with_neighbours(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.vstack([zero, x[:-1]]), np.vstack([x[1:], zero])])
 
 
-def marginals(score: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def emissions(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """with_neighbours(x) @ weights, without the wide matrix."""
+    out = x @ weights[:BASE]
+    out[1:] += (x @ weights[BASE : 2 * BASE])[:-1]
+    out[:-1] += (x @ weights[2 * BASE :])[1:]
+    return out
+
+
+def line_marginals(score: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """P(line good) of one document: both passes carry one number, the log-odds of the message."""
+    (t00, t01), (t10, t11) = trans.tolist()
+    fwd, bwd, at = np.empty(len(score)), np.zeros(len(score)), 0.0
+    add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    for k, s in enumerate(score.tolist()):
+        at = s if k == 0 else s + add(t01, at + t11) - add(t00, at + t10)
+        fwd[k] = at
+    at = 0.0
+    for k in range(len(score) - 2, -1, -1):
+        at += float(score[k + 1])
+        at = add(t10, at + t11) - add(t00, at + t01)
+        bwd[k] = at
+    return 1 / (1 + np.exp(-np.clip(fwd + bwd, -700, 700)))
+
+
+def marginals(score: np.ndarray, trans: np.ndarray, count_moves: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward in log space. score: docs x lines emission of state 1 over state 0, NaN after a document's end.
 
-    Returns P(line good) and, summed over lines, P(transition): docs x 4.
+    Returns P(line good) and, where asked for, P(transition) summed over lines: docs x 4.
     """
     docs, lines = score.shape
     live = ~np.isnan(score)
@@ -89,7 +115,7 @@ def marginals(score: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndar
     p = 1 / (1 + np.exp(np.clip(both[..., 0] - both[..., 1], -700, 700)))
     total = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
     moves = np.zeros((docs, 4))
-    for t in range(1, lines):
+    for t in range(1, lines if count_moves else 1):
         joint = fwd[:, t - 1, :, None] + trans[None] + (emit[:, t] + bwd[:, t])[:, None, :] - total[:, None, None]
         moves += np.where(live[:, t, None], np.exp(np.minimum(joint, 0.0)).reshape(docs, 4), 0.0)
     return p, moves
@@ -110,18 +136,22 @@ class Field:
     shift: float
 
     def raw(self, xs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Length-weighted mean log-odds of each document's line marginals."""
-        if not xs:
-            return np.zeros(0)
+        """Length-weighted mean log-odds of each document's line marginals, in blocks of at most CELLS lines with their padding."""
         out = np.zeros(len(xs))
-        order = sorted(range(len(xs)), key=lambda i: len(xs[i][1]))
-        for at in range(0, len(order), 64):
-            ids = order[at : at + 64]  # of like length: little padding
-            p, _ = marginals(_padded([with_neighbours(xs[i][0]) @ self.weights for i in ids]), self.trans)
-            for row, i in enumerate(ids):
+        order = sorted(range(len(xs)), key=lambda i: len(xs[i][1]))  # of like length: little padding
+        at = 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and (end + 1 - at) * len(xs[order[end]][1]) <= CELLS:
+                end += 1
+            ids = order[at:end]
+            scores = [emissions(xs[i][0], self.weights) for i in ids]
+            found = [line_marginals(scores[0], self.trans)] if len(ids) == 1 else marginals(_padded(scores), self.trans, False)[0]
+            for p, i in zip(found, ids, strict=True):
                 n = xs[i][1]
-                q = np.clip(p[row, : len(n)], 1e-6, 1 - 1e-6)
+                q = np.clip(p[: len(n)], 1e-6, 1 - 1e-6)
                 out[i] = float((np.log(q / (1 - q)) * n).sum() / n.sum())
+            at = end
         return out
 
     def score(self, xs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -180,21 +210,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL").where(~held_out())
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(~held_out())
-    order = Window.partitionBy("quality").orderBy("pick", "doc_id")
-    short = texts.where(F.length(F.coalesce("text", F.lit(""))) - F.length(F.translate(F.coalesce("text", F.lit("")), "\n", "")) < TRAIN_LINES)
-    known = short.select("doc_id").distinct().join(marks, "doc_id").withColumn("pick", F.xxhash64("doc_id", F.lit(10)))
-    # The first of each slice hold the first of all, so no task sorts a whole class.
-    slices = Window.partitionBy("quality", F.pmod("pick", F.lit(SLICES))).orderBy("pick", "doc_id")
-    known = known.withColumn("r", F.row_number().over(slices)).where(F.col("r") <= sample)
-    chosen = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id", "quality")
+    lines = F.length(F.coalesce("text", F.lit(""))) - F.length(F.translate(F.coalesce("text", F.lit("")), "\n", ""))
+    short = texts.where(lines < TRAIN_LINES)
+    known = short.select("doc_id").distinct().join(marks, "doc_id")
+    chosen = smallest(known, ["quality"], F.xxhash64("doc_id", F.lit(10)), sample, ["doc_id"]).select("doc_id", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             found = [line_features(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([n.tobytes() for _, n in found], pa.binary())], names=["doc_id", "quality", "x", "n"])
 
-    picked = short.join(F.broadcast(chosen), "doc_id")  # at most 2 * sample documents
-    rows = picked.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x binary, n binary").orderBy("doc_id", "x").collect()
+    picked = short.join(F.broadcast(chosen), "doc_id")  # at most 2 * sample ids
+    picked = picked.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of a repeated id, one text
+    rows = picked.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x binary, n binary").orderBy("doc_id").collect()
     xs = [np.frombuffer(r["x"]).reshape(-1, BASE) for r in rows]
     return fit(xs, [np.frombuffer(r["n"]) for r in rows], np.array([r["quality"] for r in rows], int))
 
@@ -204,7 +232,7 @@ def score(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFr
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             s = field.score([line_features(t.as_py()) for t in batch.column("text")])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
