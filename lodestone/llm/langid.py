@@ -2,8 +2,8 @@
 
 Character 1- to 3-grams of the lower-cased whole text are hashed to DIMS counters. Document frequencies
 come from all learning rows. The weights are fitted by follow-the-regularised-leader with elastic-net
-penalties on a bounded sample (SAMPLE rows per language, the smallest by a hash of the id), and a
-temperature is fitted on learning rows of one other fold, bounded alike (SAMPLE rows).
+penalties on a bounded sample (SAMPLE rows per language, fewer where the languages would exceed MOST_ROWS in
+all, the smallest by a hash of the id), and a temperature is fitted on learning rows of one other fold, bounded alike (SAMPLE rows).
 
 Defined results: a null text or one without any letter is `und` with score 0; so is every text where
 nothing can be learned (no labelled rows); repeated rows get equal results; an empty table gives an empty
@@ -17,14 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, held_out, ship
+from .common import fold, held_out, ship, slices, smallest
 
 DIMS = 1 << 15
 BLOCK = 1 << 20
-SAMPLE = 600
+SAMPLE, MOST_ROWS = 600, 20_000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.05
 UNKNOWN = "und"
 
@@ -137,17 +137,19 @@ def learn(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS) -> Model:
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             vs = [vector(t.as_py(), idf) for t in batch.column("text")]
             at = [np.flatnonzero(v).astype(np.int32) for v in vs]
             cols = [batch.column("lang"), batch.column("part"), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([v[a].tobytes() for v, a in zip(vs, at, strict=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["lang", "part", "at", "x"])
 
     # The same bounded choice whatever the partitioning: the smallest hashes of each language and part.
-    rows = rows.withColumn("part", (fold() == 1).cast("int")).withColumn("pick", F.xxhash64("doc_id", F.lit(9)))
-    order = Window.partitionBy("lang", "part").orderBy("pick", "doc_id")
-    chosen = rows.select("doc_id", "lang", "part", "pick").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id").distinct()
-    picked = rows.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most 2 * sample rows a language
+    langs = docs.where("lang IS NOT NULL").select("lang").distinct().count()
+    sample = max(1, min(sample, MOST_ROWS // max(1, langs)))
+    rows = rows.withColumn("part", (fold() == 1).cast("int"))
+    chosen = smallest(rows.select("doc_id", "lang", "part"), ["lang", "part"], F.xxhash64("doc_id", F.lit(9)), sample, ["doc_id"]).select("doc_id").distinct()
+    picked = rows.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most 2 * MOST_ROWS ids, or two a language
+    picked = picked.groupBy("doc_id", "lang", "part").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of a repeated id, one text
     got = picked.select("lang", "part", "text").mapInArrow(sparse, "lang string, part int, at binary, x binary").orderBy("lang", "at", "x").collect()
     langs = sorted({r["lang"] for r in got})
     number = {x: i for i, x in enumerate(langs)}
@@ -166,7 +168,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches, "text"):
             found = [m.predict(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
