@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding of whole texts.
 
-Texts up to CHUNK characters are encoded where they stand. Longer ones are cut into overlapping chunks
-that are pre-tokenised in parallel. A match of the pattern depends only on what follows its start, so
-once two neighbouring chunks share a pre-token boundary, all later boundaries agree: the chunks are
-stitched at the first shared boundary in their overlap that no white space precedes (a run of it is
-split by what follows it), each encodes the stretch it owns, and the ids
-are put together in order. Where an overlap has no shared boundary (one pre-token longer than it), the
-neighbours merge and are pre-tokenised again. Decoding concatenates the ids' raw bytes.
-
-Defined results: null and empty texts have no ids (0 tokens, digests of nothing); repeated rows give
+A text is cut into overlapping chunks of CHUNK characters. A match of the pre-token pattern depends only on
+what follows its start, so once two neighbouring chunks share a boundary, all later boundaries agree: the
+chunks are stitched at the first shared boundary in their overlap that no white space precedes (a run of it
+is split by what follows it), and the pieces between the stitches are encoded. Where an overlap has no
+shared boundary (one pre-token longer than it), the neighbours merge. Decoding concatenates the ids' raw bytes.
+
+The chunks of a text of up to FAR characters are stitched in the task that holds the text. Those of a longer
+one are dealt to many tasks, FAR / 16 characters each, pre-tokenised and encoded in parallel, and put together in order.
+
+Defined results: null and empty texts have no ids (0 tokens, digests of nothing, one piece); repeated rows give
 repeated results; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -25,12 +26,15 @@ from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, tokenizer_path
+from .common import ship, slices, tokenizer_path
 
-CHUNK, OVERLAP = 65_536, 2_048
+CHUNK, OVERLAP = 2_048, 256
+FAR = 1 << 20
 CACHE_WORDS, LONG_WORD = 300_000, 64
 
-OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_pieces long"
+NAMES = [x.split()[0] for x in OUT.split(", ")]
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
 #: White space as the encoder's regular expressions define it; Python's class has four control characters more.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -57,7 +61,7 @@ class Encoder:
 
     def __call__(self, text: str) -> tuple[int, str, bytes]:
         """Tokens, decimal ids each followed by a comma, and the ids' bytes."""
-        if not text or text[0] == " " or self.after_space.search(text):
+        if not text or self.after_space.search(text):
             return self._stretch(text)
         # No blank follows white space: a pre-token starts at each blank and none runs across it.
         first, *rest = text.split(" ")
@@ -82,6 +86,25 @@ class Encoder:
         """Where pre-tokens start, and the end."""
         return [m.start() for m in self.pattern.finditer(text)] + [len(text)]
 
+    def pieces(self, text: str, chunk: int, overlap: int) -> list[str]:
+        """The text cut where overlapping chunks share a pre-token boundary."""
+        out, lo = [], 0
+        for start in range(chunk, len(text) - overlap, chunk):
+            inside = text[lo : start + overlap]
+            tail = {lo + i for i in self.boundaries(inside)[:-2] if lo + i >= start and not text[lo + i - 1].isspace()}
+            head = (start + i for i in self.boundaries(text[start : start + 2 * overlap]) if i <= overlap)
+            meets = next((i for i in head if i in tail), None)
+            if meets is not None:
+                out.append(text[lo:meets])
+                lo = meets
+        return [*out, text[lo:]]
+
+    def whole(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, str, str, int]:
+        """Tokens, digests of the ids and of the decoded bytes, pieces."""
+        pieces = self.pieces(text, chunk, overlap)
+        counts, ids, raw = zip(*map(self, pieces), strict=True)
+        return *_digest_row(sum(counts), "".join(ids), b"".join(raw)), len(pieces)
+
 
 @functools.cache
 def encoder(ranks_path: str) -> Encoder:
@@ -96,13 +119,12 @@ def _batch(cols: list, names: list[str], kinds: list[pa.DataType]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
-def encode_short(docs: DataFrame, ranks_path: str) -> DataFrame:
+def encode_near(docs: DataFrame, ranks_path: str, chunk: int, overlap: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path)
-        for batch in batches:
-            rows = [_digest_row(*encode(text.as_py() or "")) for text in batch.column(1)]
-            cols = list(zip(*rows, strict=True)) or [[], [], []]
-            yield _batch([batch.column(0), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.int64(), pa.string(), pa.string()])
+        code = encoder(ranks_path)
+        for batch in slices(batches, "text"):
+            rows = [code.whole(text.as_py() or "", chunk, overlap) for text in batch.column("text")]
+            yield _batch([batch.column("doc_id"), *zip(*rows, strict=True)], NAMES, KINDS)
 
     return docs.mapInArrow(run, OUT)
 
@@ -112,7 +134,7 @@ def cut_chunks(text: str, chunk: int, overlap: int) -> list[tuple[int, str]]:
     return [(start, text[start : start + chunk + overlap]) for start in range(0, max(1, len(text) - overlap), chunk)]
 
 
-def encode_long(docs: DataFrame, ranks_path: str, chunk: int, overlap: int) -> DataFrame:
+def encode_far(docs: DataFrame, ranks_path: str, chunk: int, overlap: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -148,8 +170,8 @@ def encode_long(docs: DataFrame, ranks_path: str, chunk: int, overlap: int) -> D
         raw = b"".join(table.column("raw").to_pylist())
         ids = "".join(table.column("ids").to_pylist())
         copies = table.column("copies")[0].as_py()
-        row = (key[0].as_py(), *_digest_row(sum(table.column("n").to_pylist()), ids, raw))
-        return pa.table([pa.array([v] * copies, k) for v, k in zip(row, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        row = (key[0].as_py(), *_digest_row(sum(table.column("n").to_pylist()), ids, raw), table.num_rows)
+        return pa.table([pa.array([v] * copies, k) for v, k in zip(row, KINDS, strict=True)], names=NAMES)
 
     parts = docs.mapInArrow(cut, "doc_id long, key string, k int, start long, part string")
     parts = parts.groupBy("doc_id", "key", "k", "start").agg(F.first("part").alias("part"), F.count("*").alias("copies"))  # equal keys: equal parts
@@ -169,18 +191,18 @@ def encode_long(docs: DataFrame, ranks_path: str, chunk: int, overlap: int) -> D
         for start, part in zip(table.column("start").to_pylist(), table.column("part").to_pylist(), strict=True):
             text += part[end - start :]
             end = start + len(part)
-        row = (key[0].as_py(), *_digest_row(*encoder(ranks_path)(text)))
+        row = (key[0].as_py(), *encoder(ranks_path).whole(text))
         copies = table.column("copies")[0].as_py()
-        return pa.table([pa.array([v] * copies, k) for v, k in zip(row, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.table([pa.array([v] * copies, k) for v, k in zip(row, KINDS, strict=True)], names=NAMES)
 
     torn = split.where("torn").select("doc_id", "key", "k", "start", "part", "copies")
     return stitched.unionByName(torn.groupBy("doc_id", "key").applyInArrow(rejoin, OUT))
 
 
-def encode_documents(docs: DataFrame, ranks_path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 of every whole text."""
+def encode_documents(docs: DataFrame, ranks_path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, far: int = FAR) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 and n_pieces of every whole text."""
     ship(docs.sparkSession)
     ranks_path = ranks_path or tokenizer_path("byte_bpe_multi_50k.tiktoken")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    long = F.coalesce(F.length("text") > chunk, F.lit(False))
-    return encode_short(docs.where(~long), ranks_path).unionByName(encode_long(docs.where(long), ranks_path, chunk, overlap))
+    long = F.coalesce(F.length("text") > far, F.lit(False))
+    return encode_near(docs.where(~long), ranks_path, chunk, overlap).unionByName(encode_far(docs.where(long), ranks_path, max(far // 16, chunk), overlap))
