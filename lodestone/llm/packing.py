@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, parts_for, ship, tokenizer_path
+from .common import keep, parts_for, ship, slices, tokenizer_path
 
 BUDGET = 2048
 RANK_ROWS = 50_000
@@ -39,19 +39,20 @@ class WordIds:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and case, so no token crosses a blank: the text is cut at blanks and
-    line feeds, and before a full stop or comma that closes a word, and the ids of each distinct stretch
-    are remembered. The table is bounded: two generations, of which the older one goes.
+    line feeds, and before a full stop or comma that closes a word of Latin letters or digits, and the ids of
+    each distinct stretch are remembered. The table is bounded: two generations, of which the older one goes.
+    A text that may name a special token is encoded in one piece, as the library finds those first.
     """
 
-    #: A closing mark that belongs to a longer run of marks, which must not be cut.
-    RUN = re.compile(r"(?:[^\w\s]|_)[.,][ \n]")
+    #: A closing mark after anything but these letters and digits may belong to a longer run: no text that has one is cut there.
+    RUN = re.compile(r"[^0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f][.,][ \n]")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.special = re.compile("|".join(re.escape(t.content[:2]) for t in self.tok.get_added_tokens_decoder().values()) or "(?!)")
         vocabulary = self.tok.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -87,6 +88,8 @@ class WordIds:
         return found
 
     def __call__(self, text: str) -> bytes:
+        if self.special.search(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words, known = self._words(text), self.known
         try:
             return b"".join([known[w] for w in words])
@@ -119,9 +122,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, budget: int = BUDGET) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(tokenizer)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = ids_of(text.as_py() or "") + b"\0\0\0\0"
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, budget)):
@@ -131,7 +134,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, budget: int = BUDGET) -> DataF
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 def plan_slots(histogram: dict[int, int], budget: int = BUDGET) -> list[tuple[int, int, int, int, int, int]]:
@@ -184,7 +187,7 @@ def pack(pieces: DataFrame, budget: int = BUDGET, rank_rows: int = RANK_ROWS) ->
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `budget` rows
     buckets = parts_for(sum(histogram.values()), rank_rows)
-    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     counts = pieces.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
