@@ -2,18 +2,20 @@
 
 A capture is three records: request, response (or revisit) and metadata; request and metadata name the
 response's identifier in WARC-Concurrent-To. Archives are plain WARC/1.1 files in the shared folder,
-compressed with gzip, written by Spark's own writer. Reading joins the three kinds on the concurrent-to identifier into one
+compressed with gzip, written by Spark's own writer, FILE_RECORDS records a file. They are read as a stream cut
+at the version line, and put together again by each record's length, so a task holds one record at a time,
+whatever the size of its archive. Reading joins the three kinds on the concurrent-to identifier into one
 nested row per capture.
 
 Defined results: a null html is an empty payload; a null or unusual url is written percent-encoded or
-left out; repeated rows are captures of their own, of which one responds; a null page_id is kept; an
-empty table gives an empty result; extra columns are ignored. Files hold at most FILE_RECORDS records.
+left out; of equal payloads the row with the largest page_id responds, a null one only where all are null, and
+of rows that repeat it the first by url; every other one revisits it; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import keep, ship, work_folder
 
 FILE_RECORDS = 1500
+CUT = b"\r\nWARC/1.1\r\n"
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "type string, record_id string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_bytes long, digest_ok boolean, fields map<string,string>"
@@ -62,26 +65,27 @@ def write(pages: DataFrame, least_bytes: int = 0) -> str:
     found = keep(digests(pages))
     repeated = found.where(F.col("payload_bytes") >= least_bytes).groupBy("sha1", "sha256").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Which of the rows revisit: decided on the narrow rows, then joined to the html by page and payload.
-    plan = found.select("page_id", "sha1", "sha256").distinct().join(repeated, ["sha1", "sha256"], "left").select("page_id", "sha256", "target")
+    plan = found.select("page_id", "sha1", "sha256").distinct().join(repeated.withColumn("shared", F.lit(True)), ["sha1", "sha256"], "left").select("page_id", "sha256", "target", "shared")
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("sha256", F.sha2("html", 256))
     # One key for the window and the join, so that the html moves once.
     key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "sha256")
     order = Window.partitionBy("key").orderBy("url")
-    plan = plan.select(key.alias("key"), "target")
+    plan = plan.select(key.alias("key"), "target", "shared")
     rows = page.withColumn("key", key).withColumn("nth", F.row_number().over(order)).join(plan, "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page_id, url, html, sha256, nth, target in zip(*(batch.column(c) for c in ("page_id", "url", "html", "sha256", "nth", "target")), strict=True):
-                page_id, url, body, sha256, nth, target = page_id.as_py(), url.as_py(), html.as_py().encode(), sha256.as_py(), nth.as_py(), target.as_py()
+            for row in zip(*(batch.column(c) for c in ("page_id", "url", "html", "sha256", "nth", "target", "shared")), strict=True):
+                page_id, url, body, sha256, nth, target, shared = (x.as_py() for x in row)
+                body = body.encode()
                 uri = None if url is None else quote(url, safe="%/:=&?~#+!$,;'@()*[]-._")
                 response = record_id(page_id, sha256, nth)
-                again = target is not None and (page_id != target or nth > 1)
+                again = bool(shared) and (page_id != target or nth > 1)
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
                 common = [("WARC-Date", DATE), ("WARC-Target-URI", uri)]
                 about = f"page-id: {'' if page_id is None else page_id}\r\npayload-bytes: {len(body)}\r\n".encode()
                 if again:
-                    about += f"refers-to-page: {target}\r\n".encode()
+                    about += f"refers-to-page: {'' if target is None else target}\r\n".encode()
                 records = [
                     _record([("WARC-Type", "revisit" if again else "response"), ("WARC-Record-ID", response), *common, ("WARC-Profile", PROFILE if again else None), ("WARC-Refers-To", record_id(target, sha256, 1) if again else None), ("WARC-Payload-Digest", f"sha1:{sha1_base32(body)}"), ("Content-Type", "application/http; msgtype=response")], http if again else http + body),
                     _record([("WARC-Type", "request"), ("WARC-Record-ID", record_id("q", page_id, sha256, nth)), *common, ("WARC-Concurrent-To", response), ("Content-Type", "application/http; msgtype=request")], b"GET / HTTP/1.1\r\n\r\n"),
@@ -90,23 +94,28 @@ def write(pages: DataFrame, least_bytes: int = 0) -> str:
                 yield pa.RecordBatch.from_arrays([pa.array(records, pa.string())], names=["value"])
 
     folder = work_folder(spark)
-    text = rows.select("page_id", "url", "html", "sha256", "nth", "target").mapInArrow(run, "value string")
+    text = rows.select("page_id", "url", "html", "sha256", "nth", "target", "shared").mapInArrow(run, "value string")
     text.write.option("lineSep", "\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(folder)
     return folder
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
+def records_of(lines: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (lower-case names) and block of each record, from an archive's bytes cut at CUT."""
+    held = b""
+    for line in lines:
+        held = held + CUT + line if held else line.removeprefix(CUT[2:])
+        end = held.find(b"\r\n\r\n")
+        if end < 0:
+            if held:
+                raise ValueError("no WARC record where one should start")
+            continue
+        head = {k.lower(): v for k, v in (x.split(": ", 1) for x in held[:end].decode().split("\r\n"))}
         n = int(head["content-length"])
-        yield head, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+        if len(held) >= end + 4 + n:
+            yield head, held[end + 4 : end + 4 + n]
+            held = b""
+    if held:
+        raise ValueError("the archive ends inside a record")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,23 +123,23 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for head, block in parse(gzip.decompress(content.as_py())):
-                    kind, digest, payload = head["warc-type"], head.get("warc-payload-digest"), None
-                    if kind == "response":
-                        payload = block[block.index(b"\r\n\r\n") + 4 :]
-                    fields = [tuple(x.split(": ", 1)) for x in block.decode().split("\r\n") if x] if kind == "metadata" else []
-                    rows.append((kind, head["warc-record-id"], head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), digest and digest.removeprefix("sha1:"), None if payload is None else len(payload), None if payload is None else f"sha1:{sha1_base32(payload)}" == digest, fields))
-                if not rows:  # Spark writes a file even for an empty table
-                    continue
-                kinds = [pa.string()] * 6 + [pa.int64(), pa.bool_(), pa.map_(pa.string(), pa.string())]
-                names = ["type", "record_id", "concurrent_to", "refers_to", "target_uri", "payload_digest", "payload_bytes", "digest_ok", "fields"]
+        kinds = [pa.string()] * 6 + [pa.int64(), pa.bool_(), pa.map_(pa.string(), pa.string())]
+        names = ["type", "record_id", "concurrent_to", "refers_to", "target_uri", "payload_digest", "payload_bytes", "digest_ok", "fields"]
+        rows = []
+        for head, block in records_of(line.as_py() for batch in batches for line in batch.column(0)):
+            kind, digest, payload = head["warc-type"], head.get("warc-payload-digest"), None
+            if kind == "response":
+                payload = block[block.index(b"\r\n\r\n") + 4 :]
+            fields = [tuple(x.split(": ", 1)) for x in block.decode().split("\r\n") if x] if kind == "metadata" else []
+            rows.append((kind, head["warc-record-id"], head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), digest and digest.removeprefix("sha1:"), None if payload is None else len(payload), None if payload is None else f"sha1:{sha1_base32(payload)}" == digest, fields))
+            if len(rows) == FILE_RECORDS:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    return files.select("content").mapInArrow(run, RECORD)
+    lines = spark.read.option("lineSep", CUT.decode()).text(folder, pathGlobFilter="part-*")
+    return lines.select(F.col("value").cast("binary")).mapInArrow(run, RECORD)
 
 
 def captures(records: DataFrame) -> DataFrame:
