@@ -14,14 +14,14 @@ extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, ship
+from .common import keep, ship, slices
 
 WINDOW = 8
 LEAST, MOST, MASK_BITS = 1024, 16384, 12
@@ -52,50 +52,51 @@ def cut_points(data: bytes, least: int = LEAST, most: int = MOST, mask_bits: int
     return ends
 
 
-def _chunks(text: str | None) -> tuple[bytes, list[bytes], list[bytes]]:
+def chunk_digest(content: bytes) -> bytes:
+    return hashlib.blake2b(content, digest_size=16).digest()
+
+
+def _chunks(text: str | None, name: Callable[[bytes], bytes]) -> tuple[bytes, list[bytes], list[bytes]]:
     data, start, digests, contents = (text or "").encode().lower(), 0, [], []
     for end in cut_points(data):
         contents.append(data[start:end])
-        digests.append(hashlib.blake2b(contents[-1], digest_size=16).digest())
+        digests.append(name(contents[-1]))
         start = end
     return data, digests, contents
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """One row per chunk: doc_id, pos, digest, content."""
+def chunk_rows(docs: DataFrame, name: Callable[[bytes], bytes] = chunk_digest) -> DataFrame:
+    """One row per chunk: text_sha256, pos, digest, content."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        for batch in batches:
-            cols, held = ([], [], [], []), 0
-            for at, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True), 1):
-                data, digests, contents = _chunks(text.as_py())
-                for c, v in zip(cols, ([doc_id] * len(digests), range(len(digests)), digests, contents), strict=True):
+        kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary()]
+        for batch in slices(batches, "text", BATCH_BYTES):
+            cols = ([], [], [], [])
+            for text in batch.column("text"):
+                data, digests, contents = _chunks(text.as_py(), name)
+                for c, v in zip(cols, ([hashlib.sha256(data).hexdigest()] * len(digests), range(len(digests)), digests, contents), strict=True):
                     c.extend(v)
-                held += len(data)
-                if held > BATCH_BYTES or at == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "pos", "digest", "content"])
-                    cols, held = ([], [], [], []), 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["text_sha256", "pos", "digest", "content"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, pos int, digest binary, content binary")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "text_sha256 string, pos int, digest binary, content binary")
 
 
-def recipe_rows(docs: DataFrame) -> DataFrame:
+def recipe_rows(docs: DataFrame, name: Callable[[bytes], bytes] = chunk_digest) -> DataFrame:
     """One row per document: doc_id, text_sha256, n_bytes, recipe (digests in order)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             cols: list[list] = [[], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data, digests, _ = _chunks(text.as_py())
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                data, digests, _ = _chunks(text.as_py(), name)
                 for c, v in zip(cols, (doc_id, hashlib.sha256(data).hexdigest(), len(data), digests), strict=True):
                     c.append(v)
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "text_sha256", "n_bytes", "recipe"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_sha256 string, n_bytes long, recipe array<binary>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text_sha256 string, n_bytes long, recipe array<binary>")
 
 
 def clashes(chunks: DataFrame) -> DataFrame:
@@ -112,15 +113,15 @@ def clashes(chunks: DataFrame) -> DataFrame:
     return numbered.select("digest", "content", "ordinal")
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
+def exact_groups(docs: DataFrame, name: Callable[[bytes], bytes] = chunk_digest) -> DataFrame:
     """One row per document: doc_id, keep_id (the largest doc_id of equal texts), group_size, kept, text_sha256.
 
     Rows that repeat id and text share one decision.
     """
-    clashing = keep(clashes(chunk_rows(docs)))
-    named = recipe_rows(docs)
+    clashing = keep(clashes(chunk_rows(docs, name)))
+    named = recipe_rows(docs, name)
     if not clashing.isEmpty():
-        named = _with_ordinals(docs, named, clashing)
+        named = _with_ordinals(chunk_rows(docs, name), named, clashing)
     grouped = named.groupBy("n_bytes", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     repeated = grouped.where("group_size > 1")
     joined = named.join(repeated, ["n_bytes", "recipe"], "left")
@@ -128,10 +129,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", keeps.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keeps).alias("kept"), "text_sha256")
 
 
-def _with_ordinals(docs: DataFrame, recipes: DataFrame, clashing: DataFrame) -> DataFrame:
-    """Adds to the clashing digests of each recipe the chunks' ordinals."""
-    marked = chunk_rows(docs).join(clashing, ["digest", "content"]).where("ordinal > 1")
-    marked = marked.groupBy("doc_id", "pos").agg(F.max("ordinal").cast("string").alias("ordinal"))
-    by_doc = marked.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "ordinal"))).alias("marks"))
+def _with_ordinals(chunks: DataFrame, recipes: DataFrame, clashing: DataFrame) -> DataFrame:
+    """Adds to the clashing digests of each recipe the chunks' ordinals. Rows of one text share its recipe, whatever their ids."""
+    marked = chunks.join(clashing, ["digest", "content"]).where("ordinal > 1")
+    marked = marked.groupBy("text_sha256", "pos").agg(F.max("ordinal").cast("string").alias("ordinal"))
+    by_text = marked.groupBy("text_sha256").agg(F.map_from_entries(F.collect_list(F.struct("pos", "ordinal"))).alias("marks"))
     named = F.transform("recipe", lambda x, i: F.concat(x, F.coalesce(F.try_element_at("marks", i), F.lit("")).cast("binary")))
-    return recipes.join(by_doc, "doc_id", "left").withColumn("recipe", F.when(F.col("marks").isNull(), F.col("recipe")).otherwise(named)).drop("marks")
+    return recipes.join(by_text, "text_sha256", "left").withColumn("recipe", F.when(F.col("marks").isNull(), F.col("recipe")).otherwise(named)).drop("marks")
