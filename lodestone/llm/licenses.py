@@ -8,8 +8,9 @@ one-shingle templates meet windows of one shingle, which collide always. Candida
 share of the template's shingles (the words, not their hashes) that the window holds.
 
 The templates are a fixed parameter table, so it may be broadcast: one-line notices, and the full texts and
-standard headers in license_texts (LICENSE__kind.txt, without copyright lines). A text needs windows of a
-size class only where it holds so many shingles of the class's templates that one can be whole to 0.8.
+standard headers in license_texts (LICENSE__kind.txt, without copyright lines). A window shares a band with a
+template only where it holds the template's smallest shingle of that band, so the bands' smallest shingles
+are the index: a text that holds none of a size class's shares no band there and is cut into no windows.
 Similar templates (BSD with two and three clauses, headers of the GPL family) share many shingles; of those
 that one place holds, the one with most shingles found stands. Defined results: null, empty and short
 texts (under five words) hold no template; repeated rows give repeated results; an empty table gives an
@@ -69,6 +70,11 @@ def _bands(hashes: Column, c: int) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("band"), least(s).alias("least")) for k, s in enumerate(seeds)))
 
 
+def smallest_of_bands(hashes: list[int], c: int) -> set[int]:
+    """The shingles that decide a template's bands."""
+    return {min(hashes, key=lambda x: x ^ s) for s in (SEEDS[:1] if c == 1 else SEEDS)}
+
+
 def _windows(c: int) -> Column:
     """Overlapping windows of a size class: place, bands and words."""
     width = max(1, 3 * c // 2)
@@ -104,23 +110,22 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     step = {f: max(1, max(size_class(len(w)) for (_, w), g in zip(chosen, family, strict=True) if g == f) // 2) for f in family}
     rows = [(k, f, step[f], size_class(len(w)), w) for (k, w), f in zip(chosen, family, strict=True)]
     known = keep(spark.createDataFrame(rows, "license string, family int, step int, c int, wanted array<string>").withColumn("own", F.transform("wanted", lambda s: F.xxhash64(s))))
-    own = {}
+    index: dict[int, set[int]] = {}
     for r in known.select("c", "own").collect():  # as large as the templates
-        own.setdefault(r["c"], set()).update(r["own"])
+        index.setdefault(r["c"], set()).update(smallest_of_bands(r["own"], r["c"]))
     among = lambda hashes: f"h -> h IN ({', '.join(f'{x}L' if x > -(2**63) else 'long(-9223372036854775808)' for x in sorted(hashes))})"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), _words(F.col("text").cast("string")).alias("words")).where(F.size("words") >= WORDS)
     texts = texts.select("doc_id", "_row", "words", F.transform(_shingles(F.col("words")), lambda s: F.xxhash64(s)).alias("hashes"))
-    # A band collides only where the window holds the template's smallest shingle: other texts need no windows.
     # Kept once, as every size class reads them.
-    texts = keep(texts.where(F.expr(f"exists(hashes, {among(set().union(*own.values()))})")))
+    texts = keep(texts.where(F.expr(f"exists(hashes, {among(set().union(*index.values()))})")))
     found = []
-    for c in sorted(own):
+    for c in sorted(index):
         fewest = ceil(round(least * min(len(w) for _, _, _, k, w in rows if k == c), 9))
-        able = texts.where(F.size("hashes") >= fewest).where(F.expr(f"size(filter(hashes, {among(own[c])})) >= {fewest}"))
+        able = texts.where(F.size("hashes") >= fewest).where(F.expr(f"exists(hashes, {among(index[c])})"))
         windows = able.select("doc_id", "_row", F.explode(_windows(c)).alias("w"))
         keyed = windows.select("doc_id", "_row", F.col("w.at").alias("at"), F.col("w.part").alias("part"), F.explode("w.bands").alias("key"))
-        index = known.where(F.col("c") == c).select("license", "family", "step", "wanted", F.explode(_bands(F.col("own"), c)).alias("key"))
-        met = keyed.join(F.broadcast(index), "key")  # as large as the templates, a parameter
+        bands = known.where(F.col("c") == c).select("license", "family", "step", "wanted", F.explode(_bands(F.col("own"), c)).alias("key"))
+        met = keyed.join(F.broadcast(bands), "key")  # as large as the templates, a parameter
         share = F.size(F.array_intersect("wanted", _shingles(F.col("part")))) / F.size("wanted")
         found.append(met.select("doc_id", "_row", "license", "family", "step", "at", share.alias("share"), F.size("wanted").alias("size")).where(F.col("share") >= least))
     # Of similar templates at one place, the one with most shingles found stands: a longer one that is nearly whole before a shorter one inside it.
