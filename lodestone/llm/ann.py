@@ -2,19 +2,21 @@
 
 Each vector is coded in subspaces of DIMS_PER_CODE dimensions with 16 centres, chosen by a loss that weighs
 the part of the residual parallel to the vector PARALLEL times the rest, as that part is what distorts large
-inner products. A query sums its tables of 16 products over the codes of all vectors, and the RERANK best of
-each block of BLOCK vectors are scored exactly on the original vectors in double precision. No vector is left
-out by a coarse index: the embeddings have no clusters, so neighbours lie in any cell. The work grows with
-the square of the table.
+inner products. Codes are made once and stored, two to a byte. A query sums its tables over the codes of all
+vectors; the RERANK best of every block merge into one shortlist of RERANK vectors a query, and only those
+original vectors are fetched and scored exactly, in double precision. No vector is left out by a coarse index,
+so recall depends on RERANK alone; with RERANK at the number of vectors the search is exact. The scan's work
+is queries x vectors, a lookup for each byte of code.
 
 Codebooks are fitted on the SAMPLE vectors with the smallest hash; every vector is indexed. Equal vectors are
-one entry that knows its KEEP smallest ids, so a vector held by a third of all rows costs one scan. A task
-takes a share of the vectors and a share of the queries, of bounded size, and goes through them by BLOCK
-vectors and QUERIES queries.
+one entry that knows its smallest ids, so a vector held by a third of all rows costs one scan. A task takes a
+block of codes and a part of the queries, both of bounded size.
 
 Defined results: vectors that are null, zero, of another length than the most frequent one, or that hold
-null or non-finite components take no part; rows that repeat id and vector count once; an empty table
-gives an empty result; extra columns are ignored.
+null or non-finite components take no part; neither do rows with a null id, which nothing could name; rows that
+repeat id and vector count once; rows that repeat an id with another vector are rows of their own, as
+candidates and as queries (the id then has several rankings); equal scores go by the smaller id, at the
+shortlist's edge too; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ from pyspark.sql import functions as F
 from .common import keep, parts_for, ship
 
 TOP, QUERY_STEP = 20, 20
-DIMS_PER_CODE, CENTRES, PARALLEL = 2, 16, 4.0
+DIMS_PER_CODE, CENTRES, PARALLEL = 1, 16, 4.0
 SAMPLE = 10_000
-BLOCK, QUERIES, RERANK = 4_096, 512, 400
-MOST_VECTORS, MOST_QUERIES = 65_536, 16_384  # of a task
+BLOCK, QUERIES, RERANK = 4_096, 256, 120
+MOST_VECTORS, MOST_QUERIES = 1 << 20, 8_192  # of a task
 
 
 @dataclass
@@ -62,8 +64,40 @@ class Index:
                 total = rest + along[rows, s, code[:, s]]
         return code.astype(np.uint8)
 
+    def packed(self, x: np.ndarray) -> np.ndarray:
+        """Codes, two to a byte."""
+        code = self.codes(x)
+        if code.shape[1] % 2:
+            code = np.pad(code, ((0, 0), (0, 1)))
+        return code[:, ::2] * np.uint8(CENTRES) + code[:, 1::2]
+
     def tables(self, q: np.ndarray) -> np.ndarray:
-        return np.einsum("qsd,skd->qsk", self._split(q), self.books)
+        """For each query and byte of code, what the byte's two centres add to the product."""
+        one = np.einsum("qsd,skd->qsk", self._split(q), self.books).astype(np.float32)
+        if one.shape[1] % 2:
+            one = np.pad(one, ((0, 0), (0, 1), (0, 0)))
+        return (one[:, ::2, :, None] + one[:, 1::2, None, :]).reshape(len(q), -1, CENTRES * CENTRES)
+
+
+def best_codes(tables: np.ndarray, codes: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `most` codes with the largest sums for each query (query, place, sum); of equal sums the smaller id."""
+    at_q, at_d, sums = [], [], []
+    for i in range(0, len(codes), BLOCK):
+        block = codes[i : i + BLOCK]
+        rough = np.zeros((len(tables), len(block)), np.float32)
+        for s in range(block.shape[1]):
+            rough += tables[:, s].take(block[:, s], axis=1)
+        m = min(most, len(block))
+        edge = np.partition(rough, len(block) - m, axis=1)[:, len(block) - m]
+        q, d = np.nonzero(rough >= edge[:, None])
+        at_q.append(q)
+        at_d.append(d + i)
+        sums.append(rough[q, d])
+    q, d, v = np.concatenate(at_q), np.concatenate(at_d), np.concatenate(sums)
+    order = np.lexsort((first[d], -v, q))
+    q, d, v = q[order], d[order], v[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[rank < most], d[rank < most], v[rank < most]
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -101,97 +135,104 @@ def fit(x: np.ndarray) -> Index:
     return index
 
 
-def _matrix(column, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), "<f8").reshape(-1, dims)
+def _matrix(column, dims: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), kind).reshape(-1, dims)
 
 
-def vector_classes(rows: DataFrame, keep_ids: int) -> tuple[DataFrame, DataFrame, int]:
-    """(vec_id, class) of every vector that takes part; (class, x, ids) with its smallest ids; the length."""
+def vector_classes(rows: DataFrame, keep_ids: int) -> tuple[DataFrame, DataFrame, int, str]:
+    """(vec_id, class) of every vector that takes part; (class, x, ids) with its smallest ids; the length; the bytes' type."""
     ship(rows.sparkSession)
+    kind = "<f4" if rows.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if i is None or not v or any(c is None for c in v):
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if i is None or not v.is_valid or not len(v) or v.values.null_count:
                     continue
-                a = np.asarray(v, "<f8") + 0.0  # one zero
+                a = v.values.to_numpy(zero_copy_only=False).astype(kind) + np.zeros(1, kind)  # one zero
                 if np.isfinite(a).all() and a.any():
                     out.append((i, hashlib.blake2b(a.tobytes(), digest_size=16).digest(), a.tobytes(), len(a)))
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["vec_id", "class", "x", "dims"])
 
-    good = keep(rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, class binary, x binary, dims int").dropDuplicates(["vec_id", "class"]))
+    embedding = F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>")
+    good = keep(rows.select(F.col("vec_id").cast("long"), embedding).mapInArrow(run, "vec_id long, class binary, x binary, dims int").dropDuplicates(["vec_id", "class"]))
     most = good.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
     dims = most["dims"] if most else 0
     good = good.where(F.col("dims") == dims)
     first = Window.partitionBy("class").orderBy("vec_id")
     ids = good.select("class", "vec_id").withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep_ids).groupBy("class").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     distinct = good.groupBy("class").agg(F.first("x").alias("x"))  # equal in a class
-    return good.select("vec_id", "class"), keep(distinct.join(ids, "class")), dims
+    return good.select("vec_id", "class"), keep(distinct.join(ids, "class")), dims, kind
 
 
-def search(rows: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataFrame:
+def search(rows: DataFrame, top: int = TOP, step: int = QUERY_STEP, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` nearest found of each row whose vec_id is divisible by `step`."""
     spark = rows.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
-    members, classes, dims = vector_classes(rows, top + 1)
+    members, classes, dims, kind = vector_classes(rows, top + 1)
     n = classes.count()
     if not n:
         return spark.createDataFrame([], out)
+    rerank = max(rerank, top + 1)
     sample = classes.select("class", "x").orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("x").collect()
-    index = fit(np.array([np.frombuffer(r["x"], "<f8") for r in sample]))
-    shared = spark.sparkContext.broadcast(index)  # the codebooks
+    shared = spark.sparkContext.broadcast(fit(np.array([np.frombuffer(r["x"], kind) for r in sample], "<f8")))  # the codebooks
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                codes = shared.value.packed(_matrix(part.column("x"), dims, kind).astype("<f8"))
+                yield pa.RecordBatch.from_arrays([part.column("class"), part.column("first"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["class", "first", "code"])
+
+    coded = keep(classes.select("class", F.col("ids")[0].alias("first"), "x").mapInArrow(encode, "class binary, first long, code binary"))
     queries = members.where(F.col("vec_id") % step == 0)
     asked = keep(classes.join(queries.select("class").distinct(), "class", "left_semi").select("class", "x"))
     # Every pair of a vector and a query meets in one (block, part).
-    blocks = parts_for(n, min(MOST_VECTORS, max(BLOCK, n // 16)))
+    blocks = parts_for(n, min(MOST_VECTORS, max(BLOCK, n // 4)))
     n_asked = asked.count()
     parts = parts_for(n_asked, min(MOST_QUERIES, max(QUERIES, n_asked // 4)))
     some = lambda k: F.pmod(F.xxhash64("class"), F.lit(k)).cast("int")
     all_ = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = classes.select("class", "x", some(blocks).alias("block"), all_(parts).alias("part"))
+    left = coded.select("class", "first", "code", some(blocks).alias("block"), all_(parts).alias("part"))
     right = asked.select("class", "x", some(parts).alias("part"), all_(blocks).alias("block"))
 
-    def best_of(x: np.ndarray, codes: np.ndarray, y: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in x and exact scores of the best of one block for each query."""
-        rough = np.zeros((len(y), len(x)), np.float32)
-        for s in range(codes.shape[1]):
-            rough += tables[:, s][:, codes[:, s]]
-        m = min(RERANK, len(x))
-        near = np.argpartition(-rough, m - 1, axis=1)[:, :m]
-        exact = np.stack([x[near[i]] @ y[i] for i in range(len(y))])
-        first = np.argsort(-exact, axis=1, kind="stable")[:, : top + 8]
-        return np.take_along_axis(near, first, 1), np.take_along_axis(exact, first, 1)
-
     def scan(d: pa.Table, q: pa.Table) -> pa.Table:
-        names, kinds = ["query", "class", "score"], [pa.binary(), pa.binary(), pa.float64()]
+        names, kinds = ["query", "class", "first", "rough"], [pa.binary(), pa.binary(), pa.int64(), pa.float32()]
         if not d.num_rows or not q.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
-        x, y = _matrix(d.column("x"), dims), _matrix(q.column("x"), dims)
-        codes = np.concatenate([shared.value.codes(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)])
-        at_q, at_d, scores = [], [], []
+        codes = np.frombuffer(b"".join(d.column("code").to_pylist()), np.uint8).reshape(d.num_rows, -1)
+        first, y = d.column("first").to_numpy(), _matrix(q.column("x"), dims, kind).astype("<f8")
+        found = []
         for j in range(0, len(y), QUERIES):
-            some_y = y[j : j + QUERIES]
-            tables = shared.value.tables(some_y).astype(np.float32)
-            found = [(i, *best_of(x[i : i + BLOCK], codes[i : i + BLOCK], some_y, tables)) for i in range(0, len(x), BLOCK)]
-            place, exact = np.hstack([i + p for i, p, _ in found]), np.hstack([e for *_, e in found])
-            first = np.argsort(-exact, axis=1, kind="stable")[:, : top + 8]
-            at_q.append(np.repeat(np.arange(j, j + len(some_y)), first.shape[1]))
-            at_d.append(np.take_along_axis(place, first, 1).ravel())
-            scores.append(np.take_along_axis(exact, first, 1).ravel())
-        return pa.table([q.column("class").take(pa.array(np.concatenate(at_q))), d.column("class").take(pa.array(np.concatenate(at_d))), pa.array(np.concatenate(scores))], names=names).cast(pa.schema(list(zip(names, kinds, strict=True))))
+            at_q, at_d, sums = best_codes(shared.value.tables(y[j : j + QUERIES]), codes, first, rerank)
+            found.append((at_q + j, at_d, sums))
+        at_q, at_d, sums = (pa.array(np.concatenate(c)) for c in zip(*found, strict=True))
+        return pa.table([q.column("class").take(at_q), d.column("class").take(at_d), d.column("first").take(at_d), sums], names=names).cast(pa.schema(list(zip(names, kinds, strict=True))))
 
     key = ["block", "part"]
-    near = left.select(*key, "class", "x").groupBy(*key).cogroup(right.select(*key, "class", "x").groupBy(*key)).applyInArrow(scan, "query binary, class binary, score double")
+    rough = left.select(*key, "class", "first", "code").groupBy(*key).cogroup(right.select(*key, "class", "x").groupBy(*key)).applyInArrow(scan, "query binary, class binary, first long, rough float")
+    shortest = Window.partitionBy("query").orderBy(F.desc("rough"), "first")
+    short = keep(rough.withColumn("r", F.row_number().over(shortest)).where(F.col("r") <= rerank).select("query", "class"))
+
+    def rescore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                x, y = (_matrix(part.column(c), dims, kind).astype("<f8") for c in ("x", "y"))
+                yield pa.RecordBatch.from_arrays([part.column("query"), part.column("class"), pa.array(np.einsum("nd,nd->n", x, y))], names=["query", "class", "score"])
+
+    pairs = short.join(classes.select("class", "x"), "class").join(asked.select(F.col("class").alias("query"), F.col("x").alias("y")), "query")
+    exact = pairs.select("query", "class", "x", "y").mapInArrow(rescore, "query binary, class binary, score double")
     # top + 1 classes hold the top ids, the query's own apart
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "first", "class")
     ids = classes.select("class", "ids", F.col("ids")[0].alias("first"))
-    near = near.join(ids, "class").withColumn("r", F.row_number().over(order)).where(F.col("r") <= top + 1)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "first", "class")
+    near = exact.join(ids, "class").withColumn("r", F.row_number().over(order)).where(F.col("r") <= top + 1)
+    near = near.select("query", "score", F.col("class").alias("other"), F.explode("ids").alias("vec_id"))
+    shorter = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "other")
+    near = keep(near.withColumn("r", F.row_number().over(shorter)).where(F.col("r") <= top + 1).drop("r"))
     mine = queries.select(F.col("vec_id").alias("query_id"), F.col("class").alias("query"))
-    pairs = near.select("query", "score", F.explode("ids").alias("vec_id"))
-    short = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    pairs = keep(pairs.withColumn("r", F.row_number().over(short)).where(F.col("r") <= top + 1).drop("r"))
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = mine.join(pairs, "query").where("query_id <> vec_id").withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= top)
+    final = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id", "other")
+    found = mine.join(near, "query").where("NOT (query_id = vec_id AND query = other)").withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= top)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
