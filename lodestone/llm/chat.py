@@ -5,9 +5,14 @@ texts, a backslash and `<` are escaped, so that no mark can stand there; unescap
 string is encoded once, with offsets; the sorted spans of assistant texts meet the token spans by binary
 search. The loss mask covers what both spans share.
 
-Defined results: null text and null role are empty; equal turn numbers order by role, then text; repeated
+Rows are sorted by conversation and turn and streamed: a long conversation is rendered and encoded in stretches
+of whole turns of some STRETCH characters. A mark is one token, and nothing crosses it, so the stretches' tokens
+are those of the whole; no task holds more than a stretch.
+
+Defined results: null text and null role are empty; turns without a number come first,
+equal numbers order by role, then text; repeated
 rows are turns of their own; a null conv_id is a conversation; an empty table gives an empty result; extra
-columns are ignored. One conversation is one unit of work, as it is one training example.
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, tokenizer_path
+from .common import ship, slices, tokenizer_path
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 LEARNED = "assistant"
+STRETCH = 1 << 20
 OUT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
 
 
@@ -83,28 +89,65 @@ def loss_mask(offsets: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, list[
     return mask, pieces
 
 
-def format_conversations(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
+class Digest:
+    """What is returned of a conversation, gathered stretch by stretch."""
+
+    def __init__(self, tok, stretch: int):
+        self.tok, self.stretch, self.turns, self.held = tok, stretch, [], 0
+        self.sums = [0, 0, 0, 0, 0]  # turns, loss characters, formatted characters, tokens, masked tokens
+        self.of_turns, self.of_loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, role: str, text: str) -> None:
+        self.turns.append((role, text))
+        self.held += len(role) + len(text)
+        if self.held > self.stretch:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.turns:
+            return
+        formatted, spans = render(self.turns)
+        offsets = np.array(self.tok.encode(formatted, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+        mask, pieces = loss_mask(offsets, spans)
+        loss = unescape("".join(formatted[a:b] for a, b in pieces))
+        back = read_back(formatted)
+        for role, text in back:
+            self.of_turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+        self.of_loss.update(loss.encode("utf-8", "surrogatepass"))
+        self.sums = [a + b for a, b in zip(self.sums, (len(back), len(loss), len(formatted), len(mask), int(mask.sum())), strict=True)]
+        self.turns, self.held = [], 0
+
+    def row(self, conv_id: int | None) -> tuple:
+        self.flush()
+        turns, loss, formatted, tokens, masked = self.sums
+        return conv_id, turns, self.of_turns.hexdigest(), loss, self.of_loss.hexdigest(), formatted, tokens, masked
+
+
+def format_conversations(rows: DataFrame, tokenizer: str | None = None, stretch: int = STRETCH) -> DataFrame:
     """One row per conversation of rows (conv_id, turn, role, text); what it returns is read from the formatted string."""
     ship(rows.sparkSession)
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
 
     def run(batches):
-        tok = _tokenizer(path)
-        for batch in batches:
-            out = []
-            for conv_id, turns in zip(batch.column("conv_id").to_pylist(), batch.column("turns"), strict=True):
-                formatted, spans = render([(t["role"], t["text"]) for t in turns.as_py()])
-                offsets = np.array(tok.encode(formatted, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
-                mask, pieces = loss_mask(offsets, spans)
-                loss = unescape("".join(formatted[a:b] for a, b in pieces))
-                back = read_back(formatted)
-                digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in back).encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((conv_id, len(back), digest, len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(formatted), len(mask), int(mask.sum())))
-            cols = list(zip(*out, strict=True)) or [[]] * 8
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        names = [x.split()[0] for x in OUT.split(", ")]
+        batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        tok, now, digest, out = _tokenizer(path), None, None, []
+        for batch in slices(batches, "text"):
+            for conv_id, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+                if digest is None or conv_id != now:
+                    if digest is not None:
+                        out.append(digest.row(now))
+                    now, digest = conv_id, Digest(tok, stretch)
+                digest.add(role, text)
+            if len(out) > 1000:
+                yield batch_of(out)
+                out = []
+        if digest is not None:
+            out.append(digest.row(now))
+        if out:
+            yield batch_of(out)
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role"), text("text"))
-    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    return whole.mapInArrow(run, OUT)
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, OUT)
