@@ -1,9 +1,10 @@
 """The corpus pipeline: language ID, quality, exact dedup, near dedup, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return
-the columns of documents. Decisions are joined back by a number for each row, so rows whose doc_id is null or
-repeats are judged by their own text. ORACLE_SQL is None: trained models and token ids are beyond SQL; tests hold each
-stage against a brute-force version.
+the columns of documents. A stage numbers its rows and joins decisions back by that number, so rows whose
+doc_id is null or repeats are judged by their own text, and no row is lost or doubled by its id. Further
+columns of documents travel along. An empty table passes through every stage. ORACLE_SQL is None: trained models
+and token ids are beyond SQL; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import langid, quality
 from lodestone.llm.chunks import exact_groups
-from lodestone.llm.common import keep, table
+from lodestone.llm.common import forget, keep, table
 from lodestone.llm.jaccard import near_duplicates
 from lodestone.llm.packing import pack_documents
 
@@ -21,51 +22,66 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with a number for each row, _row, written once; and their texts, with that number for doc_id."""
-    rows = keep(docs.withColumn("_row", F.monotonically_increasing_id()))
-    return rows, rows.select(F.col("_row").alias("doc_id"), "text")
+    """docs with a number for each row, in a last column of a free name, written once; and their texts, with that number for doc_id."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    rows = keep(docs.withColumn(name, F.monotonically_increasing_id()))
+    return rows, rows.select(F.col(name).alias("doc_id"), "text")
 
 
 def _only(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Rows whose number is a doc_id of found, without the number."""
-    return rows.join(found.select(F.col("doc_id").alias("_row")), "_row", "left_semi").drop("_row")
+    name = rows.columns[-1]
+    return rows.join(found.select(F.col("doc_id").alias(name)), name, "left_semi").select(*rows.columns[:-1])
 
 
 def _one_of_each(rows: DataFrame, group: DataFrame, best: Column) -> DataFrame:
     """The row with the least `best` of each group; group has the numbers as doc_id, and name."""
-    named = rows.select("_row", best.alias("best")).join(group.select(F.col("doc_id").alias("_row"), "name"), "_row")
-    return _only(rows, named.groupBy("name").agg(F.min_by("_row", F.struct("best", "_row")).alias("doc_id")))
+    numbered = rows.select(F.col(rows.columns[-1]).alias("number"), best.alias("best"))
+    named = numbered.join(group.select(F.col("doc_id").alias("number"), "name"), "number")
+    return _only(rows, named.groupBy("name").agg(F.min_by("number", F.struct("best", "number")).alias("doc_id")))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (`und`) or with a score under LEAST_LANGUAGE_SCORE."""
+    """Drops documents without a language (`und`: null, empty or letterless texts) or with a score under LEAST_LANGUAGE_SCORE.
+
+    Repeated rows are judged alike.
+    """
     rows, texts = _numbered(docs)
     found = langid.predict(texts, langid.learn(docs))
     return _only(rows, found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents scored under the threshold."""
+    """Drops documents scored under the threshold; a null text is scored as an empty one, repeated rows alike."""
     rows, texts = _numbered(docs)
     found = quality.score(texts, quality.learn(docs, table(spark, sf_dir, "labels")))
     return _only(rows, found.where("predicted = 1"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the largest doc_id of equal texts, once; a null id is the smallest."""
+    """Keeps the row with the largest doc_id of equal texts, once; a null id is the smallest, a null text equals an empty one.
+
+    Of rows that repeat id and text, the first by number stays.
+    """
     rows, texts = _numbered(docs)
     largest = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id").cast("decimal(20,0)")).alias("id"))
     return _one_of_each(rows, exact_groups(texts).withColumnRenamed("keep_id", "name"), largest)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the smallest doc_id of each group of near duplicates; a null id only where all are null."""
+    """Keeps the row with the smallest doc_id of each group of near duplicates; a null id only where all are null.
+
+    Texts without words link with nothing and stay. Of rows that repeat id and group, the first by number stays.
+    """
     rows, texts = _numbered(docs)
     smallest = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
     return _one_of_each(rows, near_duplicates(texts).withColumnRenamed("component_id", "name"), smallest)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all that is left into sequences, one row a piece; a null text is an empty one."""
     return pack_documents(docs)
 
 
@@ -76,5 +92,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir))
+        before, docs = docs, keep(stage(spark, docs, sf_dir))
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -264,7 +264,7 @@ def shingle_ids(docs: DataFrame) -> DataFrame:
     return _texts(docs).select("doc_id", "text", *_text_key()).mapInArrow(run, "doc_id long, h0 long, h1 long, n_shingles long, digest binary, w0 long, w1 long, w2 long, w3 long")
 
 
-def index_entries(docs: DataFrame, salt: int) -> DataFrame:
+def index_entries(docs: DataFrame, salt: int, name: Callable[[bytes, int], int] = set_id) -> DataFrame:
     """key, set_id, tag of the sets that are not empty; a task emits equal sets once."""
     ship(docs.sparkSession)
 
@@ -279,17 +279,17 @@ def index_entries(docs: DataFrame, salt: int) -> DataFrame:
                 k, t = entries(s)
                 keys.append(k)
                 tags.append(t)
-                ids.append(np.full(len(k), set_id(d, salt)))
+                ids.append(np.full(len(k), name(d, salt)))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, ids, tags)], names=["key", "set_id", "tag"])
 
     return _texts(docs).select("text").mapInArrow(run, "key long, set_id long, tag int")
 
 
-def probed_buckets(docs: DataFrame, classes: DataFrame, salt: int) -> DataFrame:
+def probed_buckets(entries: DataFrame, classes: DataFrame) -> DataFrame:
     """key, set_id, probe, less, degree, n and signature of the entries that different sets share, with each set's allocation."""
     per_key = Window.partitionBy("key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counted = index_entries(docs, salt).withColumn("holders", F.count("*").over(per_key)).withColumn("lo", F.min("set_id").over(per_key)).withColumn("hi", F.max("set_id").over(per_key))
+    counted = entries.withColumn("holders", F.count("*").over(per_key)).withColumn("lo", F.min("set_id").over(per_key)).withColumn("hi", F.max("set_id").over(per_key))
     shared = counted.where("lo < hi").groupBy("set_id", "key", "tag").agg(F.max("holders").alias("holders"))  # tasks repeat equal sets
     # as long as one text's own entries
     by_set = shared.groupBy("set_id").agg(F.collect_list("key").alias("keys"), F.collect_list("tag").alias("tags"), F.collect_list("holders").alias("holders"))
@@ -390,7 +390,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))
 
 
-def named_sets(ids: DataFrame) -> tuple[DataFrame, int]:
+def named_sets(ids: DataFrame, name: Callable[[bytes, int], int] = set_id) -> tuple[DataFrame, int]:
     """set_id, digest, n, text key and signature of each distinct set that is not empty, and the salt that tells their numbers apart."""
     digests = ids.where("n_shingles > 0").groupBy("digest").agg(F.first("n_shingles").alias("n"), F.min(F.struct(*TEXT_KEY)).alias("key"), *(F.first(w).alias(w) for w in SIGNATURE))  # equal in a class, the key apart
     digests = digests.select("digest", "n", "key.*", *SIGNATURE)
@@ -399,7 +399,7 @@ def named_sets(ids: DataFrame) -> tuple[DataFrame, int]:
 
         def run(batches: Iterator[pa.RecordBatch], salt: int = salt) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(d, salt) for d in batch.column("digest").to_pylist()], pa.int64()), *batch.columns], names=["set_id", *batch.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array([name(d, salt) for d in batch.column("digest").to_pylist()], pa.int64()), *batch.columns], names=["set_id", *batch.schema.names])
 
         classes = keep(digests.mapInArrow(run, "set_id long, digest binary, n long, h0 long, h1 long, w0 long, w1 long, w2 long, w3 long"))
         if classes.groupBy("set_id").count().where("count > 1").isEmpty():
@@ -408,11 +408,11 @@ def named_sets(ids: DataFrame) -> tuple[DataFrame, int]:
         salt += 1
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, name: Callable[[bytes, int], int] = set_id) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every document."""
     ids = keep(shingle_ids(docs))
-    classes, salt = named_sets(ids)
-    buckets = keep(probed_buckets(docs, classes, salt))
+    classes, salt = named_sets(ids, name)
+    buckets = keep(probed_buckets(index_entries(docs, salt, name), classes))
     member = F.struct("degree", "set_id", "n", *SIGNATURE)
     star = buckets.groupBy("key").agg(F.max(member).alias("hub"), F.max("probe").alias("any")).where("any").select("key", F.col("hub.set_id").alias("h_set"), *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("n", *SIGNATURE)))
     star = buckets.join(star, "key").where("set_id <> h_set").where(fits("", "h_"))
