@@ -90,10 +90,11 @@ def smallest(rows: DataFrame, by: list[str], pick: Column, most: int, tie: list[
     rows = rows.withColumn("_pick", F.shiftrightunsigned(pick, 1))
     unit = F.col("_pick").cast("double") / F.lit(float(2**63))
     share = F.least(F.lit(1.0), F.lit(4.0 * most) / F.col("_n"))
+    # One row a group: the classes of the model that is fitted on them, so broadcasting moves less than the model.
     sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
-    passed = rows.join(sizes, by).where(unit < share).groupBy(*by).agg(F.count("*").alias("_passed"))
+    passed = rows.join(F.broadcast(sizes), by).where(unit < share).groupBy(*by).agg(F.count("*").alias("_passed"))
     enough = F.coalesce("_passed", F.lit(0)) >= F.least("_n", F.lit(most))
-    limits = sizes.join(passed, by, "left").select(*by, F.when(enough, share).otherwise(2.0).alias("_share"))
+    limits = sizes.join(F.broadcast(passed), by, "left").select(*by, F.when(enough, share).otherwise(2.0).alias("_share"))
     order = Window.partitionBy(*by).orderBy("_pick", *tie)
-    near = rows.join(limits, by).where(unit < F.col("_share"))
+    near = rows.join(F.broadcast(limits), by).where(unit < F.col("_share"))
     return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r", "_share", "_pick")

@@ -244,7 +244,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _text_key() -> list[Column]:
+def text_key() -> list[Column]:
     """128 bits that stand for a text."""
     return [F.xxhash64("text").alias("h0"), F.xxhash64(F.lit(1), "text").alias("h1")]
 
@@ -261,7 +261,7 @@ def shingle_ids(docs: DataFrame) -> DataFrame:
             cols = [*(batch.column(c) for c in ("doc_id", *TEXT_KEY)), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest_of(s) for s in sets], pa.binary()), *(pa.array(bits[:, k]) for k in range(4))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *TEXT_KEY, "n_shingles", "digest", *SIGNATURE])
 
-    return _texts(docs).select("doc_id", "text", *_text_key()).mapInArrow(run, "doc_id long, h0 long, h1 long, n_shingles long, digest binary, w0 long, w1 long, w2 long, w3 long")
+    return _texts(docs).select("doc_id", "text", *text_key()).mapInArrow(run, "doc_id long, h0 long, h1 long, n_shingles long, digest binary, w0 long, w1 long, w2 long, w3 long")
 
 
 def index_entries(docs: DataFrame, salt: int, name: Callable[[bytes, int], int] = set_id) -> DataFrame:
@@ -318,7 +318,7 @@ def set_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     Up to FEW sets are looked up by broadcast; beyond it each distinct text moves once, to a join.
     """
     wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes.select("set_id", "digest", *TEXT_KEY), "set_id"))
-    texts = _texts(docs).select("text", *_text_key())
+    texts = _texts(docs).select("text", *text_key())
     if wanted.count() <= FEW:
         found = texts.join(F.broadcast(wanted), TEXT_KEY)
     else:
@@ -408,8 +408,8 @@ def named_sets(ids: DataFrame, name: Callable[[bytes, int], int] = set_id) -> tu
         salt += 1
 
 
-def near_duplicates(docs: DataFrame, name: Callable[[bytes, int], int] = set_id) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every document."""
+def linked_classes(docs: DataFrame, name: Callable[[bytes, int], int] = set_id) -> DataFrame:
+    """doc_id, text key, n_shingles and class (a number for each component; null for an empty set) of every document."""
     ids = keep(shingle_ids(docs))
     classes, salt = named_sets(ids, name)
     buckets = keep(probed_buckets(index_entries(docs, salt, name), classes))
@@ -434,8 +434,11 @@ def near_duplicates(docs: DataFrame, name: Callable[[bytes, int], int] = set_id)
     comp = components(links)
     # Equal sets are one node; an empty set is linked with nothing.
     node = classes.join(comp, F.col("set_id") == F.col("node"), "left").select("digest", F.coalesce("comp", "set_id").alias("class"))
-    group = keep(ids.select("doc_id", "n_shingles", "digest").join(node, "digest", "left").select("doc_id", "n_shingles", "class"))
-    linked_ = group.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return group.join(linked_, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return keep(ids.select("doc_id", *TEXT_KEY, "n_shingles", "digest").join(node, "digest", "left").select("doc_id", *TEXT_KEY, "n_shingles", "class"))
 
 
+def near_duplicates(docs: DataFrame, name: Callable[[bytes, int], int] = set_id) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every document."""
+    group = linked_classes(docs, name)
+    several = group.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return group.join(several, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

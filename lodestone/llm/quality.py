@@ -238,3 +238,14 @@ def score(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFr
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def good(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, whole, whose text scores `threshold` or more."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield batch.filter(pa.array(field.score([line_features(t.as_py()) for t in batch.column("text")]) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -40,11 +40,11 @@ def test_near_dedup(spark, docs):
 
 def test_filters_judge_each_row(spark, docs, monkeypatch):
     clean = [r for r in ROWS if r[1] and r[1] != B]
-    mark = lambda d: d.selectExpr("doc_id", f"int(coalesce(text, '') not in ('', '{B}')) AS predicted", "'en' AS lang_pred", f"double(coalesce(text, '') not in ('', '{B}')) AS score")
+    mark = lambda d: d.where(f"coalesce(text, '') not in ('', '{B}')")
     monkeypatch.setattr(langid, "learn", lambda d: None)
-    monkeypatch.setattr(langid, "predict", lambda d, m: mark(d))
+    monkeypatch.setattr(langid, "speaking", lambda d, m, least: mark(d))
     monkeypatch.setattr(quality, "learn", lambda d, m: None)
-    monkeypatch.setattr(quality, "score", lambda d, m: mark(d))
+    monkeypatch.setattr(quality, "good", lambda d, m: mark(d))
     monkeypatch.setattr(pipeline, "table", lambda *_: None)
     for stage in (pipeline.language, pipeline.quality_filter):
         assert pairs(stage(spark, docs, "")) == sorted(clean, key=repr)
