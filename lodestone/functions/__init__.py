@@ -1 +1 @@
-"""Functions of the engine."""
+"""Scalar rules of the evidence graph as column expressions."""

@@ -1 +1 @@
-"""Operators of the engine."""
+"""Operators of the evidence graph: DataFrames in, DataFrames out, batched over queries."""

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import retrieval
-from .graph_view import EDGES_SQL, ENTITIES_SQL, edges, entities, table
+from ..functions import scoring as S
+from ..operators.graph import find_entities, get_relationships
+from ..operators.reconcile import combined
+from . import questions, retrieval, traversals
+from .graph_view import ENTITIES_SQL, REL_SQL, entities, graph, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,73 +20,63 @@ def canonical_ids(spark, sf_dir):
     return entities(spark, sf_dir)
 
 
+def _plain(found: DataFrame) -> DataFrame:
+    return found.select("canonical_id", "name", "qualified_name", "base_type")
+
+
 def entity_search_name(spark, sf_dir):
-    return entities(spark, sf_dir).where(F.lower("name").contains("nation_1"))
+    return _plain(find_entities(graph(spark, sf_dir), name="nation_1"))
 
 
 def entity_search_type(spark, sf_dir):
-    return entities(spark, sf_dir).groupBy("base_type").agg(F.count("*").alias("n"))
+    """Entities of one type whose name holds a text: both conditions hold."""
+    return _plain(find_entities(graph(spark, sf_dir), name="#00000000", base_type="INTERFACE"))
 
 
 def edge_scan(spark, sf_dir):
-    return edges(spark, sf_dir).where("predicate = 'IMPLEMENTS'")
-
-
-def neighbors_out(spark, sf_dir):
-    return edges(spark, sf_dir).where("subject = 'nation:3'").select("object").distinct()
-
-
-def neighbors_in(spark, sf_dir):
-    return edges(spark, sf_dir).where("object = 'nation:3'").select("subject").distinct()
+    return get_relationships(graph(spark, sf_dir), predicate="IMPLEMENTS").select("subject", "predicate", "object")
 
 
-def evidence_package(spark, sf_dir):
-    """What references nation 3: seed and neighbours at depth 1 with the edges that reach them."""
-    hits = edges(spark, sf_dir).where("object = 'nation:3' AND predicate = 'REFERENCES'")
-    nodes = hits.select(F.col("subject").alias("entity"), F.lit(1).alias("depth"), "predicate")
-    return nodes.distinct()
+def _weights(spark, sf_dir) -> DataFrame:
+    """Line items as evidence on their order: group, side and weight, which halves every 365 days before the newest line."""
+    line = table(spark, sf_dir, "lineitem")
+    now = line.agg(F.max("l_shipdate").alias("now"))  # one row
+    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - F.lit(5.0) * F.col("l_discount")))
+    fresh = S.freshness(F.col("l_shipdate"), F.col("now"), 365 * 24.0)
+    return line.join(F.broadcast(now)).select("l_orderkey", F.col("l_suppkey").alias("group"), (F.col("l_returnflag") == "R").alias("against"), (confidence * fresh).alias("weight"))
 
 
-def traverse_depth2(spark, sf_dir):
-    """Nodes within two undirected CONTAINS steps of region 1, with their least depth."""
-    e = edges(spark, sf_dir).where("predicate = 'CONTAINS'")
-    both = e.select(F.col("subject").alias("a"), F.col("object").alias("b")).union(e.select("object", "subject"))
-    one = both.where("a = 'region:1'").select(F.col("b").alias("node"), F.lit(1).alias("depth"))
-    two = both.join(one.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), F.lit(2).alias("depth"))
-    seed = spark.createDataFrame([("region:1", 0)], "node string, depth int")
-    return seed.union(one).union(two).groupBy("node").agg(F.min("depth").alias("depth"))
+def _reconciled(spark, sf_dir) -> DataFrame:
+    """Evidence of each order folded to support, contradiction and status; an order without lines is unresolved."""
+    found = combined(_weights(spark, sf_dir), ["l_orderkey"])
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    rows = orders.join(found, "l_orderkey", "left").fillna(0, ["supports", "contradicts"]).fillna(0.0, ["support", "against", "contradiction"])
+    return rows.withColumn("status", S.relationship_status(F.lit(True), F.col("supports"), F.col("contradicts"), F.col("support"), F.col("contradiction")))
 
 
-def _reconciled(spark, sf_dir):
-    """Evidence of each order folded to support, contradiction and status."""
-    line = table(spark, sf_dir, "lineitem")
-    weight = F.lit(1.0) - F.lit(5.0) * F.col("l_discount")
-    by_group = line.groupBy("l_orderkey", "l_suppkey", (F.col("l_returnflag") == "R").alias("against")).agg(F.max(F.greatest(F.lit(0.0), F.least(F.lit(1.0), weight))).alias("w"))
-    missing = lambda cond: F.round(F.lit(1.0) - F.coalesce(F.product(F.when(cond, F.lit(1.0) - F.col("w"))), F.lit(1.0)), 9)
-    out = by_group.groupBy("l_orderkey").agg(missing(~F.col("against")).alias("support"), missing(F.col("against")).alias("contradiction"))
-    status = (
-        F.when((F.col("contradiction") >= 0.5) & (F.col("support") >= 0.5), "DISPUTED")
-        .when(F.col("contradiction") >= 0.5, "CONTRADICTED")
-        .when(F.col("support") >= 0.5, "SUPPORTED")
-        .otherwise("WEAKLY_SUPPORTED")
-    )
-    return out.withColumn("status", status)
+def independence_combine(spark, sf_dir):
+    return _reconciled(spark, sf_dir).select("l_orderkey", "support", F.col("against").alias("contradiction"))
 
 
-def independence_combine(spark, sf_dir):
-    return _reconciled(spark, sf_dir).select("l_orderkey", F.round("support", 6).alias("support"), F.round("contradiction", 6).alias("contradiction"))
+def contradiction_score(spark, sf_dir):
+    return _reconciled(spark, sf_dir).select("l_orderkey", F.round("contradiction", 6).alias("score"))
 
 
 def reconcile_status(spark, sf_dir):
     return _reconciled(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def relationship_confidence(spark, sf_dir):
+    rows = _reconciled(spark, sf_dir)
+    return rows.select("l_orderkey", "status", F.round(S.relationship_confidence(F.col("status"), F.col("support"), F.col("contradiction")), 6).alias("confidence"))
+
+
 def co_change_pairs(spark, sf_dir):
-    """Parts in the same order at least twice, with confidence least(1, n/3)."""
+    """Parts that are in one order, by pair, with confidence least(1, n/3)."""
     basket = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
     pairs = basket.alias("x").join(basket.alias("y"), "l_orderkey").where("x.l_partkey < y.l_partkey")
     n = pairs.groupBy(F.col("x.l_partkey").alias("a"), F.col("y.l_partkey").alias("b")).agg(F.count("*").alias("n"))
-    return n.where("n >= 2").withColumn("confidence", F.round(F.least(F.lit(1.0), F.col("n") / 3), 6))
+    return n.withColumn("confidence", F.round(F.least(F.lit(1.0), F.col("n") / 3), 6))
 
 
 def session_30m(spark, sf_dir):
@@ -117,34 +110,33 @@ def provider_score_rank(spark, sf_dir):
 
 
 FUNCTIONS = (
-    canonical_ids, entity_search_name, entity_search_type, edge_scan, neighbors_out, neighbors_in, evidence_package, traverse_depth2,
-    independence_combine, reconcile_status, co_change_pairs, session_30m, telemetry_hourly, artifact_dedupe, page_references, provider_score_rank,
+    canonical_ids, entity_search_name, entity_search_type, edge_scan, independence_combine, contradiction_score,
+    reconcile_status, relationship_confidence, co_change_pairs, session_30m, telemetry_hourly, artifact_dedupe, page_references, provider_score_rank,
 )
 
-_RECONCILED_SQL = """g AS (
-  SELECT l_orderkey, l_suppkey, l_returnflag='R' AS against, max(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE-5.0::DOUBLE*l_discount))) AS w
-  FROM lineitem GROUP BY ALL), r AS (
-  SELECT l_orderkey, round(1-coalesce(product(1-w) FILTER (NOT against),1),9) AS support,
-         round(1-coalesce(product(1-w) FILTER (against),1),9) AS contradiction FROM g GROUP BY 1), s AS (
-  SELECT *, CASE WHEN contradiction>=0.5 AND support>=0.5 THEN 'DISPUTED' WHEN contradiction>=0.5 THEN 'CONTRADICTED'
-    WHEN support>=0.5 THEN 'SUPPORTED' ELSE 'WEAKLY_SUPPORTED' END AS status FROM r)"""
+_RECONCILED_SQL = """w AS (
+  SELECT l_orderkey, l_suppkey, l_returnflag='R' AS against, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE-5.0::DOUBLE*l_discount))
+    * power(0.5::DOUBLE, (epoch_us((SELECT max(l_shipdate) FROM lineitem))-epoch_us(l_shipdate))/3.6e9::DOUBLE/8760.0::DOUBLE) AS w FROM lineitem), g AS (
+  SELECT l_orderkey, l_suppkey, max(w) FILTER (NOT against) AS wf, max(w) FILTER (against) AS wa, sum(w) FILTER (NOT against) AS sf, sum(w) FILTER (against) AS sa,
+    count(*) FILTER (NOT against) AS nf, count(*) FILTER (against) AS na FROM w GROUP BY 1,2), k AS (
+  SELECT l_orderkey, round(1-coalesce(product(1-wf),1),9) AS support, round(1-coalesce(product(1-wa),1),9) AS against, coalesce(sum(sf),0) AS s, coalesce(sum(sa),0) AS c, sum(nf) AS nf, sum(na) AS na FROM g GROUP BY 1), r AS (
+  SELECT o_orderkey AS l_orderkey, coalesce(support,0) AS support, coalesce(against,0) AS against, CASE WHEN s+c>0 THEN round(c/(s+c),9) ELSE 0.0::DOUBLE END AS score, coalesce(nf,0) AS nf, coalesce(na,0) AS na
+  FROM orders LEFT JOIN k ON o_orderkey=l_orderkey), st AS (
+  SELECT *, CASE WHEN nf>0 AND na>0 THEN CASE WHEN score>=0.5 THEN 'CONTRADICTED' ELSE 'DISPUTED' END WHEN na>0 THEN 'UNSUPPORTED'
+    WHEN nf>0 THEN CASE WHEN support>=0.5 THEN 'SUPPORTED' ELSE 'WEAKLY_SUPPORTED' END ELSE 'UNRESOLVED' END AS status FROM r)"""
 
 SQL = {
     "canonical_ids": f"WITH {ENTITIES_SQL} SELECT canonical_id, name, qualified_name, base_type FROM entities",
     "entity_search_name": f"WITH {ENTITIES_SQL} SELECT canonical_id, name, qualified_name, base_type FROM entities WHERE contains(lower(name),'nation_1')",
-    "entity_search_type": f"WITH {ENTITIES_SQL} SELECT base_type, count(*) AS n FROM entities GROUP BY 1",
-    "edge_scan": f"WITH {EDGES_SQL} SELECT * FROM edges WHERE predicate='IMPLEMENTS'",
-    "neighbors_out": f"WITH {EDGES_SQL} SELECT DISTINCT object FROM edges WHERE subject='nation:3'",
-    "neighbors_in": f"WITH {EDGES_SQL} SELECT DISTINCT subject FROM edges WHERE object='nation:3'",
-    "evidence_package": f"WITH {EDGES_SQL} SELECT DISTINCT subject AS entity, 1 AS depth, predicate FROM edges WHERE object='nation:3' AND predicate='REFERENCES'",
-    "traverse_depth2": f"""WITH {EDGES_SQL}, b AS (SELECT subject AS a, object AS b FROM edges WHERE predicate='CONTAINS' UNION ALL SELECT object, subject FROM edges WHERE predicate='CONTAINS'),
-        o AS (SELECT b AS node FROM b WHERE a='region:1')
-        SELECT node, min(depth)::INT AS depth FROM (SELECT 'region:1' AS node, 0 AS depth UNION ALL SELECT node, 1 FROM o UNION ALL SELECT b.b, 2 FROM o JOIN b ON b.a=o.node) GROUP BY 1""",
-    "independence_combine": f"WITH {_RECONCILED_SQL} SELECT l_orderkey, round(support,6) AS support, round(contradiction,6) AS contradiction FROM s",
-    "reconcile_status": f"WITH {_RECONCILED_SQL} SELECT status, count(*) AS n FROM s GROUP BY 1",
+    "entity_search_type": f"WITH {ENTITIES_SQL} SELECT canonical_id, name, qualified_name, base_type FROM entities WHERE contains(lower(name),'#00000000') AND base_type='INTERFACE'",
+    "edge_scan": f"WITH {REL_SQL} SELECT subject, predicate, object FROM rel WHERE predicate='IMPLEMENTS'",
+    "independence_combine": f"WITH {_RECONCILED_SQL} SELECT l_orderkey, support, against AS contradiction FROM st",
+    "contradiction_score": f"WITH {_RECONCILED_SQL} SELECT l_orderkey, round(score,6) AS score FROM st",
+    "reconcile_status": f"WITH {_RECONCILED_SQL} SELECT status, count(*) AS n FROM st GROUP BY 1",
+    "relationship_confidence": f"WITH {_RECONCILED_SQL} SELECT l_orderkey, status, CASE WHEN status='UNRESOLVED' THEN 0.0::DOUBLE ELSE round(support*(1-score),6) END AS confidence FROM st",
     "co_change_pairs": """WITH k AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
         SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS n, round(least(1.0::DOUBLE, count(*)/3.0::DOUBLE),6) AS confidence
-        FROM k x JOIN k y USING (l_orderkey) WHERE x.l_partkey<y.l_partkey GROUP BY 1,2 HAVING count(*)>=2""",
+        FROM k x JOIN k y USING (l_orderkey) WHERE x.l_partkey<y.l_partkey GROUP BY 1,2""",
     "session_30m": """WITH n AS (SELECT user_id, event_id, ts, coalesce((lag(ts) OVER w + INTERVAL 30 MINUTE < ts)::INT, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         s AS (SELECT user_id, (sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS session FROM n)
         SELECT user_id, session, count(*) AS n FROM s GROUP BY 1,2""",
@@ -156,8 +148,8 @@ SQL = {
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (*FUNCTIONS, *retrieval.FUNCTIONS)}
+    return {f.__name__: f for f in (*FUNCTIONS, *retrieval.FUNCTIONS, *traversals.FUNCTIONS, *questions.FUNCTIONS)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | retrieval.SQL
+    return SQL | retrieval.SQL | traversals.SQL | questions.SQL

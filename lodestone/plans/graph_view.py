@@ -1,46 +1,49 @@
-"""Property-graph view of the relational test tables: entities, edges and evidence as DataFrames."""
+"""The evidence graph over the relational test tables: raw edges by readable keys, and the published graph by canonical ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.identity import EXTERNAL, canonical_id
+from ..operators.graph import Graph, publish
+from ..storage import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+REPOSITORY, REVISION = "tpch", "rev1"
+_PUBLISHED: dict[tuple[str, str], Graph] = {}
 
 
-def entity_id(base_type: Column, qualified: Column) -> Column:
-    """Deterministic identity: prefix of the SHA-256 of type and qualified name."""
-    return F.substring(F.sha2(F.concat_ws(":", base_type, qualified), 256), 1, 16)
-
-
-def _entities(df: DataFrame, base_type: str, name: Column, qualified: Column) -> DataFrame:
-    kind = F.lit(base_type)
-    return df.select(entity_id(kind, qualified).alias("canonical_id"), name.alias("name"), qualified.alias("qualified_name"), kind.alias("base_type"))
-
-
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every entity: canonical_id, name, qualified_name, base_type."""
+def keyed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entity: key (readable), canonical_id, name, qualified_name, base_type, roles, located."""
     t = lambda n: table(spark, sf_dir, n)
     place = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     path = F.concat_ws("/", "r_name", "n_name")
+
+    def rows(df: DataFrame, kind: str, col: str, base_type: str, name: Column, qualified: Column, revision: str = REVISION) -> DataFrame:
+        ident = canonical_id(F.lit(REPOSITORY), F.lit(revision), F.lit(base_type), qualified)
+        key = F.concat(F.lit(kind + ":"), F.col(col).cast("string"))
+        return df.select(key.alias("key"), ident.alias("canonical_id"), name.alias("name"), qualified.alias("qualified_name"), F.lit(base_type).alias("base_type"))
+
     parts = [
-        _entities(t("region"), "DIRECTORY", F.col("r_name"), F.col("r_name")),
-        _entities(place, "MODULE", F.col("n_name"), path),
-        _entities(t("customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")), "CLASS", F.col("c_name"), F.concat_ws("/", path, "c_name")),
-        _entities(t("supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")), "INTERFACE", F.col("s_name"), F.concat_ws("/", path, "s_name")),
-        _entities(t("part"), "EXTERNAL_LIBRARY", F.col("p_name"), F.concat(F.col("p_brand"), F.lit(":"), F.col("p_name"), F.lit("@"), F.col("p_partkey").cast("string"))),
-        _entities(t("orders"), "FUNCTION", F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")), F.concat(F.lit("orders/"), F.col("o_orderpriority"), F.lit("::order_"), F.col("o_orderkey").cast("string"))),
+        rows(t("region"), "region", "r_regionkey", "DIRECTORY", F.col("r_name"), F.col("r_name")),
+        rows(place, "nation", "n_nationkey", "MODULE", F.col("n_name"), path),
+        rows(t("customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")), "customer", "c_custkey", "CLASS", F.col("c_name"), F.concat_ws("/", path, "c_name")),
+        rows(t("supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")), "supplier", "s_suppkey", "INTERFACE", F.col("s_name"), F.concat_ws("/", path, "s_name")),
+        rows(t("part"), "part", "p_partkey", "EXTERNAL_LIBRARY", F.col("p_name"), F.concat(F.col("p_brand"), F.lit(":"), F.col("p_name"), F.lit("@"), F.col("p_partkey").cast("string")), EXTERNAL),
+        rows(t("orders"), "order", "o_orderkey", "FUNCTION", F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")), F.concat(F.lit("orders/"), F.col("o_orderpriority"), F.lit("::order_"), F.col("o_orderkey").cast("string"))),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.withColumns({"roles": F.array().cast("array<string>"), "located": F.col("base_type") == "FUNCTION"})
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed_entities(spark, sf_dir).select("canonical_id", "name", "qualified_name", "base_type")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges named by readable keys: subject, predicate, object."""
+    """What providers report, by readable keys: subject, predicate, object. Ends may be unknown."""
     t = lambda n: table(spark, sf_dir, n)
     edge = lambda df, s, p, o: df.select(s.alias("subject"), F.lit(p).alias("predicate"), o.alias("object"))
     key = lambda kind, col: F.concat(F.lit(kind + ":"), F.col(col).cast("string"))
@@ -62,6 +65,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The published graph of a folder: ends resolved to canonical ids, edges stored by predicate. Written once a session."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _PUBLISHED:
+        found = keyed_entities(spark, sf_dir)
+        ids = found.select("key", "canonical_id")
+        raw = edges(spark, sf_dir)
+        for end in ("subject", "object"):
+            raw = raw.join(ids.select(F.col("key").alias(end), F.col("canonical_id").alias("_to")), end).withColumn(end, F.col("_to")).drop("_to")
+        _PUBLISHED[known] = publish(found, raw, f"{REPOSITORY}:{REVISION}")
+    return _PUBLISHED[known]
+
+
 EDGES_SQL = """edges AS (
   SELECT 'region:'||n_regionkey AS subject, 'CONTAINS' AS predicate, 'nation:'||n_nationkey AS object FROM nation
   UNION ALL SELECT 'nation:'||c_nationkey, 'CONTAINS', 'customer:'||c_custkey FROM customer
@@ -73,11 +89,61 @@ EDGES_SQL = """edges AS (
   UNION ALL SELECT DISTINCT 'order:'||l_orderkey, 'REFERENCES', 'supplier:'||l_suppkey FROM lineitem
   UNION ALL SELECT DISTINCT 'part:'||l_partkey, 'IMPLEMENTS', 'supplier:'||l_suppkey FROM lineitem)"""
 
-ENTITIES_SQL = """entities AS (
-  SELECT substr(sha256(base_type||':'||qualified_name),1,16) AS canonical_id, * FROM (
-  SELECT r_name AS name, r_name AS qualified_name, 'DIRECTORY' AS base_type FROM region
-  UNION ALL SELECT n_name, r_name||'/'||n_name, 'MODULE' FROM nation JOIN region ON n_regionkey=r_regionkey
-  UNION ALL SELECT c_name, r_name||'/'||n_name||'/'||c_name, 'CLASS' FROM customer JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey
-  UNION ALL SELECT s_name, r_name||'/'||n_name||'/'||s_name, 'INTERFACE' FROM supplier JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey
-  UNION ALL SELECT p_name, p_brand||':'||p_name||'@'||p_partkey, 'EXTERNAL_LIBRARY' FROM part
-  UNION ALL SELECT 'order_'||o_orderkey, 'orders/'||o_orderpriority||'::order_'||o_orderkey, 'FUNCTION' FROM orders))"""
+KEYED_SQL = """keyed AS MATERIALIZED (
+  SELECT key, 'lode:'||substr(sha256('tpch|'||revision||'|'||base_type||'||'||qualified_name),1,32) AS canonical_id, name, qualified_name, base_type FROM (
+  SELECT 'region:'||r_regionkey AS key, r_name AS name, r_name AS qualified_name, 'DIRECTORY' AS base_type, 'rev1' AS revision FROM region
+  UNION ALL SELECT 'nation:'||n_nationkey, n_name, r_name||'/'||n_name, 'MODULE', 'rev1' FROM nation JOIN region ON n_regionkey=r_regionkey
+  UNION ALL SELECT 'customer:'||c_custkey, c_name, r_name||'/'||n_name||'/'||c_name, 'CLASS', 'rev1' FROM customer JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey
+  UNION ALL SELECT 'supplier:'||s_suppkey, s_name, r_name||'/'||n_name||'/'||s_name, 'INTERFACE', 'rev1' FROM supplier JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey
+  UNION ALL SELECT 'part:'||p_partkey, p_name, p_brand||':'||p_name||'@'||p_partkey, 'EXTERNAL_LIBRARY', 'external' FROM part
+  UNION ALL SELECT 'order:'||o_orderkey, 'order_'||o_orderkey, 'orders/'||o_orderpriority||'::order_'||o_orderkey, 'FUNCTION', 'rev1' FROM orders))"""
+
+ENTITIES_SQL = KEYED_SQL + """, entities AS (SELECT canonical_id, name, qualified_name, base_type FROM keyed)"""
+
+#: Edges between canonical ids: rel(subject, predicate, object, pair_first).
+REL_SQL = ENTITIES_SQL + ", " + EDGES_SQL + """, rel AS MATERIALIZED (
+  SELECT s.canonical_id AS subject, predicate, o.canonical_id AS object, min(predicate) OVER (PARTITION BY s.canonical_id, o.canonical_id) AS pair_first
+  FROM edges JOIN keyed s ON s.key=edges.subject JOIN keyed o ON o.key=edges.object)"""
+
+
+def traversal_sql(p: str, depth: int, seeds: str = "seeds", req: str = "req", pr: str = "pr") -> str:
+    """CTEs {p}_nodes(q, node, distance), {p}_rels(q, subject, predicate, object) and {p}_flags(q, truncated).
+
+    Over rel, {seeds}(q, node, rank), {req}(q, depth, max_nodes, max_edges, reverse) and {pr}(q, predicate, pidx, directional, extra).
+    """
+    out = [f"{p}_f0 AS MATERIALIZED (SELECT q, node, rank, true AS seed FROM {seeds})", f"{p}_n0 AS MATERIALIZED (SELECT q, node, 0 AS distance FROM {seeds})", f"{p}_c0 AS MATERIALIZED (SELECT '' AS q, '' AS subject, '' AS predicate, '' AS object WHERE false)"]
+    cuts = []
+
+    def touched(level: int, frontier: str, extra: str, live: str) -> None:
+        both = "true" if extra == "extra" else "NOT directional OR reverse"
+        back = "true" if extra == "extra" else "NOT directional OR (NOT reverse AND seed)"
+        out.append(f"{p}_g{level} AS MATERIALIZED (SELECT f.q, f.node, f.rank, f.seed, w.pidx, w.predicate AS wanted, directional, reverse FROM {frontier} f JOIN {req} r ON r.q=f.q AND {live} JOIN {pr} w ON w.q=f.q AND {extra})")
+        out.append(f"""{p}_t{level} AS MATERIALIZED (SELECT q, rank, pidx, 0 AS side, e.subject, e.predicate, e.object, e.object AS other, {both} AS coll, e.pair_first AS k1, e.object AS k2, e.predicate AS k3, e.pair_first||'|'||e.object AS pk
+            FROM {p}_g{level} g JOIN rel e ON e.subject=g.node WHERE wanted IS NULL OR wanted=e.predicate
+          UNION ALL SELECT q, rank, pidx, 1, e.subject, e.predicate, e.object, e.subject, {back}, e.subject, e.predicate, '', e.pair_first||'|'||e.subject
+            FROM {p}_g{level} g JOIN rel e ON e.object=g.node WHERE wanted IS NULL OR wanted=e.predicate)""")
+
+    def capped(level: int, edge_order: str, node_order: str, distance: str) -> None:
+        prev = level - 1
+        out.append(f"""{p}_x{level} AS MATERIALIZED (SELECT q, subject, predicate, object, row_number() OVER (PARTITION BY q ORDER BY {edge_order}) AS rn FROM (
+            SELECT * FROM {p}_t{level} t WHERE coll AND NOT EXISTS (SELECT 1 FROM {p}_c{prev} c WHERE c.q=t.q AND c.subject=t.subject AND c.predicate=t.predicate AND c.object=t.object)
+            QUALIFY row_number() OVER (PARTITION BY q, subject, predicate, object ORDER BY {edge_order})=1))""")
+        out.append(f"""{p}_y{level} AS MATERIALIZED (SELECT q, other, row_number() OVER (PARTITION BY q ORDER BY {node_order}) AS rn FROM (
+            SELECT * FROM {p}_t{level} t WHERE NOT EXISTS (SELECT 1 FROM {p}_n{prev} n WHERE n.q=t.q AND n.node=t.other)
+            QUALIFY row_number() OVER (PARTITION BY q, other ORDER BY {node_order})=1))""")
+        room = lambda cap, used: f"r.{cap} - (SELECT count(*) FROM {used} u WHERE u.q=r.q)"
+        out.append(f"{p}_c{level} AS MATERIALIZED (SELECT * FROM {p}_c{prev} UNION ALL SELECT x.q, subject, predicate, object FROM {p}_x{level} x JOIN {req} r USING (q) WHERE rn <= {room('max_edges', f'{p}_c{prev}')})")
+        out.append(f"{p}_n{level} AS MATERIALIZED (SELECT * FROM {p}_n{prev} UNION ALL SELECT y.q, other, {distance} FROM {p}_y{level} y JOIN {req} r USING (q) WHERE rn <= {room('max_nodes', f'{p}_n{prev}')})")
+        out.append(f"{p}_f{level} AS MATERIALIZED (SELECT y.q, other AS node, rn AS rank, false AS seed FROM {p}_y{level} y JOIN {req} r USING (q) WHERE rn <= {room('max_nodes', f'{p}_n{prev}')})")
+        cuts.append(f"SELECT x.q FROM {p}_x{level} x JOIN {req} r USING (q) WHERE rn > {room('max_edges', f'{p}_c{prev}')} UNION ALL SELECT y.q FROM {p}_y{level} y JOIN {req} r USING (q) WHERE rn > {room('max_nodes', f'{p}_n{prev}')}")
+
+    for level in range(1, depth + 1):
+        touched(level, f"{p}_f{level - 1}", "NOT extra", f"r.depth>={level}")
+        capped(level, "rank, pidx, side, k1, k2, k3, subject, predicate, object", "rank, side, pidx, pk, other", str(level))
+    last = depth + 1
+    touched(last, f"{p}_f0", "extra", "true")
+    capped(last, "pidx, rank, side, k1, k2, k3, subject, predicate, object", "pidx, side, rank, pk, other", "1")
+    out.append(f"{p}_rels AS (SELECT * FROM {p}_c{last})")
+    out.append(f"{p}_nodes AS MATERIALIZED (SELECT q, node, distance FROM (SELECT n.*, row_number() OVER (PARTITION BY n.q ORDER BY node) AS nth, max_nodes FROM {p}_n{last} n JOIN {req} USING (q)) WHERE nth<=max_nodes)")
+    out.append(f"{p}_flags AS (SELECT q, q IN ({' UNION ALL '.join(cuts)}) AS truncated FROM {req})")
+    return ",\n".join(out)

@@ -5,58 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import keep
-from .graph_view import EDGES_SQL, ENTITIES_SQL, edges, entities, table
+from ..functions import matching as M
+from ..functions import scoring as S
+from ..operators.coverage import best, exhaustive, negative
+from ..operators.graph import find_entities
+from ..operators.rank import bm25, tokens
+from ..operators.targets import resolve_targets
+from ..operators.understand import session_weights
+from ..storage import keep, table
+from .graph_view import EDGES_SQL, ENTITIES_SQL, edges, entities, graph
 
-TARGETS = ("nation_1", "order_1", "ring")
-K1, B = 1.5, 0.75
-GOOD = ("COMPLETE", "EMPTY_SUCCESS")
-
-
-def symbol_path_of(q: Column) -> Column:
-    """After the last `::`; else, of a path that holds `#` or ends in a dot, after the last slash; else all."""
-    return F.when(q.contains("::"), F.substring_index(q, "::", -1)).when(q.contains("/") & (q.contains("#") | q.endswith(".")), F.substring_index(q, "/", -1)).otherwise(q)
-
-
-def bare(symbol: Column) -> Column:
-    return F.regexp_replace(symbol, r"(#|\(\)\.|\.)$", "")
+TARGETS = ("nation_1", "order_1", "ring", "customer#000000012", "region_1")
+DOTTED = ("EUROPE.NATION_1", "NATION_3.Customer#000000004", "nowhere.order_12", "auth.py", "5-LOW.order_77")
 
 
 def entity_search_qualified(spark, sf_dir):
-    return entities(spark, sf_dir).where(F.lower("qualified_name").contains("europe/nation_"))
+    return find_entities(graph(spark, sf_dir), qualified_name="europe/nation_").select("canonical_id", "name", "qualified_name", "base_type")
 
 
 def symbol_path(spark, sf_dir):
-    e = entities(spark, sf_dir)
-    return e.select("canonical_id", symbol_path_of(F.col("qualified_name")).alias("symbol"))
+    return entities(spark, sf_dir).select("canonical_id", M.symbol_path(F.col("qualified_name")).alias("symbol"))
 
 
 def bare_symbol(spark, sf_dir):
-    return symbol_path(spark, sf_dir).select("canonical_id", bare(F.col("symbol")).alias("symbol"))
+    return symbol_path(spark, sf_dir).select("canonical_id", M.bare(F.col("symbol")).alias("symbol"))
 
 
 def qn_segments(spark, sf_dir):
-    plain = F.regexp_replace(F.replace(F.col("qualified_name"), F.lit("`"), F.lit("")), "::|/|#", ".")
-    parts = F.filter(F.transform(F.split(plain, r"\."), lambda x: F.lower(F.regexp_replace(x, r"\(\)$", ""))), lambda x: x != "")
-    return entities(spark, sf_dir).select("canonical_id", F.array_join(parts, "|").alias("segments"))
+    return entities(spark, sf_dir).select("canonical_id", F.array_join(M.segments(F.col("qualified_name")), "|").alias("segments"))
 
 
 def match_tiers(spark, sf_dir):
-    """Tier of each entity that holds a target: 0 exact, 1 after a boundary, 2 buried. The targets are three."""
-    q = F.lower("qualified_name")
-    e = entities(spark, sf_dir).select("canonical_id", F.lower("name").alias("n"), q.alias("q"), F.lower(symbol_path_of(F.col("qualified_name"))).alias("s"))
+    """Tier of each entity that holds a target anywhere: 0 exact, 1 after a boundary of name or symbol path, 2 buried or in the path."""
     hit = F.explode(F.array(*map(F.lit, TARGETS))).alias("target")
-    e = e.select("*", hit).where("contains(n, target) OR contains(q, target)")
-    exact = (F.col("n") == F.col("target")) | (F.col("s") == F.col("target")) | (bare(F.col("s")) == F.col("target"))
-    edge = F.expr("n rlike concat('(^|[^a-z0-9])', target) OR q rlike concat('(^|[^a-z0-9])', target)")
-    return e.select("canonical_id", "target", F.when(exact, 0).when(edge, 1).otherwise(2).alias("tier"))
+    e = entities(spark, sf_dir).select("canonical_id", "name", "qualified_name", hit).where("contains(lower(name), target) OR contains(lower(qualified_name), target)")
+    return e.select("canonical_id", "target", M.tier(F.col("name"), F.col("qualified_name"), F.col("target")).alias("tier"))
+
+
+def _seeds(spark, sf_dir, targets) -> DataFrame:
+    asked = spark.createDataFrame([(t, t) for t in targets], "query_id string, target string")
+    return resolve_targets(graph(spark, sf_dir).entities, asked)
 
 
 def seed_resolution(spark, sf_dir):
-    """Entities of the best tier of each target; buried ones stand only where nothing better does."""
-    w = Window.partitionBy("target")
-    m = match_tiers(spark, sf_dir).withColumn("best", F.min("tier").over(w))
-    return m.where("tier <= 1 OR best = 2").select("canonical_id", "target", "tier")
+    """Seeds of plain targets, in their order."""
+    return _seeds(spark, sf_dir, TARGETS).select(F.col("query_id").alias("target"), F.col("entity").alias("canonical_id"), "tier", F.col("rank").cast("long").alias("rank"))
+
+
+def qualifier_seeds(spark, sf_dir):
+    """Seeds of dotted targets: confirmed by their qualifier, or all of the last part where it confirms none."""
+    return _seeds(spark, sf_dir, DOTTED).select(F.col("query_id").alias("target"), F.col("entity").alias("canonical_id"), "qualifier_tier", "tier", F.col("rank").cast("long").alias("rank"))
 
 
 def _keys(spark, sf_dir) -> DataFrame:
@@ -106,36 +104,31 @@ def evidence_fold(spark, sf_dir):
 
 
 def freshness_decay(spark, sf_dir):
-    """Freshest evidence of each order: half of the weight goes every 365 days before the newest line."""
-    line = table(spark, sf_dir, "lineitem")
-    newest = line.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("at"))
-    now = line.agg(F.max("l_shipdate").alias("now"))  # one row
-    age = F.datediff("now", "at")
-    return newest.join(F.broadcast(now)).select("l_orderkey", F.round(F.pow(F.lit(0.5), age / F.lit(365.0)), 6).alias("weight"))
-
-
-def contradiction_score(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem")
-    cents = F.round(F.lit(100.0) - F.lit(500.0) * F.col("l_discount")).cast("long")
-    w = F.greatest(F.lit(0), cents)
-    sums = line.groupBy("l_orderkey").agg(F.sum(F.when(F.col("l_returnflag") == "R", w).otherwise(0)).alias("c"), F.sum(w).alias("t"))
-    return sums.select("l_orderkey", F.when(F.col("t") > 0, F.round(F.col("c") / F.col("t"), 6)).otherwise(F.lit(0.0)).alias("score"))
+    """Freshness of each user's newest error at the last event: half of it goes every 24 hours; 0 without one."""
+    e = table(spark, sf_dir, "events")
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    newest = e.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "error", F.col("ts"))).alias("at"))
+    return newest.join(F.broadcast(now)).select("user_id", F.round(S.freshness(F.col("at"), F.col("now")), 6).alias("weight"))
 
 
 def capability_coverage(spark, sf_dir):
-    """Best outcome of each capability in each run: events are outcomes, users runs."""
+    """Best outcome of each of ten capabilities in each run: events are outcomes, users runs; NOT_SUPPORTED where nobody was asked."""
     e = table(spark, sf_dir, "events")
-    capability = (F.get_json_object("props", "$.k").cast("int") % 10).alias("capability")
-    priority = F.when(F.col("value").isNull(), 0).when(F.col("value") < 5, 1).when(F.col("value") < 20, 2).when(F.col("value") < 25, 3).otherwise(4)
-    names = F.array(*map(F.lit, ("UNAVAILABLE", "FAILED", "PARTIAL", "EMPTY_SUCCESS", "COMPLETE")))
-    best = e.groupBy("user_id", capability).agg(F.max(priority).alias("p"))
-    return best.select("user_id", "capability", F.element_at(names, F.col("p") + 1).alias("status"))
+    value = F.col("value")
+    status = F.when(value.isNull(), "UNAVAILABLE").when(value < 5, "FAILED").when(value < 20, "PARTIAL").when(value < 25, "EMPTY_SUCCESS").otherwise("COMPLETE")
+    found = e.groupBy("user_id", (F.get_json_object("props", "$.k").cast("int") % 10).alias("capability")).agg(best(status).alias("status"))
+    every = e.select("user_id").distinct().withColumn("capability", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    return every.join(found, ["user_id", "capability"], "left").select("user_id", "capability", F.coalesce("status", F.lit("NOT_SUPPORTED")).alias("status"))
 
 
 def negative_coverage(spark, sf_dir):
+    """Whether the absence of evidence says anything, by run and capability."""
+    return capability_coverage(spark, sf_dir).select("user_id", "capability", S.negative_coverage(F.col("status")).alias("negative"))
+
+
+def exhaustive_check(spark, sf_dir):
     c = capability_coverage(spark, sf_dir)
-    whole = F.bool_and(F.col("status").isin(*GOOD))
-    return c.groupBy("user_id").agg(whole.alias("exhaustive"), F.when(whole, "NO_EVIDENCE_FOUND").otherwise("INCONCLUSIVE").alias("negative"))
+    return c.groupBy("user_id").agg(F.bool_and(F.col("status").isin("COMPLETE", "EMPTY_SUCCESS")).alias("exhaustive"))
 
 
 def token_budget(spark, sf_dir):
@@ -144,33 +137,41 @@ def token_budget(spark, sf_dir):
     return o.select("o_orderkey", F.expr("least(100, tb div 50)").alias("max_nodes"), F.expr("least(250, tb div 20)").alias("max_edges"), F.expr("greatest(0, least(2, tb div 1500))").alias("depth"))
 
 
-def _tokens(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.col(key), F.explode(F.expr("regexp_extract_all(lower(text), '[a-z0-9]+', 0)")).alias("term"))
+RARE, TOP = 3, 10
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    """doc_id and tokens, read once."""
+    return keep(table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens")))
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    """BM25 of every benchmark text against its candidates: the documents that hold one of its RARE rarest terms."""
+    docs = _documents(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    held = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    held = keep(held)
+    rarity = held.groupBy("term").agg(F.count("*").alias("df"))
+    rare = asked.join(rarity, "term").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))).where(F.col("r") <= RARE)
+    candidates = rare.select("query_id", "term").join(held, "term").select("query_id", "doc_id").distinct()
+    rows = candidates.join(docs, "doc_id").select("query_id", F.col("doc_id").alias("doc"), "tokens")
+    return bm25(rows, asked).select(F.col("query_id").alias("item_id"), F.col("doc").alias("doc_id"), "score")
 
 
 def bm25_scores(spark, sf_dir):
-    """BM25 of every benchmark text against every document that shares a term; a repeated query term counts again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    asked = _tokens(table(spark, sf_dir, "benchmark"), "item_id").groupBy("item_id", "term").agg(F.count("*").alias("times"))
-    sized = docs.select("doc_id", F.size(F.expr("regexp_extract_all(lower(text), '[a-z0-9]+', 0)")).alias("size"))
-    stats = sized.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))  # one row
-    wanted = asked.select("term").distinct()
-    tf = _tokens(docs, "doc_id").join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "term").join(sized, "doc_id").join(F.broadcast(stats))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scored = scored.select("doc_id", "term", part.alias("part"))
-    return asked.join(scored, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("times")), 4).alias("score"))
+    """The TOP candidates of each benchmark text by BM25 over the best, with statistics of its own candidates."""
+    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
+    return _scored(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _metrics(spark, sf_dir) -> DataFrame:
-    """Reciprocal rank and hits in the first ten of each benchmark text; labels of quality 1 are relevant."""
+    """Reciprocal rank, hits in the first ten and relevant candidates of each benchmark text; labels of quality 1 are relevant."""
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    ranked = bm25_scores(spark, sf_dir).withColumn("rank", F.row_number().over(w))
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    hits = ranked.join(good, "doc_id").groupBy("item_id").agg(F.min("rank").alias("first"), F.count_if(F.col("rank") <= 10).alias("hits"))
-    return ranked.select("item_id").distinct().join(hits, "item_id", "left").select("item_id", F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), F.coalesce("hits", F.lit(0)).alias("hits"))
+    ranked = _scored(spark, sf_dir).withColumn("rank", F.row_number().over(w))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
+    rows = ranked.join(good, "doc_id", "left")
+    hits = rows.groupBy("item_id").agg(F.min(F.when(F.col("good"), F.col("rank"))).alias("first"), F.count_if(F.col("good") & (F.col("rank") <= 10)).alias("hits"), F.count_if("good").alias("relevant"))
+    return hits.select("item_id", F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), "hits", "relevant")
 
 
 def mrr(spark, sf_dir):
@@ -181,11 +182,17 @@ def precision_at_10(spark, sf_dir):
     return _metrics(spark, sf_dir).agg(F.round(F.avg(F.col("hits") / F.lit(10.0)), 6).alias("precision_at_10"))
 
 
+def recall_at_10(spark, sf_dir):
+    """Texts without a relevant candidate are left out."""
+    return _metrics(spark, sf_dir).where("relevant > 0").agg(F.round(F.avg(F.col("hits") / F.col("relevant")), 6).alias("recall_at_10"))
+
+
 def session_window_decay(spark, sf_dir):
-    """The last ten turns of each conversation, the latest first, with a weight that halves every five ranks."""
-    c = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL").select("conv_id", "turn").distinct()
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    return c.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("conv_id", "turn", "rank", F.round(F.pow(F.lit(0.5), (F.col("rank") - 1) / F.lit(5.0)), 6).alias("weight"))
+    """The last ten events of each user within 30 minutes of the last event of all, the latest first, with a weight that halves every five ranks."""
+    e = table(spark, sf_dir, "events")
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    history = e.join(F.broadcast(now)).select(F.col("user_id").alias("repository_id"), F.struct("ts", "event_id").alias("seq"), F.col("ts").alias("observed_at"), "now", "event_id")
+    return session_weights(history, F.col("now")).select(F.col("repository_id").alias("user_id"), "event_id", "rank", F.round("weight", 6).alias("weight"))
 
 
 def telemetry_filter(spark, sf_dir):
@@ -205,8 +212,8 @@ def dedupe_events(spark, sf_dir):
 
 def artifact_conflicts(spark, sf_dir):
     """References (language and source) that name different contents."""
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    found = d.groupBy("lang", "source").agg(F.countDistinct(F.sha2("text", 256)).alias("contents"))
+    d = table(spark, sf_dir, "documents")
+    found = d.groupBy("lang", "source").agg(F.countDistinct(F.coalesce(F.sha2("text", 256), F.lit("none"))).alias("contents"))
     return found.where("contents > 1")
 
 
@@ -220,64 +227,92 @@ def changeset_diff(spark, sf_dir):
 
 
 FUNCTIONS = (
-    entity_search_qualified, symbol_path, bare_symbol, qn_segments, match_tiers, seed_resolution, known_endpoint_edges,
-    structural_first_edge, transitive_depends, evidence_fold, freshness_decay, contradiction_score, capability_coverage,
-    negative_coverage, token_budget, bm25_scores, mrr, precision_at_10, session_window_decay, telemetry_filter,
+    entity_search_qualified, symbol_path, bare_symbol, qn_segments, match_tiers, seed_resolution, qualifier_seeds, known_endpoint_edges,
+    structural_first_edge, transitive_depends, evidence_fold, freshness_decay, capability_coverage,
+    negative_coverage, exhaustive_check, token_budget, bm25_scores, mrr, precision_at_10, recall_at_10, session_window_decay, telemetry_filter,
     failure_events, dedupe_events, artifact_conflicts, changeset_diff,
 )
 
 _SYMBOL = "CASE WHEN contains(qualified_name,'::') THEN string_split(qualified_name,'::')[-1] WHEN contains(qualified_name,'/') AND (contains(qualified_name,'#') OR ends_with(qualified_name,'.')) THEN string_split(qualified_name,'/')[-1] ELSE qualified_name END"
 _BARE = r"'(#|\(\)\.|\.)$'"
-_TIERS = f"""{ENTITIES_SQL}, h AS (
-  SELECT canonical_id, lower(name) AS n, lower(qualified_name) AS q, lower({_SYMBOL}) AS s, t.target FROM entities, (VALUES ('nation_1'),('order_1'),('ring')) t(target)
-  WHERE contains(lower(name),t.target) OR contains(lower(qualified_name),t.target)), m AS (
-  SELECT canonical_id, target, CASE WHEN n=target OR s=target OR regexp_replace(s,{_BARE},'')=target THEN 0
-    WHEN regexp_matches(n,'(^|[^a-z0-9])'||target) OR regexp_matches(q,'(^|[^a-z0-9])'||target) THEN 1 ELSE 2 END AS tier FROM h)"""
-_KEYS = "keys AS (" + " UNION ALL ".join(f"SELECT '{t.removesuffix('s')}:'||{c} AS key FROM {t} WHERE {c}%2=0" for t, c in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"), ("orders", "o_orderkey"))) + ")"
+_SEGMENTS = r"list_filter(list_transform(string_split(regexp_replace(replace({0},'`',''),'::|/|#','.','g'),'.'), lambda x: lower(regexp_replace(x,'\(\)$',''))), lambda x: x<>'')"
+
+
+def _tier(target: str) -> str:
+    edge = f"'(^|[^a-z0-9])'||regexp_escape({target})"
+    return f"CASE WHEN n={target} OR s={target} OR regexp_replace(n,{_BARE},'')={target} OR regexp_replace(s,{_BARE},'')={target} THEN 0 WHEN regexp_matches(n,{edge}) OR regexp_matches(s,{edge}) THEN 1 ELSE 2 END"
+
+
+def _values(rows) -> str:
+    return ",".join("('" + r.replace("'", "''") + "')" for r in rows)
+
+
+_NAMED = f"{ENTITIES_SQL}, low AS (SELECT canonical_id, qualified_name, lower(name) AS n, lower(qualified_name) AS q, lower({_SYMBOL}) AS s, {_SYMBOL} AS symbol FROM entities)"
+#: seeds(target, canonical_id, qualifier_tier, tier, rank) of the targets in asked(target)
+_SEEDS = f"""ask AS (SELECT target, lower(target) AS t FROM asked), dotted AS (
+  SELECT target, t, string_split(t,'.')[-1] AS symbol, regexp_replace(t,'\\.[^.]*$','') AS qualifier FROM ask WHERE contains(t,'.')), parts AS (
+  SELECT * FROM dotted WHERE symbol<>'' AND qualifier<>'' AND symbol NOT IN ({",".join(f"'{x}'" for x in M.EXTENSIONS)})), looked AS (
+  SELECT DISTINCT target, t AS lookup FROM ask UNION SELECT target, symbol FROM parts), hits AS (
+  SELECT l.target, lookup, canonical_id, qualified_name, symbol, n, s, contains(n,lookup) AS by_name, contains(s,lookup) AND q=lookup AS exact FROM looked l JOIN low ON contains(n,lookup) OR contains(s,lookup)), axes AS (
+  SELECT *, {_tier('lookup')} AS tier FROM hits QUALIFY by_name OR exact OR NOT bool_or(exact) OVER (PARTITION BY target, lookup)), one AS (
+  SELECT * FROM axes QUALIFY tier<=1 OR min(tier) OVER (PARTITION BY target, lookup)=2), scoped AS (
+  SELECT o.*, CASE WHEN list_has_all({_SEGMENTS.format('o.symbol')}, {_SEGMENTS.format('p.qualifier')}) THEN 0 WHEN list_has_all({_SEGMENTS.format('o.qualified_name')}, {_SEGMENTS.format('p.qualifier')}) THEN 1 END AS qt
+  FROM one o JOIN parts p ON o.target=p.target AND o.lookup=p.symbol), confirmed AS (
+  SELECT * FROM scoped QUALIFY qt IS NOT NULL OR count(qt) OVER (PARTITION BY target)=0), found AS (
+  SELECT target, canonical_id, coalesce(min(qt),2) AS qualifier_tier FROM (SELECT o.target, canonical_id, NULL AS qt FROM one o JOIN ask a ON o.target=a.target AND o.lookup=a.t UNION ALL SELECT target, canonical_id, qt FROM confirmed) GROUP BY 1,2), texts AS (
+  SELECT target, t FROM ask UNION SELECT target, symbol FROM dotted WHERE symbol<>''), seeds AS (
+  SELECT *, row_number() OVER (PARTITION BY target ORDER BY qualifier_tier, tier, canonical_id) AS rank FROM (
+  SELECT f.target, f.canonical_id, qualifier_tier, min({_tier('texts.t')}) AS tier FROM found f JOIN texts USING (target) JOIN low USING (canonical_id) GROUP BY 1,2,3))"""
+_KEYS = "keys AS (" + " UNION ALL ".join(f"SELECT '{t.removesuffix('s')}:'||{c} AS key FROM {t}" for t, c in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"), ("orders", "o_orderkey"))) + ")"
 _COVERAGE = """c AS (SELECT user_id, (json_extract_string(props,'$.k')::INT % 10)::INT AS capability,
-  max(CASE WHEN value IS NULL THEN 0 WHEN value<5 THEN 1 WHEN value<20 THEN 2 WHEN value<25 THEN 3 ELSE 4 END) AS p FROM events GROUP BY 1,2), cov AS (
-  SELECT user_id, capability, ['UNAVAILABLE','FAILED','PARTIAL','EMPTY_SUCCESS','COMPLETE'][p+1] AS status FROM c)"""
-_BM25 = """d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text,'')),'[a-z0-9]+') AS terms FROM documents),
+  max(CASE WHEN value IS NULL THEN 1 WHEN value<5 THEN 2 WHEN value<20 THEN 3 WHEN value<25 THEN 4 ELSE 5 END) AS p FROM events GROUP BY 1,2), cov AS (
+  SELECT u.user_id, k.k::INT AS capability, ['NOT_SUPPORTED','UNAVAILABLE','FAILED','PARTIAL','EMPTY_SUCCESS','COMPLETE'][coalesce(p,0)+1] AS status
+  FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN range(10) k(k) LEFT JOIN c ON c.user_id=u.user_id AND c.capability=k.k)"""
+_BM25 = f"""d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text,'')),'[a-z0-9]+') AS terms FROM documents WHERE doc_id IS NOT NULL),
   a AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text),'[a-z0-9]+')) AS term FROM benchmark) GROUP BY 1,2),
-  st AS (SELECT count(*) AS docs, avg(len(terms)) AS mean FROM d),
-  tf AS (SELECT doc_id, size, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS size, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM a) GROUP BY ALL),
-  df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-  pt AS (SELECT doc_id, term, ln(1+(docs-df+0.5::DOUBLE)/(df+0.5::DOUBLE))*tf*2.5::DOUBLE/(tf+1.5::DOUBLE*(0.25::DOUBLE+0.75::DOUBLE*size/mean)) AS part FROM tf JOIN df USING (term), st),
-  bm AS (SELECT item_id, doc_id, round(sum(part*times),4) AS score FROM a JOIN pt USING (term) GROUP BY 1,2)"""
-_METRICS = _BM25 + """, rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bm),
-  hi AS (SELECT item_id, min(rank) AS first, count(*) FILTER (rank<=10) AS hits FROM rk WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality=1) GROUP BY 1),
-  me AS (SELECT item_id, coalesce(1.0::DOUBLE/first,0) AS rr, coalesce(hits,0) AS hits FROM (SELECT DISTINCT item_id FROM rk) LEFT JOIN hi USING (item_id))"""
+  tf AS MATERIALIZED (SELECT doc_id, size, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS size, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM a) GROUP BY ALL),
+  ra AS (SELECT item_id, term FROM a JOIN (SELECT term, count(*) AS df FROM tf GROUP BY 1) USING (term) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY df, term)<={RARE}),
+  ca AS MATERIALIZED (SELECT DISTINCT item_id, doc_id FROM ra JOIN tf USING (term)),
+  st AS (SELECT item_id, count(*) AS docs, avg(len(terms)) AS mean FROM ca JOIN d USING (doc_id) GROUP BY 1),
+  pr AS (SELECT item_id, doc_id, term, size, tf, times FROM ca JOIN tf USING (doc_id) JOIN a USING (item_id, term)),
+  df AS (SELECT item_id, term, count(*) AS df FROM pr GROUP BY 1,2),
+  bm AS (SELECT item_id, doc_id, sum(times*ln(1+(docs-df+0.5::DOUBLE)/(df+0.5::DOUBLE))*tf*2.5::DOUBLE/(tf+1.5::DOUBLE*(0.25::DOUBLE+0.75::DOUBLE*size/mean))) AS raw FROM pr JOIN df USING (item_id, term) JOIN st USING (item_id) GROUP BY 1,2),
+  rk AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (
+    SELECT item_id, doc_id, CASE WHEN max(raw) OVER (PARTITION BY item_id)>0 THEN round(raw/max(raw) OVER (PARTITION BY item_id),9) ELSE 0 END AS score FROM bm))"""
+_METRICS = _BM25 + """, me AS (SELECT item_id, coalesce(1.0::DOUBLE/min(rank) FILTER (good),0) AS rr, count(*) FILTER (good AND rank<=10) AS hits, count(*) FILTER (good) AS relevant
+  FROM (SELECT *, doc_id IN (SELECT doc_id FROM labels WHERE quality=1) AS good FROM rk) GROUP BY 1)"""
 
 SQL = {
     "entity_search_qualified": f"WITH {ENTITIES_SQL} SELECT canonical_id, name, qualified_name, base_type FROM entities WHERE contains(lower(qualified_name),'europe/nation_')",
     "symbol_path": f"WITH {ENTITIES_SQL} SELECT canonical_id, {_SYMBOL} AS symbol FROM entities",
     "bare_symbol": f"WITH {ENTITIES_SQL} SELECT canonical_id, regexp_replace({_SYMBOL},{_BARE},'') AS symbol FROM entities",
-    "qn_segments": rf"WITH {ENTITIES_SQL} SELECT canonical_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(replace(qualified_name,'`',''),'::|/|#','.','g'),'.'), lambda x: lower(regexp_replace(x,'\(\)$',''))), lambda x: x<>''),'|') AS segments FROM entities",
-    "match_tiers": f"WITH {_TIERS} SELECT * FROM m",
-    "seed_resolution": f"WITH {_TIERS} SELECT canonical_id, target, tier FROM (SELECT *, min(tier) OVER (PARTITION BY target) AS best FROM m) WHERE tier<=1 OR best=2",
+    "qn_segments": f"WITH {ENTITIES_SQL} SELECT canonical_id, array_to_string({_SEGMENTS.format('qualified_name')},'|') AS segments FROM entities",
+    "match_tiers": f"WITH {_NAMED} SELECT canonical_id, target, {_tier('target')} AS tier FROM low, (VALUES {_values(TARGETS)}) t(target) WHERE contains(n,target) OR contains(q,target)",
+    "seed_resolution": f"WITH {_NAMED}, asked AS (SELECT * FROM (VALUES {_values(TARGETS)}) v(target)), {_SEEDS} SELECT target, canonical_id, tier, rank FROM seeds",
+    "qualifier_seeds": f"WITH {_NAMED}, asked AS (SELECT * FROM (VALUES {_values(DOTTED)}) v(target)), {_SEEDS} SELECT target, canonical_id, qualifier_tier, tier, rank FROM seeds",
     "known_endpoint_edges": f"WITH {EDGES_SQL}, {_KEYS} SELECT predicate, count(*) AS n FROM edges WHERE subject IN (SELECT key FROM keys) AND object IN (SELECT key FROM keys) GROUP BY 1",
     "structural_first_edge": f"""WITH {EDGES_SQL}, b AS (SELECT subject AS node, * FROM edges UNION ALL SELECT object, * FROM edges)
         SELECT node, subject, predicate, object FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY subject, predicate, object) AS r FROM b) WHERE r=1""",
-    "transitive_depends": f"""WITH RECURSIVE {EDGES_SQL}, e AS (SELECT subject, object FROM edges WHERE predicate IN ('CONTAINS','CALLS')),
-        r AS (SELECT object AS node, 1 AS depth FROM e WHERE subject='region:1' UNION ALL SELECT e.object, r.depth+1 FROM r JOIN e ON e.subject=r.node WHERE r.depth<3)
+    "transitive_depends": f"""WITH RECURSIVE {EDGES_SQL}, e AS (SELECT subject, object FROM edges WHERE predicate IN ('CONTAINS','CALLS','DEPENDS_ON')),
+        r AS (SELECT object AS node, 1 AS depth FROM e WHERE subject='region:1' UNION SELECT e.object, r.depth+1 FROM r JOIN e ON e.subject=r.node)
         SELECT d AS depth, count(*) AS n FROM (SELECT node, min(depth) AS d FROM r GROUP BY 1) GROUP BY 1""",
     "evidence_fold": "SELECT l_orderkey, l_suppkey, count(*) AS n, count(DISTINCT l_partkey) AS parts, min(l_linenumber) AS first FROM lineitem GROUP BY 1,2",
-    "freshness_decay": "SELECT l_orderkey, round(power(0.5::DOUBLE, date_diff('day', max(l_shipdate)::DATE, (SELECT max(l_shipdate) FROM lineitem)::DATE)/365.0::DOUBLE),6) AS weight FROM lineitem GROUP BY 1",
-    "contradiction_score": """WITH w AS (SELECT l_orderkey, l_returnflag='R' AS a, greatest(0, round(100.0::DOUBLE-500.0::DOUBLE*l_discount)::BIGINT) AS w FROM lineitem),
-        s AS (SELECT l_orderkey, sum(CASE WHEN a THEN w ELSE 0 END)::DOUBLE AS c, sum(w)::DOUBLE AS t FROM w GROUP BY 1)
-        SELECT l_orderkey, CASE WHEN t>0 THEN round(c/t,6) ELSE 0.0::DOUBLE END AS score FROM s""",
+    "freshness_decay": """WITH n AS (SELECT user_id, max(ts) FILTER (event_type='error') AS a FROM events GROUP BY 1), t AS (SELECT *, epoch_us((SELECT max(ts) FROM events))-epoch_us(a) AS age FROM n)
+        SELECT user_id, CASE WHEN a IS NULL THEN 0.0::DOUBLE WHEN age<=0 THEN 1.0::DOUBLE ELSE round(power(0.5::DOUBLE, age/3.6e9::DOUBLE/24.0::DOUBLE),6) END AS weight FROM t""",
     "capability_coverage": f"WITH {_COVERAGE} SELECT * FROM cov",
-    "negative_coverage": f"WITH {_COVERAGE}, n AS (SELECT user_id, bool_and(status IN ('COMPLETE','EMPTY_SUCCESS')) AS exhaustive FROM cov GROUP BY 1) SELECT *, CASE WHEN exhaustive THEN 'NO_EVIDENCE_FOUND' ELSE 'INCONCLUSIVE' END AS negative FROM n",
+    "negative_coverage": f"WITH {_COVERAGE} SELECT user_id, capability, CASE WHEN status IN ('COMPLETE','EMPTY_SUCCESS') THEN 'NO_EVIDENCE_FOUND' ELSE 'INCONCLUSIVE' END AS negative FROM cov",
+    "exhaustive_check": f"WITH {_COVERAGE} SELECT user_id, bool_and(status IN ('COMPLETE','EMPTY_SUCCESS')) AS exhaustive FROM cov GROUP BY 1",
     "token_budget": "WITH t AS (SELECT o_orderkey, floor(o_totalprice/50)::BIGINT AS tb FROM orders) SELECT o_orderkey, least(100, tb//50)::BIGINT AS max_nodes, least(250, tb//20)::BIGINT AS max_edges, greatest(0, least(2, tb//1500))::BIGINT AS depth FROM t",
-    "bm25_scores": f"WITH {_BM25} SELECT * FROM bm",
+    "bm25_scores": f"WITH {_BM25} SELECT item_id, doc_id, round(score,6) AS score, rank::INT AS rank FROM rk WHERE rank<={TOP}",
     "mrr": f"WITH {_METRICS} SELECT item_id, round(rr,6) AS rr FROM me",
     "precision_at_10": f"WITH {_METRICS} SELECT round(avg(hits/10.0::DOUBLE),6) AS precision_at_10 FROM me",
-    "session_window_decay": """WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)::INT AS rank FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL))
-        SELECT conv_id, turn, rank, round(power(0.5::DOUBLE,(rank-1)/5.0::DOUBLE),6) AS weight FROM r WHERE rank<=10""",
+    "recall_at_10": f"WITH {_METRICS} SELECT round(avg(hits::DOUBLE/relevant),6) AS recall_at_10 FROM me WHERE relevant>0",
+    "session_window_decay": """WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS rank FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE)
+        SELECT user_id, event_id, rank, round(power(0.5::DOUBLE,(rank-1)/5.0::DOUBLE),6) AS weight FROM r WHERE rank<=10""",
     "telemetry_filter": "SELECT event_id, user_id, value FROM events WHERE user_id%5=2 AND event_type='click'",
     "failure_events": "SELECT user_id, count(*) AS n, min(event_id) AS first_event FROM events WHERE event_type='error' GROUP BY 1",
     "dedupe_events": "SELECT user_id, event_type, strftime(ts,'%Y-%m-%d') AS day, min(event_id) AS event_id, count(*) AS n FROM events GROUP BY 1,2,3",
-    "artifact_conflicts": "SELECT lang, source, count(DISTINCT sha256(text)) AS contents FROM documents WHERE text IS NOT NULL GROUP BY 1,2 HAVING count(DISTINCT sha256(text))>1",
+    "artifact_conflicts": "SELECT lang, source, count(DISTINCT coalesce(sha256(text),'none')) AS contents FROM documents GROUP BY 1,2 HAVING count(DISTINCT coalesce(sha256(text),'none'))>1",
     "changeset_diff": """WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS was FROM orders WHERE o_orderkey%3<>0), n AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey%7=0 THEN 'changed' ELSE o_orderpriority END AS now FROM orders WHERE o_orderkey%5<>0)
         SELECT CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'deleted' WHEN was<>now THEN 'modified' ELSE 'unchanged' END AS change, count(*) AS n FROM o FULL JOIN n ON o.k=n.k GROUP BY 1""",
 }
