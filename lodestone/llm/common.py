@@ -20,6 +20,7 @@ from ..storage import forget, keep, table, work_folder  # noqa: F401
 
 FOLDS = 5
 SLICE_BYTES, SLICE_ROWS = 2 << 20, 1000
+BATCH_SETTING, DEFAULT_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b", 4 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,8 +39,14 @@ def _package_zip() -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per SparkContext, so that Python stages can import it."""
+    """Send this package to the executors once per SparkContext, so that Python stages can import it.
+
+    Also bounds the bytes of a batch on its way to Python, where the session still has Spark's default: a batch is held
+    by the JVM and by the worker, and the plan of a lazy result reads the setting only when it runs. It changes no results.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_SETTING) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
     if not getattr(sc, "_lodestone_shipped", False):
         sc.addPyFile(_package_zip())
         sc._lodestone_shipped = True
