@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..operators.graph import find_entities, get_relationships
 from ..operators.reconcile import combined
+from ..streaming import telemetry
 from . import questions, retrieval, traversals
 from .graph_view import ENTITIES_SQL, REL_SQL, entities, graph, table
 
@@ -148,8 +149,8 @@ SQL = {
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (*FUNCTIONS, *retrieval.FUNCTIONS, *traversals.FUNCTIONS, *questions.FUNCTIONS)}
+    return {f.__name__: f for f in (*FUNCTIONS, *retrieval.FUNCTIONS, *traversals.FUNCTIONS, *questions.FUNCTIONS, *telemetry.FUNCTIONS)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | retrieval.SQL | traversals.SQL | questions.SQL
+    return SQL | retrieval.SQL | traversals.SQL | questions.SQL | telemetry.SQL

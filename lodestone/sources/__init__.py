@@ -1 +1 @@
-"""Sources of the engine."""
+"""Providers of evidence: git history, SARIF results, Python calls, project manifests and symbol indexes."""

@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Structured Streaming twins of the telemetry operators."""
