@@ -1,7 +1,8 @@
 """Symbol indexes: a protobuf reader for the wire format, flat tables of the index, and their resolution by joins.
 
-Read: metadata, documents, occurrences (three encodings of a range), symbol information and relationships. A symbol is
-`scheme manager name version descriptor`; local symbols belong to one document and are left out.
+Read: the tool, documents, occurrences (three encodings of a range), symbol information and relationships. A symbol is
+`scheme manager name version descriptor`; local symbols belong to one document and are left out. Where scopes of a
+document share a symbol, each definition is an entity of its own, and nothing refers to any of them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import EXTERNAL, canonical_id
 from .contract import Cohort, ExtractionError, Normalized, Provider, evidence_of
+from .scopes import NESTED, PLACES, Source, nested
 
 DEFINITION, IMPORT, READ = 1, 2, 8
 FAMILY_GAP = 25
@@ -82,11 +84,20 @@ def packed(data: bytes) -> list[int]:
     return out
 
 
-def _range(values: list[int]) -> tuple | None:
-    """(first line, first column, last line, last column); three numbers lie on one line."""
+def _range(m: dict[int, list]) -> tuple | None:
+    """(first line, first column, last line, last column) of an occurrence: a message of four numbers, of three on one line, or packed ones."""
+    if 9 in m or 8 in m:
+        numbers = {f: v[-1][1] for f, v in _message(m[9 if 9 in m else 8][-1][1]).items()}
+        values = [numbers.get(f, 0) for f in range(1, 5 if 9 in m else 4)]
+    elif 1 in m:
+        values = _numbers(m[1])
+    else:
+        return None
     if len(values) == 3:
         return values[0], values[1], values[0], values[2]
-    return tuple(values) if len(values) == 4 else None
+    if len(values) != 4:
+        raise ValueError(f"a range of {len(values)} numbers")
+    return tuple(values)
 
 
 def _message(data: bytes) -> dict[int, list]:
@@ -100,36 +111,63 @@ def _numbers(items: list) -> list[int]:
     return [x for wire, v in items for x in (packed(v) if wire == 2 else [v])]
 
 
-def read_index(data: bytes) -> tuple[list, list, list, list]:
-    """Rows of documents (path), occurrences (path, symbol, roles, range), symbols (path, symbol, kind) and relationships (symbol, other, reference, implementation, type)."""
+def _text(m: dict[int, list], field: int, needed: bool = False) -> str:
+    if field not in m:
+        if needed:
+            raise ValueError(f"field {field} is missing")
+        return ""
+    return m[field][-1][1].decode()
+
+
+def _number(m: dict[int, list], field: int) -> int:
+    return m[field][-1][1] if field in m else 0
+
+
+def read_tool(data: bytes) -> str:
+    """name@version of the program that made an index; `unknown` where it gives no name."""
+    for _, raw in _message(data).get(1, [])[-1:]:
+        for _, tool in _message(raw).get(2, [])[-1:]:
+            m = _message(tool)
+            if _text(m, 1):
+                return f"{_text(m, 1)}@{_text(m, 2)}"
+    return "unknown"
+
+
+def read_index(data: bytes, root: str | Path | None = None) -> tuple[list, list, list, list]:
+    """Rows of documents (path), occurrences (path, symbol, roles, range, indent, declares), symbols (path, symbol, kind, nth) and relationships (symbol, other, reference, implementation, type).
+
+    indent and declares tell the source line of an occurrence, where root has it.
+    """
+    if not data:
+        raise ValueError("the index is empty")
     documents, occurrences, symbols, relations = [], [], [], []
-    text = lambda m, f: m[f][-1][1].decode() if f in m else ""
-    number = lambda m, f: m[f][-1][1] if f in m else 0
     for _, raw in _message(data).get(2, []):
         document = _message(raw)
-        path = text(document, 1)
+        path = _text(document, 1, needed=True)
         documents.append((path,))
+        source = Source(root, path)
         for _, o in document.get(2, []):
             m = _message(o)
-            occurrences.append((path, text(m, 2), number(m, 3), _range(_numbers(m.get(1, [])))))
+            at = _range(m)
+            occurrences.append((path, _text(m, 2), _number(m, 3), at, source.indent(*at[:2]) if at else None, bool(at and source.declares(*at[:2]))))
         for _, s in document.get(3, []):
             m = _message(s)
-            symbols.append((path, text(m, 1), number(m, 5)))
+            symbols.append((path, _text(m, 1, needed=True), _number(m, 5), len(symbols)))
             for _, r in m.get(4, []):
                 x = _message(r)
-                relations.append((text(m, 1), text(x, 1), bool(number(x, 2)), bool(number(x, 3)), bool(number(x, 4))))
+                relations.append((_text(m, 1), _text(x, 1, needed=True), bool(_number(x, 2)), bool(_number(x, 3)), bool(_number(x, 4))))
     return documents, occurrences, symbols, relations
 
 
 RANGE = "struct<line:int,column:int,end_line:int,end_column:int>"
 
 
-def tables(spark: SparkSession, data: bytes) -> dict[str, DataFrame]:
-    d, o, s, r = read_index(data)
+def tables(spark: SparkSession, data: bytes, root: str | Path | None = None) -> dict[str, DataFrame]:
+    d, o, s, r = read_index(data, root)
     return {
         "documents": spark.createDataFrame(d, "path string"),
-        "occurrences": spark.createDataFrame(o, f"path string, symbol string, roles int, range {RANGE}"),
-        "symbols": spark.createDataFrame(s, "path string, symbol string, kind int"),
+        "occurrences": spark.createDataFrame(o, f"path string, symbol string, roles int, range {RANGE}, indent int, declares boolean"),
+        "symbols": spark.createDataFrame(s, "path string, symbol string, kind int, nth int"),
         "relationships": spark.createDataFrame(r, "symbol string, other string, reference boolean, implementation boolean, type boolean"),
     }
 
@@ -181,6 +219,15 @@ def definitions(t: dict[str, DataFrame]) -> DataFrame:
     return first.join(last.select("path", "symbol", "last"), ["path", "symbol"], "left").select("path", "symbol", F.coalesce("last", "range").alias("range"), F.col("last").isNotNull().alias("family"))
 
 
+def nested_definitions(t: dict[str, DataFrame]) -> DataFrame:
+    """NESTED: one row for each scope of a symbol that several scopes of a document define; a document is one task's."""
+    symbol, defines = F.col("symbol"), F.col("roles").bitwiseAND(DEFINITION) != 0
+    opens = (symbol.endswith("().") | symbol.endswith("#")) & (defines | F.col("declares"))
+    rows = t["occurrences"].where((symbol != "") & ~is_local(symbol) & F.col("range").isNotNull()).withColumns({"descriptor": parsed(symbol)["descriptor"], "opens": opens, "defines": defines & ~symbol.endswith(")")})
+    rows = rows.where("opens OR defines").select("*", "range.*").select(*(c.split()[0] for c in PLACES.split(", ")))
+    return rows.groupBy("path").applyInPandas(nested, NESTED)
+
+
 def resolved(t: dict[str, DataFrame], repository) -> DataFrame:
     """symbol, id, base_type, qualified_name, revision, inferred of every symbol that names an entity.
 
@@ -188,7 +235,7 @@ def resolved(t: dict[str, DataFrame], repository) -> DataFrame:
     and its module a file of the index; else the library of its package.
     """
     local = t["symbols"].select("symbol").union(definitions(t).select("symbol")).distinct().withColumn("here", F.lit(True))
-    kinds = t["symbols"].groupBy("symbol").agg(F.max("kind").alias("kind"))
+    kinds = t["symbols"].groupBy("symbol").agg(F.min_by("kind", "nth").alias("kind"))
     named = t["occurrences"].select("symbol").union(t["symbols"].select("symbol")).union(t["relationships"].select("other")).where(F.col("symbol") != "").distinct()
     rows = named.join(local, "symbol", "left").join(kinds, "symbol", "left").withColumn("p", parsed(F.col("symbol"))).where("p IS NOT NULL")
     dotted = F.replace(F.regexp_extract(F.col("p.descriptor"), "^`([^`]+)`", 1), F.lit("."), F.lit("/"))
@@ -216,36 +263,55 @@ class SymbolIndexProvider(Provider):
 
     def extract(self, spark, repository, capabilities):
         try:
-            payload = tables(spark, (Path(repository.path) / self.file).read_bytes())
-        except (OSError, ValueError, UnicodeDecodeError) as e:
+            data = (Path(repository.path) / self.file).read_bytes()
+            payload, self.version = tables(spark, data, repository.path), read_tool(data)
+        except (OSError, ValueError, UnicodeDecodeError, AttributeError, TypeError) as e:  # the last two: a field of another wire type
             raise ExtractionError(self.name, "UNAVAILABLE", f"{self.file}: {e}") from e
         return Cohort(self.name, self.version, repository.head_revision, [c for c in self.capabilities if c in capabilities]), payload
 
     def normalize(self, spark, repository, cohort, payload):
         from ..storage import keep
 
-        t, names = payload, keep(resolved(payload, repository))
-        places = definitions(t).join(t["occurrences"].where(F.col("roles").bitwiseAND(DEFINITION) != 0).groupBy("path", "symbol").agg(F.count("*").alias("times")), ["path", "symbol"])
-        # Several definitions of one symbol outside a family are different things: references cannot say which.
-        doubtful = keep(places.where("times > 1 AND NOT family").select("symbol").distinct())
-        sure = names.join(doubtful, "symbol", "left_anti")
+        t, names, apart = payload, keep(resolved(payload, repository)), keep(nested_definitions(payload))
+        # Which of several scopes a reference means cannot be told: it is left out.
+        sure = names.join(apart.select("symbol").distinct(), "symbol", "left_anti")
         file_id = canonical_id(F.lit(repository.repository_id), F.lit(repository.head_revision), F.lit("FILE"), F.col("path"))
         is_import = F.col("roles").bitwiseAND(IMPORT) != 0
-        uses = t["occurrences"].where(F.col("roles").bitwiseAND(DEFINITION) == 0).select("path", "symbol", is_import.alias("imports")).distinct()
+        uses = t["occurrences"].where((F.col("roles").bitwiseAND(DEFINITION) == 0) & (F.col("symbol") != "") & ~is_local(F.col("symbol"))).select("path", "symbol", is_import.alias("imports")).distinct()
+        uses = uses.where(F.lit(cohort.supports("SYMBOL_REFERENCE")))
         links = uses.join(sure.select("symbol", F.col("id").alias("object")), "symbol").select(file_id.alias("subject"), F.when(F.col("imports"), "IMPORTS").otherwise("REFERENCES").alias("predicate"), "object", F.lit("reference").alias("tag"))
         ends = t["relationships"].join(sure.select("symbol", F.col("id").alias("subject")), "symbol").join(sure.select(F.col("symbol").alias("other"), F.col("id").alias("object")), "other")
-        for flag, predicate, tag in (("implementation", "IMPLEMENTS", "implementation"), ("type", "REFERENCES", "type")):
-            links = links.unionByName(ends.where(flag).select("subject", F.lit(predicate).alias("predicate"), "object", F.lit(tag).alias("tag")).distinct())
+        for flag, predicate, tag, capability in (("implementation", "IMPLEMENTS", "implementation", "IMPLEMENTATION"), ("type", "REFERENCES", "type", "TYPE_RELATIONSHIP")):
+            told = ends.where(F.col(flag) & F.lit(cohort.supports(capability)))
+            links = links.unionByName(told.select("subject", F.lit(predicate).alias("predicate"), "object", F.lit(tag).alias("tag")).distinct())
+        links = keep(links)
         nth = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("tag", "subject", "predicate", "object")) - 1  # the facts of one index
-        links = links.select(F.concat(F.lit(f"symbols:{repository.head_revision}:"), "tag", F.lit(":"), nth.cast("string")).alias("evidence_id"), "subject", "predicate", "object", F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("raw_reference"))
-        at = F.when(F.col("path").isNotNull() & F.col("range").isNotNull(), F.struct(F.col("path").alias("file_path"), F.col("range.line").alias("start_line"), F.col("range.end_line").alias("end_line"), F.col("range.column").alias("start_column"), F.col("range.end_column").alias("end_column")))
-        first = places.groupBy("symbol").agg(F.min(F.struct("path", "range", "family")).alias("at")).select("symbol", "at.*")
-        roles = F.array_compact(F.array(kind_role(F.col("kind")), F.when(F.col("family"), F.lit("scip:redefinition-family")), F.when(F.col("inferred"), F.lit("scip:inferred-from-relationship-only"))))
+        numbered = links.select(F.concat(F.lit(f"symbols:{repository.head_revision}:"), "tag", F.lit(":"), nth.cast("string")).alias("evidence_id"), "subject", "predicate", "object", F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("raw_reference"))
+        files = uses.select(file_id.alias("id"), F.lit(repository.head_revision).alias("revision"), F.lit("FILE").alias("base_type"), F.col("path").alias("qualified_name"), F.array().cast("array<string>").alias("roles"), F.lit(None).cast(_location_type()).alias("at")).distinct()
+        found = self._defined(t, names, sure, apart, repository) if cohort.supports("SYMBOL_DEFINITION") else files.limit(0)
+        inferred = F.array_compact(F.array(F.when(F.col("inferred"), F.lit("scip:inferred-from-relationship-only"))))
+        named = links.select(F.col("object").alias("id")).union(links.where("tag != 'reference'").select("subject")).distinct()
+        other = sure.dropDuplicates(["id"]).join(named, "id", "left_semi").select("id", "revision", "base_type", "qualified_name", inferred.alias("roles"), F.lit(None).cast(_location_type()).alias("at"))
+        rows = found.unionByName(other.unionByName(files).join(found.select("id"), "id", "left_anti"))
         name = F.coalesce(F.nullif(F.substring_index("qualified_name", "/", -1), F.lit("")), "qualified_name")
-        found = sure.join(first, "symbol", "left").select(F.col("id").alias("canonical_id"), F.col("revision").alias("repository_revision"), name.alias("name"), "qualified_name", "base_type", roles.alias("roles"), at.alias("source_location"))
-        files = t["documents"].distinct().select(file_id.alias("canonical_id"), F.lit(repository.head_revision).alias("repository_revision"), F.substring_index("path", "/", -1).alias("name"), F.col("path").alias("qualified_name"), F.lit("FILE").alias("base_type"), F.array().cast("array<string>").alias("roles"), F.lit(None).cast(_location_type()).alias("source_location"))
-        entities = found.unionByName(files).withColumns({"repository_id": F.lit(repository.repository_id), "language": F.lit(None).cast("string"), "lifecycle_status": F.lit("ACTIVE"), "provider_ids": F.create_map(F.lit(self.name), F.col("name")), "ordinal": F.lit(0)})
-        return Normalized(entities, evidence_of(cohort, links), cohort)
+        rows = rows.select(F.col("id").alias("canonical_id"), F.col("revision").alias("repository_revision"), name.alias("name"), "qualified_name", "base_type", "roles", F.col("at").alias("source_location"))
+        entities = rows.withColumns({"repository_id": F.lit(repository.repository_id), "language": F.lit(None).cast("string"), "lifecycle_status": F.lit("ACTIVE"), "provider_ids": F.create_map(F.lit(self.name), F.col("name")), "ordinal": F.lit(0)})
+        return Normalized(entities, evidence_of(cohort, numbered), cohort)
+
+    def _defined(self, t, names, sure, apart, repository) -> DataFrame:
+        """One row an entity that is defined here: the first place that its symbol, or its scope, gives."""
+        place = F.struct("range.line", "range.column", "range.end_line", "range.end_column").alias("place")
+        plain = definitions(t).select("path", "symbol", place, "family", F.col("range").isNull().alias("nowhere")).join(sure, "symbol").withColumn("scoped", F.lit(False))
+        own = F.struct("line", "column", "end_line", "end_column").alias("place")
+        scoped = apart.select("path", "symbol", "qualifier", own).join(names, "symbol")
+        whole = F.when(F.col("qualifier").isNull(), F.col("qualified_name")).otherwise(F.concat(F.rtrim("qualifier", F.lit(".")), F.lit(".<locals>."), F.substring_index("qualified_name", "/", -1)))
+        scoped = scoped.withColumn("qualified_name", whole).withColumn("id", canonical_id(F.lit(repository.repository_id), F.col("revision"), F.col("base_type"), F.col("qualified_name")))
+        scoped = scoped.drop("qualifier").withColumns({"family": F.lit(False), "nowhere": F.lit(False), "scoped": F.lit(True)})
+        row = F.struct("nowhere", "path", "place", "symbol", "family", "scoped", "kind", "revision", "base_type", "qualified_name")
+        first = plain.drop("inferred").unionByName(scoped.drop("inferred")).groupBy("id").agg(F.min(row).alias("row")).select("id", "row.*")
+        at = F.when(~F.col("nowhere"), F.struct(F.col("path").alias("file_path"), F.col("place.line").alias("start_line"), F.col("place.end_line").alias("end_line"), F.col("place.column").alias("start_column"), F.col("place.end_column").alias("end_column")))
+        roles = F.array_compact(F.array(kind_role(F.col("kind")), F.when(F.col("family"), F.lit("scip:redefinition-family")), F.when(F.col("scoped"), F.lit("scip:nested-scope-disambiguated"))))
+        return first.select("id", "revision", "base_type", "qualified_name", roles.alias("roles"), at.alias("at"))
 
 
 def _location_type() -> str:

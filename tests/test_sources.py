@@ -1,11 +1,13 @@
 """Sources, ingestion, stores, streams and the service on small files."""
 
 import json
+import random
 import subprocess
 import urllib.error
 import urllib.request
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from lodestone import schema
 from lodestone.operators.ingest import Ingestion, Registry
 from lodestone.operators.stores import ArtifactConflict, ArtifactStore, EvidenceStore, TelemetryStore
 from lodestone.service import Service, serve
-from lodestone.sources import git, manifest, pycalls, sarif, symbols
+from lodestone.sources import git, manifest, pycalls, sarif, scopes, symbols
 from lodestone.sources.contract import Cohort, ExtractionError, Provider, Repository
 from lodestone.streaming import telemetry
 
@@ -142,6 +144,93 @@ def test_symbol_index(spark, tmp_path):
             list(symbols.fields(bad))
 
 
+NESTED_SOURCE = """class A:
+    def one(self):
+        def helper(): ...
+        def index():
+            def inner(): ...
+    async def two(self):
+        def helper(): ...
+        def index():
+            def inner(): ...
+    def helper(self): ...
+def again(): ...
+def again(): ...
+"""
+
+
+def scoped_index(source, symbol):
+    """Every def and class of a source as a definition; a function's descriptor names the class around it, no function."""
+    rows, owner = b"", ""
+    for at, text in enumerate(source.splitlines()):
+        name = text.split("(")[0].split(":")[0].split()[-1]
+        if text.startswith(("class ", "def ")):
+            owner = name + "#" if text.startswith("class ") else ""
+        descriptor = f"`pkg.m`/{owner}" + ("" if text.startswith("class ") else f"{name}().")
+        column = text.index(name + (":" if text.startswith("class ") else "("))
+        rows += occurrence(symbol(descriptor), 1, at, column, column + len(name))
+    return rows
+
+
+def test_scopes_that_share_a_descriptor(spark, tmp_path):
+    s = lambda d: f"scip-python python pkg v {d}"
+    doc = field(1, "pkg/m.py") + scoped_index(NESTED_SOURCE, s)
+    doc += occurrence(s("`pkg.m`/A#helper()."), 0, 40, 0, 1) + occurrence(s("`pkg.m`/again()."), 0, 41, 0, 1)
+    other = field(1, "pkg/n.py") + occurrence("local 1", 0, 1, 0, 1)
+    index = field(1, field(2, field(1, "tool") + field(2, "7"))) + field(2, doc) + field(2, other)
+    (tmp_path / "index.scip").write_bytes(index)
+    (tmp_path / "pkg").mkdir()
+    (tmp_path / "pkg/m.py").write_text(NESTED_SOURCE)
+    provider = symbols.SymbolIndexProvider()
+    found = normal(spark, provider, Repository("r", str(tmp_path), "v"))
+    rows = {r.qualified_name: r for r in found.entities.collect()}
+    m = "`pkg.m`/A#"
+    want = {m: 0, m + "one().": 1, m + "one().<locals>.A#helper().": 2, m + "one().<locals>.A#index().": 3, m + "one().<locals>.A#index().<locals>.A#inner().": 4}
+    want |= {m + "two().": 5, m + "two().<locals>.A#helper().": 6, m + "two().<locals>.A#index().": 7, m + "two().<locals>.A#index().<locals>.A#inner().": 8}
+    want |= {m + "helper().": 9, "`pkg.m`/again().": 10}  # a method is told by its class; again() is one thing in one scope
+    assert {k: r.source_location.start_line for k, r in rows.items() if k != "pkg/m.py"} == want
+    assert {k for k, r in rows.items() if r.roles == ["scip:nested-scope-disambiguated"]} == {k for k in want if "<locals>" in k} | {m + "helper()."}
+    assert "pkg/n.py" not in rows and provider.version == "tool@7"  # a file without references is no end of an edge
+    names = {r.canonical_id: q for q, r in rows.items()}
+    assert {(names[r.subject], names[r.object]) for r in found.evidence.collect()} == {("pkg/m.py", "`pkg.m`/again().")}  # which helper is meant cannot be told
+
+
+def test_scope_of_a_place_against_a_backward_search():
+    draw = random.Random(5)
+    for _ in range(300):
+        rows = []
+        for line in range(draw.randint(0, 14)):
+            kind = draw.choice(["f().", "g().", "C#", "x."])
+            rows.append(("p", kind, kind, line, 0, line, 1, draw.randint(0, 4), kind != "x.", draw.random() < 0.8))
+        places = pd.DataFrame(rows, columns=[c.split()[0] for c in scopes.PLACES.split(", ")])
+        identity, want = {}, {}  # line: (symbol, identity of the scope around)
+        for p in places.itertuples():
+            around = next((identity[q.line] for q in reversed(list(places.itertuples())) if q.line < p.line and q.opens and q.indent < p.indent), None)
+            identity[p.line] = (p.symbol, around)
+            if p.defines and around:
+                want.setdefault(p.symbol, {})[around] = p.line
+        got = scopes.nested(places)
+        assert sorted(zip(got["symbol"], got["line"], strict=True)) == sorted((k, line) for k, by in want.items() if len(by) > 1 for line in by.values())
+
+
+def test_scopes_without_a_source(tmp_path):
+    place = symbols.Source(tmp_path, "../outside.py")
+    assert place.lines is None and place.indent(3, 7) == 7 and not place.declares(3, 7)
+    (tmp_path / "a.py").write_text("async def f(x: C): ...\n")
+    known = symbols.Source(tmp_path, "a.py")
+    assert known.indent(0, 10) == 0 and known.declares(0, 10) and not known.declares(0, 15) and not known.declares(9, 0)
+
+
+def test_ranges_of_occurrences():
+    one, many = field(1, 3) + field(2, 4) + field(3, 9), field(1, 3) + field(2, 4) + field(3, 5)
+    ranges = [field(9, many + field(4, 6)) + field(8, one), field(8, one) + field(1, b"\x01\x02\x03"), field(8, field(3, 2)), b""]
+    document = field(2, field(1, "p") + b"".join(field(2, r) for r in ranges))
+    assert [o[3] for o in symbols.read_index(document)[1]] == [(3, 4, 5, 6), (3, 4, 3, 9), (0, 0, 0, 2), None]
+    for bad in (b"", field(2, field(4, "py")), field(2, field(1, "p") + field(2, field(1, b"\x01\x02"))), field(2, field(1, "p") + field(3, field(5, 7)))):
+        with pytest.raises(ValueError):
+            symbols.read_index(bad)
+
+
 class Fake(Provider):
     capabilities = ("DEPENDENCY",)
 
