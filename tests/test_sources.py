@@ -306,6 +306,28 @@ def test_streams_go_on_where_they_ended(spark, tmp_path):
     assert telemetry.stream_dedupe(spark, str(tmp_path)).count() == 160
 
 
+def test_history_keeps_what_a_window_can_need():
+    draw = random.Random(3)
+    for _ in range(300):
+        entries = [(seq, draw.randint(0, 40)) for seq in range(draw.randint(0, 40))]
+        cut = draw.randint(0, len(entries))
+        kept = telemetry.latest(telemetry.latest(entries[:cut], 4) + entries[cut:], 4)
+        for now in range(0, 60, 7):
+            last = lambda rows, now=now: sorted((e for e in rows if now - e[1] <= 12), reverse=True)[:4]
+            assert last(kept) == last(entries)
+    assert len(telemetry.latest([(k, k) for k in range(1000)], 10)) == 10
+
+
+def test_history_goes_on_where_it_ended(spark, tmp_path):
+    rows = lambda a, b: spark.range(a, b).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id * 2) AS ts", "if(id % 7 = 0, null, id % 3) AS user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props")
+    run = lambda: telemetry.drain_history(telemetry.history(telemetry.events(spark, str(tmp_path)).selectExpr("user_id AS repository_id", "event_id AS seq", "ts AS observed_at")), f"{tmp_path}/check", f"{tmp_path}/out")
+    want = lambda n: {(k, i) for k in range(3) for i in [i for i in range(n) if i % 3 == k and i % 7][-10:]}
+    rows(0, 100).write.parquet(f"{tmp_path}/events.parquet")
+    assert {(r.repository_id, r.seq) for r in run().collect()} == want(100)
+    rows(100, 130).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    assert {(r.repository_id, r.seq) for r in run().collect()} == want(130)
+
+
 def test_service(spark, repo):
     registry = Registry()
     registry.register(git.GitProvider(), (1.0, 0.5))
