@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from lodestone import schema
 from lodestone.operators.ingest import Ingestion, Registry
+from lodestone.operators.reconcile import reconcile
 from lodestone.operators.stores import ArtifactConflict, ArtifactStore, EvidenceStore, TelemetryStore
 from lodestone.service import Service, serve
 from lodestone.sources import git, manifest, pycalls, sarif, scopes, symbols
 from lodestone.sources.contract import Cohort, ExtractionError, Provider, Repository
-from lodestone.streaming import telemetry
+from lodestone.streaming import evidence, telemetry
 
 
 def normal(spark, provider, repository):
@@ -328,6 +329,21 @@ def test_history_goes_on_where_it_ended(spark, tmp_path):
     assert {(r.repository_id, r.seq) for r in run().collect()} == want(130)
 
 
+def test_evidence_stream_equals_one_reconciliation(spark, tmp_path):
+    at, draw = datetime(2026, 8, 31), random.Random(2)
+    row = lambda k: (f"e{k}", f"p{k % 3}", "1", "s", "v", f"n{draw.randint(0, 4)}", "CALLS", f"n{draw.randint(0, 6)}", draw.random(), at, None, None)
+    first, second = [row(k) for k in range(30)], [row(k) for k in range(30, 60)]
+    second += [first[0], (*row(60)[:8], 1.5, *row(60)[9:])]  # one is known, one breaks a rule
+    entities = spark.createDataFrame([(f"n{k}",) for k in range(6)], "canonical_id string")  # n6 is unknown
+    now, plain = F.lit(at).cast("timestamp"), lambda df: sorted(df.select(*schema_names).collect())
+    schema_names = [x.split()[0] for x in schema.RELATIONSHIP.split(", ")]
+    for known, rows in ((first, first), (first + second[:30], second)):
+        spark.createDataFrame(rows, schema.EVIDENCE).write.mode("append").parquet(f"{tmp_path}/in")
+        got = evidence.reconcile_stream(evidence.evidence_stream(spark, f"{tmp_path}/in"), entities, now, f"{tmp_path}/work")
+        assert plain(got) == plain(reconcile(spark.createDataFrame(known, schema.EVIDENCE), entities, now))
+    assert [(r.evidence_id, r.broken_rules) for r in spark.read.parquet(f"{tmp_path}/work/rejected").collect()] == [("e60", ["confidence"])]
+
+
 def test_service(spark, repo):
     registry = Registry()
     registry.register(git.GitProvider(), (1.0, 0.5))
