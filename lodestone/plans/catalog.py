@@ -103,16 +103,9 @@ def page_references(spark, sf_dir):
     return p.select("page_id", F.explode(F.expr("regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)")).alias("object")).groupBy("page_id", "object").agg(F.count("*").alias("n"))
 
 
-def provider_score_rank(spark, sf_dir):
-    """Suppliers as providers, ranked inside their nation by balance."""
-    s = table(spark, sf_dir, "supplier")
-    w = Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")
-    return s.select("s_nationkey", "s_suppkey", F.row_number().over(w).alias("rank"))
-
-
 FUNCTIONS = (
     canonical_ids, entity_search_name, entity_search_type, edge_scan, independence_combine, contradiction_score,
-    reconcile_status, relationship_confidence, co_change_pairs, session_30m, telemetry_hourly, artifact_dedupe, page_references, provider_score_rank,
+    reconcile_status, relationship_confidence, co_change_pairs, session_30m, telemetry_hourly, artifact_dedupe, page_references,
 )
 
 _RECONCILED_SQL = """w AS (
@@ -144,7 +137,6 @@ SQL = {
     "telemetry_hourly": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events GROUP BY 1,2",
     "artifact_dedupe": "SELECT sha256(coalesce(html,'')) AS digest, min(page_id) AS page_id, count(*) AS n FROM pages GROUP BY 1",
     "page_references": """SELECT page_id, object, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS object FROM pages) GROUP BY 1,2""",
-    "provider_score_rank": "SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey)::INT AS rank FROM supplier",
 }
 
 

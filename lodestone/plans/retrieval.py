@@ -97,12 +97,6 @@ def transitive_depends(spark, sf_dir):
     return seen.groupBy("depth").agg(F.count("*").alias("n"))
 
 
-def evidence_fold(spark, sf_dir):
-    """Evidence of each order and supplier, folded to one relationship."""
-    line = table(spark, sf_dir, "lineitem")
-    return line.groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"), F.countDistinct("l_partkey").alias("parts"), F.min("l_linenumber").alias("first"))
-
-
 def freshness_decay(spark, sf_dir):
     """Freshness of each user's newest error at the last event: half of it goes every 24 hours; 0 without one."""
     e = table(spark, sf_dir, "events")
@@ -228,7 +222,7 @@ def changeset_diff(spark, sf_dir):
 
 FUNCTIONS = (
     entity_search_qualified, symbol_path, bare_symbol, qn_segments, match_tiers, seed_resolution, qualifier_seeds, known_endpoint_edges,
-    structural_first_edge, transitive_depends, evidence_fold, freshness_decay, capability_coverage,
+    structural_first_edge, transitive_depends, freshness_decay, capability_coverage,
     negative_coverage, exhaustive_check, token_budget, bm25_scores, mrr, precision_at_10, recall_at_10, session_window_decay, telemetry_filter,
     failure_events, dedupe_events, artifact_conflicts, changeset_diff,
 )
@@ -296,7 +290,6 @@ SQL = {
     "transitive_depends": f"""WITH RECURSIVE {EDGES_SQL}, e AS (SELECT subject, object FROM edges WHERE predicate IN ('CONTAINS','CALLS','DEPENDS_ON')),
         r AS (SELECT object AS node, 1 AS depth FROM e WHERE subject='region:1' UNION SELECT e.object, r.depth+1 FROM r JOIN e ON e.subject=r.node)
         SELECT d AS depth, count(*) AS n FROM (SELECT node, min(depth) AS d FROM r GROUP BY 1) GROUP BY 1""",
-    "evidence_fold": "SELECT l_orderkey, l_suppkey, count(*) AS n, count(DISTINCT l_partkey) AS parts, min(l_linenumber) AS first FROM lineitem GROUP BY 1,2",
     "freshness_decay": """WITH n AS (SELECT user_id, max(ts) FILTER (event_type='error') AS a FROM events GROUP BY 1), t AS (SELECT *, epoch_us((SELECT max(ts) FROM events))-epoch_us(a) AS age FROM n)
         SELECT user_id, CASE WHEN a IS NULL THEN 0.0::DOUBLE WHEN age<=0 THEN 1.0::DOUBLE ELSE round(power(0.5::DOUBLE, age/3.6e9::DOUBLE/24.0::DOUBLE),6) END AS weight FROM t""",
     "capability_coverage": f"WITH {_COVERAGE} SELECT * FROM cov",
