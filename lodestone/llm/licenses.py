@@ -19,7 +19,6 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import random
 import re
 from functools import reduce
 from math import ceil
@@ -47,8 +46,6 @@ TEMPLATES = {
 TEXTS = [(p.stem.split("__")[0], p.read_text()) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
 SIMILAR = 0.5
 
-_RANDOM = random.Random(6)
-SEEDS = [_RANDOM.getrandbits(63) for _ in range(BANDS)]
 
 
 def size_class(shingles: int) -> int:
@@ -61,18 +58,21 @@ def _shingles(words: Column) -> Column:
     return F.transform(at, lambda i: F.array_join(F.slice(words, i, WORDS), " "))
 
 
-def _bands(hashes: Column, c: int) -> Column:
-    seeds = SEEDS[:1] if c == 1 else SEEDS
+def _least(hashes: Column, band: int) -> Column:
+    """The smallest shingle of a band: each band hashes shingle and number together, so its order is of its own."""
+    return F.array_min(F.transform(hashes, lambda x: F.xxhash64(x, F.lit(band))))
 
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(seed))))
 
-    return F.array(*(F.struct(F.lit(k).alias("band"), least(s).alias("least")) for k, s in enumerate(seeds)))
+def _bands(hashes: Column, c: int) -> Column:
+    return F.array(*(F.struct(F.lit(k).alias("band"), _least(hashes, k).alias("least")) for k in range(1 if c == 1 else BANDS)))
 
 
-def smallest_of_bands(hashes: list[int], c: int) -> set[int]:
+def _smallest_of_bands(hashes: Column) -> Column:
     """The shingles that decide a template's bands."""
-    return {min(hashes, key=lambda x: x ^ s) for s in (SEEDS[:1] if c == 1 else SEEDS)}
+    def first(band: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda x: F.struct(F.xxhash64(x, F.lit(band)).alias("least"), x.alias("shingle"))))["shingle"]
+
+    return F.array_distinct(F.array(*(first(k) for k in range(BANDS))))
 
 
 def _windows(c: int) -> Column:
@@ -111,8 +111,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     rows = [(k, f, step[f], size_class(len(w)), w) for (k, w), f in zip(chosen, family, strict=True)]
     known = keep(spark.createDataFrame(rows, "license string, family int, step int, c int, wanted array<string>").withColumn("own", F.transform("wanted", lambda s: F.xxhash64(s))))
     index: dict[int, set[int]] = {}
-    for r in known.select("c", "own").collect():  # as large as the templates
-        index.setdefault(r["c"], set()).update(smallest_of_bands(r["own"], r["c"]))
+    for r in known.select("c", _smallest_of_bands(F.col("own")).alias("smallest")).collect():  # as large as the templates
+        index.setdefault(r["c"], set()).update(r["smallest"])
     among = lambda hashes: f"h -> h IN ({', '.join(f'{x}L' if x > -(2**63) else 'long(-9223372036854775808)' for x in sorted(hashes))})"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), _words(F.col("text").cast("string")).alias("words")).where(F.size("words") >= WORDS)
     texts = texts.select("doc_id", "_row", "words", F.transform(_shingles(F.col("words")), lambda s: F.xxhash64(s)).alias("hashes"))
