@@ -144,7 +144,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS) -> Model:
             yield pa.RecordBatch.from_arrays(cols, names=["lang", "part", "at", "x"])
 
     # The same bounded choice whatever the partitioning: the smallest hashes of each language and part.
-    langs = docs.where("lang IS NOT NULL").select("lang").distinct().count()
+    langs = docs.where(~held_out()).where("lang IS NOT NULL").select("lang").distinct().count()
     sample = max(1, min(sample, MOST_ROWS // max(1, langs)))
     rows = rows.withColumn("part", (fold() == 1).cast("int"))
     chosen = smallest(rows.select("doc_id", "lang", "part"), ["lang", "part"], F.xxhash64("doc_id", F.lit(9)), sample, ["doc_id"]).select("doc_id").distinct()
