@@ -6,8 +6,8 @@ the document's label in training. The forward-backward marginals of the lines, w
 aggregate to one number, and a logistic fit on learning rows turns it into the score.
 
 The field is fitted on a bounded sample: at most SAMPLE labelled documents per class, the smallest by a
-hash of the id, of fewer than TRAIN_LINES lines; of rows that share an id, one text. Scoring reads every line
-of every text, in blocks of bounded size.
+hash of the id, whatever their length; of rows that share an id, one text. A longer one lends TRAIN_LINES
+lines in a row, which begin at a place that its id chooses. Scoring reads every line of every text, in blocks of bounded size.
 
 Defined results: null and empty texts have one empty line; without learning rows every score is 0.5;
 repeated rows get equal scores; a label row that is repeated or disputed counts by its largest value;
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,6 +66,12 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return out, np.array([len(x) + 1 for x in lines], np.float64)
 
 
+def some_lines(x: np.ndarray, n: np.ndarray, doc_id: int, most: int = TRAIN_LINES) -> tuple[np.ndarray, np.ndarray]:
+    """At most `most` lines in a row, from a place that the id chooses."""
+    at = zlib.crc32(str(doc_id).encode()) // 5 % max(1, len(n) - most + 1)
+    return x[at : at + most], n[at : at + most]
+
+
 def with_neighbours(x: np.ndarray) -> np.ndarray:
     zero = np.zeros((1, x.shape[1]))
     return np.hstack([x, np.vstack([zero, x[:-1]]), np.vstack([x[1:], zero])])
@@ -210,17 +217,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL").where(~held_out())
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(~held_out())
-    lines = F.length(F.coalesce("text", F.lit(""))) - F.length(F.translate(F.coalesce("text", F.lit("")), "\n", ""))
-    short = texts.where(lines < TRAIN_LINES)
-    known = short.select("doc_id").distinct().join(marks, "doc_id")
+    known = texts.select("doc_id").distinct().join(marks, "doc_id")
     chosen = smallest(known, ["quality"], F.xxhash64("doc_id", F.lit(10)), sample, ["doc_id"]).select("doc_id", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [line_features(t.as_py()) for t in batch.column("text")]
+            found = [some_lines(*line_features(t.as_py()), d.as_py()) for t, d in zip(batch.column("text"), batch.column("doc_id"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([n.tobytes() for _, n in found], pa.binary())], names=["doc_id", "quality", "x", "n"])
 
-    picked = short.join(F.broadcast(chosen), "doc_id")  # at most 2 * sample ids
+    picked = texts.join(F.broadcast(chosen), "doc_id")  # at most 2 * sample ids
     picked = picked.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of a repeated id, one text
     rows = picked.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x binary, n binary").orderBy("doc_id").collect()
     xs = [np.frombuffer(r["x"]).reshape(-1, BASE) for r in rows]
