@@ -75,6 +75,28 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, starts - starts[0]
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def cut_words(column: pa.Array, inside: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of a column of texts, A-Z lower-cased, and the number of each word's text.
+
+    inside tells of each of the 256 bytes whether it belongs to words; it must hold all or none beyond ASCII, so
+    that words are whole characters.
+    """
+    data, starts = text_bytes(column)
+    data = LOWER[data]
+    mask = inside[data]
+    first = mask.copy()
+    first[1:] &= ~mask[:-1]
+    heads = starts[:-1][starts[:-1] < starts[1:]]
+    first[heads] = mask[heads]  # a word ends with its text
+    offsets = np.append(np.flatnonzero(first[mask]), int(mask.sum())).astype(np.int64)
+    doc = np.searchsorted(starts, np.flatnonzero(first), "right") - 1
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[mask])]), doc
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5; 0 is the held-out fold. A null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % FOLDS

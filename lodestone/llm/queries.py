@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, langid, licenses, quality
+from . import ann, clusters, divergence, langid, licenses, quality
 from .bpe import encode_documents
 from .chat import format_conversations
 from .chunks import exact_groups
@@ -62,6 +62,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in FUNCTIONS}
 
@@ -69,9 +77,62 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 FUNCTIONS = (
     op1_best_fit_packing, op2_ngram_jaccard, op3_byte_bpe, op4_warc, op5_exact_dedup, op6_license_scan,
     op7_nearest_neighbours, op8_chat_format, op9_language_id, op10_quality,
+    op11_source_divergence, op12_centroid_clustering,
 )
 
+
+
+def _cluster_sql(rounds: int = 5, k: int = 40) -> str:
+    """Every vector meets every centroid in each round, which is written out."""
+    parts = [f"""
+        kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = 64),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, x AS m FROM kept ORDER BY c LIMIT {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+        a{i} AS MATERIALIZED (
+            SELECT row, vec_id, x, c, list_sum(list_transform(list_zip(x, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+            FROM kept, c{i} QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1)""")
+        if i < rounds:
+            parts.append(f"""
+        s{i} AS (SELECT c, generate_subscripts(x, 1) AS dim, unnest(x) AS v FROM a{i}),
+        t{i} AS (SELECT c, dim, sum(v) AS s, count(*) AS n FROM s{i} GROUP BY ALL),
+        c{i + 1} AS MATERIALIZED (
+            SELECT c, coalesce(list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY dim) FILTER (n IS NOT NULL), any_value(m)) AS m
+            FROM c{i} LEFT JOIN t{i} USING (c) GROUP BY c)""")
+    return f"""WITH {",".join(parts)}
+        SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+               (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
 SQL = {
+    "op12_centroid_clustering": _cluster_sql(),
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        w AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY ALL HAVING count(DISTINCT doc) >= 10),
+        here AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        size AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY lang),
+        own AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM here GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n,
+                     1 + 1000000000 * (coalesce(h.n, 0) + 2) // (coalesce(o.n, 0) + 2 * s.v) AS p,
+                     1 + 1000000000 * (k.n + 2) // (s.n + 2 * s.v) AS q
+              FROM groups g JOIN size s USING (lang) JOIN kept k USING (lang)
+              LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source
+              LEFT JOIN here h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+        gaps AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+                 FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(g.value, 0)::BIGINT AS value
+                  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN gaps g ON g.lang = a.lang AND g.source = a.source AND g.item = b.source
+                  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+        FROM found QUALIFY part = 'pair' OR rank <= 10
+    """,
     "op5_exact_dedup": """
         WITH t AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
