@@ -85,7 +85,11 @@ def cut_words(column: pa.Array, inside: np.ndarray) -> tuple[pa.Array, np.ndarra
     inside tells of each of the 256 bytes whether it belongs to words; it must hold all or none beyond ASCII, so
     that words are whole characters.
     """
-    data, starts = text_bytes(column)
+    return cut_bytes(*text_bytes(column), inside)
+
+
+def cut_bytes(data: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """As cut_words, from UTF-8 bytes and where each text starts, with the end."""
     data = LOWER[data]
     mask = inside[data]
     first = mask.copy()
@@ -97,6 +101,22 @@ def cut_words(column: pa.Array, inside: np.ndarray) -> tuple[pa.Array, np.ndarra
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[mask])]), doc
 
 
+def stretches(data: np.ndarray, inside: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The bytes of a text in stretches of about `most`, cut outside words."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + most)
+        if end < len(data):
+            gaps = np.flatnonzero(~inside[data[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:  # one word, longer than a stretch
+                while end < len(data) and inside[data[end]]:
+                    end += 1
+        yield data[at:end]
+        at = end
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5; 0 is the held-out fold. A null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % FOLDS

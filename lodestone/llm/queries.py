@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, clusters, divergence, langid, licenses, quality
+from . import ann, clusters, divergence, langid, licenses, quality, scoring
 from .bpe import encode_documents
 from .chat import format_conversations
 from .chunks import exact_groups
@@ -70,6 +70,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in FUNCTIONS}
 
@@ -77,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 FUNCTIONS = (
     op1_best_fit_packing, op2_ngram_jaccard, op3_byte_bpe, op4_warc, op5_exact_dedup, op6_license_scan,
     op7_nearest_neighbours, op8_chat_format, op9_language_id, op10_quality,
-    op11_source_divergence, op12_centroid_clustering,
+    op11_source_divergence, op12_centroid_clustering, op13_lm_scoring,
 )
 
 
