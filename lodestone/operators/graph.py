@@ -7,30 +7,47 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import keep
+from ..storage import forget, keep
+from .adjacency import Adjacency, store
+from .ordinals import numbered
 
 
 @dataclass(frozen=True)
 class Graph:
-    """entities (canonical_id, name, qualified_name, base_type, roles, located, ...) and edges (subject, predicate, object, pair_first, ...)."""
+    """entities (canonical_id, name, qualified_name, base_type, roles, located, ...) and edges (subject, predicate, object, pair_seq, edge_seq, ...).
+
+    into holds the same edges by object; without it, edges serve both ways.
+    """
 
     entities: DataFrame
     edges: DataFrame
     version: str
+    into: DataFrame | None = None
+
+    @property
+    def adjacency(self) -> Adjacency:
+        return Adjacency(self.edges, self.edges if self.into is None else self.into)
 
 
 def materialize(entities: DataFrame, relationships: DataFrame) -> DataFrame:
-    """Relationships of which both ends are known entities; pair_first is the first predicate between the two."""
+    """Relationships of which both ends are known entities, with pair_seq: the first commit ordinal between the two.
+
+    Without commit ordinals (edge_seq) relationships stand in the order of predicate, subject and object.
+    """
     ids = entities.select("canonical_id")
     known = relationships.join(ids.withColumnRenamed("canonical_id", "subject"), "subject", "left_semi").join(ids.withColumnRenamed("canonical_id", "object"), "object", "left_semi")
-    return known.withColumn("pair_first", F.min("predicate").over(Window.partitionBy("subject", "object")))
+    if "edge_seq" not in known.columns:
+        known = numbered(known, ["predicate", "subject", "object"], "edge_seq")
+    return known.withColumn("pair_seq", F.min("edge_seq").over(Window.partitionBy("subject", "object")))
 
 
 def publish(entities: DataFrame, relationships: DataFrame, version: str) -> Graph:
-    """Write both once; edges by predicate, so that a lookup reads only its predicates' files."""
+    """Write entities once and edges in two orders."""
     entities = keep(entities)
-    edges = materialize(entities, relationships)
-    return Graph(entities, keep(edges.select("subject", "object", *(c for c in edges.columns if c not in ("subject", "object", "predicate")), "predicate"), partition_by="predicate"), version)
+    edges = keep(materialize(entities, relationships))
+    both = store(edges)
+    forget(edges)
+    return Graph(entities, both.out, version, both.into)
 
 
 def get_entity(graph: Graph, canonical_id: str) -> DataFrame:
@@ -53,7 +70,7 @@ def has_role(role: str) -> Column:
 
 
 def get_relationships(graph: Graph, subject: str | None = None, predicate: str | None = None, object_id: str | None = None) -> DataFrame:
-    found = graph.edges
+    found = graph.adjacency.into if subject is None and object_id is not None else graph.edges
     for column, wanted in (("subject", subject), ("predicate", predicate), ("object", object_id)):
         if wanted is not None:
             found = found.where(F.col(column) == wanted)

@@ -13,6 +13,7 @@ from ..schema import ENTITY, EVIDENCE, OUTCOME
 from ..sources.contract import ExtractionError, Provider, Repository
 from ..storage import keep
 from .graph import Graph, publish
+from .ordinals import numbered
 from .reconcile import reconcile, remapped
 from .registry import USABLE, evaluation_status
 from .resolve import id_map, resolve_entities
@@ -70,7 +71,7 @@ class Ingestion:
             wanted = sorted(c for c, _ in evaluated[name])
             outcomes.append((name, None, "SKIPPED", wanted, [], [], [], None, None, "; ".join(f"{c}: {s}" for c, s in sorted(evaluated[name])), 0, 0))
         raw = self.raw.get(key, spark.createDataFrame([], f"{ENTITY}, ordinal int"))
-        evidence = self.evidence.get(key, spark.createDataFrame([], EVIDENCE))
+        evidence = self.evidence.get(key, spark.createDataFrame([], f"{EVIDENCE}, commit_seq long"))
         entities, merges = resolve_entities(raw)
         entities, merges = keep(entities), keep(merges)
         at = F.lit(now).cast("timestamp") if now else F.current_timestamp()
@@ -78,21 +79,28 @@ class Ingestion:
         graph = publish(entities.withColumn("located", F.col("source_location").isNotNull() & (F.col("lifecycle_status") == "ACTIVE")), relationships, version_id(key, repository.head_revision, versions))
         return graph, spark.createDataFrame(outcomes, OUTCOME)
 
+    def _committed(self, key: str, evidence: DataFrame) -> DataFrame:
+        """Evidence with commit ordinals after all that is known: in a provider's order, which the numbers at the end of its ids tell."""
+        known = self.evidence.get(key)
+        before = 0 if known is None else known.agg(F.coalesce(F.max("commit_seq") + 1, F.lit(0))).first()[0]
+        nth = F.try_to_number(F.regexp_extract("evidence_id", r"([0-9]{1,18})$", 1), F.lit("9" * 18))
+        return numbered(evidence, [nth.asc_nulls_last(), "evidence_id"], "commit_seq", before)
+
     def _one(self, provider: Provider, repository: Repository, capabilities: list[str]) -> tuple:
         """Extract, check, normalise and commit one provider. Whatever it raises is its own outcome; the rows are written here, so that no fault shows later."""
+        key = repository.repository_id
         failed = lambda reason, detail: (provider.name, provider.version, "FAILED", capabilities, [], [], [], None, reason, detail, 0, 0)
         try:
             cohort, payload = provider.extract(self.spark, repository, capabilities)
             if cohort.provider != provider.name or cohort.source_revision != repository.head_revision:
                 return failed(None, f"cohort of {cohort.provider} at {cohort.source_revision}")
             found = provider.normalize(self.spark, repository, cohort, payload)
-            entities, evidence = keep(found.entities), keep(found.evidence)
+            entities, evidence = keep(found.entities), self._committed(key, found.evidence)
             counts = entities.count(), evidence.count()
         except ExtractionError as e:
             return failed(e.reason, e.detail)
         except Exception as e:  # a provider's fault is its own
             return failed(None, f"unexpected error: {e}")
-        key = repository.repository_id
         self.raw[key] = entities if key not in self.raw else self.raw[key].unionByName(entities)
         known = self.evidence.get(key)
         fresh = evidence if known is None else evidence.join(known.select("evidence_id"), "evidence_id", "left_anti")

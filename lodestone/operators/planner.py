@@ -77,7 +77,7 @@ def plan(graph: Graph, contracts: DataFrame, outcomes: DataFrame | None = None)
     requests = live.select("query_id", F.col("allowed").alias("depth"), "max_nodes", "max_edges", F.col("forward").alias("reverse"))
     types = keep(_types(live))
     main = lambda t: t.select("query_id", "predicate", "pidx", F.lit(False).alias("supplementary"))
-    nodes, edges, flags = traverse(graph.edges, seeds, requests, main(types), DEPTH)
+    nodes, edges, flags = traverse(graph.adjacency, seeds, requests, main(types), DEPTH)
     first = nodes.groupBy("query_id").agg(F.count("*").alias("original_nodes")).join(edges.groupBy("query_id").agg(F.count("*").alias("original_edges")), "query_id", "full_outer")
     cut = live.join(flags.where("truncated").select("query_id"), "query_id", "left_semi")
     blocked = cut.where(F.col("all")).select("query_id", F.lit(True).alias("too_wide"))
@@ -90,7 +90,7 @@ def plan(graph: Graph, contracts: DataFrame, outcomes: DataFrame | None = None)
         last = nodes, edges, flags
     else:
         only = lambda df: df.join(again.select("query_id"), "query_id", "left_semi")
-        second = traverse(graph.edges, only(seeds), only(requests), only(predicates), DEPTH)
+        second = traverse(graph.adjacency, only(seeds), only(requests), only(predicates), DEPTH)
         last = tuple(keep(a.join(again.select("query_id"), "query_id", "left_anti").unionByName(b)) for a, b in zip((nodes, edges, flags), second, strict=True))
     final = last[0].groupBy("query_id").agg(F.count("*").alias("nodes")).join(last[1].groupBy("query_id").agg(F.count("*").alias("edges")), "query_id", "full_outer")
     rows = rows.join(first, "query_id", "left").join(final, "query_id", "left").join(blocked, "query_id", "left").join(again.select("query_id", F.lit(True).alias("narrowed")), "query_id", "left").join(last[2], "query_id", "left")
@@ -136,7 +136,7 @@ def execute(graph: Graph, plans: Plans) -> Packages:
     ranked = keep(rank_entities(nodes, edges, graph.entities, asked, queries))
     needy = works.where(F.array_contains("required_evidence", "SOURCE_LOCATION")).select("query_id")
     short = ranked.join(needy, "query_id", "left_semi")
-    widened, missing = expand_for_location(graph.edges, graph.entities, short.select("query_id", "entity", "rank"))
+    widened, missing = expand_for_location(graph.adjacency, graph.entities, short.select("query_id", "entity", "rank"))
     more = widened.join(ranked.select("query_id", "entity"), ["query_id", "entity"], "left_anti")
     entities = ranked.unionByName(more, allowMissingColumns=True)
     rows = plans.rows.join(missing, "query_id", "left").fillna(False, ["partial"])

@@ -51,19 +51,23 @@ def _sides(prefix: str) -> list[tuple[str, Column]]:
 
 
 def fold(evidence: DataFrame, contradicting: DataFrame | None = None) -> DataFrame:
-    """One row a (subject, predicate, object) with its distinct evidence ids, in order."""
+    """One row a (subject, predicate, object) with its distinct evidence ids, in order.
+
+    Where records carry their commit ordinal (commit_seq), edge_seq is the first of a relationship's.
+    """
     rows = evidence.withColumn("against", F.lit(False))
     if contradicting is not None:
-        rows = rows.unionByName(contradicting.withColumn("against", F.lit(True)))
+        rows = rows.unionByName(contradicting.withColumn("against", F.lit(True)), allowMissingColumns=True)
     ids = lambda side: F.array_sort(F.collect_set(F.when(side, F.col("evidence_id"))))
-    return rows.groupBy(*KEY).agg(ids(~F.col("against")).alias("supporting_evidence_ids"), ids(F.col("against")).alias("contradicting_evidence_ids"))
+    first = [F.min("commit_seq").alias("edge_seq")] if "commit_seq" in rows.columns else []
+    return rows.groupBy(*KEY).agg(ids(~F.col("against")).alias("supporting_evidence_ids"), ids(F.col("against")).alias("contradicting_evidence_ids"), *first)
 
 
 def reconcile(evidence: DataFrame, entities: DataFrame, now: Column, contradicting: DataFrame | None = None, authority: DataFrame | None = None, half_life_hours: float = S.HALF_LIFE_HOURS) -> DataFrame:
     """Relationships with status, confidence, contradiction score and evidence ids. An unknown end leaves a relationship UNRESOLVED."""
     rows = evidence.withColumn("against", F.lit(False))
     if contradicting is not None:
-        rows = rows.unionByName(contradicting.withColumn("against", F.lit(True)))
+        rows = rows.unionByName(contradicting.withColumn("against", F.lit(True)), allowMissingColumns=True)
     rows = weighted(rows.dropDuplicates(["evidence_id", *KEY]), now, authority, half_life_hours).withColumn("group", independence_group())
     numbers = combined(rows, KEY).join(fold(evidence, contradicting), KEY)
     for end in ("subject", "object"):
@@ -72,7 +76,7 @@ def reconcile(evidence: DataFrame, entities: DataFrame, now: Column, contradicti
     known = F.coalesce("_subject", F.lit(False)) & F.coalesce("_object", F.lit(False))
     numbers = numbers.withColumn("status", S.relationship_status(known, F.col("supports"), F.col("contradicts"), F.col("support"), F.col("contradiction")))
     contradiction = F.when(known, F.col("contradiction")).otherwise(0.0)
-    return numbers.select(*KEY, F.round(S.relationship_confidence(F.col("status"), F.col("support"), contradiction), 9).alias("confidence"), "status", contradiction.alias("contradiction_score"), "supporting_evidence_ids", "contradicting_evidence_ids")
+    return numbers.select(*KEY, F.round(S.relationship_confidence(F.col("status"), F.col("support"), contradiction), 9).alias("confidence"), "status", contradiction.alias("contradiction_score"), "supporting_evidence_ids", "contradicting_evidence_ids", *(["edge_seq"] if "edge_seq" in numbers.columns else []))
 
 
 def collect_evidence(relationships: DataFrame, evidence: DataFrame) -> DataFrame:

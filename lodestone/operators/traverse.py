@@ -1,8 +1,10 @@
 """Bounded traversal, batched over queries: levels of two capped set operations, edges and nodes.
 
-Which edges and nodes survive a cap is decided by an explicit order: the frontier's rank, the place of the
-predicate, the side, and the edge itself. Caps are small constants, so each level keeps a bounded number of rows a
-query, and a hub's other edges are cut before they are shuffled (a ranking filter with a literal bound).
+Which edges and nodes survive a cap is decided by commit order: the frontier's rank, the place of the predicate, the
+side, and the ordinals of pair and edge (an edge met at its object goes by its subject first). Caps are small constants, so each
+level keeps a bounded number of rows a query, and a hub's other edges are cut before they are shuffled (a ranking filter
+with a literal bound). A level reads the edges of its frontier alone and is one job; what its levels wrote is
+deleted before a traversal returns.
 """
 
 from __future__ import annotations
@@ -12,81 +14,104 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import keep
+from ..storage import forget, keep
+from .adjacency import Adjacency, adjacency
 
 DIRECTIONAL = ("CALLS", "IMPLEMENTS")
 EDGE = ["subject", "predicate", "object"]
+FOUND = ["kind", *EDGE]
 
 
-def _touched(edges: DataFrame, frontier: DataFrame, predicates: DataFrame) -> DataFrame:
+def _touched(edges: Adjacency, frontier: DataFrame, predicates: DataFrame) -> DataFrame:
     """Edges at a frontier node (query_id, node, rank, seed) over the query's predicates, once for each side."""
     directional = F.coalesce(F.col("wanted").isin(*DIRECTIONAL), F.lit(False))
     asked = frontier.join(predicates.withColumnRenamed("predicate", "wanted"), "query_id")
     fits = F.col("wanted").isNull() | (F.col("wanted") == F.col("predicate"))
-    out = asked.join(edges, asked["node"] == edges["subject"]).where(fits)
-    into = asked.join(edges, asked["node"] == edges["object"]).where(fits)
-    common = ["query_id", "rank", "pidx", *EDGE]
-    return out.select(
-        *common, F.lit(0).alias("side"), F.col("object").alias("other"), (~directional | F.col("reverse")).alias("collected"),
-        F.struct(F.col("pair_first").alias("a"), F.col("object").alias("b"), F.col("predicate").alias("c")).alias("nth"), F.struct(F.col("pair_first").alias("a"), F.col("object").alias("b")).alias("pair"),
-    ).unionByName(
-        into.select(
-            *common, F.lit(1).alias("side"), F.col("subject").alias("other"), (~directional | (~F.col("reverse") & F.col("seed"))).alias("collected"),
-            F.struct(F.col("subject").alias("a"), F.col("predicate").alias("b"), F.lit("").alias("c")).alias("nth"), F.struct(F.col("pair_first").alias("a"), F.col("subject").alias("b")).alias("pair"),
-        )
-    )
-
-
-def _capped(found: DataFrame, key: list[str], order: Column, taken: DataFrame, cap: str, requests: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Of the rows found, new by key, the first that the cap still admits (with their rank), and the queries where some were refused."""
-    first = found.groupBy("query_id", *key).agg(F.min(order).alias("order")).join(taken.select("query_id", *key), ["query_id", *key], "left_anti")
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("order", *key))).where(F.col("rank") <= most + 1)
-    used = requests.select("query_id", cap).join(taken.groupBy("query_id").agg(F.count("*").alias("used")), "query_id", "left")
-    ranked = keep(ranked.join(used, "query_id").withColumn("open", F.col("rank") <= F.col(cap) - F.coalesce("used", F.lit(0))).drop("order"))
-    return ranked.where("open").select("query_id", *key, "rank"), ranked.where("NOT open").select("query_id").distinct()
-
-
-def traverse(edges: DataFrame, seeds: DataFrame, requests: DataFrame, predicates: DataFrame, depth: int, most_nodes: int = 100, most_edges: int = 250) -> tuple[DataFrame, DataFrame, DataFrame]:
+    out = asked.join(edges.out, asked["node"] == edges.out["subject"]).where(fits)
+    into = asked.join(edges.into, asked["node"] == edges.into["object"]).where(fits)
+    common = ["query_id", "rank", "pidx", *EDGE, "pair_seq", "edge_seq"]
+    return out.select(*common, F.lit(0).alias("side"), F.col("object").alias("other"), (~directional | F.col("reverse")).alias("collected")).unionByName(
+        into.select(*common, F.lit(1).alias("side"), F.col("subject").alias("other"), (~directional | (~F.col("reverse") & F.col("seed"))).alias("collected"))
+    )
+
+
+def _order(*places: str) -> Column:
+    """An edge's (or node's) place in its level: three small numbers, then commit order."""
+    return F.struct(*(F.col(c).cast("int").alias(f"n{k}") for k, c in enumerate(places)))
+
+
+def _edge_order(*places: str) -> Column:
+    # At the subject by pair, at the object by the other end's id; then by edge.
+    pair = F.when(F.col("side") == 0, F.col("pair_seq")).otherwise(0)
+    end = F.when(F.col("side") == 0, "").otherwise(F.col("subject"))
+    return F.struct(_order(*places).alias("places"), pair.alias("pair"), end.alias("end"), F.col("edge_seq").alias("edge"))
+
+
+def _node_order(*places: str) -> Column:
+    return F.struct(_order(*places).alias("places"), F.col("pair_seq").alias("pair"), F.lit("").alias("end"), F.col("edge_seq").alias("edge"))
+
+
+def _capped(touched: DataFrame, edge_order: Column, node_order: Column, taken: DataFrame, requests: DataFrame, most: int) -> DataFrame:
+    """New edges (kind edge) and nodes (kind node, as object) in their order: rank, and whether the caps still admit them (open).
+
+    taken: query_id and FOUND of what the levels before kept. Of what is refused, the first stands for all.
+    """
+    none = F.lit("")
+    edge = F.when(F.col("collected"), F.struct(F.lit("edge").alias("kind"), *EDGE, edge_order.alias("order")))
+    node = F.struct(F.lit("node").alias("kind"), none.alias("subject"), none.alias("predicate"), F.col("other").alias("object"), node_order.alias("order"))
+    found = touched.select("query_id", F.explode(F.array_compact(F.array(edge, node))).alias("f")).select("query_id", "f.*")
+    first = found.groupBy("query_id", *FOUND).agg(F.min("order").alias("order")).join(taken.select("query_id", *FOUND), ["query_id", *FOUND], "left_anti")
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("order", *EDGE))).where(F.col("rank") <= most + 1)
+    used = taken.groupBy("query_id").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(f"used_{k}") for k in ("edge", "node")))
+    ranked = ranked.join(requests.select("query_id", "max_nodes", "max_edges").join(used, "query_id", "left"), "query_id")
+    room = F.when(F.col("kind") == "edge", F.col("max_edges") - F.coalesce("used_edge", F.lit(0))).otherwise(F.col("max_nodes") - F.coalesce("used_node", F.lit(0)))
+    return ranked.select("query_id", *FOUND, "rank", (F.col("rank") <= room).alias("open"))
+
+
+def traverse(edges: DataFrame | Adjacency, seeds: DataFrame, requests: DataFrame, predicates: DataFrame, depth: int, most_nodes: int = 100, most_edges: int = 250) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes (query_id, entity, distance), edges (query_id, subject, predicate, object) and flags (query_id, truncated).
 
     seeds: query_id, entity, rank. requests: query_id, depth, max_nodes, max_edges, reverse. predicates: query_id,
     predicate (null: any), pidx, supplementary. depth, most_nodes and most_edges bound what any request asks.
     Seeds are admitted even beyond max_nodes, which then cuts the nodes by id without a flag.
     """
+    edges, most = adjacency(edges), max(most_nodes, most_edges)
     requests = keep(requests.select("query_id", "depth", "max_nodes", "max_edges", "reverse"))
-    main = predicates.where("NOT supplementary").select("query_id", "predicate", "pidx")
     seeds = keep(seeds.select("query_id", "entity", "rank"))
-    visited = seeds.select("query_id", F.col("entity").alias("other"), F.lit(0).alias("distance"))
-    kept = edges.sparkSession.createDataFrame([], "query_id string, subject string, predicate string, object string")
+    wanted: dict[bool, list[str | None]] = {False: [], True: []}
+    for r in predicates.select("supplementary", "predicate").distinct().collect():  # a closed vocabulary
+        wanted[r["supplementary"]].append(r["predicate"])
+    asked = lambda extra: predicates.where(F.col("supplementary") == extra).select("query_id", "predicate", "pidx")
+    near = lambda frontier, extra: edges.at(frontier, None if None in wanted[extra] else wanted[extra])
+    blank = F.lit("")
+    start = seeds.select("query_id", F.lit("node").alias("kind"), blank.alias("subject"), blank.alias("predicate"), F.col("entity").alias("object"), F.lit(0).alias("distance"), F.lit(True).alias("open"))
+    seen, levels = start, []
+
+    def step(touched: DataFrame, edge_order: Column, node_order: Column, distance: int) -> DataFrame:
+        nonlocal seen
+        levels.append(keep(_capped(touched, edge_order, node_order, seen.where("open"), requests, most).withColumn("distance", F.lit(distance))))
+        seen = seen.unionByName(levels[-1].drop("rank"))
+        return levels[-1]
+
     frontier = seeds.select("query_id", F.col("entity").alias("node"), "rank", F.lit(True).alias("seed"))
-    refused = []
-    for level in range(depth):
+    for level in range(depth if wanted[False] else 0):
         now = frontier.join(requests.where(F.col("depth") > level).select("query_id", "reverse"), "query_id")
-        touched = _touched(edges, now, main)
-        new, over = _capped(touched.where("collected"), EDGE, F.struct("rank", "pidx", "side", "nth"), kept, "max_edges", requests, most_edges)
-        reached, out_of_room = _capped(touched, ["other"], F.struct("rank", "side", "pidx", "pair"), visited, "max_nodes", requests, most_nodes)
-        kept = keep(kept.unionByName(new.select("query_id", *EDGE)))
-        visited = keep(visited.unionByName(reached.select("query_id", "other", F.lit(level + 1).alias("distance"))))
-        frontier = reached.select("query_id", F.col("other").alias("node"), "rank", F.lit(False).alias("seed"))
-        refused += [over, out_of_room]
-    extra = predicates.where("supplementary").select("query_id", "predicate", "pidx")
-    if not extra.isEmpty():
+        got = step(_touched(near(now, False), now, asked(False)), _edge_order("rank", "pidx", "side"), _node_order("rank", "side", "pidx"), level + 1)
+        frontier = got.where("open AND kind = 'node'").select("query_id", F.col("object").alias("node"), "rank", F.lit(False).alias("seed"))
+    if wanted[True]:
         at = seeds.select("query_id", F.col("entity").alias("node"), "rank", F.lit(True).alias("seed")).join(requests.select("query_id"), "query_id").withColumn("reverse", F.lit(False))
-        touched = _touched(edges, at, extra)  # both sides, whatever the direction
-        new, over = _capped(touched, EDGE, F.struct("pidx", "rank", "side", "nth"), kept, "max_edges", requests, most_edges)
-        reached, out_of_room = _capped(touched, ["other"], F.struct("pidx", "side", "rank", "pair"), visited, "max_nodes", requests, most_nodes)
-        kept = keep(kept.unionByName(new.select("query_id", *EDGE)))
-        visited = keep(visited.unionByName(reached.select("query_id", "other", F.lit(1).alias("distance"))))
-        refused += [over, out_of_room]
-    flags = requests.select("query_id")
-    if refused:
-        flags = flags.join(reduce(DataFrame.unionByName, refused).distinct().withColumn("cut", F.lit(True)), "query_id", "left")
-    else:
-        flags = flags.withColumn("cut", F.lit(False))
-    flags = flags.select("query_id", F.coalesce("cut", F.lit(False)).alias("truncated"))
-    by_id = Window.partitionBy("query_id").orderBy("other")
-    nodes = visited.withColumn("nth", F.row_number().over(by_id)).join(requests.select("query_id", "max_nodes"), "query_id").where("nth <= max_nodes")
-    return nodes.select("query_id", F.col("other").alias("entity"), "distance"), kept, keep(flags)
+        both = _touched(near(at, True), at, asked(True)).withColumn("collected", F.lit(True))  # both sides, whatever the direction
+        step(both, _edge_order("pidx", "rank", "side"), _node_order("pidx", "side", "rank"), 1)
+    by_id = Window.partitionBy("query_id", "kind", "open").orderBy("object")
+    limit = F.when(F.col("open") & (F.col("kind") == "node"), F.col("max_nodes")).otherwise(F.lit(2**31 - 1))
+    result = seen.withColumn("nth", F.row_number().over(by_id)).join(requests.select("query_id", "max_nodes"), "query_id").where(F.col("nth") <= limit)
+    result = keep(result.select("query_id", *FOUND, "distance", "open").unionByName(requests.select("query_id", F.lit("request").alias("kind"), *(blank.alias(c) for c in EDGE), F.lit(0).alias("distance"), F.lit(True).alias("open"))))
+    forget(requests, seeds, *levels)
+    return (
+        result.where("kind = 'node' AND open").select("query_id", F.col("object").alias("entity"), "distance"),
+        result.where("kind = 'edge' AND open").select("query_id", *EDGE),
+        result.groupBy("query_id").agg(F.max(~F.col("open")).alias("truncated")),
+    )
 
 
 def reached_paths(edges: DataFrame, asked: DataFrame, most_hops: int | None = None) -> DataFrame:
@@ -115,21 +140,25 @@ def reached_paths(edges: DataFrame, asked: DataFrame, most_hops: int | None = No
     return reduce(DataFrame.unionByName, found)
 
 
-def expand_for_location(edges: DataFrame, entities: DataFrame, ranked: DataFrame, cycles: int = 2, most: int = 50) -> tuple[DataFrame, DataFrame]:
+def expand_for_location(edges: DataFrame | Adjacency, entities: DataFrame, ranked: DataFrame, cycles: int = 2, most: int = 50) -> tuple[DataFrame, DataFrame]:
     """Entities (query_id, entity) of packages that need a source location, widened until one has it, and queries (query_id, partial) that none satisfied.
 
     ranked: query_id, entity, rank. Each cycle admits up to `most` neighbours over any predicate, out before in.
     """
-    located = entities.where("located").select(F.col("canonical_id").alias("entity"))
-    visited = keep(ranked.select("query_id", F.col("entity").alias("other")))
-    frontier = ranked.select("query_id", F.col("entity").alias("node"), "rank", F.lit(True).alias("seed"), F.lit(True).alias("reverse"))
-    any_ = ranked.select("query_id").distinct().select("query_id", F.lit(None).cast("string").alias("predicate"), F.lit(0).alias("pidx"))
-    satisfied = lambda v: v.join(located.withColumnRenamed("entity", "other"), "other", "left_semi").select("query_id").distinct()
+    edges = adjacency(edges)
+    located = entities.where("located").select(F.col("canonical_id").alias("other"))
+    visited = keep(ranked.select("query_id", F.col("entity").alias("other"), "rank"))
+    seen, cycle = [visited], visited.select("query_id", F.col("other").alias("node"), "rank", F.lit(True).alias("seed"), F.lit(True).alias("reverse"))
+    any_ = visited.select("query_id").distinct().select("query_id", F.lit(None).cast("string").alias("predicate"), F.lit(0).alias("pidx"))
+    every = lambda: reduce(DataFrame.unionByName, seen)
+    satisfied = lambda: every().join(located, "other", "left_semi").select("query_id").distinct()
     for _ in range(cycles):
-        touched = _touched(edges, frontier.join(keep(satisfied(visited)), "query_id", "left_anti"), any_)
-        first = touched.groupBy("query_id", "other").agg(F.min(F.struct("rank", "side", "pair")).alias("order")).join(visited, ["query_id", "other"], "left_anti")
+        now = cycle.join(satisfied(), "query_id", "left_anti")
+        touched = _touched(edges.at(now), now, any_)
+        first = touched.groupBy("query_id", "other").agg(F.min(_node_order("rank", "side", "pidx")).alias("order")).join(every().select("query_id", "other"), ["query_id", "other"], "left_anti")
         new = keep(first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("order", "other"))).where(F.col("rank") <= most).drop("order"))
-        visited = keep(visited.unionByName(new.select("query_id", "other")))
-        frontier = new.select("query_id", F.col("other").alias("node"), "rank", F.lit(False).alias("seed"), F.lit(True).alias("reverse"))
-    missing = ranked.select("query_id").distinct().join(satisfied(visited).withColumn("has", F.lit(True)), "query_id", "left")
-    return visited.select("query_id", F.col("other").alias("entity")), missing.select("query_id", F.col("has").isNull().alias("partial"))
+        seen.append(new)
+        cycle = new.select("query_id", F.col("other").alias("node"), "rank", F.lit(False).alias("seed"), F.lit(True).alias("reverse"))
+    result = keep(every().select("query_id", F.col("other").alias("entity"), (F.col("other").isNull()).alias("partial")).unionByName(visited.select("query_id").distinct().join(satisfied(), "query_id", "left_anti").select("query_id", F.lit(None).cast("string").alias("entity"), F.lit(True).alias("partial"))))
+    forget(*seen)
+    return result.where("entity IS NOT NULL").select("query_id", "entity"), result.groupBy("query_id").agg(F.max("partial").alias("partial"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import EXTERNAL, canonical_id
 from ..operators.graph import Graph, publish
-from ..storage import table
+from ..operators.ordinals import numbered
+from ..storage import forget, table
 
 REPOSITORY, REVISION = "tpch", "rev1"
 _PUBLISHED: dict[tuple[str, str], Graph] = {}
@@ -44,20 +45,25 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What providers report, by readable keys: subject, predicate, object. Ends may be unknown."""
+    return reported_edges(spark, sf_dir).drop("provider")
+
+
+def reported_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source table is a provider of its own."""
     t = lambda n: table(spark, sf_dir, n)
-    edge = lambda df, s, p, o: df.select(s.alias("subject"), F.lit(p).alias("predicate"), o.alias("object"))
+    edge = lambda provider, s, p, o, df=None: (t(provider) if df is None else df).select(s.alias("subject"), F.lit(p).alias("predicate"), o.alias("object"), F.lit(provider).alias("provider"))
     key = lambda kind, col: F.concat(F.lit(kind + ":"), F.col(col).cast("string"))
     line = t("lineitem")
     parts = [
-        edge(t("nation"), key("region", "n_regionkey"), "CONTAINS", key("nation", "n_nationkey")),
-        edge(t("customer"), key("nation", "c_nationkey"), "CONTAINS", key("customer", "c_custkey")),
-        edge(t("customer"), key("customer", "c_custkey"), "REFERENCES", key("nation", "c_nationkey")),
-        edge(t("supplier"), key("nation", "s_nationkey"), "CONTAINS", key("supplier", "s_suppkey")),
-        edge(t("supplier"), key("supplier", "s_suppkey"), "REFERENCES", key("nation", "s_nationkey")),
-        edge(t("orders"), key("customer", "o_custkey"), "CALLS", key("order", "o_orderkey")),
-        edge(line.select("l_orderkey", "l_partkey").distinct(), key("order", "l_orderkey"), "DEPENDS_ON", key("part", "l_partkey")),
-        edge(line.select("l_orderkey", "l_suppkey").distinct(), key("order", "l_orderkey"), "REFERENCES", key("supplier", "l_suppkey")),
-        edge(line.select("l_partkey", "l_suppkey").distinct(), key("part", "l_partkey"), "IMPLEMENTS", key("supplier", "l_suppkey")),
+        edge("nation", key("region", "n_regionkey"), "CONTAINS", key("nation", "n_nationkey")),
+        edge("customer", key("nation", "c_nationkey"), "CONTAINS", key("customer", "c_custkey")),
+        edge("customer", key("customer", "c_custkey"), "REFERENCES", key("nation", "c_nationkey")),
+        edge("supplier", key("nation", "s_nationkey"), "CONTAINS", key("supplier", "s_suppkey")),
+        edge("supplier", key("supplier", "s_suppkey"), "REFERENCES", key("nation", "s_nationkey")),
+        edge("orders", key("customer", "o_custkey"), "CALLS", key("order", "o_orderkey")),
+        edge("lineitem", key("order", "l_orderkey"), "DEPENDS_ON", key("part", "l_partkey"), line.select("l_orderkey", "l_partkey").distinct()),
+        edge("lineitem", key("order", "l_orderkey"), "REFERENCES", key("supplier", "l_suppkey"), line.select("l_orderkey", "l_suppkey").distinct()),
+        edge("lineitem", key("part", "l_partkey"), "IMPLEMENTS", key("supplier", "l_suppkey"), line.select("l_partkey", "l_suppkey").distinct()),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -71,23 +77,26 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     if known not in _PUBLISHED:
         found = keyed_entities(spark, sf_dir)
         ids = found.select("key", "canonical_id")
-        raw = edges(spark, sf_dir)
+        raw = reported_edges(spark, sf_dir)
         for end in ("subject", "object"):
             raw = raw.join(ids.select(F.col("key").alias(end), F.col("canonical_id").alias("_to")), end).withColumn(end, F.col("_to")).drop("_to")
-        _PUBLISHED[known] = publish(found, raw, f"{REPOSITORY}:{REVISION}")
+        raw = numbered(raw, ["provider", "predicate", "subject", "object"], "edge_seq")  # commit order: providers by name, then their own
+        _PUBLISHED[known] = publish(found, raw.drop("provider"), f"{REPOSITORY}:{REVISION}")
+        forget(raw)
     return _PUBLISHED[known]
 
 
-EDGES_SQL = """edges AS (
-  SELECT 'region:'||n_regionkey AS subject, 'CONTAINS' AS predicate, 'nation:'||n_nationkey AS object FROM nation
-  UNION ALL SELECT 'nation:'||c_nationkey, 'CONTAINS', 'customer:'||c_custkey FROM customer
-  UNION ALL SELECT 'customer:'||c_custkey, 'REFERENCES', 'nation:'||c_nationkey FROM customer
-  UNION ALL SELECT 'nation:'||s_nationkey, 'CONTAINS', 'supplier:'||s_suppkey FROM supplier
-  UNION ALL SELECT 'supplier:'||s_suppkey, 'REFERENCES', 'nation:'||s_nationkey FROM supplier
-  UNION ALL SELECT 'customer:'||o_custkey, 'CALLS', 'order:'||o_orderkey FROM orders
-  UNION ALL SELECT DISTINCT 'order:'||l_orderkey, 'DEPENDS_ON', 'part:'||l_partkey FROM lineitem
-  UNION ALL SELECT DISTINCT 'order:'||l_orderkey, 'REFERENCES', 'supplier:'||l_suppkey FROM lineitem
-  UNION ALL SELECT DISTINCT 'part:'||l_partkey, 'IMPLEMENTS', 'supplier:'||l_suppkey FROM lineitem)"""
+EDGES_SQL = """reported AS (
+  SELECT 'region:'||n_regionkey AS subject, 'CONTAINS' AS predicate, 'nation:'||n_nationkey AS object, 'nation' AS provider FROM nation
+  UNION ALL SELECT 'nation:'||c_nationkey, 'CONTAINS', 'customer:'||c_custkey, 'customer' FROM customer
+  UNION ALL SELECT 'customer:'||c_custkey, 'REFERENCES', 'nation:'||c_nationkey, 'customer' FROM customer
+  UNION ALL SELECT 'nation:'||s_nationkey, 'CONTAINS', 'supplier:'||s_suppkey, 'supplier' FROM supplier
+  UNION ALL SELECT 'supplier:'||s_suppkey, 'REFERENCES', 'nation:'||s_nationkey, 'supplier' FROM supplier
+  UNION ALL SELECT 'customer:'||o_custkey, 'CALLS', 'order:'||o_orderkey, 'orders' FROM orders
+  UNION ALL SELECT DISTINCT 'order:'||l_orderkey, 'DEPENDS_ON', 'part:'||l_partkey, 'lineitem' FROM lineitem
+  UNION ALL SELECT DISTINCT 'order:'||l_orderkey, 'REFERENCES', 'supplier:'||l_suppkey, 'lineitem' FROM lineitem
+  UNION ALL SELECT DISTINCT 'part:'||l_partkey, 'IMPLEMENTS', 'supplier:'||l_suppkey, 'lineitem' FROM lineitem),
+  edges AS (SELECT subject, predicate, object FROM reported)"""
 
 KEYED_SQL = """keyed AS MATERIALIZED (
   SELECT key, 'lode:'||substr(sha256('tpch|'||revision||'|'||base_type||'||'||qualified_name),1,32) AS canonical_id, name, qualified_name, base_type FROM (
@@ -100,10 +109,11 @@ KEYED_SQL = """keyed AS MATERIALIZED (
 
 ENTITIES_SQL = KEYED_SQL + """, entities AS (SELECT canonical_id, name, qualified_name, base_type FROM keyed)"""
 
-#: Edges between canonical ids: rel(subject, predicate, object, pair_first).
+#: Edges between canonical ids in commit order: rel(subject, predicate, object, edge_seq, pair_seq).
 REL_SQL = ENTITIES_SQL + ", " + EDGES_SQL + """, rel AS MATERIALIZED (
-  SELECT s.canonical_id AS subject, predicate, o.canonical_id AS object, min(predicate) OVER (PARTITION BY s.canonical_id, o.canonical_id) AS pair_first
-  FROM edges JOIN keyed s ON s.key=edges.subject JOIN keyed o ON o.key=edges.object)"""
+  SELECT *, min(edge_seq) OVER (PARTITION BY subject, object) AS pair_seq FROM (
+    SELECT s.canonical_id AS subject, predicate, o.canonical_id AS object, row_number() OVER (ORDER BY provider, predicate, s.canonical_id, o.canonical_id) AS edge_seq
+    FROM reported JOIN keyed s ON s.key=reported.subject JOIN keyed o ON o.key=reported.object))"""
 
 
 def traversal_sql(p: str, depth: int, seeds: str = "seeds", req: str = "req", pr: str = "pr") -> str:
@@ -118,9 +128,9 @@ def traversal_sql(p: str, depth: int, seeds: str = "seeds", req: str = "req", pr
         both = "true" if extra == "extra" else "NOT directional OR reverse"
         back = "true" if extra == "extra" else "NOT directional OR (NOT reverse AND seed)"
         out.append(f"{p}_g{level} AS MATERIALIZED (SELECT f.q, f.node, f.rank, f.seed, w.pidx, w.predicate AS wanted, directional, reverse FROM {frontier} f JOIN {req} r ON r.q=f.q AND {live} JOIN {pr} w ON w.q=f.q AND {extra})")
-        out.append(f"""{p}_t{level} AS MATERIALIZED (SELECT q, rank, pidx, 0 AS side, e.subject, e.predicate, e.object, e.object AS other, {both} AS coll, e.pair_first AS k1, e.object AS k2, e.predicate AS k3, e.pair_first||'|'||e.object AS pk
+        out.append(f"""{p}_t{level} AS MATERIALIZED (SELECT q, rank, pidx, 0 AS side, e.subject, e.predicate, e.object, e.object AS other, {both} AS coll, e.pair_seq AS k1, '' AS k2, e.edge_seq AS k3, e.pair_seq AS pk
             FROM {p}_g{level} g JOIN rel e ON e.subject=g.node WHERE wanted IS NULL OR wanted=e.predicate
-          UNION ALL SELECT q, rank, pidx, 1, e.subject, e.predicate, e.object, e.subject, {back}, e.subject, e.predicate, '', e.pair_first||'|'||e.subject
+          UNION ALL SELECT q, rank, pidx, 1, e.subject, e.predicate, e.object, e.subject, {back}, 0, e.subject, e.edge_seq, e.pair_seq
             FROM {p}_g{level} g JOIN rel e ON e.object=g.node WHERE wanted IS NULL OR wanted=e.predicate)""")
 
     def capped(level: int, edge_order: str, node_order: str, distance: str) -> None:
@@ -139,10 +149,10 @@ def traversal_sql(p: str, depth: int, seeds: str = "seeds", req: str = "req", pr
 
     for level in range(1, depth + 1):
         touched(level, f"{p}_f{level - 1}", "NOT extra", f"r.depth>={level}")
-        capped(level, "rank, pidx, side, k1, k2, k3, subject, predicate, object", "rank, side, pidx, pk, other", str(level))
+        capped(level, "rank, pidx, side, k1, k2, k3, subject, predicate, object", "rank, side, pidx, pk, k3, other", str(level))
     last = depth + 1
     touched(last, f"{p}_f0", "extra", "true")
-    capped(last, "pidx, rank, side, k1, k2, k3, subject, predicate, object", "pidx, side, rank, pk, other", "1")
+    capped(last, "pidx, rank, side, k1, k2, k3, subject, predicate, object", "pidx, side, rank, pk, k3, other", "1")
     out.append(f"{p}_rels AS (SELECT * FROM {p}_c{last})")
     out.append(f"{p}_nodes AS MATERIALIZED (SELECT q, node, distance FROM (SELECT n.*, row_number() OVER (PARTITION BY n.q ORDER BY node) AS nth, max_nodes FROM {p}_n{last} n JOIN {req} USING (q)) WHERE nth<=max_nodes)")
     out.append(f"{p}_flags AS (SELECT q, q IN ({' UNION ALL '.join(cuts)}) AS truncated FROM {req})")

@@ -46,7 +46,7 @@ def _walk(name: str):
         requests = spark.createDataFrame([("q", depth, nodes, edges, reverse)], "query_id string, depth int, max_nodes int, max_edges int, reverse boolean")
         rows = [("q", p, k, False) for k, p in enumerate(main or [None])] + [("q", p, k, True) for k, p in enumerate(extra)]
         predicates = spark.createDataFrame(rows, "query_id string, predicate string, pidx int, supplementary boolean")
-        found, kept, flags = traverse(graph(spark, sf_dir).edges, _seeds(spark, sf_dir, names), requests, predicates, depth)
+        found, kept, flags = traverse(graph(spark, sf_dir).adjacency, _seeds(spark, sf_dir, names), requests, predicates, depth)
         blank, cut = F.lit(""), flags.select("query_id", "truncated")
         out = found.select("query_id", F.lit("node").alias("kind"), F.col("entity").alias("subject"), blank.alias("predicate"), blank.alias("object"), "distance")
         out = out.unionByName(kept.select("query_id", F.lit("edge").alias("kind"), "subject", "predicate", "object", F.lit(-1).alias("distance")))
@@ -193,7 +193,7 @@ def proximity(spark, sf_dir):
 def mss_expand(spark, sf_dir):
     """A package of one nation widened, by two cycles of 50 nodes, until an entity has a source location."""
     g = graph(spark, sf_dir)
-    found, partial = expand_for_location(g.edges, g.entities, _seeds(spark, sf_dir, ("NATION_3",)))
+    found, partial = expand_for_location(g.adjacency, g.entities, _seeds(spark, sf_dir, ("NATION_3",)))
     return found.join(partial, "query_id").select(F.col("entity").alias("canonical_id"), "partial")
 
 
@@ -251,11 +251,11 @@ SQL = {n: _walk_sql(n) for n in WALKS} | {
     "proximity": f"""WITH w AS ({_walk_sql('traverse_depth2')}), {REL_SQL} SELECT canonical_id, CASE WHEN distance IS NULL THEN 0.0::DOUBLE ELSE round(power(0.9::DOUBLE, distance),6) END AS proximity
         FROM entities LEFT JOIN (SELECT subject, distance FROM w WHERE kind='node') ON subject=canonical_id WHERE base_type IN ('DIRECTORY','MODULE')""",
     "mss_expand": f"""WITH {REL_SQL}, v0 AS (SELECT canonical_id AS node, 1 AS rank FROM entities WHERE name='NATION_3'),
-        t1 AS (SELECT object AS node, rank, 0 AS side, pair_first||'|'||object AS pk FROM v0 JOIN rel ON subject=v0.node UNION ALL SELECT subject, rank, 1, pair_first||'|'||subject FROM v0 JOIN rel ON object=v0.node),
-        v1 AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY rank, side, pk) AS rank FROM (SELECT * FROM t1 WHERE node NOT IN (SELECT node FROM v0) QUALIFY row_number() OVER (PARTITION BY node ORDER BY rank, side, pk)=1) QUALIFY row_number() OVER (ORDER BY rank, side, pk)<=50),
+        t1 AS (SELECT object AS node, rank, 0 AS side, pair_seq AS pk, edge_seq AS k FROM v0 JOIN rel ON subject=v0.node UNION ALL SELECT subject, rank, 1, pair_seq, edge_seq FROM v0 JOIN rel ON object=v0.node),
+        v1 AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY rank, side, pk, k) AS rank FROM (SELECT * FROM t1 WHERE node NOT IN (SELECT node FROM v0) QUALIFY row_number() OVER (PARTITION BY node ORDER BY rank, side, pk, k)=1) QUALIFY row_number() OVER (ORDER BY rank, side, pk, k)<=50),
         s1 AS (SELECT count(*) AS n FROM entities WHERE base_type='FUNCTION' AND canonical_id IN (SELECT node FROM v1)),
-        t2 AS (SELECT object AS node, rank, 0 AS side, pair_first||'|'||object AS pk FROM v1 JOIN rel ON subject=v1.node UNION ALL SELECT subject, rank, 1, pair_first||'|'||subject FROM v1 JOIN rel ON object=v1.node),
-        v2 AS MATERIALIZED (SELECT node FROM (SELECT * FROM t2 WHERE node NOT IN (SELECT node FROM v0 UNION ALL SELECT node FROM v1) AND (SELECT n FROM s1)=0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY rank, side, pk)=1) QUALIFY row_number() OVER (ORDER BY rank, side, pk)<=50),
+        t2 AS (SELECT object AS node, rank, 0 AS side, pair_seq AS pk, edge_seq AS k FROM v1 JOIN rel ON subject=v1.node UNION ALL SELECT subject, rank, 1, pair_seq, edge_seq FROM v1 JOIN rel ON object=v1.node),
+        v2 AS MATERIALIZED (SELECT node FROM (SELECT * FROM t2 WHERE node NOT IN (SELECT node FROM v0 UNION ALL SELECT node FROM v1) AND (SELECT n FROM s1)=0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY rank, side, pk, k)=1) QUALIFY row_number() OVER (ORDER BY rank, side, pk, k)<=50),
         a AS (SELECT node FROM v0 UNION ALL SELECT node FROM v1 UNION ALL SELECT node FROM v2)
         SELECT node AS canonical_id, (SELECT count(*)=0 FROM entities WHERE base_type='FUNCTION' AND canonical_id IN (SELECT node FROM a)) AS partial FROM a""",
     "lookup_symbols": f"WITH {REL_SQL}, low AS{_NAMED.split(', low AS', 1)[1]}, asked AS (SELECT 'nation_1' AS target), {_SEEDS} SELECT canonical_id, tier, rank FROM seeds WHERE rank<=25",

@@ -39,7 +39,7 @@ def neighborhood(graph: Graph, symbol: str, depth: int = 1, max_nodes: int = MOS
     spark = graph.entities.sparkSession
     requests = spark.createDataFrame([("q", depth, max_nodes, max_edges, False)], "query_id string, depth int, max_nodes int, max_edges int, reverse boolean")
     predicates = spark.createDataFrame([("q", p, k, False) for k, p in enumerate(relationship_types or [None])], "query_id string, predicate string, pidx int, supplementary boolean")
-    nodes, edges, flags = traverse(graph.edges, _seeds(graph, symbol), requests, predicates, depth, max_nodes, max_edges)
+    nodes, edges, flags = traverse(graph.adjacency, _seeds(graph, symbol), requests, predicates, depth, max_nodes, max_edges)
     return nodes.select("entity", "distance"), edges.select("subject", "predicate", "object"), flags.first()["truncated"]
 
 

@@ -38,10 +38,26 @@ def keep(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return out
 
 
+def keep_bucketed(df: DataFrame, column: str, buckets: int, sort: list[str], partition_by: str) -> DataFrame:
+    """Write df once as a table bucketed by a column, one file a bucket and partition, and read it back.
+
+    The table lies in the shared folder; its name in the session's catalog carries the bucketing.
+    """
+    spark, path = df.sparkSession, work_folder(df.sparkSession)
+    name = path.rpartition("/")[2].replace("-", "_")
+    writer = df.repartition(buckets, column).write.partitionBy(partition_by).bucketBy(buckets, column).sortBy(*sort)
+    writer.format("parquet").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._lodestone_kept, out._lodestone_table = path, name
+    return out
+
+
 def forget(*kept: DataFrame) -> None:
     """Delete what keep() wrote for these DataFrames; nothing that is still to be read may depend on them."""
     for df in kept:
-        path = getattr(df, "_lodestone_kept", None)
+        path, name = getattr(df, "_lodestone_kept", None), getattr(df, "_lodestone_table", None)
+        if name:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if path:
             jvm = df.sparkSession._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)

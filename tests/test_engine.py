@@ -11,6 +11,9 @@ from lodestone.functions import identity, matching, scoring
 from lodestone.operators import coverage, evaluate, planner, reconcile, registry, resolve, verify
 from lodestone.operators.graph import Graph, find_entities, neighbors, publish
 from lodestone.operators.targets import resolve_targets
+from lodestone.operators import adjacency
+from lodestone.operators.adjacency import store
+from lodestone.operators.ordinals import numbered
 from lodestone.operators.traverse import expand_for_location, reached_paths, traverse
 from lodestone.operators.understand import contract_table, session_weights, understand
 
@@ -83,13 +86,18 @@ def test_checks_split_rows(spark):
 
 
 def plain_walk(edges, seeds, preds, depth, max_nodes, max_edges, reverse, extra):
-    """The traversal as a loop over one query: edges is a list of (s, p, o) in order."""
+    """The traversal as a loop over one query: edges is a list of (s, p, o) in the order of their commits.
+
+    Adjacency as dictionaries that remember insertion: node -> other end -> predicates.
+    """
     directional = ("CALLS", "IMPLEMENTS")
-    first = {}
+    ahead, back = ({n: {} for n in sorted({x for s, _, o in edges for x in (s, o)})} for _ in range(2))
     for s, p, o in edges:
-        first[s, o] = min(first.get((s, o), p), p)
-    out_of = lambda n, p: sorted(((s, q, o) for s, q, o in edges if s == n and (p is None or p == q)), key=lambda e: (first[e[0], e[2]], e[2], e[1]))
-    into = lambda n, p: sorted(((s, q, o) for s, q, o in edges if o == n and (p is None or p == q)), key=lambda e: (e[0], e[1]))
+        ahead[s].setdefault(o, []).append(p)
+        back[o].setdefault(s, []).append(p)
+    out_of = lambda n, p: [(n, q, o) for o, qs in ahead.get(n, {}).items() for q in qs if p is None or p == q]
+    into = lambda n, p: [(s, q, n) for s in ahead for q in ahead[s].get(n, []) if p is None or p == q]
+    by_insertion = lambda n, p: [(s, q, n) for s, qs in back.get(n, {}).items() for q in qs if p is None or p == q]
     seen, kept, cut, frontier = dict.fromkeys(seeds, 0), [], False, list(seeds)
 
     def collect(found):
@@ -122,7 +130,7 @@ def plain_walk(edges, seeds, preds, depth, max_nodes, max_edges, reverse, extra)
                     collect(into(n, p))
             for side in (0, 1):
                 for p in preds or [None]:
-                    found = out_of(n, p) if side == 0 else sorted(into(n, p), key=lambda e: (first[e[0], e[2]], e[0]))
+                    found = out_of(n, p) if side == 0 else by_insertion(n, p)
                     visit([e[2] if side == 0 else e[0] for e in found], level + 1, nxt)
         frontier = nxt
     for p in extra:
@@ -131,17 +139,19 @@ def plain_walk(edges, seeds, preds, depth, max_nodes, max_edges, reverse, extra)
             collect(into(n, p))
         for side in (0, 1):
             for n in seeds:
-                found = out_of(n, p) if side == 0 else sorted(into(n, p), key=lambda e: (first[e[0], e[2]], e[0]))
+                found = out_of(n, p) if side == 0 else by_insertion(n, p)
                 visit([e[2] if side == 0 else e[0] for e in found], 1, [])
     nodes = {k: seen[k] for k in sorted(seen)[:max_nodes]}
     return nodes, sorted(kept), cut
 
 
-def test_traversal_equals_a_plain_loop(spark):
+def test_traversal_equals_a_plain_loop(spark, monkeypatch):
     r = random.Random(4)
     preds = ["CALLS", "CONTAINS", "IMPLEMENTS", "REFERENCES"]
     edges = sorted({(f"n{r.randrange(14)}", r.choice(preds), f"n{r.randrange(14)}") for _ in range(60)})
-    df = spark.createDataFrame(edges, "subject string, predicate string, object string").withColumn("pair_first", F.expr("min(predicate) over (partition by subject, object)"))
+    r.shuffle(edges)
+    df = spark.createDataFrame([(*e, k) for k, e in enumerate(edges)], "subject string, predicate string, object string, edge_seq long").withColumn("pair_seq", F.expr("min(edge_seq) over (partition by subject, object)"))
+    stored = store(df)
     asked = []
     for k in range(60):
         seeds = r.sample([f"n{i}" for i in range(14)], r.choice([1, 2, 3]))
@@ -149,7 +159,12 @@ def test_traversal_equals_a_plain_loop(spark):
     seeds = spark.createDataFrame([(q, s, i) for q, ss, *_ in asked for i, s in enumerate(ss)], "query_id string, entity string, rank int")
     req = spark.createDataFrame([(q, d, n, e, v) for q, _, _, d, n, e, v, _ in asked], "query_id string, depth int, max_nodes int, max_edges int, reverse boolean")
     pr = spark.createDataFrame([(q, p, i, False) for q, _, ps, *_ in asked for i, p in enumerate(ps or [None])] + [(a[0], p, i, True) for a in asked for i, p in enumerate(a[7])], "query_id string, predicate string, pidx int, supplementary boolean")
-    nodes, kept, flags = (x.collect() for x in traverse(df, seeds, req, pr, 2, 50, 50))
+    nodes, kept, flags = (x.collect() for x in traverse(stored, seeds, req, pr, 2, 50, 50))
+    plain = traverse(df, seeds, req, pr, 2, 50, 50)  # the same edges, not stored in two orders
+    assert sorted(map(tuple, plain[0].collect())) == sorted(map(tuple, nodes)) and sorted(map(tuple, plain[1].collect())) == sorted(map(tuple, kept))
+    monkeypatch.setattr(adjacency, "LITERALS", 3)  # frontiers that are joined
+    joined = traverse(stored, seeds, req, pr, 2, 50, 50)
+    assert sorted(map(tuple, joined[0].collect())) == sorted(map(tuple, nodes)) and sorted(map(tuple, joined[2].collect())) == sorted(map(tuple, flags))
     cuts = 0
     for q, ss, ps, d, n, e, v, extra in asked:
         want = plain_walk(edges, ss, ps, d, n, e, v, extra)
@@ -159,8 +174,53 @@ def test_traversal_equals_a_plain_loop(spark):
     assert 5 < cuts < 55
 
 
+def test_ordinals_follow_the_order_over_many_partitions(spark):
+    rows = [(random.Random(k).randrange(50), k) for k in range(3000)]
+    got = numbered(spark.createDataFrame(rows, "a int, b int").repartition(7), ["a", F.desc("b")], "n", start=5, partitions=13).collect()
+    assert [(x.a, x.b) for x in sorted(got, key=lambda x: x.n)] == sorted(rows, key=lambda x: (x[0], -x[1])) and sorted(x.n for x in got) == list(range(5, 3005))
+    assert numbered(spark.createDataFrame([], "a int"), ["a"], "n").count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_levels_read_buckets_and_never_deal_edges(spark, monkeypatch):
+    monkeypatch.setattr(adjacency, "EDGES_A_BUCKET", 50)
+    edges = spark.range(2000).select(F.concat(F.lit("n"), F.col("id") % 97).alias("subject"), F.when(F.col("id") % 2 == 0, "CALLS").otherwise("CONTAINS").alias("predicate"), F.concat(F.lit("n"), F.col("id") % 89).alias("object"), F.col("id").alias("edge_seq"), F.col("id").alias("pair_seq"))
+    both = store(edges)
+    nodes = spark.createDataFrame([("n1",), ("n2",)], "node string")
+    near = both.at(nodes, ["CALLS"])
+    assert near.out.count() == edges.where("subject IN ('n1', 'n2') AND predicate = 'CALLS'").count() and near.into.count() == edges.where("object IN ('n1', 'n2') AND predicate = 'CALLS'").count()
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else the plan reads the same buckets, but does not show them
+    for df, end in ((near.out, "subject"), (near.into, "object")):
+        plan = plan_of(df)
+        assert "SelectedBucketsCount: 2 out of 40" in plan and "PartitionFilters: [isnotnull(predicate" in plan and f"PushedFilters: [In({end}" in plan and "Exchange" not in plan
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    monkeypatch.setattr(adjacency, "LITERALS", 1)
+    near = both.at(nodes)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(nodes.join(near.out, F.col("node") == F.col("subject")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan  # the nodes alone
+
+
+def test_traversals_leave_one_table_behind(spark):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    g = small_graph(spark)
+    before = set(os.listdir(folder))
+    seeds = spark.createDataFrame([("q", "id_authenticate", 1)], "query_id string, entity string, rank int")
+    req = spark.createDataFrame([("q", 2, 50, 50, False)], "query_id string, depth int, max_nodes int, max_edges int, reverse boolean")
+    traverse(g.adjacency, seeds, req, spark.createDataFrame([("q", None, 0, False)], "query_id string, predicate string, pidx int, supplementary boolean"), 2)
+    assert len(set(os.listdir(folder)) - before) == 1
+
+
 def test_paths_and_expansion(spark):
-    edges = spark.createDataFrame([("a", "CALLS", "b"), ("b", "CALLS", "c"), ("c", "CALLS", "a"), ("a", "CALLS", "d"), ("d", "CALLS", "c"), ("c", "DEPENDS_ON", "e")], "subject string, predicate string, object string").withColumn("pair_first", F.col("predicate"))
+    edges = spark.createDataFrame([("a", "CALLS", "b"), ("b", "CALLS", "c"), ("c", "CALLS", "a"), ("a", "CALLS", "d"), ("d", "CALLS", "c"), ("c", "DEPENDS_ON", "e")], "subject string, predicate string, object string").withColumns({"edge_seq": F.lit(0).cast("long"), "pair_seq": F.lit(0).cast("long")})
     asked = spark.createDataFrame([("1", "a", "CALLS", "c"), ("2", "a", "CALLS", "a"), ("3", "a", "CALLS", "e"), ("4", "c", "DEPENDS_ON", "e")], "claim_id string, subject string, predicate string, object string")
     assert {r.claim_id: r.path for r in reached_paths(edges, asked).collect()} == {"1": ["b", "c"], "2": ["b", "c", "a"], "4": ["e"]}
     entities = spark.createDataFrame([(x, x == "e") for x in "abcde"], "canonical_id string, located boolean")
