@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..storage import forget, keep
 from .adjacency import Adjacency, store
 from .ordinals import numbered
+from .target_index import TargetIndex, index
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,14 @@ class Graph:
     edges: DataFrame
     version: str
     into: DataFrame | None = None
+    made: dict[str, TargetIndex] = field(default_factory=dict, compare=False, repr=False)
+
+    @property
+    def targets(self) -> TargetIndex:
+        """The index of names, written when it is first asked for; a version's entities never change."""
+        if "targets" not in self.made:
+            self.made["targets"] = index(self.entities)
+        return self.made["targets"]
 
     @property
     def adjacency(self) -> Adjacency:

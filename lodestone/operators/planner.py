@@ -66,7 +66,7 @@ def plan(graph: Graph, contracts: DataFrame, outcomes: DataFrame | None = None)
             "allowed": S.depth_ceiling(F.col("latency_budget_ms"), F.col("depth")), "all": F.col("completeness") == "EXHAUSTIVE", "forward": F.col("intent") == "TRACE_EXECUTION",
         })
     )
-    seeds = keep(resolve_targets(graph.entities, rows.select("query_id", F.explode("targets").alias("target"))))
+    seeds = keep(resolve_targets(graph.targets, rows.select("query_id", F.explode("targets").alias("target"))))
     rows = rows.join(seeds.groupBy("query_id").agg(F.count("*").alias("n_seeds")), "query_id", "left").fillna(0, ["n_seeds"])
     over = F.col("n_seeds") > F.col("max_nodes")
     early = F.when(over & (F.col("all") | (F.col("max_nodes") == 0)), "PLAN_UNSUPPORTED").when((F.col("allowed") < F.col("depth")) & F.col("all"), "PLAN_BLOCKED")

@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import matching as M
+from .target_index import TargetIndex, index
 
 
-def _matches(entities: DataFrame, lookups: DataFrame) -> DataFrame:
+def _matches(entities: TargetIndex, lookups: DataFrame) -> DataFrame:
     """Entities (canonical_id, name, qualified_name) of each lookup (query_id, lookup, lower-case).
 
     By a substring of the name, or of the symbol path; where an entity's whole qualified name equals the lookup, the
-    second axis gives those alone. Buried matches stand only where there are no better ones. The lookups are a
-    stated set of questions; entities are read once.
+    second axis gives those alone. Buried matches stand only where there are no better ones.
     """
     symbol = F.lower(M.symbol_path(F.col("qualified_name")))
-    found = entities.select("canonical_id", "name", "qualified_name").join(F.broadcast(lookups), F.contains(F.lower("name"), F.col("lookup")) | F.contains(symbol, F.col("lookup")))
+    found = entities.candidates(lookups).where(F.contains(F.lower("name"), F.col("lookup")) | F.contains(symbol, F.col("lookup")))
     per = Window.partitionBy("query_id", "lookup")
     found = found.withColumns({"by_name": F.contains(F.lower("name"), F.col("lookup")), "exact": F.contains(symbol, F.col("lookup")) & (F.lower("qualified_name") == F.col("lookup"))})
     found = found.withColumn("any_exact", F.max("exact").over(per)).where("by_name OR exact OR NOT any_exact")
@@ -24,23 +24,24 @@ def _matches(entities: DataFrame, lookups: DataFrame) -> DataFrame:
     return found.withColumn("best", F.min("tier").over(per)).where("best = 2 OR tier <= 1").select("query_id", "lookup", "canonical_id", "name", "qualified_name", "tier")
 
 
-def resolve_targets(entities: DataFrame, targets: DataFrame) -> DataFrame:
+def resolve_targets(entities: DataFrame | TargetIndex, targets: DataFrame) -> DataFrame:
     """Seeds (query_id, entity, qualifier_tier, tier, rank) of targets (query_id, target).
 
     A dotted target, unless it ends like a file, also asks for its last part: candidates that its qualifier
     confirms, or all of them where it confirms none. Order: qualifier tier, match tier, canonical_id.
     """
+    entities = entities if isinstance(entities, TargetIndex) else index(entities, stored=False)
     targets = targets.select("query_id", F.lower("target").alias("target")).where("target <> ''").distinct()
     dotted = targets.where(F.contains("target", F.lit("."))).withColumns({"symbol": F.substring_index("target", ".", -1), "qualifier": F.regexp_replace("target", r"\.[^.]*$", "")})
     qualified = dotted.where((F.col("symbol") != "") & (F.col("qualifier") != "") & ~F.col("symbol").isin(*M.EXTENSIONS))
     whole = _matches(entities, targets.select("query_id", F.col("target").alias("lookup"))).select("query_id", "canonical_id", "name", "qualified_name", F.lit(None).cast("int").alias("qualifier_tier"))
     parts = _matches(entities, qualified.select("query_id", F.col("symbol").alias("lookup")).distinct())
-    parts = parts.join(F.broadcast(qualified.select("query_id", F.col("symbol").alias("lookup"), "target", "qualifier")), ["query_id", "lookup"])
+    parts = parts.join(qualified.select("query_id", F.col("symbol").alias("lookup"), "target", "qualifier"), ["query_id", "lookup"])
     parts = parts.withColumn("qualifier_tier", M.qualifier_tier(F.col("qualified_name"), F.col("qualifier")))
     confirmed = F.max(F.col("qualifier_tier").isNotNull()).over(Window.partitionBy("query_id", "target"))
     parts = parts.withColumn("confirmed", confirmed).where("NOT confirmed OR qualifier_tier IS NOT NULL")
     found = whole.unionByName(parts.select(*whole.columns)).groupBy("query_id", "canonical_id", "name", "qualified_name").agg(F.coalesce(F.min("qualifier_tier"), F.lit(2)).alias("qualifier_tier"))
     texts = targets.unionByName(dotted.where("symbol <> ''").select("query_id", F.col("symbol").alias("target"))).distinct()
-    tiers = found.join(F.broadcast(texts), "query_id").groupBy("query_id", "canonical_id", "qualifier_tier").agg(F.min(M.tier(F.col("name"), F.col("qualified_name"), F.col("target"))).alias("tier"))
+    tiers = found.join(texts, "query_id").groupBy("query_id", "canonical_id", "qualifier_tier").agg(F.min(M.tier(F.col("name"), F.col("qualified_name"), F.col("target"))).alias("tier"))
     order = Window.partitionBy("query_id").orderBy("qualifier_tier", "tier", "entity")
     return tiers.select("query_id", F.col("canonical_id").alias("entity"), "qualifier_tier", "tier").withColumn("rank", F.row_number().over(order))

@@ -44,7 +44,7 @@ def match_tiers(spark, sf_dir):
 
 def _seeds(spark, sf_dir, targets) -> DataFrame:
     asked = spark.createDataFrame([(t, t) for t in targets], "query_id string, target string")
-    return resolve_targets(graph(spark, sf_dir).entities, asked)
+    return resolve_targets(graph(spark, sf_dir).targets, asked)
 
 
 def seed_resolution(spark, sf_dir):

@@ -200,7 +200,7 @@ def mss_expand(spark, sf_dir):
 def lookup_symbols(spark, sf_dir, query: str = "nation_1", limit: int = 25):
     """The first seeds of one text; no edges."""
     g = graph(spark, sf_dir)
-    seeds = resolve_targets(g.entities, spark.createDataFrame([("q", query)], "query_id string, target string")).where(F.col("rank") <= limit)
+    seeds = resolve_targets(g.targets, spark.createDataFrame([("q", query)], "query_id string, target string")).where(F.col("rank") <= limit)
     return seeds.select(F.col("entity").alias("canonical_id"), "tier", F.col("rank").cast("long").alias("rank"))
 
 

@@ -22,7 +22,7 @@ MOST_NODES, MOST_EDGES, MOST_SYMBOLS = 50, 100, 25
 def _seeds(graph: Graph, symbol: str) -> DataFrame:
     """Seeds of a text; a canonical id names its entity."""
     spark = graph.entities.sparkSession
-    by_name = resolve_targets(graph.entities, spark.createDataFrame([("q", symbol)], "query_id string, target string")).select("query_id", "entity", "rank")
+    by_name = resolve_targets(graph.targets, spark.createDataFrame([("q", symbol)], "query_id string, target string")).select("query_id", "entity", "rank")
     by_id = graph.entities.where(F.col("canonical_id") == symbol).select(F.lit("q").alias("query_id"), F.col("canonical_id").alias("entity"), F.lit(0).alias("rank"))
     return by_name.unionByName(by_id)
 

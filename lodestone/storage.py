@@ -38,14 +38,15 @@ def keep(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return out
 
 
-def keep_bucketed(df: DataFrame, column: str, buckets: int, sort: list[str], partition_by: str) -> DataFrame:
+def keep_bucketed(df: DataFrame, column: str, buckets: int, sort: list[str], partition_by: str | None = None) -> DataFrame:
     """Write df once as a table bucketed by a column, one file a bucket and partition, and read it back.
 
     The table lies in the shared folder; its name in the session's catalog carries the bucketing.
     """
     spark, path = df.sparkSession, work_folder(df.sparkSession)
     name = path.rpartition("/")[2].replace("-", "_")
-    writer = df.repartition(buckets, column).write.partitionBy(partition_by).bucketBy(buckets, column).sortBy(*sort)
+    writer = df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(*sort)
+    writer = writer.partitionBy(partition_by) if partition_by else writer
     writer.format("parquet").option("path", path).saveAsTable(name)
     out = spark.table(name)
     out._lodestone_kept, out._lodestone_table = path, name

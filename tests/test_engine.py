@@ -14,6 +14,7 @@ from lodestone.operators.targets import resolve_targets
 from lodestone.operators import adjacency
 from lodestone.operators.adjacency import store
 from lodestone.operators.ordinals import numbered
+from lodestone.operators import target_index
 from lodestone.operators.traverse import expand_for_location, reached_paths, traverse
 from lodestone.operators.understand import contract_table, session_weights, understand
 
@@ -85,6 +86,27 @@ def test_checks_split_rows(spark):
     assert fine.count() == 1 and sorted(r.broken_rules for r in bad.collect()) == [["confidence"], ["predicate", "raw_reference"]]
 
 
+def test_index_names_all_that_hold_a_lookup(spark, monkeypatch):
+    r = random.Random(8)
+    text = lambda: "".join(r.choices("abAB.é", k=r.randrange(0, 9)))
+    rows = [(f"e{k}", text(), f"{text()}::{text()}") for k in range(300)] + [("none", None, "x::aab")]
+    entities = spark.createDataFrame(rows, "canonical_id string, name string, qualified_name string")
+    lookups = ["a", "ab", "é.", "aba", "abab", "zzz", "bé.a", "", "aaaaaaaa", ".", "ba.ab"]
+    asked = spark.createDataFrame([("q", x) for x in lookups] + [("p", "aba")], "query_id string, lookup string")
+    symbol = {x.canonical_id: x.s for x in entities.select("canonical_id", F.lower(matching.symbol_path(F.col("qualified_name"))).alias("s")).collect()}
+    want = {(q, x, i) for q, x in [*(("q", x) for x in lookups), ("p", "aba")] if x for i, n, _ in rows if x in (n or "").lower() or x in symbol[i]}
+    holds = F.contains(F.lower("name"), F.col("lookup")) | F.contains(F.lower(matching.symbol_path(F.col("qualified_name"))), F.col("lookup"))
+    stored, loose = target_index.index(entities), target_index.index(entities, stored=False)
+    for built in (stored, loose):
+        got = built.candidates(asked)
+        assert {(x.query_id, x.lookup, x.canonical_id) for x in got.where(holds).collect()} == want
+        assert got.count() == got.distinct().count() and "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
+    monkeypatch.setattr(target_index, "LITERALS", 1)
+    assert stored.candidates(asked).where(holds).count() == len(want)
+    ask = spark.createDataFrame([("q", "ab"), ("q", "x.aab")], "query_id string, target string")
+    assert sorted(map(tuple, resolve_targets(stored, ask).collect())) == sorted(map(tuple, resolve_targets(entities, ask).collect()))
+
+
 def plain_walk(edges, seeds, preds, depth, max_nodes, max_edges, reverse, extra):
     """The traversal as a loop over one query: edges is a list of (s, p, o) in the order of their commits.
 
