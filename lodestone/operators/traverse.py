@@ -114,32 +114,6 @@ def traverse(edges: DataFrame | Adjacency, seeds: DataFrame, requests: DataFrame
     )
 
 
-def reached_paths(edges: DataFrame, asked: DataFrame, most_hops: int | None = None) -> DataFrame:
-    """The shortest path (claim_id, hops, path of objects) from subject to object over one predicate, the first by edge order.
-
-    asked: claim_id, subject, predicate, object. Claims of one subject share its search. Levels follow until no new
-    node is met or every claim is answered; most_hops is an optional bound of the caller's.
-    """
-    source = ["subject", "predicate"]
-    links = edges.select(F.col("subject").alias("node"), "predicate", F.col("object").alias("next"))
-    level = asked.select(*source).distinct().select(*source, F.col("subject").alias("node"), F.array().cast("array<string>").alias("path"))
-    open_, seen, found, hops = asked, None, [], 0
-    while most_hops is None or hops < most_hops:
-        hops += 1
-        step = level.join(links, ["node", "predicate"]).select(*source, F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
-        step = step.groupBy(*source, "node").agg(F.min("path").alias("path"))
-        new = keep(step if seen is None else step.join(seen, [*source, "node"], "left_anti"))
-        met = new.withColumnRenamed("node", "object")
-        found.append(open_.join(met, [*source, "object"]).select("claim_id", F.lit(hops).alias("hops"), "path"))
-        open_ = keep(open_.join(met.select(*source, "object"), [*source, "object"], "left_anti"))
-        if new.isEmpty() or open_.isEmpty():
-            break
-        known = new.select(*source, "node")
-        seen = known if seen is None else keep(seen.unionByName(known))
-        level = new.where("node <> subject").join(open_.select(*source).distinct(), source, "left_semi")
-    return reduce(DataFrame.unionByName, found)
-
-
 def expand_for_location(edges: DataFrame | Adjacency, entities: DataFrame, ranked: DataFrame, cycles: int = 2, most: int = 50) -> tuple[DataFrame, DataFrame]:
     """Entities (query_id, entity) of packages that need a source location, widened until one has it, and queries (query_id, partial) that none satisfied.
 

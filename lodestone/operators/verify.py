@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..schema import CLAIM_TYPES, DERIVED, PREDICATES
+from .adjacency import Adjacency, adjacency
+from .paths import reached_paths
 from .reconcile import independence_group
-from .traverse import reached_paths
 
 FACTORS = list(S.VERIFICATION_WEIGHTS)
 CLAIM = "subject string, predicate string, object string, claim_type string"
@@ -29,13 +30,13 @@ def parse_claims(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return claims, parsed.where("NOT ok").select("answer_id")
 
 
-def entail(claims: DataFrame, edges: DataFrame) -> DataFrame:
+def entail(claims: DataFrame, edges: DataFrame | Adjacency) -> DataFrame:
     """claim_id, method (DIRECT_EDGE, PATH_EXISTENCE, NONE) and the matched edges, as an array of structs.
 
     A stored predicate matches its edge exactly; a derived one needs a path over its base predicate.
     """
     edge = F.struct("subject", "predicate", "object")
-    direct = claims.join(edges.select("subject", "predicate", "object"), ["subject", "predicate", "object"]).select("claim_id", F.lit("DIRECT_EDGE").alias("method"), F.array(edge).alias("matched"))
+    direct = claims.join(adjacency(edges).out.select("subject", "predicate", "object"), ["subject", "predicate", "object"]).select("claim_id", F.lit("DIRECT_EDGE").alias("method"), F.array(edge).alias("matched"))
     base = S.mapped(F.col("predicate"), DERIVED)
     derived = claims.where(F.col("predicate").isin(*DERIVED)).select("claim_id", "subject", base.alias("predicate"), "object")
     paths = reached_paths(edges, derived).join(derived, "claim_id")

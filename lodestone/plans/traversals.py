@@ -13,7 +13,8 @@ from ..operators.rank import candidate_tags
 from ..operators.reconcile import collect_evidence, fold
 from ..operators.resolve import resolve_entities, with_ordinal, with_target
 from ..operators.targets import resolve_targets
-from ..operators.traverse import DIRECTIONAL, expand_for_location, reached_paths, traverse
+from ..operators.paths import reached_paths
+from ..operators.traverse import DIRECTIONAL, expand_for_location, traverse
 from ..storage import table
 from .retrieval import _NAMED, _SEEDS
 from .graph_view import REL_SQL, REPOSITORY, REVISION, graph, traversal_sql
@@ -86,7 +87,7 @@ def reaches_path(spark, sf_dir):
     g = graph(spark, sf_dir)
     start = _one(spark, sf_dir, "EUROPE")
     asked = g.entities.where("base_type = 'CLASS'").select(F.col("canonical_id").alias("claim_id"), F.lit(start).alias("subject"), F.lit("CONTAINS").alias("predicate"), F.col("canonical_id").alias("object"))
-    return reached_paths(g.edges, asked).select("claim_id", "hops", F.array_join("path", ">").alias("path"))
+    return reached_paths(g.adjacency, asked).select("claim_id", "hops", F.array_join("path", ">").alias("path"))
 
 
 def _claims(spark, sf_dir) -> DataFrame:
@@ -99,7 +100,7 @@ def _claims(spark, sf_dir) -> DataFrame:
 def entail_direct(spark, sf_dir):
     from ..operators.verify import entail
 
-    return entail(_claims(spark, sf_dir), graph(spark, sf_dir).edges).select("claim_id", "method")
+    return entail(_claims(spark, sf_dir), graph(spark, sf_dir).adjacency).select("claim_id", "method")
 
 
 def entail_path(spark, sf_dir):
@@ -111,7 +112,7 @@ def entail_path(spark, sf_dir):
     o = o.select("s", F.concat(F.lit("order:"), (F.col("o_orderkey") + F.col("shift")).cast("string")).alias("o")).distinct()
     claims = o.join(e.select(F.col("key").alias("s"), F.col("canonical_id").alias("subject")), "s").join(e.select(F.col("key").alias("o"), F.col("canonical_id").alias("object")), "o")
     claims = claims.select(F.concat_ws(">", "s", "o").alias("claim_id"), "subject", F.lit("TRANSITIVE_CALLS").alias("predicate"), "object")
-    return entail(claims, graph(spark, sf_dir).edges).select("claim_id", "method", F.coalesce(F.size("matched"), F.lit(0)).alias("hops"))
+    return entail(claims, graph(spark, sf_dir).adjacency).select("claim_id", "method", F.coalesce(F.size("matched"), F.lit(0)).alias("hops"))
 
 
 def _evidence(spark, sf_dir) -> DataFrame:

@@ -15,7 +15,8 @@ from lodestone.operators import adjacency
 from lodestone.operators.adjacency import store
 from lodestone.operators.ordinals import numbered
 from lodestone.operators import target_index
-from lodestone.operators.traverse import expand_for_location, reached_paths, traverse
+from lodestone.operators.paths import reached_paths
+from lodestone.operators.traverse import expand_for_location, traverse
 from lodestone.operators.understand import contract_table, session_weights, understand
 
 NOW = datetime(2026, 8, 31)
@@ -241,6 +242,36 @@ def test_traversals_leave_one_table_behind(spark):
     assert len(set(os.listdir(folder)) - before) == 1
 
 
+def shortest(edges, s, p, o):
+    """The first of the shortest paths from s to o, level by level over whole paths."""
+    level, seen = [(s, ())], set()
+    while level:
+        level = sorted((n, (*path, n)) for at, path in level for a, q, n in edges if a == at and q == p and n not in seen)
+        level = sorted({n: path for n, path in sorted(level, key=lambda x: x[1], reverse=True)}.items(), key=lambda x: x[1])
+        seen |= {n for n, _ in level}
+        for n, path in level:
+            if n == o:
+                return list(path)
+    return None
+
+
+def test_paths_equal_a_plain_search(spark, monkeypatch):
+    monkeypatch.setattr("lodestone.operators.paths.JOINS", 2)
+    r = random.Random(3)
+    edges = sorted({(f"n{r.randrange(25)}", r.choice(["CALLS", "DEPENDS_ON"]), f"n{r.randrange(25)}") for _ in range(70)} | {(f"c{k}", "CALLS", f"c{k + 1}") for k in range(9)} | {("loop", "CALLS", "loop")})
+    names = [f"n{k}" for k in range(25)]
+    asked = [(f"{s}{p}{o}", s, p, o) for s in names for o in r.sample(names, 8) for p in ("CALLS", "DEPENDS_ON")]
+    asked += [(f"self{n}", n, "CALLS", n) for n in names] + [("chain", "c0", "CALLS", "c9"), ("loop", "loop", "CALLS", "loop"), ("gone", "nowhere", "CALLS", "n1"), ("away", "n1", "CALLS", "nowhere"), ("alone", "c9", "CALLS", "c9")]
+    want = {i: path for i, s, p, o in asked if (path := shortest(edges, s, p, o))}
+    df = spark.createDataFrame(edges, "subject string, predicate string, object string")
+    claims = spark.createDataFrame(asked, "claim_id string, subject string, predicate string, object string")
+    got = reached_paths(df, claims).collect()
+    assert {x.claim_id: x.path for x in got} == want and all(x.hops == len(x.path) for x in got) and len(got) == len(want)
+    assert "chain" in want and "loop" in want and 50 < len(want) < len(asked) - 20
+    assert {x.claim_id for x in reached_paths(df, claims, most_hops=2).collect()} == {i for i, path in want.items() if len(path) <= 2}
+    assert reached_paths(df, claims.where("false")).count() == 0
+
+
 def test_paths_and_expansion(spark):
     edges = spark.createDataFrame([("a", "CALLS", "b"), ("b", "CALLS", "c"), ("c", "CALLS", "a"), ("a", "CALLS", "d"), ("d", "CALLS", "c"), ("c", "DEPENDS_ON", "e")], "subject string, predicate string, object string").withColumns({"edge_seq": F.lit(0).cast("long"), "pair_seq": F.lit(0).cast("long")})
     asked = spark.createDataFrame([("1", "a", "CALLS", "c"), ("2", "a", "CALLS", "a"), ("3", "a", "CALLS", "e"), ("4", "c", "DEPENDS_ON", "e")], "claim_id string, subject string, predicate string, object string")
