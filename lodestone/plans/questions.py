@@ -231,11 +231,7 @@ def _labels(spark, sf_dir) -> DataFrame:
 
 
 def _traces(spark, sf_dir) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    ranked = retrieval._scored(spark, sf_dir).withColumn("rank", F.row_number().over(w))
-    return keep(ranked.select(F.concat(F.lit("item:"), F.col("item_id").cast("string")).alias("query_id"), F.lit("v1").alias("graph_version_id"), F.col("doc_id").cast("string").alias("entity"), "rank"))
+    return keep(retrieval.ranking(spark, sf_dir).select(F.concat(F.lit("item:"), F.col("item_id").cast("string")).alias("query_id"), F.lit("v1").alias("graph_version_id"), F.col("doc_id").cast("string").alias("entity"), "rank"))
 
 
 def claim_accuracy(spark, sf_dir):

@@ -9,7 +9,9 @@ from ..functions import matching as M
 from ..functions import scoring as S
 from ..operators.coverage import best, exhaustive, negative
 from ..operators.graph import find_entities
-from ..operators.rank import bm25, tokens
+from ..operators import search
+from ..operators.rank import tokens
+from ..operators.search import SearchIndex
 from ..operators.targets import resolve_targets
 from ..operators.understand import session_weights
 from ..storage import keep, table
@@ -131,54 +133,84 @@ def token_budget(spark, sf_dir):
     return o.select("o_orderkey", F.expr("least(100, tb div 50)").alias("max_nodes"), F.expr("least(250, tb div 20)").alias("max_edges"), F.expr("greatest(0, least(2, tb div 1500))").alias("depth"))
 
 
-RARE, TOP = 3, 10
+TOP = 10
+_INDEXED: dict[tuple, SearchIndex] = {}
 
 
-def _documents(spark, sf_dir) -> DataFrame:
-    """doc_id and tokens, read once."""
-    return keep(table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens")))
+def _index(spark, sf_dir) -> SearchIndex:
+    """The index of all documents, written once a session for the files that the table has."""
+    docs = table(spark, sf_dir, "documents")
+    known = (spark.sparkContext.applicationId, sf_dir, *sorted(docs.inputFiles()))
+    if known not in _INDEXED:
+        _INDEXED[known] = search.index(docs.select(F.col("doc_id").alias("doc"), "text"))
+    return _INDEXED[known]
 
 
-def _scored(spark, sf_dir) -> DataFrame:
-    """BM25 of every benchmark text against its candidates: the documents that hold one of its RARE rarest terms."""
-    docs = _documents(spark, sf_dir)
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    held = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    held = keep(held)
-    rarity = held.groupBy("term").agg(F.count("*").alias("df"))
-    rare = asked.join(rarity, "term").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))).where(F.col("r") <= RARE)
-    candidates = rare.select("query_id", "term").join(held, "term").select("query_id", "doc_id").distinct()
-    rows = candidates.join(docs, "doc_id").select("query_id", F.col("doc_id").alias("doc"), "tokens")
-    return bm25(rows, asked).select(F.col("query_id").alias("item_id"), F.col("doc").alias("doc_id"), "score")
+def _asked(spark, sf_dir) -> DataFrame:
+    """The terms of every benchmark text."""
+    words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term"))
+    return words.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
+def _top(spark, sf_dir) -> DataFrame:
+    found = _index(spark, sf_dir).top(_asked(spark, sf_dir), TOP)
+    return found.select(F.col("query_id").alias("item_id"), F.col("doc").alias("doc_id"), "score", "rank")
+
+
+def ranking(spark, sf_dir) -> DataFrame:
+    """item_id, doc_id, score and rank of all candidates of every benchmark text."""
+    found = _index(spark, sf_dir)
+    rows = search.ranked(found.scored(found.weights(_asked(spark, sf_dir))))
+    return rows.select(F.col("query_id").alias("item_id"), F.col("doc").alias("doc_id"), "score", "rank")
+
+
+def _relevant(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
 
 
 def bm25_scores(spark, sf_dir):
-    """The TOP candidates of each benchmark text by BM25 over the best, with statistics of its own candidates."""
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return _scored(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    """The TOP of all documents for each benchmark text, by BM25 over the best."""
+    return _top(spark, sf_dir).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _metrics(spark, sf_dir) -> DataFrame:
-    """Reciprocal rank, hits in the first ten and relevant candidates of each benchmark text; labels of quality 1 are relevant."""
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    ranked = _scored(spark, sf_dir).withColumn("rank", F.row_number().over(w))
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    rows = ranked.join(good, "doc_id", "left")
-    hits = rows.groupBy("item_id").agg(F.min(F.when(F.col("good"), F.col("rank"))).alias("first"), F.count_if(F.col("good") & (F.col("rank") <= 10)).alias("hits"), F.count_if("good").alias("relevant"))
-    return hits.select("item_id", F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), "hits", "relevant")
+def _hits(spark, sf_dir) -> DataFrame:
+    """Of the benchmark texts that have a candidate: item_id and how many of the first ten are relevant (labels of quality 1)."""
+    top = _top(spark, sf_dir).join(_relevant(spark, sf_dir).withColumn("good", F.lit(1)), "doc_id", "left")
+    return top.groupBy("item_id").agg(F.count("good").alias("hits"))
 
 
 def mrr(spark, sf_dir):
-    return _metrics(spark, sf_dir).select("item_id", F.round("rr", 6).alias("rr"))
+    """One over the rank of the first relevant document among all candidates; 0 where there is none.
+
+    The best relevant document gives a threshold; what reaches it is counted, and blocks that cannot are not scored.
+    """
+    found = _index(spark, sf_dir)
+    weights = keep(found.weights(_asked(spark, sf_dir)))
+    good = found.scored(weights, docs=_relevant(spark, sf_dir).withColumnRenamed("doc_id", "doc"))
+    best = keep(good.groupBy("query_id").agg(F.max("raw").alias("raw")))
+    peak = found.top(_asked(spark, sf_dir), 1).select("query_id", "doc")  # the best of all, for the rounding of scores
+    peak = peak.join(found.scored(weights, docs=peak), ["query_id", "doc"]).select("query_id", F.col("raw").alias("peak"))
+    least = best.join(peak, "query_id").select("query_id", (F.col("raw") - search.SLACK * F.col("peak")).alias("least"), "peak")
+    near = found.at_least(weights, least.select("query_id", "least")).join(least.select("query_id", "peak"), "query_id")
+    near = near.select("query_id", "doc", search.normalised(F.col("raw"), F.col("peak")).alias("score"))
+    near = keep(near.join(_relevant(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.lit(True).alias("good")), "doc", "left"))
+    first = near.where("good").groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("score"), "doc")).alias("first"))
+    before = near.join(first, "query_id").where((-F.col("score") < F.col("first.score")) | ((-F.col("score") == F.col("first.score")) & (F.col("doc") < F.col("first.doc"))))
+    places = first.join(before.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", (1 / (1 + F.coalesce("n", F.lit(0)))).alias("rr"))
+    every = weights.select("query_id").distinct()
+    return every.join(places, "query_id", "left").select(F.col("query_id").alias("item_id"), F.round(F.coalesce("rr", F.lit(0.0)), 6).alias("rr"))
 
 
 def precision_at_10(spark, sf_dir):
-    return _metrics(spark, sf_dir).agg(F.round(F.avg(F.col("hits") / F.lit(10.0)), 6).alias("precision_at_10"))
+    return _hits(spark, sf_dir).agg(F.round(F.avg(F.col("hits") / F.lit(10.0)), 6).alias("precision_at_10"))
 
 
 def recall_at_10(spark, sf_dir):
     """Texts without a relevant candidate are left out."""
-    return _metrics(spark, sf_dir).where("relevant > 0").agg(F.round(F.avg(F.col("hits") / F.col("relevant")), 6).alias("recall_at_10"))
+    found = _index(spark, sf_dir)
+    good = found.scored(found.weights(_asked(spark, sf_dir)), docs=_relevant(spark, sf_dir).withColumnRenamed("doc_id", "doc"))
+    relevant = good.groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("relevant"))
+    return relevant.join(_hits(spark, sf_dir), "item_id").agg(F.round(F.avg(F.col("hits") / F.col("relevant")), 6).alias("recall_at_10"))
 
 
 def session_window_decay(spark, sf_dir):
@@ -265,12 +297,9 @@ _COVERAGE = """c AS (SELECT user_id, (json_extract_string(props,'$.k')::INT % 10
 _BM25 = f"""d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text,'')),'[a-z0-9]+') AS terms FROM documents WHERE doc_id IS NOT NULL),
   a AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text),'[a-z0-9]+')) AS term FROM benchmark) GROUP BY 1,2),
   tf AS MATERIALIZED (SELECT doc_id, size, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS size, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM a) GROUP BY ALL),
-  ra AS (SELECT item_id, term FROM a JOIN (SELECT term, count(*) AS df FROM tf GROUP BY 1) USING (term) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY df, term)<={RARE}),
-  ca AS MATERIALIZED (SELECT DISTINCT item_id, doc_id FROM ra JOIN tf USING (term)),
-  st AS (SELECT item_id, count(*) AS docs, avg(len(terms)) AS mean FROM ca JOIN d USING (doc_id) GROUP BY 1),
-  pr AS (SELECT item_id, doc_id, term, size, tf, times FROM ca JOIN tf USING (doc_id) JOIN a USING (item_id, term)),
-  df AS (SELECT item_id, term, count(*) AS df FROM pr GROUP BY 1,2),
-  bm AS (SELECT item_id, doc_id, sum(times*ln(1+(docs-df+0.5::DOUBLE)/(df+0.5::DOUBLE))*tf*2.5::DOUBLE/(tf+1.5::DOUBLE*(0.25::DOUBLE+0.75::DOUBLE*size/mean))) AS raw FROM pr JOIN df USING (item_id, term) JOIN st USING (item_id) GROUP BY 1,2),
+  st AS (SELECT count(*) AS docs, avg(len(terms)) AS mean FROM d),
+  df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+  bm AS (SELECT item_id, doc_id, sum(times*ln(1+(docs-df+0.5::DOUBLE)/(df+0.5::DOUBLE))*tf*2.5::DOUBLE/(tf+1.5::DOUBLE*(0.25::DOUBLE+0.75::DOUBLE*size/mean))) AS raw FROM a JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1,2),
   rk AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (
     SELECT item_id, doc_id, CASE WHEN max(raw) OVER (PARTITION BY item_id)>0 THEN round(raw/max(raw) OVER (PARTITION BY item_id),9) ELSE 0 END AS score FROM bm))"""
 _METRICS = _BM25 + """, me AS (SELECT item_id, coalesce(1.0::DOUBLE/min(rank) FILTER (good),0) AS rr, count(*) FILTER (good AND rank<=10) AS hits, count(*) FILTER (good) AS relevant

@@ -1,7 +1,13 @@
 """Small tables whose edges dangle."""
 
+import math
+import random
+import re
+from collections import Counter
+
 import pytest
 
+from lodestone.operators import search
 from lodestone.plans import retrieval
 
 
@@ -49,3 +55,51 @@ def test_transitive_depends_of_a_long_chain_with_a_cycle(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "edges", lambda *_: spark.createDataFrame(chain, "subject string, predicate string, object string"))
     # n5 at depth 3 as n1 calls it, with n2; n3 and n6 at 4, n4 and n7 at 5, then n8 to n12
     assert {r.depth: r.n for r in retrieval.transitive_depends(spark, "").collect()} == {1: 1, 2: 1, 3: 2, 4: 2, 5: 2} | dict.fromkeys(range(6, 11), 1)
+
+
+def bm25_by_hand(docs, query):
+    """doc -> raw score of the documents that hold a term of the query."""
+    words = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    corpus = {d: Counter(words(t)) for d, t in docs}
+    mean = sum(sum(c.values()) for c in corpus.values()) / len(corpus)
+    out = {}
+    for d, c in corpus.items():
+        size = sum(c.values())
+        parts = []
+        for w in words(query):
+            df = sum(w in x for x in corpus.values())
+            if c[w]:
+                parts.append(math.log(1 + (len(corpus) - df + 0.5) / (df + 0.5)) * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * size / mean)))
+        if parts:
+            out[d] = sum(parts)
+    return out
+
+
+def test_search_equals_scoring_every_document(spark):
+    r = random.Random(5)
+    pool = [f"w{int(r.paretovariate(0.7))}" for _ in range(4000)]
+    docs = [(d, " ".join(r.choices(pool, k=r.randrange(0, 120)))) for d in range(400)] + [(900, None), (901, ""), (902, "only here"), (903, "tied one"), (904, "tied one"), (905, "tied one")]
+    df = spark.createDataFrame(docs, "doc long, text string")
+    found = search.index(df, block=16)
+    texts = {f"q{k}": " ".join(r.choices(pool, k=r.randrange(1, 9))) for k in range(25)} | {"rare": "only", "ties": "tied", "none": "nowhere", "both": "tied w1 w1"}
+    asked = spark.createDataFrame([(q, w, n) for q, t in texts.items() for w, n in Counter(t.split()).items()], "query_id string, term string, times long")
+    got = {}
+    for x in found.top(asked, 5).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.doc, x.score))
+    for q, t in texts.items():
+        raw = bm25_by_hand(docs, t)
+        best = max(raw.values(), default=0)
+        want = sorted((-round(v / best, 9), d) for d, v in raw.items())[:5]
+        assert [(d, s) for _, d, s in sorted(got.get(q, []))] == [(d, pytest.approx(-s, abs=2e-9)) for s, d in want], q
+    weights = found.weights(asked)
+    least = spark.createDataFrame([(q, 0.6 * max(bm25_by_hand(docs, t).values(), default=0)) for q, t in texts.items()], "query_id string, least double")
+    above = {(x.query_id, x.doc) for x in found.at_least(weights, least).collect()}
+    assert above == {(q, d) for q, t in texts.items() for raw in [bm25_by_hand(docs, t)] for d, v in raw.items() if v >= 0.6 * max(raw.values())}
+    # Some blocks are never scored: their bounds stay under the threshold.
+    bounds, tops = found.block_bounds(weights), found.at_least(weights, least)
+    assert tops.select("query_id").distinct().count() < bounds.count() and bounds.join(least, "query_id").where("bound < least").count() > 50
+
+
+def test_search_of_nothing(spark):
+    found = search.index(spark.createDataFrame([], "doc long, text string"))
+    assert found.top(spark.createDataFrame([("q", "a", 1)], "query_id string, term string, times long"), 3).count() == 0
