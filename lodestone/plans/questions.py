@@ -12,19 +12,18 @@ from ..operators import evaluate, planner, registry, verify
 from ..operators.coverage import best
 from ..operators.reconcile import KEY, combined
 from ..operators.traverse import DIRECTIONAL
-from ..operators.understand import INTENTS, RULES, SHORTEST_TARGET, contract_table, predicates_of, understand
+from ..operators.understand import INTENTS, candidates, contract_table, normalized, predicates_of, understand
 from ..schema import CAPABILITIES, METRICS
 from ..storage import keep, table
 from . import retrieval
 from .graph_view import REL_SQL, graph, traversal_sql
 
-#: Questions that touch every rule, several rules, or none.
-QUESTIONS = (
-    ("q01", "Who calls order_12?"), ("q02", "please  find the callers of order_13"), ("q03", "What calls order_1.x"), ("q04", "list callers of order_14"), ("q05", "Which tests cover NATION_2?"),
-    ("q06", "find tests for order_2"), ("q07", "find implementations of Supplier"), ("q08", "Who implements NATION_3"), ("q09", "What references NATION_3?"), ("q10", "show references to EUROPE"),
-    ("q11", "impact of changing order_7"), ("q12", "what does order_77 depend on"), ("q13", "history of NATION_2"), ("q14", "architecture of NATION_7"), ("q15", "What happens when order_5() is called"),
-    ("q16", "trace what happens from order_9"), ("q17", "call path from order_8"), ("q18", "if order_6 changes, what is affected?"), ("q19", "Why does order_3 call order_4?"), ("q20", "trace the execution of order_5"),
-    ("q21", "everything related to NATION_9"), ("q22", "calls"), ("q23", "what is the meaning of life"), ("q24", "who calls x"), ("q25", "who calls order_1 and what references NATION_1"), ("q26", " \t "),
+#: Forms of the questions that the tables ask; a is an order, b its customer's nation. Together they touch every rule, several rules, or none.
+FORMS = (
+    "Who calls {a}?", "please  find the callers of {a}", "What calls {a}.x", "list callers of {a}", "Which tests cover {b}?", "find tests for {a}", "find implementations of {b}", "Who implements {b}",
+    "What references {b}?", "show references to {b}", "impact of changing {a}", "what does {a} depend on", "history of {b}", "architecture of {b}", "What happens when {a}() is called", "trace what happens from {a}",
+    "call path from {a}", "if {a} changes, what is affected?", "Why does {a} call {b}?", "trace the execution of {a}", "everything related to {b}", "{a} calls {b}", "what is the meaning of {a}", "who calls x",
+    "who calls {a} and what references {b}", " \t ",
 )
 #: Planned questions: text, token budget, latency budget, completeness.
 PLANNED = (
@@ -35,30 +34,32 @@ PLANNED = (
 )
 
 
-def _candidates(spark, questions) -> DataFrame:
-    from ..operators.understand import candidates, normalized
-
-    return spark.createDataFrame([q[:2] for q in questions], "query_id string, text string").withColumn("c", candidates(normalized(F.col("text"))))
+def questions(spark, sf_dir) -> DataFrame:
+    """query_id and text: a question for each order, in the form that its key gives, and the text of each benchmark item."""
+    t = lambda n: table(spark, sf_dir, n)
+    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    form = F.element_at(F.array(*map(F.lit, FORMS)), (F.col("o_orderkey") % len(FORMS) + 1).cast("int"))
+    text = F.replace(F.replace(form, F.lit("{a}"), F.concat(F.lit("order_"), F.col("o_orderkey").cast("string"))), F.lit("{b}"), F.col("n_name"))
+    asked = o.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("query_id"), text.alias("text"))
+    return asked.unionByName(t("benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), "text"))
 
 
 def tier0_intents(spark, sf_dir):
     """What the rules find in each question, best first."""
-    rows = _candidates(spark, QUESTIONS).select("query_id", F.posexplode("c").alias("nth", "c"))
+    rows = questions(spark, sf_dir).select("query_id", F.posexplode(candidates(normalized(F.col("text")))).alias("nth", "c"))
     return rows.select("query_id", "nth", "c.intent", "c.score", F.array_join("c.targets", "|").alias("targets"))
 
 
-def _understood(spark, questions) -> DataFrame:
-    return understand(spark.createDataFrame([q[:2] for q in questions], "query_id string, text string"), contract_table(spark))
-
-
 def contract_fields(spark, sf_dir):
     """Status and contract of each question."""
     join = lambda c: F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c)
-    return _understood(spark, QUESTIONS).select("query_id", "status", F.coalesce("intent", F.lit("")).alias("intent"), join("targets"), join("relationship_types"), join("required_evidence"), F.coalesce("depth", F.lit(-1)).alias("depth"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    rows = understand(questions(spark, sf_dir), contract_table(spark))
+    return rows.select("query_id", "status", F.coalesce("intent", F.lit("")).alias("intent"), join("targets"), join("relationship_types"), join("required_evidence"), F.coalesce("depth", F.lit(-1)).alias("depth"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
 def ambiguity_complexity(spark, sf_dir):
-    return _understood(spark, QUESTIONS).where("status = 'RESOLVED'").select("query_id", F.round("ambiguity", 6).alias("ambiguity"), F.round("complexity", 6).alias("complexity"))
+    rows = understand(questions(spark, sf_dir), contract_table(spark)).where("status = 'RESOLVED'")
+    return rows.select("query_id", F.round("ambiguity", 6).alias("ambiguity"), F.round("complexity", 6).alias("complexity"))
 
 
 def depth_ceiling(spark, sf_dir):
@@ -68,7 +69,8 @@ def depth_ceiling(spark, sf_dir):
 
 def _contracts(spark) -> DataFrame:
     terms = spark.createDataFrame([(q, t, m, c) for q, _, t, m, c in PLANNED], "query_id string, token_budget int, latency_budget_ms int, completeness string")
-    rows = _understood(spark, PLANNED).where("status = 'RESOLVED'").drop("token_budget", "latency_budget_ms").join(terms, "query_id")
+    asked = spark.createDataFrame([q[:2] for q in PLANNED], "query_id string, text string")
+    rows = understand(asked, contract_table(spark)).where("status = 'RESOLVED'").drop("token_budget", "latency_budget_ms").join(terms, "query_id")
     return rows.withColumn("constraints", F.array().cast("array<string>"))
 
 
@@ -261,19 +263,63 @@ _text = lambda s: "'" + s.replace("'", "''") + "'"
 _lists = lambda xs: "[" + ",".join(map(_text, xs)) + "]::VARCHAR[]"
 
 
-def _understood_sql(questions) -> str:
+#: The rules, written out for the twins: place, intent, score, how many groups name targets, pattern.
+_RULES_SQL = r"""rules AS (SELECT * FROM (VALUES
+  (0, 'FIND_CALLERS', 0.97::DOUBLE, 1, '\bwho\s+calls\s+([A-Za-z0-9_.]+)'),
+  (1, 'FIND_CALLERS', 0.97, 1, '\bfind\s+(the\s+)?callers\s+of\s+(?P<t>[A-Za-z0-9_.]+)'),
+  (2, 'FIND_CALLERS', 0.97, 1, '\bwhat\s+calls\s+([A-Za-z0-9_.]+)'),
+  (3, 'FIND_CALLERS', 0.97, 1, '\blist\s+(the\s+)?callers\s+of\s+(?P<t>[A-Za-z0-9_.]+)'),
+  (4, 'FIND_TESTS', 0.97, 1, '\bwhich\s+tests?\s+(?:call|cover|test|exercise)\s+([A-Za-z0-9_.]+)'),
+  (5, 'FIND_TESTS', 0.97, 1, '\bfind\s+tests?\s+(?:for|covering|that\s+call)\s+([A-Za-z0-9_.]+)'),
+  (6, 'FIND_IMPLEMENTATIONS', 0.97, 1, '\b(?:find\s+)?implementations?\s+of\s+([A-Za-z0-9_.]+)'),
+  (7, 'FIND_IMPLEMENTATIONS', 0.97, 1, '\b(?:who|what)\s+implements?\s+([A-Za-z0-9_.]+)'),
+  (8, 'FIND_REFERENCES', 0.97, 1, '\b(?:who|what)\s+references?\s+([A-Za-z0-9_.]+)'),
+  (9, 'FIND_REFERENCES', 0.97, 1, '\breferences?\s+to\s+([A-Za-z0-9_.]+)'),
+  (10, 'FIND_IMPACT', 0.97, 1, '\bimpact\s+of\s+(?:changing\s+)?([A-Za-z0-9_.]+)'),
+  (11, 'FIND_DEPENDENCIES', 0.97, 1, '\bwhat\s+does\s+([A-Za-z0-9_.]+)\s+depend\s+on\b'),
+  (12, 'HISTORY_ANALYSIS', 0.97, 1, '\bhistory\s+of\s+([A-Za-z0-9_.]+)'),
+  (13, 'ARCHITECTURE_ANALYSIS', 0.97, 1, '\barchitecture\s+of\s+([A-Za-z0-9_.]+)'),
+  (14, 'TRACE_EXECUTION', 0.97, 1, '\bwhat\s+happens\s+when\s+([A-Za-z0-9_.]+)(?:\(\))?\s+(?:is\s+)?(?:called|invoked|runs?)\b'),
+  (15, 'TRACE_EXECUTION', 0.97, 1, '\btrace\s+what\s+happens\s+from\s+([A-Za-z0-9_.]+)'),
+  (16, 'TRACE_EXECUTION', 0.97, 1, '\bcall\s+path\s+from\s+([A-Za-z0-9_.]+)'),
+  (17, 'FIND_IMPACT', 0.97, 1, '\bif\s+([A-Za-z0-9_.]+)\s+changes?\b.*\baffected\b'),
+  (18, 'TRACE_EXECUTION', 0.80, 2, '\bwhy\s+does\s+([A-Za-z0-9_.]+)\s+call\s+([A-Za-z0-9_.]+)'),
+  (19, 'TRACE_EXECUTION', 0.97, 1, '\btrace\s+(?:the\s+)?execution\s+of\s+([A-Za-z0-9_.]+)'),
+  (20, 'CODE_LOOKUP', 0.45, 1, '\beverything\s+related\s+to\s+([A-Za-z0-9_.]+)'),
+  (21, 'FIND_CALLERS', 0.35, 0, '\bcalls?\b')) v(k, intent, score, groups, pattern))"""
+#: What each intent needs, written out for the twins.
+_INTENTS_SQL = """intent_table AS (SELECT * FROM (VALUES
+  ('FIND_CALLERS', ['CALL_RELATIONSHIP','SYMBOL_REFERENCE'], ['CALLS','IMPORTS','REFERENCES'], 1, true),
+  ('FIND_TESTS', ['CALL_RELATIONSHIP','SYMBOL_REFERENCE'], ['CALLS','IMPORTS','REFERENCES'], 1, true),
+  ('FIND_IMPLEMENTATIONS', ['IMPLEMENTATION'], ['IMPLEMENTS'], 1, true),
+  ('FIND_REFERENCES', ['SYMBOL_REFERENCE','TYPE_RELATIONSHIP'], ['IMPORTS','REFERENCES'], 1, true),
+  ('FIND_DEPENDENCIES', ['DEPENDENCY'], ['DEPENDS_ON'], 1, true),
+  ('TRACE_EXECUTION', ['CALL_RELATIONSHIP','DATA_FLOW'], ['CALLS','REFERENCES'], 2, true),
+  ('FIND_IMPACT', ['CALL_RELATIONSHIP','DATA_FLOW','DEPENDENCY'], ['CALLS','DEPENDS_ON','REFERENCES'], 2, true),
+  ('ARCHITECTURE_ANALYSIS', ['IMPLEMENTATION','SYMBOL_DEFINITION','TYPE_RELATIONSHIP'], ['IMPLEMENTS','REFERENCES'], 2, false),
+  ('CODE_LOOKUP', ['SYMBOL_DEFINITION'], []::VARCHAR[], 0, false),
+  ('HISTORY_ANALYSIS', ['HISTORY'], []::VARCHAR[], 0, false),
+  ('UNKNOWN', []::VARCHAR[], []::VARCHAR[], 0, false)) v(intent, evidence, types, depth, negative))"""
+#: questions(), written out.
+_ASKED_SQL = """SELECT 'o'||o_orderkey AS q, replace(replace([
+    'Who calls {a}?','please  find the callers of {a}','What calls {a}.x','list callers of {a}','Which tests cover {b}?','find tests for {a}','find implementations of {b}','Who implements {b}',
+    'What references {b}?','show references to {b}','impact of changing {a}','what does {a} depend on','history of {b}','architecture of {b}','What happens when {a}() is called','trace what happens from {a}',
+    'call path from {a}','if {a} changes, what is affected?','Why does {a} call {b}?','trace the execution of {a}','everything related to {b}','{a} calls {b}','what is the meaning of {a}','who calls x',
+    'who calls {a} and what references {b}',' '||chr(9)||' '][o_orderkey%26+1], '{a}', 'order_'||o_orderkey), '{b}', n_name) AS t
+  FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey
+  UNION ALL SELECT 'b'||item_id, text FROM benchmark"""
+_PLANNED_ASKED = ",".join("('" + "','".join(x.replace("'", "''") for x in q[:2]) + "')" for q in PLANNED)
+
+
+def _understood_sql(asked: str = _ASKED_SQL) -> str:
     """CTEs cand(q, k, intent, score, targets) and contracts(q, intent, targets, types, evidence, depth, negative, ambiguity, complexity, confidence)."""
-    values = ",".join(f"({_text(q)},{_text(t)})" for q, t, *_ in questions)
-    hits = []
-    for k, (intent, pattern, score, groups) in enumerate(RULES):
-        found = "[" + ",".join(f"regexp_extract(text,{_text(pattern)},{g},'i')" for g in range(1, groups + 1)) + "]::VARCHAR[]"
-        hits.append(f"SELECT q, {k} AS k, '{intent}' AS intent, {score}::DOUBLE AS score, list_filter({found}, lambda x: len(x)>={SHORTEST_TARGET}) AS targets FROM ask WHERE regexp_matches(text,{_text(pattern)},'i')")
-    intents = ",".join(f"('{k}',{_lists(sorted(e))},{_lists(predicates_of(k))},{d},{str(n).lower()})" for k, (e, d, n) in INTENTS.items())
-    return f"""ask AS (SELECT q, trim(regexp_replace(t,'\\s+',' ','g')) AS text FROM (VALUES {values}) v(q,t)), raw AS ({' UNION ALL '.join(hits)}),
-      cand AS (SELECT * FROM raw r WHERE k<{len(RULES) - 1} OR NOT EXISTS (SELECT 1 FROM raw o WHERE o.q=r.q AND o.intent=r.intent AND o.k<r.k)),
+    return rf"""ask AS MATERIALIZED (SELECT q, trim(regexp_replace(t,'\s+',' ','g')) AS text FROM ({asked}) v(q,t)), {_RULES_SQL},
+      raw AS MATERIALIZED (SELECT q, k, intent, score, list_filter(CASE WHEN groups=0 THEN [] WHEN groups=2 THEN [regexp_extract(text,pattern,1,'i'),regexp_extract(text,pattern,2,'i')]
+          WHEN contains(pattern,'(the') THEN [regexp_extract(text,pattern,2,'i')] ELSE [regexp_extract(text,pattern,1,'i')] END, lambda x: len(x)>=2) AS targets FROM ask, rules WHERE regexp_matches(text,pattern,'i')),
+      cand AS (SELECT * FROM raw r WHERE k<21 OR NOT EXISTS (SELECT 1 FROM raw o WHERE o.q=r.q AND o.intent=r.intent AND o.k<r.k)),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, k) AS nth FROM cand),
       facts AS (SELECT q, count(DISTINCT intent) AS intents, max(score) FILTER (nth=1) AS best, coalesce(max(score) FILTER (nth=2),0) AS second FROM ranked GROUP BY 1),
-      intent_table AS (SELECT * FROM (VALUES {intents}) v(intent,evidence,types,depth,negative)),
+      {_INTENTS_SQL},
       contracts AS (SELECT r.q, r.intent, r.targets, types, evidence, depth, negative, least(second/best,1) AS ambiguity, 0.25*least(intents/5.0::DOUBLE,1)+0.15*least(len(r.targets)/5.0::DOUBLE,1)+0.15*least(second/best,1) AS complexity, r.score AS confidence
         FROM ranked r JOIN facts USING (q) JOIN intent_table i ON i.intent=r.intent WHERE nth=1 AND r.score>0.95)"""
 
@@ -282,7 +328,7 @@ def _planned_sql() -> str:
     """CTEs up to final_nodes, final_rels, final_flags and plan(q, status, reason, ...)."""
     terms = ",".join(f"({_text(q)},{t},{m},{_text(c)})" for q, _, t, m, c in PLANNED)
     low = retrieval._NAMED.split(", low AS", 1)[1]
-    return f"""{REL_SQL}, low AS{low}, {_understood_sql(PLANNED)}, terms AS (SELECT * FROM (VALUES {terms}) v(q,tokens,ms,completeness)),
+    return f"""{REL_SQL}, low AS{low}, {_understood_sql(f'VALUES {_PLANNED_ASKED}')}, terms AS (SELECT * FROM (VALUES {terms}) v(q,tokens,ms,completeness)),
       asked AS (SELECT DISTINCT targets[1] AS target FROM contracts WHERE len(targets)>0), {re.sub(r"\bask\b", "wanted", retrieval._SEEDS).replace('seeds AS (', 'all_seeds AS MATERIALIZED (')},
       c AS MATERIALIZED (SELECT k.q, k.intent, k.types, k.depth, k.negative, greatest(0,least(100,tokens//50)) AS max_nodes, greatest(0,least(250,tokens//20)) AS max_edges, greatest(0,least(k.depth,ms//1500)) AS allowed, completeness='EXHAUSTIVE' AS every, k.intent='TRACE_EXECUTION' AS reverse,
         k.targets[1] AS target, (SELECT count(*) FROM all_seeds s WHERE s.target=k.targets[1]) AS n_seeds FROM contracts k JOIN terms USING (q)),
@@ -349,15 +395,15 @@ def _around_sql() -> str:
 
 
 SQL = {
-    "tier0_intents": f"WITH {_understood_sql(QUESTIONS)} SELECT q AS query_id, (nth-1)::INT AS nth, intent, score, array_to_string(targets,'|') AS targets FROM ranked",
-    "contract_fields": f"""WITH {_understood_sql(QUESTIONS)} SELECT ask.q AS query_id, CASE WHEN c.q IS NULL THEN 'SLM_UNAVAILABLE' ELSE 'RESOLVED' END AS status, coalesce(intent,'') AS intent, coalesce(array_to_string(targets,'|'),'') AS targets,
+    "tier0_intents": f"WITH {_understood_sql()} SELECT q AS query_id, (nth-1)::INT AS nth, intent, score, array_to_string(targets,'|') AS targets FROM ranked",
+    "contract_fields": f"""WITH {_understood_sql()} SELECT ask.q AS query_id, CASE WHEN c.q IS NULL THEN 'SLM_UNAVAILABLE' ELSE 'RESOLVED' END AS status, coalesce(intent,'') AS intent, coalesce(array_to_string(targets,'|'),'') AS targets,
         coalesce(array_to_string(types,'|'),'') AS relationship_types, coalesce(array_to_string(evidence,'|'),'') AS required_evidence, coalesce(depth,-1) AS depth, coalesce(confidence,0) AS confidence FROM ask LEFT JOIN contracts c ON c.q=ask.q""",
-    "ambiguity_complexity": f"WITH {_understood_sql(QUESTIONS)} SELECT q AS query_id, round(ambiguity,6) AS ambiguity, round(complexity,6) AS complexity FROM contracts",
+    "ambiguity_complexity": f"WITH {_understood_sql()} SELECT q AS query_id, round(ambiguity,6) AS ambiguity, round(complexity,6) AS complexity FROM contracts",
     "depth_ceiling": "SELECT o_orderkey, greatest(0,least(2,floor(o_totalprice)::BIGINT//1500))::INT AS depth FROM orders",
     "plan_status": f"""WITH {_planned_sql()} SELECT q AS query_id, status, reason, n_seeds AS seeds, (CASE WHEN status IN ('OK','PRUNED') THEN allowed ELSE 0 END)::INT AS effective_depth, coalesce(array_to_string(main,'|'),'') AS types,
         status IN ('OK','PRUNED') AND negative AND edges=0 AS negative_candidate FROM plan LEFT JOIN kept_types USING (q)""",
     "prune_trace": f"WITH {_planned_sql()} SELECT q AS query_id, original_nodes, original_edges, nodes, edges, truncated, coalesce(array_to_string(more,'|'),'') AS supplementary FROM plan LEFT JOIN kept_types USING (q) WHERE status IN ('OK','PRUNED')",
-    "relationship_type_priority": f"""WITH {REL_SQL}, {_understood_sql(QUESTIONS)}, ty AS (SELECT intent, unnest(types) AS predicate, unnest(range(len(types))) AS pidx FROM intent_table)
+    "relationship_type_priority": f"""WITH {REL_SQL}, {_understood_sql()}, ty AS (SELECT intent, unnest(types) AS predicate, unnest(range(len(types))) AS pidx FROM intent_table)
         SELECT intent, predicate, row_number() OVER (PARTITION BY intent ORDER BY predicate NOT IN (SELECT predicate FROM rel WHERE predicate<>'CALLS'), pidx)::INT AS place FROM ty""",
     "rank_entities": f"WITH {_planned_sql()}, {_RANKED} SELECT q AS query_id, node AS entity, rank, round(score,6) AS score FROM rk",
     "evidence_package": f"""WITH {_planned_sql()}, {_RANKED} SELECT node AS entity, name, rank, distance::INT AS distance, round(score,6) AS score, status,
@@ -366,7 +412,7 @@ SQL = {
     "neighborhood": _around_sql(),
     "provider_evaluation": f"WITH {_PROVIDERS} SELECT provider, capability, status FROM el",
     "provider_score_rank": f"WITH {_PROVIDERS} SELECT provider, capability, round(score,6) AS score, rank FROM rp",
-    "provider_selection": f"""WITH {_PROVIDERS}, {_understood_sql(QUESTIONS)}, need AS (SELECT intent, unnest(evidence) AS capability FROM intent_table)
+    "provider_selection": f"""WITH {_PROVIDERS}, {_understood_sql()}, need AS (SELECT intent, unnest(evidence) AS capability FROM intent_table)
         SELECT intent, n.capability, coalesce(string_agg(provider,'|' ORDER BY rank),'') AS providers FROM need n LEFT JOIN rp ON rp.capability=n.capability GROUP BY 1,2""",
     "provider_skips": f"""WITH {_PROVIDERS} SELECT provider, string_agg(capability,'|' ORDER BY capability) AS capabilities, string_agg(capability||': '||status,'; ' ORDER BY capability||': '||status) AS reason FROM el GROUP BY 1 HAVING NOT bool_or(status IN ('AVAILABLE','PARTIAL'))""",
     "provider_authority": f"WITH {_PROVIDERS} SELECT provider, eq AS authority FROM pv",

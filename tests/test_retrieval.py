@@ -103,3 +103,15 @@ def test_search_equals_scoring_every_document(spark):
 def test_search_of_nothing(spark):
     found = search.index(spark.createDataFrame([], "doc long, text string"))
     assert found.top(spark.createDataFrame([("q", "a", 1)], "query_id string, term string, times long"), 3).count() == 0
+
+
+def test_the_tables_ask_questions_that_touch_every_rule():
+    import duckdb
+
+    from lodestone.plans import questions
+
+    con = duckdb.connect()
+    for t in ("orders", "customer", "nation", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    hit = con.sql(f"WITH {questions._understood_sql()} SELECT k, count(*) FROM cand GROUP BY 1").fetchall()
+    assert {k for k, _ in hit} == set(range(22))
