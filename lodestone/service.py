@@ -33,14 +33,20 @@ def lookup_symbols(graph: Graph, query: str, limit: int = MOST_SYMBOLS) -> DataF
 
 
 def neighborhood(graph: Graph, symbol: str, depth: int = 1, max_nodes: int = MOST_NODES, max_edges: int = MOST_EDGES, relationship_types: list[str] | None = None) -> tuple[DataFrame, DataFrame, bool]:
-    """Nodes (entity, distance), edges and whether a cap refused any, around what a symbol names."""
+    """Nodes (entity, distance), edges (with status, confidence and evidence_count, where known) and whether a cap refused any, around what a symbol names."""
     if depth < 0:
         raise ValueError(f"depth must be >= 0, got {depth}")
     spark = graph.entities.sparkSession
     requests = spark.createDataFrame([("q", depth, max_nodes, max_edges, False)], "query_id string, depth int, max_nodes int, max_edges int, reverse boolean")
     predicates = spark.createDataFrame([("q", p, k, False) for k, p in enumerate(relationship_types or [None])], "query_id string, predicate string, pidx int, supplementary boolean")
     nodes, edges, flags = traverse(graph.adjacency, _seeds(graph, symbol), requests, predicates, depth, max_nodes, max_edges)
-    return nodes.select("entity", "distance"), edges.select("subject", "predicate", "object"), flags.first()["truncated"]
+    key = ["subject", "predicate", "object"]
+    ends = edges.select(F.col("subject").alias("node")).distinct()
+    stored = graph.adjacency.at(ends).out
+    about = [stored[c] for c in ("status", "confidence") if c in stored.columns]
+    if "supporting_evidence_ids" in stored.columns:
+        about.append((F.size("supporting_evidence_ids") + F.size("contradicting_evidence_ids")).alias("evidence_count"))
+    return nodes.select("entity", "distance"), edges.select(*key).join(stored.select(*key, *about), key), flags.first()["truncated"]
 
 
 class NotFound(LookupError):

@@ -6,10 +6,11 @@ import shutil
 import subprocess
 import time
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import canonical_id_of
+from ..operators.ordinals import numbered
 from .contract import Cohort, ExtractionError, Normalized, Provider, Repository, entity, entity_frame, evidence_of
 
 WINDOW, SATURATION, TIMEOUT = 20, 3.0, 30.0
@@ -96,5 +97,5 @@ def co_changes(changed: DataFrame, revision: str) -> DataFrame:
     files = changed.distinct()
     pairs = files.alias("x").join(files.alias("y"), "commit").where("x.path < y.path")
     counted = pairs.groupBy("x.path", "y.path", "x.id", "y.id").agg(F.count("*").alias("n")).toDF("a", "b", "subject", "object", "n")
-    nth = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("a", "b")) - 1  # at most WINDOW commits
-    return counted.select(F.concat(F.lit(f"git:co_change:{revision}:"), nth.cast("string")).alias("evidence_id"), "subject", F.lit("CO_CHANGED_WITH").alias("predicate"), "object", F.least(F.lit(1.0), F.col("n") / SATURATION).alias("confidence"), F.lit(None).cast("string").alias("raw_reference"))
+    counted = numbered(counted, ["a", "b"], "nth")
+    return counted.select(F.concat(F.lit(f"git:co_change:{revision}:"), F.col("nth").cast("string")).alias("evidence_id"), "subject", F.lit("CO_CHANGED_WITH").alias("predicate"), "object", F.least(F.lit(1.0), F.col("n") / SATURATION).alias("confidence"), F.lit(None).cast("string").alias("raw_reference"))

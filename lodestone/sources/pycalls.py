@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import canonical_id
+from ..operators.ordinals import numbered
 from .contract import Cohort, Normalized, Provider, evidence_of
 
 # Folders that hold no sources of the project.
@@ -168,6 +169,6 @@ class PythonCallsProvider(Provider):
         )
         ids = named.select("qualified_name", "id")
         links = calls.join(ids.toDF("caller", "subject"), "caller").join(ids.toDF("callee", "object"), "callee")
-        nth = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("caller", "callee")) - 1  # the calls of one repository
-        links = links.select(F.concat(F.lit(f"python_calls:{repository.head_revision}:call:"), nth.cast("string")).alias("evidence_id"), "subject", F.lit("CALLS").alias("predicate"), "object", F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("raw_reference"))
+        links = numbered(links, ["caller", "callee"], "nth")
+        links = links.select(F.concat(F.lit(f"python_calls:{repository.head_revision}:call:"), F.col("nth").cast("string")).alias("evidence_id"), "subject", F.lit("CALLS").alias("predicate"), "object", F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("raw_reference"))
         return Normalized(entities, evidence_of(cohort, links), cohort)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import EXTERNAL, canonical_id
+from ..operators.ordinals import numbered
 from .contract import Cohort, ExtractionError, Normalized, Provider, evidence_of
 from .scopes import NESTED, PLACES, Source, nested
 
@@ -284,9 +285,8 @@ class SymbolIndexProvider(Provider):
         for flag, predicate, tag, capability in (("implementation", "IMPLEMENTS", "implementation", "IMPLEMENTATION"), ("type", "REFERENCES", "type", "TYPE_RELATIONSHIP")):
             told = ends.where(F.col(flag) & F.lit(cohort.supports(capability)))
             links = links.unionByName(told.select("subject", F.lit(predicate).alias("predicate"), "object", F.lit(tag).alias("tag")).distinct())
-        links = keep(links)
-        nth = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("tag", "subject", "predicate", "object")) - 1  # the facts of one index
-        numbered = links.select(F.concat(F.lit(f"symbols:{repository.head_revision}:"), "tag", F.lit(":"), nth.cast("string")).alias("evidence_id"), "subject", "predicate", "object", F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("raw_reference"))
+        links = numbered(links, ["tag", "subject", "predicate", "object"], "nth")
+        numbered = links.select(F.concat(F.lit(f"symbols:{repository.head_revision}:"), "tag", F.lit(":"), F.col("nth").cast("string")).alias("evidence_id"), "subject", "predicate", "object", F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("raw_reference"))
         files = uses.select(file_id.alias("id"), F.lit(repository.head_revision).alias("revision"), F.lit("FILE").alias("base_type"), F.col("path").alias("qualified_name"), F.array().cast("array<string>").alias("roles"), F.lit(None).cast(_location_type()).alias("at")).distinct()
         found = self._defined(t, names, sure, apart, repository) if cohort.supports("SYMBOL_DEFINITION") else files.limit(0)
         inferred = F.array_compact(F.array(F.when(F.col("inferred"), F.lit("scip:inferred-from-relationship-only"))))
