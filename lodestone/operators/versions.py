@@ -118,7 +118,7 @@ class GraphVersions:
         held = {r[0] for r in self.spark.read.parquet(path).select("bucket").distinct().collect()} if touched and not rows.isEmpty() else set()
         return [(f"{path}/bucket={k}" if k in held else None) if k in touched else f for k, f in enumerate(at.folders[table])]
 
-    def upsert(self, entities: DataFrame, evidence: DataFrame, now: datetime, label: str, authority: DataFrame | None = None) -> Manifest:
+    def upsert(self, entities: DataFrame, evidence: DataFrame, now: datetime | Column, label: str, authority: DataFrame | None = None) -> Manifest:
         """Commit one batch: entities replace those of their id, evidence whose id is new is added, and what both touch is reconciled anew.
 
         entities: ENTITY columns. Weights are those of `now`; relationships that nothing touches keep theirs.
@@ -131,7 +131,7 @@ class GraphVersions:
             return made[-1]
 
         folders = dict(parent.folders)
-        at = F.lit(now).cast("timestamp")
+        at = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
         # Entities: the touched buckets with the new rows in place of the old.
         names = [x.split()[0] for x in ENTITY.split(", ")]
         entities = kept(entities.select(*names).dropDuplicates(["canonical_id"]))

@@ -127,6 +127,27 @@ def evidence_fold(spark, sf_dir):
     return fold(_evidence(spark, sf_dir).drop("l_partkey")).select("subject", "predicate", "object", F.array_join("supporting_evidence_ids", ",").alias("evidence_ids"), F.size("supporting_evidence_ids").alias("n"))
 
 
+def versioned_ingestion(spark, sf_dir):
+    """Evidence ingested in two batches, the suppliers after the relationships that wait for them: records of each relationship, and whether both ends are known."""
+    from datetime import datetime, timezone
+
+    from ..operators.versions import ENTITY, GraphVersions
+    from ..schema import EVIDENCE
+    from ..storage import work_folder
+
+    at = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    plain = {"provider": "lineitem", "provider_version": "1", "snapshot_id": "s", "source_revision": REVISION, "confidence": 0.9, "freshness": at, "independence_group": None, "raw_reference": None}
+    kinds = dict(x.split() for x in EVIDENCE.split(", "))
+    rows = _evidence(spark, sf_dir).withColumns({k: F.lit(v).cast(kinds[k]) for k, v in plain.items()}).select(*kinds)
+    named = lambda kind, key: table(spark, sf_dir, "orders" if kind == "order" else "supplier").select(F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")).alias("canonical_id"))
+    filled = lambda df: df.withColumns({n: F.lit(None).cast(t) for n, t in (x.split() for x in ENTITY.split(", ")) if n != "canonical_id"})
+    early = F.split("evidence_id", ":")[1].cast("int") <= 3  # line numbers: the first batch, then the others
+    store = GraphVersions(spark, f"{work_folder(spark)}/versions", 16)
+    store.upsert(filled(named("order", "o_orderkey")), rows.where(early), at, "first")
+    store.upsert(filled(named("supplier", "s_suppkey")), rows.where(~early), at, "second")
+    return store.relationships().select("subject", "predicate", "object", F.size("supporting_evidence_ids").alias("n"), (F.col("status") != "UNRESOLVED").alias("known"))
+
+
 def evidence_collect(spark, sf_dir):
     """The records behind the relationships of one supplier."""
     evidence = _evidence(spark, sf_dir)
@@ -221,7 +242,7 @@ def page_references_known(spark, sf_dir):
 
 
 FUNCTIONS = (
-    *(_walk(n) for n in WALKS), neighbors_out, neighbors_in, reaches_path, entail_direct, entail_path, evidence_fold, evidence_collect, evidence_scan,
+    *(_walk(n) for n in WALKS), neighbors_out, neighbors_in, reaches_path, entail_direct, entail_path, evidence_fold, versioned_ingestion, evidence_collect, evidence_scan,
     resolve_path_identity, resolve_location_identity, merge_fold, constraint_jaccard, proximity, mss_expand, lookup_symbols, point_lookup, page_references_known,
 )
 
@@ -241,6 +262,8 @@ SQL = {n: _walk_sql(n) for n in WALKS} | {
         SELECT s||'>'||o AS claim_id, CASE WHEN rel.subject IS NULL THEN 'NONE' ELSE 'PATH_EXISTENCE' END AS method, CASE WHEN rel.subject IS NULL THEN 0 ELSE 1 END AS hops
         FROM c JOIN keyed a ON a.key=s JOIN keyed b ON b.key=o LEFT JOIN rel ON rel.subject=a.canonical_id AND rel.object=b.canonical_id AND predicate='CALLS'""",
     "evidence_fold": f"WITH {_EV} SELECT subject, 'REFERENCES' AS predicate, object, string_agg(evidence_id, ',' ORDER BY evidence_id) AS evidence_ids, count(*)::INT AS n FROM ev GROUP BY 1,3",
+    "versioned_ingestion": f"""WITH {_EV} SELECT subject, 'REFERENCES' AS predicate, object, count(*)::INT AS n,
+        subject IN (SELECT 'order:'||o_orderkey FROM orders) AND object IN (SELECT 'supplier:'||s_suppkey FROM supplier) AS known FROM ev GROUP BY 1,3""",
     "evidence_collect": f"WITH {_EV} SELECT evidence_id, subject, object FROM ev WHERE object='supplier:3'",
     "evidence_scan": f"WITH {_EV} SELECT evidence_id, subject FROM ev WHERE object='supplier:7'",
     "resolve_path_identity": f"SELECT {_FILE} AS target_id, 3 AS raw_ids, 'EXACT_CANONICAL_ID' AS least_reason, 'NORMALIZED_PATH_IDENTITY' AS largest_reason FROM customer",

@@ -286,7 +286,7 @@ class SymbolIndexProvider(Provider):
             told = ends.where(F.col(flag) & F.lit(cohort.supports(capability)))
             links = links.unionByName(told.select("subject", F.lit(predicate).alias("predicate"), "object", F.lit(tag).alias("tag")).distinct())
         links = numbered(links, ["tag", "subject", "predicate", "object"], "nth")
-        numbered = links.select(F.concat(F.lit(f"symbols:{repository.head_revision}:"), "tag", F.lit(":"), F.col("nth").cast("string")).alias("evidence_id"), "subject", "predicate", "object", F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("raw_reference"))
+        facts = links.select(F.concat(F.lit(f"symbols:{repository.head_revision}:"), "tag", F.lit(":"), F.col("nth").cast("string")).alias("evidence_id"), "subject", "predicate", "object", F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("raw_reference"))
         files = uses.select(file_id.alias("id"), F.lit(repository.head_revision).alias("revision"), F.lit("FILE").alias("base_type"), F.col("path").alias("qualified_name"), F.array().cast("array<string>").alias("roles"), F.lit(None).cast(_location_type()).alias("at")).distinct()
         found = self._defined(t, names, sure, apart, repository) if cohort.supports("SYMBOL_DEFINITION") else files.limit(0)
         inferred = F.array_compact(F.array(F.when(F.col("inferred"), F.lit("scip:inferred-from-relationship-only"))))
@@ -296,7 +296,7 @@ class SymbolIndexProvider(Provider):
         name = F.coalesce(F.nullif(F.substring_index("qualified_name", "/", -1), F.lit("")), "qualified_name")
         rows = rows.select(F.col("id").alias("canonical_id"), F.col("revision").alias("repository_revision"), name.alias("name"), "qualified_name", "base_type", "roles", F.col("at").alias("source_location"))
         entities = rows.withColumns({"repository_id": F.lit(repository.repository_id), "language": F.lit(None).cast("string"), "lifecycle_status": F.lit("ACTIVE"), "provider_ids": F.create_map(F.lit(self.name), F.col("name")), "ordinal": F.lit(0)})
-        return Normalized(entities, evidence_of(cohort, numbered), cohort)
+        return Normalized(entities, evidence_of(cohort, facts), cohort)
 
     def _defined(self, t, names, sure, apart, repository) -> DataFrame:
         """One row an entity that is defined here: the first place that its symbol, or its scope, gives."""

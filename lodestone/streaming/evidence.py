@@ -1,12 +1,11 @@
-"""Evidence as a stream: each batch is stored once, and the relationships that it touches are reconciled anew."""
+"""Evidence as a stream: each batch is one committed version of the graph, which reads and writes only the buckets it touches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.reconcile import KEY, reconcile
-from ..operators.stores import EvidenceStore
+from ..operators.versions import ENTITY, GraphVersions
 from ..schema import EVIDENCE, RELATIONSHIP, split_valid
 from ..storage import work_folder
 
@@ -18,22 +17,22 @@ def evidence_stream(spark: SparkSession, folder: str) -> DataFrame:
 def reconcile_stream(stream: DataFrame, entities: DataFrame, now: Column, folder: str | None = None, authority: DataFrame | None = None) -> DataFrame:
     """Run a stream of EVIDENCE to its end: the current relationships, each as the last batch that touched it left it.
 
-    folder keeps the records, the progress, the relationships of each batch and the rows that break a rule of the
-    schema (`rejected`); a second run goes on there. A batch that is run again replaces what it wrote: its records are
-    known by id, and its relationships are those of all records, not of the new ones. Weights are those of `now`;
-    relationships that no batch touches keep the weights they had.
+    folder keeps the graph's versions, the progress and the rows that break a rule of the schema (`rejected`); a second
+    run goes on there, with the entities that are known by then. A batch that is run again changes nothing: its records
+    are known by id. Weights are those of `now`; relationships that no batch touches keep the weights they had.
     """
     spark = stream.sparkSession
     folder = folder or work_folder(spark)
-    store = EvidenceStore(spark, f"{folder}/evidence")
+    store = GraphVersions(spark, f"{folder}/graph")
+    missing = [(n, t) for n, t in (x.split() for x in ENTITY.split(", ")) if n not in entities.columns]
+    store.upsert(entities.withColumns({n: F.lit(None).cast(t) for n, t in missing}), spark.createDataFrame([], EVIDENCE), now, "entities", authority)
+    none = spark.createDataFrame([], ENTITY)
 
     def step(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()  # read by the check, the store and the keys; recomputed where an executor is lost
+        batch = batch.persist()  # read by the check and the store; recomputed where an executor is lost
         good, bad = split_valid(batch, "evidence")
         bad.write.mode("overwrite").parquet(f"{folder}/rejected/batch={number}")
-        store.add(good)
-        touched = store.read().join(good.select(*KEY).distinct(), KEY, "left_semi")
-        reconcile(touched, entities, now, authority=authority).write.mode("overwrite").parquet(f"{folder}/relationships/batch={number}")
+        store.upsert(none, good, now, f"batch:{number}", authority)
         batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/progress")
@@ -43,6 +42,4 @@ def reconcile_stream(stream: DataFrame, entities: DataFrame, now: Column, folder
 
 def relationships(spark: SparkSession, folder: str) -> DataFrame:
     """The current relationships of a folder that reconcile_stream wrote."""
-    rows = spark.read.schema(f"{RELATIONSHIP}, batch long").option("basePath", f"{folder}/relationships").parquet(f"{folder}/relationships")
-    last = F.max("batch").over(Window.partitionBy(*KEY))
-    return rows.withColumn("last", last).where("batch = last").drop("batch", "last")
+    return GraphVersions(spark, f"{folder}/graph").relationships().select(*(x.split()[0] for x in RELATIONSHIP.split(", ")))
