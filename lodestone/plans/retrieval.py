@@ -222,8 +222,8 @@ def session_window_decay(spark, sf_dir):
 
 
 def telemetry_filter(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.where("user_id % 5 = 2 AND event_type = 'click'").select("event_id", "user_id", "value")
+    """The records of one kind."""
+    return table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", "user_id", "value")
 
 
 def failure_events(spark, sf_dir):
@@ -244,12 +244,14 @@ def artifact_conflicts(spark, sf_dir):
 
 
 def changeset_diff(spark, sf_dir):
-    """Added, deleted, modified and unchanged orders between two snapshots."""
-    o = table(spark, sf_dir, "orders")
-    old = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("old_key"), F.col("o_orderpriority").alias("was"))
-    new = o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("new_key"), F.when(F.col("o_orderkey") % 7 == 0, "changed").otherwise(F.col("o_orderpriority")).alias("now"))
-    change = F.when(F.col("old_key").isNull(), "added").when(F.col("new_key").isNull(), "deleted").when(F.col("was") != F.col("now"), "modified").otherwise("unchanged")
-    return old.join(new, F.col("old_key") == F.col("new_key"), "full_outer").groupBy(change.alias("change")).agg(F.count("*").alias("n"))
+    """Added, deleted, modified and unchanged rows between two snapshots: the last event of each user and hour in the first half of the time, and in the second."""
+    e = table(spark, sf_dir, "events")
+    span = e.agg((F.unix_micros(F.min("ts").cast("timestamp")) + F.unix_micros(F.max("ts").cast("timestamp"))).alias("twice"))  # one row
+    rows = e.join(F.broadcast(span)).withColumn("early", 2 * F.unix_micros(F.col("ts").cast("timestamp")) < F.col("twice"))
+    last = lambda half: F.max_by(F.when(half, F.col("event_type")), F.when(half, F.struct("ts", "event_id")))
+    both = rows.groupBy("user_id", F.hour("ts").alias("hour")).agg(last(F.col("early")).alias("was"), last(~F.col("early")).alias("now"))
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "deleted").when(F.col("was") != F.col("now"), "modified").otherwise("unchanged")
+    return both.groupBy(change.alias("change")).agg(F.count("*").alias("n"))
 
 
 FUNCTIONS = (
@@ -331,10 +333,12 @@ SQL = {
     "recall_at_10": f"WITH {_METRICS} SELECT round(avg(hits::DOUBLE/relevant),6) AS recall_at_10 FROM me WHERE relevant>0",
     "session_window_decay": """WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS rank FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE)
         SELECT user_id, event_id, rank, round(power(0.5::DOUBLE,(rank-1)/5.0::DOUBLE),6) AS weight FROM r WHERE rank<=10""",
-    "telemetry_filter": "SELECT event_id, user_id, value FROM events WHERE user_id%5=2 AND event_type='click'",
+    "telemetry_filter": "SELECT event_id, user_id, value FROM events WHERE event_type='click'",
     "failure_events": "SELECT user_id, count(*) AS n, min(event_id) AS first_event FROM events WHERE event_type='error' GROUP BY 1",
     "dedupe_events": "SELECT user_id, event_type, strftime(ts,'%Y-%m-%d') AS day, min(event_id) AS event_id, count(*) AS n FROM events GROUP BY 1,2,3",
     "artifact_conflicts": "SELECT lang, source, count(DISTINCT coalesce(sha256(text),'none')) AS contents FROM documents GROUP BY 1,2 HAVING count(DISTINCT coalesce(sha256(text),'none'))>1",
-    "changeset_diff": """WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS was FROM orders WHERE o_orderkey%3<>0), n AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey%7=0 THEN 'changed' ELSE o_orderpriority END AS now FROM orders WHERE o_orderkey%5<>0)
-        SELECT CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'deleted' WHEN was<>now THEN 'modified' ELSE 'unchanged' END AS change, count(*) AS n FROM o FULL JOIN n ON o.k=n.k GROUP BY 1""",
+    "changeset_diff": """WITH h AS (SELECT user_id, hour(ts) AS hour, event_type, ts, event_id, 2*epoch_us(ts) < (SELECT epoch_us(min(ts))+epoch_us(max(ts)) FROM events) AS early FROM events),
+        l AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY user_id, hour, early ORDER BY ts DESC, event_id DESC)=1), o AS (SELECT * FROM l WHERE early), n AS (SELECT * FROM l WHERE NOT early)
+        SELECT CASE WHEN o.user_id IS NULL THEN 'added' WHEN n.user_id IS NULL THEN 'deleted' WHEN o.event_type<>n.event_type THEN 'modified' ELSE 'unchanged' END AS change, count(*) AS n
+        FROM o FULL JOIN n ON o.user_id=n.user_id AND o.hour=n.hour GROUP BY 1""",
 }
