@@ -417,10 +417,13 @@ def linked_classes(docs: DataFrame, name: Callable[[bytes, int], int] = set_id)
     star = buckets.groupBy("key").agg(F.max(member).alias("hub"), F.max("probe").alias("any")).where("any").select("key", F.col("hub.set_id").alias("h_set"), *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("n", *SIGNATURE)))
     star = buckets.join(star, "key").where("set_id <> h_set").where(fits("", "h_"))
     star = keep(star.select(F.least("set_id", "h_set").alias("a"), F.greatest("set_id", "h_set").alias("b")).distinct())
-    links = keep(verify(star, set_texts(docs, classes, star)))
+    texts = set_texts(docs, classes, star)
+    links = keep(verify(star, texts))
+    forget(texts)
     known = keep(components(links))
     # What the stars leave: pairs of one bucket whose sets are in different components so far.
     named = keep(buckets.join(known, F.col("set_id") == F.col("node"), "left").select(*buckets.columns, F.coalesce("comp", "set_id").alias("comp")))
+    forget(buckets, known)
     open_ = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count_if("probe").alias("probes")).where("c0 < c1 AND probes > 0")
     open_ = open_.select("key", F.floor(F.col("probes") / TILE).cast("int").alias("tiles"))
     side = lambda p, rows, tile: rows.select("key", tile.alias("tile"), *(F.col(c).alias(p + c) for c in ("set_id", "n", *SIGNATURE, "less", "comp")))
@@ -429,8 +432,10 @@ def linked_classes(docs: DataFrame, name: Callable[[bytes, int], int] = set_id)
     rest = probers.join(holders, ["key", "tile"]).where("a_comp <> b_comp AND NOT (a_less AND b_less)").where(fits())
     rest = rest.select(F.least("a_set_id", "b_set_id").alias("a"), F.greatest("a_set_id", "b_set_id").alias("b")).distinct()
     rest = keep(rest.join(star, ["a", "b"], "left_anti"))
-    links = keep(links.unionByName(verify(rest, set_texts(docs, classes, rest))))
-    forget(buckets, named, known)
+    forget(named, star)
+    texts = set_texts(docs, classes, rest)
+    links = keep(links.unionByName(verify(rest, texts)))
+    forget(texts, rest)
     comp = components(links)
     # Equal sets are one node; an empty set is linked with nothing.
     node = classes.join(comp, F.col("set_id") == F.col("node"), "left").select("digest", F.coalesce("comp", "set_id").alias("class"))
