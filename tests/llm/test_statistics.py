@@ -293,6 +293,17 @@ def test_ranks_keep_every_id_apart():
     assert ranks.end < 20 and len(ranks.counts) == 21 and abs(np.exp(ranks.rare[ranks.rank == 20]).sum() - 1) < 1e-9
 
 
+def test_frequent_words_are_the_largest_counts_and_bounded(spark):
+    rows = [(f"w{k}", 1 + k * k) for k in range(100)] + [(f"x{k}", 3) for k in range(50)]
+    counts = spark.createDataFrame(rows, "word string, n long")
+    for most in (0, 1, 7, 60, 149, 150, 999):
+        got = scoring.frequent(counts, most).collect()
+        out = {n for w, n in rows} - {r.n for r in got}
+        assert len(got) <= most and (not out or max(out) < min([r.n for r in got], default=10**9))
+    assert scoring.frequent(counts, 999).count() == 150 and scoring.frequent(counts, 7).count() >= 3
+    assert scoring.frequent(counts.where("false"), 5).count() == 0
+
+
 def test_subword_ids_give_the_words_back():
     encode = scoring.Encoder(tokenizer_path(scoring.VOCABULARY))
     words = ["the", "été,", "日本語", "x\x00y", "a" * 500, "🙂", "der"]
