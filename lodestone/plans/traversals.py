@@ -192,10 +192,10 @@ def resolve_location_identity(spark, sf_dir):
 
 
 def merge_fold(spark, sf_dir):
-    """Resolved entities: chosen name, roles as a set, status, and the merge record."""
+    """Resolved entities: chosen name, roles in the order they were first seen, status, and the merge record."""
     found, merges = resolve_entities(_reported(spark, sf_dir))
     rows = found.join(merges, "canonical_id")
-    return rows.select("canonical_id", "base_type", F.when(F.col("base_type") == "CLASS", F.col("name")).otherwise("").alias("name"), F.array_join(F.array_sort("roles"), ",").alias("roles"), "lifecycle_status", "reason", F.size("source_canonical_ids").alias("sources"), F.size("provider_ids").alias("providers"))
+    return rows.select("canonical_id", "base_type", F.when(F.col("base_type") == "CLASS", F.col("name")).otherwise("").alias("name"), F.array_join("roles", ",").alias("roles"), "lifecycle_status", "reason", F.size("source_canonical_ids").alias("sources"), F.size("provider_ids").alias("providers"))
 
 
 def constraint_jaccard(spark, sf_dir):
@@ -268,8 +268,10 @@ SQL = {n: _walk_sql(n) for n in WALKS} | {
     "evidence_scan": f"WITH {_EV} SELECT evidence_id, subject FROM ev WHERE object='supplier:7'",
     "resolve_path_identity": f"SELECT {_FILE} AS target_id, 3 AS raw_ids, 'EXACT_CANONICAL_ID' AS least_reason, 'NORMALIZED_PATH_IDENTITY' AS largest_reason FROM customer",
     "resolve_location_identity": f"SELECT {_PLACE} AS target_id, 2 AS raw_ids, 'SYMBOL_LOCATION_IDENTITY' AS reason FROM customer",
-    "merge_fold": f"""SELECT {_FILE} AS canonical_id, 'FILE' AS base_type, '' AS name, 'a,b,c' AS roles, 'RENAMED' AS lifecycle_status, 'NORMALIZED_PATH_IDENTITY' AS reason, 3 AS sources, 3 AS providers FROM customer
-        UNION ALL SELECT {_PLACE}, 'CLASS', 'C'||c_custkey, 's,t', 'ACTIVE', 'SYMBOL_LOCATION_IDENTITY', 2, 2 FROM customer""",
+    "merge_fold": f"""WITH f AS (SELECT c_custkey, unnest(['src/'||c_custkey||'.py', './src//'||c_custkey||'.py', chr(92)||'src'||chr(92)||c_custkey||'.py']) AS path, unnest(['a','b','c']) AS role FROM customer),
+        g AS (SELECT c_custkey, unnest(['scip/C'||c_custkey||'#', 'ast/C'||c_custkey]) AS path, unnest(['s','t']) AS role FROM customer)
+        SELECT {_FILE} AS canonical_id, 'FILE' AS base_type, '' AS name, string_agg(role, ',' ORDER BY {_ID.format("FILE", "path")}) AS roles, 'RENAMED' AS lifecycle_status, 'NORMALIZED_PATH_IDENTITY' AS reason, 3 AS sources, 3 AS providers FROM f GROUP BY c_custkey
+        UNION ALL SELECT {_PLACE}, 'CLASS', 'C'||c_custkey, string_agg(role, ',' ORDER BY {_ID.format("CLASS", "path")}), 'ACTIVE', 'SYMBOL_LOCATION_IDENTITY', 2, 2 FROM g GROUP BY c_custkey""",
     "constraint_jaccard": f"""WITH {REL_SQL}, t AS (SELECT canonical_id, list_distinct(list_concat([lower(base_type)], list_filter(string_split(lower(qualified_name),'/'), lambda x: x<>''))) AS tags FROM entities),
         j AS (SELECT canonical_id, len(list_intersect(tags,['europe','class'])) AS n, len(tags) AS m FROM t) SELECT canonical_id, round(n/(m+2-n)::DOUBLE,6) AS match FROM j""",
     "proximity": f"""WITH w AS ({_walk_sql('traverse_depth2')}), {REL_SQL} SELECT canonical_id, CASE WHEN distance IS NULL THEN 0.0::DOUBLE ELSE round(power(0.9::DOUBLE, distance),6) END AS proximity
