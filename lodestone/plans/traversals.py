@@ -235,10 +235,11 @@ def point_lookup(spark, sf_dir):
 
 
 def page_references_known(spark, sf_dir):
-    """References between pages of which both ends are known."""
+    """References of pages to sections (the first part of a path) that are known to hold pages."""
     p = table(spark, sf_dir, "pages")
     links = p.select(F.col("url").alias("subject"), F.explode(F.expr("regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)")).alias("object")).distinct()
-    return links.join(p.select(F.col("url").alias("object")).distinct(), "object", "left_semi").select("subject", "object")
+    sections = p.select(F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^/?#]+)", 1).alias("object")).distinct()
+    return links.join(sections, "object", "left_semi").select("subject", "object")
 
 
 FUNCTIONS = (
@@ -286,5 +287,5 @@ SQL = {n: _walk_sql(n) for n in WALKS} | {
         SELECT node AS canonical_id, (SELECT count(*)=0 FROM entities WHERE base_type='FUNCTION' AND canonical_id IN (SELECT node FROM a)) AS partial FROM a""",
     "lookup_symbols": f"WITH {REL_SQL}, low AS{_NAMED.split(', low AS', 1)[1]}, asked AS (SELECT 'nation_1' AS target), {_SEEDS} SELECT canonical_id, tier, rank FROM seeds WHERE rank<=25",
     "point_lookup": f"WITH {REL_SQL} SELECT canonical_id, name, qualified_name, base_type FROM entities WHERE name='order_7'",
-    "page_references_known": """SELECT DISTINCT subject, object FROM (SELECT url AS subject, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS object FROM pages) WHERE object IN (SELECT url FROM pages)""",
+    "page_references_known": """SELECT DISTINCT subject, object FROM (SELECT url AS subject, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS object FROM pages) WHERE object IN (SELECT regexp_extract(url, '^[a-z]+://[^/]+(/[^/?#]+)', 1) FROM pages)""",
 }
