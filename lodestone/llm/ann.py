@@ -1,22 +1,22 @@
-"""Approximate nearest neighbours by inner product: anisotropic four-bit quantisation and exact reranking.
+"""Nearest neighbours by inner product: anisotropic four-bit quantisation whose error bounds make the search exact.
 
 Each vector is coded in subspaces of DIMS_PER_CODE dimensions with 16 centres, chosen by a loss that weighs
 the part of the residual parallel to the vector PARALLEL times the rest, as that part is what distorts large
-inner products. Codes are made once and stored, two to a byte. A query sums its tables over the codes of all
-vectors; the RERANK best of every block merge into one shortlist of RERANK vectors a query, and only those
-original vectors are fetched and scored exactly, in double precision. No vector is left out by a coarse index,
-so recall depends on RERANK alone; with RERANK at the number of vectors the search is exact. The scan's work
-is queries x vectors, a lookup for each byte of code.
+inner products. Codes are made once and stored, two to a byte, with the length of what they leave out. A query sums its
+tables over the codes of all vectors; by the Cauchy-Schwarz inequality its product with a vector exceeds that sum by the length
+left out times its own length at most. The products of the vectors with the best sums are a threshold, and every vector
+whose bound reaches it is scored exactly, in double precision, in the task that holds it. So no nearest vector is missed,
+whatever the rows: where codes cannot tell vectors apart, more of them are scored. The scan's work
+is queries x vectors, a lookup for each byte of code, and at worst a product.
 
 Codebooks are fitted on the SAMPLE vectors with the smallest hash; every vector is indexed. Equal vectors are
 one entry that knows its smallest ids, so a vector held by a third of all rows costs one scan. A task takes a
-block of codes and a part of the queries, both of bounded size.
+block of codes with their vectors and a part of the queries, both of bounded size, and returns the nearest of its block.
 
 Defined results: vectors that are null, zero, of another length than the most frequent one, or that hold
 null or non-finite components take no part; neither do rows with a null id, which nothing could name; rows that
 repeat id and vector count once; rows that repeat an id with another vector are rows of their own, as
-candidates and as queries (the id then has several rankings); equal scores go by the smaller id, at the
-shortlist's edge too; an empty table gives an empty result; extra columns are ignored.
+candidates and as queries (the id then has several rankings); equal scores go by the smaller id; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,14 +35,19 @@ from .common import keep, parts_for, ship
 TOP, QUERY_STEP = 20, 20
 DIMS_PER_CODE, CENTRES, PARALLEL = 1, 16, 4.0
 SAMPLE = 10_000
-BLOCK, QUERIES, RERANK = 4_096, 256, 120
-MOST_VECTORS, MOST_QUERIES = 1 << 20, 8_192  # of a task
+BLOCK, QUERIES, PAIRS = 4_096, 256, 1 << 15
+MOST_VECTORS, MOST_QUERIES, TASKS = 1 << 17, 1 << 15, 16  # of a task; tasks that a small table is dealt to
+EPS, TINY = 2.0**-22, 1e-30  # what a term of a sum in single precision may be off, relatively and at all
 
 
 @dataclass
 class Index:
     books: np.ndarray  # subspaces x CENTRES x DIMS_PER_CODE
 
+    @property
+    def scale(self) -> float:
+        return float(np.abs(self.books).max()) or 1.0
+
     def _split(self, x: np.ndarray) -> np.ndarray:
         pad = -x.shape[1] % DIMS_PER_CODE
         return np.pad(x, ((0, 0), (0, pad))).reshape(len(x), -1, DIMS_PER_CODE)
@@ -64,40 +69,60 @@ class Index:
                 total = rest + along[rows, s, code[:, s]]
         return code.astype(np.uint8)
 
-    def packed(self, x: np.ndarray) -> np.ndarray:
-        """Codes, two to a byte."""
+    def packed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes, two to a byte, and for each vector what the sum of a query of length one may be off, both over the scale."""
         code = self.codes(x)
+        left = np.linalg.norm(self._split(x) - self.books[np.arange(code.shape[1]), code], axis=(1, 2))
+        off = (left + EPS * x.shape[1] * (np.linalg.norm(x, axis=1) + left)) / self.scale + TINY
         if code.shape[1] % 2:
             code = np.pad(code, ((0, 0), (0, 1)))
-        return code[:, ::2] * np.uint8(CENTRES) + code[:, 1::2]
+        return code[:, ::2] * np.uint8(CENTRES) + code[:, 1::2], off
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """For each query and byte of code, what the byte's two centres add to the product."""
-        one = np.einsum("qsd,skd->qsk", self._split(q), self.books).astype(np.float32)
+        """For each query, taken as of length one, and byte of code, what the byte's two centres add to the product, over the scale."""
+        one = np.einsum("qsd,skd->qsk", self._split(q / np.linalg.norm(q, axis=1)[:, None]), self.books / self.scale).astype(np.float32)
         if one.shape[1] % 2:
             one = np.pad(one, ((0, 0), (0, 1), (0, 0)))
         return (one[:, ::2, :, None] + one[:, 1::2, None, :]).reshape(len(q), -1, CENTRES * CENTRES)
 
 
-def best_codes(tables: np.ndarray, codes: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The `most` codes with the largest sums for each query (query, place, sum); of equal sums the smaller id."""
-    at_q, at_d, sums = [], [], []
+def products(x: np.ndarray, y: np.ndarray, at_x: np.ndarray, at_y: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of rows, in double precision, some PAIRS at a time."""
+    parts = [np.einsum("nd,nd->n", x[at_x[i : i + PAIRS]].astype("<f8"), y[at_y[i : i + PAIRS]]) for i in range(0, len(at_x), PAIRS)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def nearest(y: np.ndarray, index: Index, x: np.ndarray, codes: np.ndarray, off: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `most` vectors with the largest products for each query (query, place, product); of equal products the smaller id."""
+    tables, unit = index.tables(y), np.linalg.norm(y, axis=1) * index.scale
+    at_q, at_d, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    least = np.full(len(y), -np.inf)
+
+    def add(q: np.ndarray, d: np.ndarray) -> None:
+        nonlocal at_q, at_d, score
+        at_q, at_d, score = np.concatenate([at_q, q]), np.concatenate([at_d, d]), np.concatenate([score, products(x, y, d, q)])
+        order = np.lexsort((first[at_d], -score, at_q))
+        rank = np.arange(len(at_q)) - np.searchsorted(at_q[order], at_q[order])
+        order, rank = order[rank < most], rank[rank < most]
+        at_q, at_d, score = at_q[order], at_d[order], score[order]
+        least[at_q[rank == most - 1]] = score[rank == most - 1]
+
     for i in range(0, len(codes), BLOCK):
         block = codes[i : i + BLOCK]
         rough = np.zeros((len(tables), len(block)), np.float32)
         for s in range(block.shape[1]):
             rough += tables[:, s].take(block[:, s], axis=1)
         m = min(most, len(block))
-        edge = np.partition(rough, len(block) - m, axis=1)[:, len(block) - m]
-        q, d = np.nonzero(rough >= edge[:, None])
-        at_q.append(q)
-        at_d.append(d + i)
-        sums.append(rough[q, d])
-    q, d, v = np.concatenate(at_q), np.concatenate(at_d), np.concatenate(sums)
-    order = np.lexsort((first[d], -v, q))
-    q, d, v = q[order], d[order], v[order]
-    rank = np.arange(len(q)) - np.searchsorted(q, q)
-    return q[rank < most], d[rank < most], v[rank < most]
+        # The threshold: the vectors with the best sums, scored. Then all whose bound reaches it; what is no number does.
+        best = np.zeros(rough.shape, bool)
+        np.put_along_axis(best, np.argpartition(rough, len(block) - m, axis=1)[:, len(block) - m :], True, axis=1)
+        q, d = np.nonzero(best)
+        add(q, d + i)
+        able = ~(np.isfinite(rough) & (rough + off[None, i : i + BLOCK] < (least / unit)[:, None])) & ~best
+        q, d = np.nonzero(able)
+        for j in range(0, len(q), BLOCK * most):  # so that what is held stays bounded
+            add(q[j : j + BLOCK * most], d[j : j + BLOCK * most] + i)
+    return at_q, at_d, score
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -167,15 +192,18 @@ def vector_classes(rows: DataFrame, keep_ids: int) -> tuple[DataFrame, DataFrame
     return good.select("vec_id", "class"), keep(distinct.join(ids, "class")), dims, kind
 
 
-def search(rows: DataFrame, top: int = TOP, step: int = QUERY_STEP, rerank: int = RERANK) -> DataFrame:
-    """query_id, rank, vec_id, score: the `top` nearest found of each row whose vec_id is divisible by `step`."""
+def search(rows: DataFrame, top: int = TOP, step: int = QUERY_STEP, rerank: int = 0) -> DataFrame:
+    """query_id, rank, vec_id, score: the `top` nearest of each row whose vec_id is divisible by `step`.
+
+    rerank is the least number of vectors of a block that are scored before their threshold is taken.
+    """
     spark = rows.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
     members, classes, dims, kind = vector_classes(rows, top + 1)
     n = classes.count()
     if not n:
         return spark.createDataFrame([], out)
-    rerank = max(rerank, top + 1)
+    most = max(rerank, top + 1)
     sample = classes.select("class", "x").orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("x").collect()
     shared = spark.sparkContext.broadcast(fit(np.array([np.frombuffer(r["x"], kind) for r in sample], "<f8")))  # the codebooks
 
@@ -183,52 +211,38 @@ def search(rows: DataFrame, top: int = TOP, step: int = QUERY_STEP, rerank: int
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                codes = shared.value.packed(_matrix(part.column("x"), dims, kind).astype("<f8"))
-                yield pa.RecordBatch.from_arrays([part.column("class"), part.column("first"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["class", "first", "code"])
+                codes, off = shared.value.packed(_matrix(part.column("x"), dims, kind).astype("<f8"))
+                yield pa.RecordBatch.from_arrays([part.column("class"), part.column("first"), part.column("x"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off)], names=["class", "first", "x", "code", "off"])
 
-    coded = keep(classes.select("class", F.col("ids")[0].alias("first"), "x").mapInArrow(encode, "class binary, first long, code binary"))
+    coded = keep(classes.select("class", F.col("ids")[0].alias("first"), "x").mapInArrow(encode, "class binary, first long, x binary, code binary, off double"))
     queries = members.where(F.col("vec_id") % step == 0)
     asked = keep(classes.join(queries.select("class").distinct(), "class", "left_semi").select("class", "x"))
-    # Every pair of a vector and a query meets in one (block, part).
-    blocks = parts_for(n, min(MOST_VECTORS, max(BLOCK, n // 4)))
-    n_asked = asked.count()
-    parts = parts_for(n_asked, min(MOST_QUERIES, max(QUERIES, n_asked // 4)))
+    # Every pair of a vector and a query meets in one (block, part). Vectors are many, so it is queries that are repeated.
+    blocks = max(parts_for(n, MOST_VECTORS), min(TASKS, parts_for(n, BLOCK)))
+    parts = parts_for(asked.count(), MOST_QUERIES)
     some = lambda k: F.pmod(F.xxhash64("class"), F.lit(k)).cast("int")
     all_ = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = coded.select("class", "first", "code", some(blocks).alias("block"), all_(parts).alias("part"))
+    left = coded.select("class", "first", "x", "code", "off", some(blocks).alias("block"), all_(parts).alias("part"))
     right = asked.select("class", "x", some(parts).alias("part"), all_(blocks).alias("block"))
 
     def scan(d: pa.Table, q: pa.Table) -> pa.Table:
-        names, kinds = ["query", "class", "first", "rough"], [pa.binary(), pa.binary(), pa.int64(), pa.float32()]
+        names, kinds = ["query", "class", "first", "score"], [pa.binary(), pa.binary(), pa.int64(), pa.float64()]
         if not d.num_rows or not q.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
         codes = np.frombuffer(b"".join(d.column("code").to_pylist()), np.uint8).reshape(d.num_rows, -1)
-        first, y = d.column("first").to_numpy(), _matrix(q.column("x"), dims, kind).astype("<f8")
+        first, off, x, y = d.column("first").to_numpy(), d.column("off").to_numpy(), _matrix(d.column("x"), dims, kind), _matrix(q.column("x"), dims, kind).astype("<f8")
         found = []
         for j in range(0, len(y), QUERIES):
-            at_q, at_d, sums = best_codes(shared.value.tables(y[j : j + QUERIES]), codes, first, rerank)
-            found.append((at_q + j, at_d, sums))
-        at_q, at_d, sums = (pa.array(np.concatenate(c)) for c in zip(*found, strict=True))
-        return pa.table([q.column("class").take(at_q), d.column("class").take(at_d), d.column("first").take(at_d), sums], names=names).cast(pa.schema(list(zip(names, kinds, strict=True))))
+            at_q, at_d, score = nearest(y[j : j + QUERIES], shared.value, x, codes, off, first, most)
+            found.append((at_q + j, at_d, score))
+        at_q, at_d, score = (pa.array(np.concatenate(c)) for c in zip(*found, strict=True))
+        return pa.table([q.column("class").take(at_q), d.column("class").take(at_d), d.column("first").take(at_d), score], names=names).cast(pa.schema(list(zip(names, kinds, strict=True))))
 
     key = ["block", "part"]
-    rough = left.select(*key, "class", "first", "code").groupBy(*key).cogroup(right.select(*key, "class", "x").groupBy(*key)).applyInArrow(scan, "query binary, class binary, first long, rough float")
-    shortest = Window.partitionBy("query").orderBy(F.desc("rough"), "first")
-    short = keep(rough.withColumn("r", F.row_number().over(shortest)).where(F.col("r") <= rerank).select("query", "class"))
-
-    def rescore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                x, y = (_matrix(part.column(c), dims, kind).astype("<f8") for c in ("x", "y"))
-                yield pa.RecordBatch.from_arrays([part.column("query"), part.column("class"), pa.array(np.einsum("nd,nd->n", x, y))], names=["query", "class", "score"])
-
-    pairs = short.join(classes.select("class", "x"), "class").join(asked.select(F.col("class").alias("query"), F.col("x").alias("y")), "query")
-    exact = pairs.select("query", "class", "x", "y").mapInArrow(rescore, "query binary, class binary, score double")
+    exact = left.groupBy(*key).cogroup(right.select(*key, "class", "x").groupBy(*key)).applyInArrow(scan, "query binary, class binary, first long, score double")
     # top + 1 classes hold the top ids, the query's own apart
-    ids = classes.select("class", "ids", F.col("ids")[0].alias("first"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "first", "class")
-    near = exact.join(ids, "class").withColumn("r", F.row_number().over(order)).where(F.col("r") <= top + 1)
+    near = exact.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top + 1).join(classes.select("class", "ids"), "class")
     near = near.select("query", "score", F.col("class").alias("other"), F.explode("ids").alias("vec_id"))
     shorter = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "other")
     near = keep(near.withColumn("r", F.row_number().over(shorter)).where(F.col("r") <= top + 1).drop("r"))

@@ -316,6 +316,26 @@ def test_neighbours_of_repeated_ids_and_odd_vectors(spark):
     assert ann.search(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["near copies", "scales", "one axis", "huge", "tiny"])
+def test_neighbours_are_exact_on_rows_that_codes_cannot_tell_apart(spark, shape):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(3000, 12))
+    if shape == "near copies":
+        x = x[np.arange(3000) % 4] + 1e-3 * x
+    elif shape == "scales":
+        x *= 10.0 ** r.uniform(-6, 6, size=(3000, 1))
+    elif shape == "one axis":
+        x[:, 0] += 1e4
+    else:
+        x *= 1e60 if shape == "huge" else 1e-60
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for q, found in neighbours(rows).items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = np.argsort(-s)[:20].tolist()
+        assert [v for _, v, _ in found] == want and np.allclose([p for *_, p in found], s[want], rtol=1e-9, atol=0)
+
+
 def test_neighbours_are_exact_where_all_are_rescored(spark):
     x = np.random.default_rng(6).normal(size=(700, 9))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
