@@ -381,3 +381,38 @@ def test_coverage_and_metrics(spark):
     assert full["CLAIM_VERIFICATION_ACCURACY"] == (0.5, 2, None) and full["ABSTENTION_PRECISION"] == (0.5, 2, None) and full["TOKEN_EFFICIENCY"][2] == "UNDEFINED_FORMULA"
     assert [r.metric for r in evaluate.report(telemetry).collect()] == list(schema.METRICS)
     assert {r.reason for r in evaluate.report(telemetry).collect()} == {"MISSING_TELEMETRY_DATA", "UNDEFINED_FORMULA", "MISSING_GROUND_TRUTH"}
+
+
+def test_edges_read_from_tables_equal_all_edges_and_are_not_stored(spark, monkeypatch):
+    from lodestone import storage
+    from lodestone.plans import graph_view
+
+    written = []
+    monkeypatch.setattr(graph_view, "keep", lambda df, *a: written.append(df.columns) or storage.keep(df, *a))
+    monkeypatch.setattr(graph_view, "_PUBLISHED", {})
+    sf = "/root/testdata/sf0.001"
+    g = graph_view.graph(spark, sf)
+    assert written == [g.entities.columns]  # the entities alone
+    every = sorted((r.subject, r.predicate, r.object) for r in g.edges.collect())
+    keyed = {r.key: r.canonical_id for r in g.entities.select("key", "canonical_id").collect()}
+    raw = [(keyed.get(r.subject), r.predicate, keyed.get(r.object)) for r in graph_view.edges(spark, sf).collect()]
+    assert every == sorted(x for x in raw if None not in x)
+    nodes = [keyed[k] for k in ("nation:3", "customer:1", "supplier:2", "part:5", "region:0")]
+    for most in (2000, 2):  # nodes that are listed, and nodes that are joined
+        monkeypatch.setattr(adjacency, "LITERALS", most)
+        for predicates in (None, ["REFERENCES"]):
+            near = g.adjacency.at(spark.createDataFrame([(n,) for n in nodes], "node string"), predicates)
+            fits = [x for x in every if predicates is None or x[1] in predicates]
+            assert sorted((r.subject, r.predicate, r.object) for r in near.out.collect()) == [x for x in fits if x[0] in nodes]
+            assert sorted((r.subject, r.predicate, r.object) for r in near.into.collect()) == [x for x in fits if x[2] in nodes]
+
+
+def test_few_lookups_read_the_names_and_many_go_by_the_index(spark, monkeypatch):
+    rows = [(f"id_{k}", f"Name_{k}", f"a/b::name_{k % 3}") for k in range(40)]
+    names = target_index.Names(spark.createDataFrame(rows, "canonical_id string, name string, qualified_name string"))
+    asked = [("1", "name_1"), ("2", "e_2"), ("3", "zz"), ("4", ""), ("5", "name_1")]
+    ask = spark.createDataFrame(asked, "query_id string, target string")
+    few = sorted(map(tuple, resolve_targets(names, ask).collect()))
+    assert few and not names.made
+    monkeypatch.setattr(target_index, "SCANNED", 1)
+    assert sorted(map(tuple, resolve_targets(names, ask).collect())) == few and names.made
