@@ -115,3 +115,15 @@ def test_the_tables_ask_questions_that_touch_every_rule():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     hit = con.sql(f"WITH {questions._understood_sql()} SELECT k, count(*) FROM cand GROUP BY 1").fetchall()
     assert {k for k, _ in hit} == set(range(22))
+
+
+def test_metrics_of_claims_rank_nothing_and_the_report_ranks_once(spark, monkeypatch):
+    from lodestone.plans import questions, retrieval
+
+    made, ranking = [], retrieval.ranking
+    monkeypatch.setattr(retrieval, "ranking", lambda *a: made.append(a) or ranking(*a))
+    sf = "/root/testdata/sf0.001"
+    questions.claim_accuracy(spark, sf).collect()
+    questions.abstention_precision(spark, sf).collect()
+    assert not made
+    assert questions.metric_report(spark, sf).count() == 9 and len(made) == 1
