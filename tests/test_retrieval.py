@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 from lodestone.operators import search
-from lodestone.plans import retrieval
+from lodestone.plans import catalog, graph_view, retrieval
 
 
 @pytest.fixture
@@ -127,3 +127,46 @@ def test_metrics_of_claims_rank_nothing_and_the_report_ranks_once(spark, monkeyp
     questions.abstention_precision(spark, sf).collect()
     assert not made
     assert questions.metric_report(spark, sf).count() == 9 and len(made) == 1
+
+
+ODD = [None, -1, -12, 0, 1, 2, 9, 10, 100, 19, 10**15 - 1, 10**15, 10**18]
+
+
+@pytest.mark.parametrize("keys", [ODD, ODD[3:11]])  # with and without keys that the packed form has no room for
+def test_first_edge_by_names(spark, graph, keys):
+    rng = random.Random(5)
+    pick = lambda n, k: [tuple(rng.choice(keys) for _ in range(k)) for _ in range(n)]
+    at = graph(nation=pick(6, 2), customer=pick(20, 2), supplier=pick(10, 2), orders=pick(20, 2), lineitem=pick(60, 3))
+    found = retrieval.structural_first_edge(spark, at)
+    got = {tuple(r) for r in found.select("node", "subject", "predicate", "object").collect()}
+    first, order = {}, lambda e: tuple((x is not None, x or "") for x in e)
+    for r in retrieval.edges(spark, at).collect():
+        e = (r.subject, r.predicate, r.object)
+        for node in (e[0], e[2]):
+            first[node] = min(first.get(node, e), e, key=order)
+    assert got == {(n, *e) for n, e in first.items()}
+    if None not in keys:  # longs are compared, which needs no sorted groups of texts
+        assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_known_endpoints_are_compared_by_number(spark, graph):
+    at = graph(region=[(1,)], nation=[(1, 1)])
+    assert "concat" not in retrieval.known_endpoint_edges(spark, at)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_predicates_shown_by_a_few_rows_or_by_all(spark, graph, monkeypatch):
+    at = graph(region=[(1,)], nation=[(1, 1)], customer=[(1, 9), (2, 1)], supplier=[(1, 9)], part=[(1,)], orders=[(1, 7)], lineitem=[(1, 1, 1), (5, 5, 5)])
+    known = [(f"{k}:{n}", f"{k}{n}") for k, n in (("region", 1), ("nation", 1), ("customer", 1), ("customer", 2), ("supplier", 1), ("part", 1), ("order", 1))]
+    read = graph_view.Reported(spark, at, spark.createDataFrame(known, "key string, canonical_id string")).predicates
+    want = {"CONTAINS", "REFERENCES", "DEPENDS_ON", "IMPLEMENTS"}
+    assert {r[0] for r in read().collect()} == want
+    monkeypatch.setattr(graph_view, "WITNESSES", 0)
+    assert {r[0] for r in read().collect()} == want
+    assert "Exchange" not in read()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_co_change_tasks_grow_in_number(spark, graph, monkeypatch):
+    at = graph(lineitem=[(k // 3, k, 1) for k in range(300)])
+    monkeypatch.setattr(catalog, "LINES_A_TASK", 10)
+    assert "30" in re.findall(r"hashpartitioning\(a#\d+L, b#\d+L, (\d+)\)", catalog.co_change_pairs(spark, at)._jdf.queryExecution().executedPlan().toString())
+    assert catalog.co_change_pairs(spark, at).count() == 300
