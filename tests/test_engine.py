@@ -416,3 +416,13 @@ def test_few_lookups_read_the_names_and_many_go_by_the_index(spark, monkeypatch)
     assert few and not names.made
     monkeypatch.setattr(target_index, "SCANNED", 1)
     assert sorted(map(tuple, resolve_targets(names, ask).collect())) == few and names.made
+
+
+def test_rules_run_once_a_question(spark):
+    from lodestone.operators.understand import RULES, contract_table, understand
+
+    asked = spark.createDataFrame([("a", "Who calls  order_1?"), ("b", "nothing"), ("c", None)], "query_id string, text string").repartition(2)
+    rows = understand(asked, contract_table(spark))
+    plan = rows.where("status = 'RESOLVED'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(RULES[0][1]) <= 3  # its own match and target, and the last rule's look at it
+    assert {r.query_id: (r.status, r.targets) for r in rows.collect()} == {"a": ("RESOLVED", ["order_1"]), "b": ("SLM_UNAVAILABLE", None), "c": ("SLM_UNAVAILABLE", None)}
