@@ -15,8 +15,10 @@ cheapest spare segments (SPARE of them are indexed). Of what is left,
 1. the best connected set of each bucket is verified against the others of the bucket (linear), and links
    merge classes into components;
 2. only pairs of a prober and a holder of different components follow, in tiles of TILE probers, and only
-   those that pass a necessary condition: 256 parity bits of both sets differ in no more places than the
-   sets may differ (a bit is the parity of the number of hashes dealt to it).
+   those that pass a necessary condition: the parity bits of both sets differ in no more places than the
+   sets may differ (a bit is the parity of the number of hashes dealt to it). 256 bits go with every entry;
+   as they saturate for sets of some hundred members, the rows of this step carry FINE bits more. Of buckets
+   with the same rows one is read, as two sets that are near share most of their segments.
 
 What passes is verified exactly, on the words of both texts. A bucket of thousands of near copies emits
 pairs in proportion to its size. Comparing the bits of a bucket of many sets that are near but not linked
@@ -36,6 +38,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, keep, ship, slices, text_bytes
+from .common import drop_shuffles, forget, keep, ship, slices, text_bytes
 
 WORDS, PERCENT = 5, 80
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -52,6 +55,7 @@ BLOCK = 1 << 20
 TILE, PAIRS, FEW = 512, 2000, 200_000
 TEXT_KEY = ["h0", "h1"]
 SIGNATURE = ["w0", "w1", "w2", "w3"]
+FINE = 1024
 
 #: First size of each band.
 BANDS = [1]
@@ -224,19 +228,20 @@ def allocate(n: int, tags: np.ndarray, costs: np.ndarray) -> np.ndarray:
     return own & np.where(less, np.isin(segment, list(both)), ~np.isin(segment, list(skipped)))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """256 parity bits as four signed 64-bit numbers."""
+def signature(shingles: np.ndarray, bits: int = 256) -> np.ndarray:
+    """Parity bits as signed 64-bit numbers."""
     with np.errstate(over="ignore"):
-        at = (mix(shingles ^ np.uint64(UNBASE)) & np.uint64(255)).astype(np.int64)
-    odd = (np.bincount(at, minlength=256) & 1).astype(np.uint8)
+        at = (mix(shingles ^ np.uint64(UNBASE)) & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
-def fits(a: str = "a_", b: str = "b_") -> Column:
-    """What two sets (columns n and w0 to w3 under the prefixes) need to be linked: sizes in proportion, and few different parity bits."""
+def fits(a: str = "a_", b: str = "b_", fine: bool = False) -> Column:
+    """What two sets (columns n, w0 to w3 and fine under the prefixes) need to be linked: sizes in proportion, and few different parity bits."""
     col = lambda p, c: F.col(p + c)
+    words = lambda p: [F.get(col(p, "fine"), F.lit(k)) for k in range(FINE // 64)] if fine else [col(p, w) for w in SIGNATURE]
     sizes = 100 * F.least(col(a, "n"), col(b, "n")) >= PERCENT * F.greatest(col(a, "n"), col(b, "n"))
-    apart = sum((F.bit_count(col(a, w).bitwiseXOR(col(b, w))) for w in SIGNATURE[1:]), F.bit_count(col(a, "w0").bitwiseXOR(col(b, "w0"))))
+    apart = reduce(Column.__add__, (F.bit_count(x.bitwiseXOR(y)) for x, y in zip(words(a), words(b), strict=True)))
     return sizes & ((100 + PERCENT) * apart <= (100 - PERCENT) * (col(a, "n") + col(b, "n")))
 
 
@@ -408,11 +413,46 @@ def named_sets(ids: DataFrame, name: Callable[[bytes, int], int] = set_id) -> tu
         salt += 1
 
 
+def open_rows(named: DataFrame) -> DataFrame:
+    """key, tiles, set_id, probe, less and comp of the rows (of probed_buckets, with comp) in buckets that hold a prober and several components.
+
+    Of buckets with the same rows, known by two sums of their hashes, one is taken.
+    """
+    same = [F.sum(F.xxhash64(F.lit(k), "set_id", "probe", "less").cast("decimal(38,0)")).alias(f"same{k}") for k in range(2)]
+    open_ = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count_if("probe").alias("probes"), *same).where("c0 < c1 AND probes > 0")
+    open_ = open_.groupBy("same0", "same1").agg(F.min(F.struct("key", "probes")).alias("one")).select("one.*")
+    return named.join(open_.select("key", F.floor(F.col("probes") / TILE).cast("int").alias("tiles")), "key").select("key", "tiles", "set_id", "probe", "less", "comp")
+
+
+def all_bits(texts: DataFrame) -> DataFrame:
+    """set_id, n, signature and fine bits of sets given by their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in slices(batches, "text"):
+            sets = shingler.sets(batch.column("text"))
+            bits = np.array([signature(s) for s in sets]).reshape(-1, 4)
+            cols = [batch.column("set_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(bits[:, k]) for k in range(4)), pa.array([signature(s, FINE) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["set_id", "n", *SIGNATURE, "fine"])
+
+    return texts.select("set_id", "text").mapInArrow(run, "set_id long, n long, w0 long, w1 long, w2 long, w3 long, fine array<long>")
+
+
+def open_pairs(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs (a_set_id, b_set_id) of a prober and a holder of one bucket of open_rows whose components differ and which the bits let link."""
+    side = lambda p, rows, tile: rows.select("key", tile.alias("tile"), "set_id", "less", "comp").join(bits, "set_id").select("key", "tile", *(F.col(c).alias(p + c) for c in ("set_id", "n", *SIGNATURE, "fine", "less", "comp")))
+    probers = side("a_", rows.where("probe"), F.pmod(F.xxhash64("set_id"), F.col("tiles") + 1).cast("int"))
+    holders = side("b_", rows, F.explode(F.sequence(F.lit(0), F.col("tiles"))))
+    pairs = probers.join(holders, ["key", "tile"]).where("a_comp <> b_comp AND NOT (a_less AND b_less)").where(fits()).where(fits(fine=True))
+    return pairs.select("a_set_id", "b_set_id")
+
+
 def linked_classes(docs: DataFrame, name: Callable[[bytes, int], int] = set_id) -> DataFrame:
     """doc_id, text key, n_shingles and class (a number for each component; null for an empty set) of every document."""
     ids = keep(shingle_ids(docs))
     classes, salt = named_sets(ids, name)
     buckets = keep(probed_buckets(index_entries(docs, salt, name), classes))
+    drop_shuffles(docs.sparkSession)  # the index entries, larger than all that follows
     member = F.struct("degree", "set_id", "n", *SIGNATURE)
     star = buckets.groupBy("key").agg(F.max(member).alias("hub"), F.max("probe").alias("any")).where("any").select("key", F.col("hub.set_id").alias("h_set"), *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("n", *SIGNATURE)))
     star = buckets.join(star, "key").where("set_id <> h_set").where(fits("", "h_"))
@@ -422,20 +462,19 @@ def linked_classes(docs: DataFrame, name: Callable[[bytes, int], int] = set_id)
     forget(texts)
     known = keep(components(links))
     # What the stars leave: pairs of one bucket whose sets are in different components so far.
-    named = keep(buckets.join(known, F.col("set_id") == F.col("node"), "left").select(*buckets.columns, F.coalesce("comp", "set_id").alias("comp")))
+    named = keep(buckets.join(known, F.col("set_id") == F.col("node"), "left").select("key", "set_id", "probe", "less", F.coalesce("comp", "set_id").alias("comp")))
     forget(buckets, known)
-    open_ = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count_if("probe").alias("probes")).where("c0 < c1 AND probes > 0")
-    open_ = open_.select("key", F.floor(F.col("probes") / TILE).cast("int").alias("tiles"))
-    side = lambda p, rows, tile: rows.select("key", tile.alias("tile"), *(F.col(c).alias(p + c) for c in ("set_id", "n", *SIGNATURE, "less", "comp")))
-    probers = side("a_", named.where("probe").join(open_, "key"), F.pmod(F.xxhash64("set_id"), F.col("tiles") + 1).cast("int"))
-    holders = side("b_", named.join(open_, "key"), F.explode(F.sequence(F.lit(0), F.col("tiles"))))
-    rest = probers.join(holders, ["key", "tile"]).where("a_comp <> b_comp AND NOT (a_less AND b_less)").where(fits())
-    rest = rest.select(F.least("a_set_id", "b_set_id").alias("a"), F.greatest("a_set_id", "b_set_id").alias("b")).distinct()
+    rows = keep(open_rows(named))
+    forget(named)
+    texts = set_texts(docs, classes, rows.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")).distinct())
+    bits = keep(all_bits(texts))
+    rest = open_pairs(rows, bits).select(F.least("a_set_id", "b_set_id").alias("a"), F.greatest("a_set_id", "b_set_id").alias("b")).distinct()
     rest = keep(rest.join(star, ["a", "b"], "left_anti"))
-    forget(named, star)
-    texts = set_texts(docs, classes, rest)
-    links = keep(links.unionByName(verify(rest, texts)))
-    forget(texts, rest)
+    forget(rows, bits, star)
+    compared = keep(texts.join(rest.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id", "left_semi"))
+    forget(texts)
+    links = keep(links.unionByName(verify(rest, compared)))
+    forget(compared, rest)
     comp = components(links)
     # Equal sets are one node; an empty set is linked with nothing.
     node = classes.join(comp, F.col("set_id") == F.col("node"), "left").select("digest", F.coalesce("comp", "set_id").alias("class"))

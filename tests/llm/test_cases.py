@@ -182,6 +182,32 @@ def test_shingler_blocks(monkeypatch):
     assert [s.tolist() for s in jaccard.Shingler().sets(column.slice(5, 20))] == [s.tolist() for s in wide[5:25]]
 
 
+def test_sets_that_are_near_but_not_linked_give_no_pairs_for_each_bucket(spark):
+    r = random.Random(4)
+    base = [f"w{r.randrange(10**6)}" for _ in range(404)]
+
+    def altered(k, changes):
+        words = list(base)
+        for j in r.sample(range(5, 395, 6), changes):
+            words[j] = f"x{k}y{j}"
+        return " ".join(words)
+
+    rows = [(k, altered(k, 7 if k < 40 else 3)) for k in range(43)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes, salt = jaccard.named_sets(jaccard.shingle_ids(docs))
+    named = jaccard.probed_buckets(jaccard.index_entries(docs, salt), classes).selectExpr("*", "set_id AS comp")
+    sets = [jaccard.shingles_of(t) for _, t in rows]
+    links = {(a, b) for a in range(43) for b in range(a) if jaccard.linked(sets[a], sets[b])}
+    assert 3 <= len(links) < 20
+    kept = jaccard.open_rows(named)
+    texts = jaccard.set_texts(docs, classes, kept.selectExpr("set_id AS a", "set_id AS b").distinct())
+    got = jaccard.open_pairs(kept, jaccard.all_bits(texts))
+    number = {jaccard.set_id(jaccard.digest_of(s), salt): k for k, s in enumerate(jaccard.Shingler().sets(pa.array([t for _, t in rows])))}
+    pairs = [tuple(sorted((number[r[0]], number[r[1]]), reverse=True)) for r in got.collect()]
+    assert links <= set(pairs)
+    assert len(set(pairs)) < 200 and len(pairs) < 10_000  # of 903 pairs, of which 256 bits let most pass, in dozens of buckets each
+
+
 def test_parity_bits_never_differ_more_than_the_sets():
     rng = np.random.default_rng(4)
     for _ in range(300):
