@@ -426,3 +426,46 @@ def test_rules_run_once_a_question(spark):
     plan = rows.where("status = 'RESOLVED'")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(RULES[0][1]) <= 3  # its own match and target, and the last rule's look at it
     assert {r.query_id: (r.status, r.targets) for r in rows.collect()} == {"a": ("RESOLVED", ["order_1"]), "b": ("SLM_UNAVAILABLE", None), "c": ("SLM_UNAVAILABLE", None)}
+
+
+def test_levels_over_tables_delete_what_they_wrote(spark):
+    import os
+
+    from lodestone.plans import graph_view
+
+    g = graph_view.graph(spark, "/root/testdata/sf0.001")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    seeds = g.entities.where("name = 'EUROPE'").select(F.lit("q").alias("query_id"), F.col("canonical_id").alias("entity"), F.lit(1).alias("rank"))
+    req = spark.createDataFrame([("q", 2, 50, 50, False)], "query_id string, depth int, max_nodes int, max_edges int, reverse boolean")
+    nodes, _, _ = traverse(g.adjacency, seeds, req, spark.createDataFrame([("q", None, 0, False)], "query_id string, predicate string, pidx int, supplementary boolean"), 2)
+    assert nodes.count() > 10 and len(set(os.listdir(folder)) - before) == 1
+
+
+def test_expansion_meets_entities_where_they_lie(spark, monkeypatch):
+    from lodestone import storage
+    from lodestone.operators import traverse as walks
+
+    plans = []
+    monkeypatch.setattr(walks, "keep", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or storage.keep(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.createDataFrame([("a", "CALLS", "b"), ("b", "CALLS", "c")], "subject string, predicate string, object string").withColumns({"edge_seq": F.lit(0).cast("long"), "pair_seq": F.lit(0).cast("long")})
+        entities = storage.keep(spark.createDataFrame([(x, x == "c") for x in "abc"], "canonical_id string, located boolean"))
+        found, partial = expand_for_location(edges, entities, spark.createDataFrame([("q", "a", 1)], "query_id string, entity string, rank int"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.entity for r in found.collect()} == set("abc") and not partial.first().partial
+    assert any("located" in p for p in plans) and not any("SortMergeJoin [other#" in p for p in plans)
+
+
+def test_what_few_lookups_find_is_dealt_twice_and_sorted_once(spark):
+    rows = [(f"id_{k}", f"order_{k}", f"orders/{k % 5}::order_{k}") for k in range(300)]
+    entities = spark.createDataFrame(rows + rows[:9], "canonical_id string, name string, qualified_name string")  # some are listed twice
+    ask = spark.createDataFrame([("1", "order_1"), ("2", "orders.order_12"), ("3", "rder_2"), ("4", "nothing")], "query_id string, target string")
+    got = resolve_targets(target_index.Names(entities), ask)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, resolve_targets(entities, ask).collect()))
+    of = lambda q: {r.entity for r in got.where(F.col("query_id") == q).collect()}
+    assert of("1") == {"id_1", *(f"id_{k}" for k in range(300) if str(k).startswith("1"))} - {f"id_{k}" for k in range(300) if not str(k).startswith("1")}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count(" Window [") <= 2  # whether a qualifier confirms, and the rank
