@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import ann, bpe, chat, chunks, jaccard, langid, licenses, packing, quality, warc
 from lodestone.llm.common import slices, smallest, tokenizer_path
@@ -497,3 +498,21 @@ def test_documents_of_many_lines_are_learned_from_too(spark):
     x, n = quality.line_features(long[0][1])
     a, b = quality.some_lines(x, n, 7, 400)
     assert len(a) == len(b) == 400 and len(quality.some_lines(x[:10], n[:10], 7, 400)[1]) == 10
+
+
+def test_index_entries_that_clash_in_their_keys_lose_no_link(spark):
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    texts = [" ".join([*base[:k], f"y{k}", *base[k + 1 :]]) for k in range(8)] + [" ".join(f"z{k}{j}" for j in range(120)) for k in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes, salt = jaccard.named_sets(jaccard.shingle_ids(docs))
+    entries = jaccard.index_entries(docs, salt)
+    assert entries.columns == ["set_id", "key", "tag"] and entries.where("key % 65536 <> 0").isEmpty()  # what is dealt is 48 bits, beside what a set repeats
+    named = jaccard.probed_buckets(entries.withColumn("key", F.pmod("key", F.lit(65536 * 1001))), classes).selectExpr("*", "set_id AS comp")
+    kept = jaccard.open_rows(named)
+    bits = jaccard.all_bits(jaccard.set_texts(docs, classes, kept.selectExpr("set_id AS a", "set_id AS b").distinct()))
+    got = {frozenset(x) for x in jaccard.open_pairs(kept, bits).distinct().collect() if x[0] != x[1]}
+    sets = [jaccard.shingles_of(t) for t in texts]
+    number = [jaccard.set_id(jaccard.digest_of(s), salt) for s in jaccard.Shingler().sets(pa.array(texts))]
+    links = {frozenset((number[a], number[b])) for a in range(16) for b in range(a) if jaccard.linked(sets[a], sets[b])}
+    assert links and links <= got
