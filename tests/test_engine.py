@@ -469,3 +469,16 @@ def test_what_few_lookups_find_is_dealt_twice_and_sorted_once(spark):
     assert of("1") == {"id_1", *(f"id_{k}" for k in range(300) if str(k).startswith("1"))} - {f"id_{k}" for k in range(300) if not str(k).startswith("1")}
     plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count(" Window [") <= 2  # whether a qualifier confirms, and the rank
+
+
+def test_claims_are_matched_once(spark):
+    from lodestone import storage
+
+    claims = storage.keep(spark.createDataFrame([("1", "a", "CALLS", "b"), ("2", "a", "CALLS", "z")], "claim_id string, subject string, predicate string, object string"))
+    edges = spark.createDataFrame([("a", "CALLS", "b", 0.0, ["e1", "e2"])], "subject string, predicate string, object string, contradiction_score double, supporting_evidence_ids array<string>")
+    evidence = spark.createDataFrame([("e1", "p", 0.5, NOW, "g"), ("e2", "p", 1.0, NOW, "g")], "evidence_id string, provider string, confidence double, freshness timestamp, independence_group string")
+    covered = spark.createDataFrame([("c", "COMPLETE")], "capability string, coverage string")
+    rows = verify.verify_claims(claims, edges, evidence, covered, F.lit(NOW).cast("timestamp"))
+    got = {r.claim_id: (r.method, r.evidence_quality, r.evidence_independence) for r in rows.collect()}
+    assert got == {"1": ("DIRECT_EDGE", 0.75, 0.5), "2": ("NONE", 0.0, 0.0)}
+    assert not any(claims._lodestone_kept.rpartition("/")[2] in f for f in rows.inputFiles())  # what matched is written, and not matched anew for each use
