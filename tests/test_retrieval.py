@@ -4,11 +4,12 @@ import math
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 
-from lodestone.operators import search
-from lodestone.plans import catalog, graph_view, retrieval
+from lodestone.operators import paths, search
+from lodestone.plans import catalog, graph_view, retrieval, traversals
 
 
 @pytest.fixture
@@ -165,6 +166,20 @@ def test_predicates_shown_by_a_few_rows_or_by_all(spark, graph, monkeypatch):
     assert "Exchange" not in read()._jdf.queryExecution().executedPlan().toString()
 
 
+def test_claims_of_one_edge_are_not_searched(spark, graph, monkeypatch):
+    # customers 1 and 2 share an id; customer 8 and order 5 are nowhere
+    at = graph(customer=[(1, 1), (2, 1), (3, 1)], orders=[(1, 1), (2, 3), (3, 2), (4, 8)])
+    known = [("customer:1", "c"), ("customer:2", "c"), ("customer:3", "d"), *((f"order:{k}", f"o{k}") for k in range(1, 5))]
+    named = graph_view.Reported(spark, at, spark.createDataFrame(known, "key string, canonical_id string"))
+    monkeypatch.setattr(traversals, "graph", lambda *_: SimpleNamespace(adjacency=named))
+    for name in ("_ahead", "_back"):
+        monkeypatch.setattr(paths, name, lambda *_: pytest.fail("searched"))
+    monkeypatch.setattr(paths, "CLAIMS_A_PART", 2)
+    got = {r.claim_id: (r.method, r.hops) for r in traversals.entail_path(spark, at).collect()}
+    yes, no = ("PATH_EXISTENCE", 1), ("NONE", 0)
+    assert got == {"customer:1>order:1": yes, "customer:1>order:2": no, "customer:3>order:2": yes, "customer:3>order:3": no, "customer:2>order:3": yes, "customer:2>order:4": no}
+
+
 def test_co_change_tasks_grow_in_number(spark, graph, monkeypatch):
     at = graph(lineitem=[(k // 3, k, 1) for k in range(300)])
     monkeypatch.setattr(catalog, "LINES_A_TASK", 10)
