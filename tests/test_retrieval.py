@@ -180,6 +180,14 @@ def test_claims_of_one_edge_are_not_searched(spark, graph, monkeypatch):
     assert got == {"customer:1>order:1": yes, "customer:1>order:2": no, "customer:3>order:2": yes, "customer:3>order:3": no, "customer:2>order:3": yes, "customer:2>order:4": no}
 
 
+def test_one_subject_of_many_claims_is_searched_from(spark, monkeypatch):
+    edges = [("r", "CONTAINS", f"n{k}") for k in range(5)] + [(f"n{k % 5}", "CONTAINS", f"c{k}") for k in range(40)]
+    claims = [(f"c{k}", "r", "CONTAINS", f"c{k}") for k in range(50)]
+    monkeypatch.setattr(paths, "_back", lambda *_: pytest.fail("searched from the objects"))
+    found = paths.reached_paths(spark.createDataFrame(edges, "subject string, predicate string, object string"), spark.createDataFrame(claims, "claim_id string, subject string, predicate string, object string"))
+    assert {r.claim_id: r.path for r in found.collect()} == {f"c{k}": [f"n{k % 5}", f"c{k}"] for k in range(40)}
+
+
 def test_co_change_tasks_grow_in_number(spark, graph, monkeypatch):
     at = graph(lineitem=[(k // 3, k, 1) for k in range(300)])
     monkeypatch.setattr(catalog, "LINES_A_TASK", 10)
