@@ -101,6 +101,32 @@ def test_search_equals_scoring_every_document(spark):
     assert tops.select("query_id").distinct().count() < bounds.count() and bounds.join(least, "query_id").where("bound < least").count() > 50
 
 
+def test_holders_and_the_first_of_some_documents(spark, monkeypatch):
+    monkeypatch.setattr(search, "BITS", 16)
+    r = random.Random(4)
+    texts = [(k, " ".join(r.choice("abcdefghij") for _ in range(r.randrange(0, 5)))) for k in range(120)]
+    found = search.index(spark.createDataFrame(texts, "doc long, text string"), block=8)
+    asked = spark.createDataFrame([("q1", "a", 1), ("q1", "b", 2), ("q2", "j", 1), ("q3", "z", 1)], "query_id string, term string, times long")
+    some = [k for k in range(120) if k % 3 == 1] + [500]
+    docs = spark.createDataFrame([(k,) for k in some + some[:2]], "doc long")
+    weights = found.weights(asked)
+    terms = {"q1": {"a", "b"}, "q2": {"j"}}
+    assert {x.query_id: x.n for x in found.holders(weights, docs).collect()} == {q: sum(bool(w & set(dict(texts).get(k, "").split())) for k in some) for q, w in terms.items()}
+    first = {}
+    for x in search.ranked(found.scored(weights)).orderBy("rank").collect():
+        if x.doc in some:
+            first.setdefault(x.query_id, (x.doc, x.rank))
+    assert {x.query_id: (x.doc, x["rank"]) for x in found.first_of(asked, docs).collect()} == first
+
+
+def test_blocks_are_met_before_postings(spark):
+    found = search.index(spark.createDataFrame([(k, "a b") for k in range(9)], "doc long, text string"), block=2)
+    weights = found.weights(spark.createDataFrame([("q", "a", 1)], "query_id string, term string, times long"))
+    rows = found.scored(weights, spark.createDataFrame([("q", 1), ("q", 1)], "query_id string, block long"))
+    assert {x.doc for x in rows.collect()} == {2, 3}
+    assert "LeftSemi" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_search_of_nothing(spark):
     found = search.index(spark.createDataFrame([], "doc long, text string"))
     assert found.top(spark.createDataFrame([("q", "a", 1)], "query_id string, term string, times long"), 3).count() == 0
