@@ -127,6 +127,13 @@ def test_blocks_are_met_before_postings(spark):
     assert "LeftSemi" not in rows._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_traces_of_the_report_hold_what_metrics_look_at(spark):
+    from lodestone.plans import questions
+
+    traces = questions._traces(spark, "/root/testdata/sf0.001")
+    assert max(r["count"] for r in traces.groupBy("query_id").count().collect()) <= retrieval.TOP + 1
+
+
 def test_search_of_nothing(spark):
     found = search.index(spark.createDataFrame([], "doc long, text string"))
     assert found.top(spark.createDataFrame([("q", "a", 1)], "query_id string, term string, times long"), 3).count() == 0
