@@ -69,10 +69,10 @@ def reconcile(evidence: DataFrame, entities: DataFrame, now: Column, contradicti
     if contradicting is not None:
         rows = rows.unionByName(contradicting.withColumn("against", F.lit(True)), allowMissingColumns=True)
     rows = weighted(rows.dropDuplicates(["evidence_id", *KEY]), now, authority, half_life_hours).withColumn("group", independence_group())
-    numbers = combined(rows, KEY).join(fold(evidence, contradicting), KEY)
+    numbers = combined(rows, KEY).join(fold(evidence, contradicting).hint("merge"), KEY)  # both are dealt by KEY
     for end in ("subject", "object"):
         known = entities.select(F.col("canonical_id").alias(end), F.lit(True).alias(f"_{end}")).distinct()
-        numbers = numbers.join(known, end, "left")
+        numbers = numbers.join(known.hint("merge"), end, "left")  # all entities: their number is not bounded
     known = F.coalesce("_subject", F.lit(False)) & F.coalesce("_object", F.lit(False))
     numbers = numbers.withColumn("status", S.relationship_status(known, F.col("supports"), F.col("contradicts"), F.col("support"), F.col("contradiction")))
     contradiction = F.when(known, F.col("contradiction")).otherwise(0.0)

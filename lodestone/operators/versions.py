@@ -51,6 +51,11 @@ class Manifest:
     folders: dict[str, list[str | None]] = field(default_factory=dict)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows to be joined by dealing: files of ids next to null columns look small enough to be sent through the driver, and are not."""
+    return rows.hint("merge")
+
+
 class GraphVersions:
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
@@ -137,36 +142,36 @@ class GraphVersions:
         entities = kept(entities.select(*names).dropDuplicates(["canonical_id"]))
         places = self._touched("entities", entities)
         before = self.table(parent, "entities", places)
-        fresh = kept(entities.join(before.select("canonical_id"), "canonical_id", "left_anti").select("canonical_id"))
-        folders["entities"] = self._write(parent, "entities", before.join(entities, "canonical_id", "left_anti").unionByName(entities), places)
+        fresh = kept(entities.join(_dealt(before.select("canonical_id")), "canonical_id", "left_anti").select("canonical_id"))
+        folders["entities"] = self._write(parent, "entities", before.join(_dealt(entities.select("canonical_id")), "canonical_id", "left_anti").unionByName(entities), places)
         # Evidence: new by id within the buckets of its pairs.
         evidence = kept(evidence.dropDuplicates(["evidence_id"]))
         homes = self._touched("evidence", evidence)
         known = self.table(parent, "evidence", homes)
         nth = F.try_to_number(F.regexp_extract("evidence_id", r"([0-9]{1,18})$", 1), F.lit("9" * 18))
-        added = numbered(evidence.join(known.select("evidence_id"), "evidence_id", "left_anti"), ["provider", nth.asc_nulls_last(), "evidence_id"], "commit_seq", parent.next_seq)
+        added = numbered(evidence.join(_dealt(known.select("evidence_id")), "evidence_id", "left_anti"), ["provider", nth.asc_nulls_last(), "evidence_id"], "commit_seq", parent.next_seq)
         made.append(added)
         folders["evidence"] = self._write(parent, "evidence", known.unionByName(added.select(known.columns)), homes)
         # Relationships of new evidence, and those that waited for an entity that is here now.
         woken = self._touched("waiting", fresh.select(F.col("canonical_id").alias("end")))
         waited = self.table(parent, "waiting", woken)
-        keys = kept(added.select(*KEY).unionByName(waited.join(fresh.withColumnRenamed("canonical_id", "end"), "end", "left_semi").select(*KEY)).distinct())
+        keys = kept(added.select(*KEY).unionByName(waited.join(_dealt(fresh.withColumnRenamed("canonical_id", "end")), "end", "left_semi").select(*KEY)).distinct())
         pairs = self._touched("relationships", keys)
         current = Manifest(parent.number + 1, label, self.buckets, parent.next_seq + added.count(), folders)
-        records = self.table(current, "evidence", pairs).join(keys, KEY, "left_semi")
+        records = self.table(current, "evidence", pairs).join(_dealt(keys), KEY, "left_semi")
         ends = keys.select(F.col("subject").alias("canonical_id")).union(keys.select("object")).distinct()
-        whose = self.table(current, "entities", self._touched("entities", ends)).join(ends, "canonical_id", "left_semi")
+        whose = self.table(current, "entities", self._touched("entities", ends)).join(_dealt(ends), "canonical_id", "left_semi").select("canonical_id")
         again = kept(reconcile(records, whose, at, authority=authority))
         old = self.table(parent, "relationships", pairs)
         first = F.min("edge_seq").over(Window.partitionBy("subject", "object"))
-        rows = kept(old.drop("pair_seq").join(keys, KEY, "left_anti").unionByName(again.select(*(c for c in old.columns if c != "pair_seq"))).withColumn("pair_seq", first))
+        rows = kept(old.drop("pair_seq").join(_dealt(keys), KEY, "left_anti").unionByName(again.select(*(c for c in old.columns if c != "pair_seq"))).withColumn("pair_seq", first))
         folders["relationships"] = self._write(parent, "relationships", rows, pairs)
         # Who waits for whom: of the touched relationships, the ends that are still unknown.
         open_ = again.where("status = 'UNRESOLVED'")
-        unknown = open_.select(F.explode(F.array("subject", "object")).alias("end"), *KEY).join(whose.select(F.col("canonical_id").alias("end")), "end", "left_anti").distinct()
+        unknown = open_.select(F.explode(F.array("subject", "object")).alias("end"), *KEY).join(_dealt(whose.select(F.col("canonical_id").alias("end"))), "end", "left_anti").distinct()
         unknown = kept(unknown)
         stay = sorted({*woken, *self._touched("waiting", unknown)})
-        left = self.table(parent, "waiting", stay).join(keys, KEY, "left_anti").unionByName(unknown)
+        left = self.table(parent, "waiting", stay).join(_dealt(keys), KEY, "left_anti").unionByName(unknown)
         folders["waiting"] = self._write(parent, "waiting", left.distinct(), stay)
         self._commit(current)
         forget(*made)

@@ -57,6 +57,18 @@ def test_two_batches_equal_one(spark, tmp_path, links):
     assert [rows_of(x) for x in traverse(a.adjacency, seeds, req, pr, 1)] == [rows_of(x) for x in traverse(b.adjacency, seeds, req, pr, 1)]
 
 
+def test_nothing_of_a_batch_is_broadcast(spark, tmp_path, links, monkeypatch):
+    plans, write = [], versions.GraphVersions._write
+    monkeypatch.setattr(versions, "keep", lambda df, k=versions.keep: plans.append(df) or k(df))
+    monkeypatch.setattr(versions.GraphVersions, "_write", lambda self, at, table, rows, touched: plans.append(rows) or write(self, at, table, rows, touched))
+    store = versions.GraphVersions(spark, f"{tmp_path}/g", 4)
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    seen = []
+    monkeypatch.setattr(versions.GraphVersions, "_commit", lambda self, new, c=versions.GraphVersions._commit: seen.extend(map(text, plans)) or c(self, new))
+    store.upsert(entities_of(spark, ["n1", "n2"]), evidence_of(spark, links), NOW, "r:1")
+    assert len(seen) > 5 and not any("BroadcastHashJoin" in p for p in seen)
+
+
 def test_a_batch_writes_the_buckets_it_touches(spark, tmp_path, links):
     store = versions.GraphVersions(spark, f"{tmp_path}/g", 32)
     first = store.upsert(entities_of(spark, [f"n{k}" for k in range(14)]), evidence_of(spark, links), NOW, "r:1")
